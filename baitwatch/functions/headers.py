@@ -87,6 +87,13 @@ def address_stages(prefix: str) -> list:
             f"{prefix}_name": name,
         }
 
+    return [bare, addr, *address_domain_stages(prefix)]
+
+
+def address_domain_stages(prefix: str) -> list:
+    """Stages from ``<prefix>_addr`` to ``<prefix>_domain``: the registrable
+    domain, '' without ``@``."""
+
     def host(get: Getter) -> dict[str, Column]:
         a = get(f"{prefix}_addr")
         after_at = F.lower(strip(F.substring_index(a, "@", -1)))
@@ -96,7 +103,7 @@ def address_stages(prefix: str) -> list:
         found = F.when(get(f"{prefix}_addr").contains("@"), get(f"{prefix}_full_domain"))
         return {f"{prefix}_domain": F.coalesce(found, F.lit(""))}
 
-    return [bare, addr, host, *suffix_stages(None, f"{prefix}_"), sender_domain]
+    return [host, *suffix_stages(None, f"{prefix}_"), sender_domain]
 
 
 def together(*chains: list) -> list:

@@ -19,9 +19,7 @@ def check_uploads(manifest: DataFrame) -> DataFrame:
     before the size."""
     name = F.substring_index("path", "/", -1)
     # A leading dot starts a hidden name, a trailing one ends it: no extension.
-    ext = F.lower(F.regexp_extract(name, r"^.*[^.].*?(\.[^.]+)$", 1))
-    ext = F.when(name.rlike(r"^\.+[^.]*$"), F.lit("")).otherwise(ext)
-    out = manifest.withColumn("extension", ext)
+    out = manifest.withColumn("extension", F.lower(F.regexp_extract(name, r"^.*[^.].*?(\.[^.]+)$", 1)))
     known, allowed, too_large = F.lit(False), F.lit(False), F.lit(False)
     for kind, (extensions, cap) in UPLOAD_LIMITS.items():
         of_kind = F.col("kind") == kind
