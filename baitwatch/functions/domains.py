@@ -103,3 +103,17 @@ def suffix_stages(suffixes: Iterable[str] | None = None,
         }
 
     return [suffix, rest, domain, subdomain]
+
+
+def registrable(host: Column) -> Column:
+    """``domain.suffix`` of one host by the default rule, in a single regular
+    expression: for callers that need nothing but the registrable domain."""
+    seconds = "|".join(
+        rf"(?:{names.replace(' ', '|')})\.{cc}" for cc, names in SECOND_LEVEL.items())
+    found = F.regexp_extract(host, rf"([^.]*\.(?:{seconds}|[^.]*[^.0-9][^.]*))\z", 1)
+    return (
+        F.when(found != "", found)
+        .when(host.rlike(IPV4), F.concat(host, F.lit(".")))
+        .when(host.rlike("^[a-z]{2}$"), F.concat(F.lit("."), host))
+        .otherwise(F.concat(F.substring_index(host, ".", -1), F.lit(".")))
+    )

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as lx
-from .domains import Getter, host_of, suffix_stages
+from .domains import Getter, host_of, registrable
 from .strings import WORD, contains_any, any_of, count_terms, strip
 
 HEADER_FEATURES = [
@@ -95,15 +95,13 @@ def address_domain_stages(prefix: str) -> list:
     domain, '' without ``@``."""
 
     def host(get: Getter) -> dict[str, Column]:
-        a = get(f"{prefix}_addr")
-        after_at = F.lower(strip(F.substring_index(a, "@", -1)))
-        return {f"{prefix}_host": F.when(a.contains("@"), host_of(after_at)).otherwise(F.lit(""))}
+        return {f"{prefix}_host": host_of(F.lower(strip(F.substring_index(get(f"{prefix}_addr"), "@", -1))))}
 
-    def sender_domain(get: Getter) -> dict[str, Column]:
-        found = F.when(get(f"{prefix}_addr").contains("@"), get(f"{prefix}_full_domain"))
-        return {f"{prefix}_domain": F.coalesce(found, F.lit(""))}
+    def domain(get: Getter) -> dict[str, Column]:
+        return {f"{prefix}_domain": F.when(
+            get(f"{prefix}_addr").contains("@"), registrable(get(f"{prefix}_host"))).otherwise(F.lit(""))}
 
-    return [host, *suffix_stages(None, f"{prefix}_"), sender_domain]
+    return [host, domain]
 
 
 def together(*chains: list) -> list:

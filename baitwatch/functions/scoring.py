@@ -21,15 +21,19 @@ def decision(score: Column, positive: str, negative: str) -> Column:
     return F.when(score >= lx.DECISION_AT, F.lit(positive)).otherwise(F.lit(negative))
 
 
-def top_signals(importances: dict[str, float]) -> dict[str, Column]:
-    """Active features of the row by global importance, split into risk and
-    trust signals. Works inside the row on as many entries as features."""
+def active_features(importances: dict[str, float]) -> Column:
+    """Features above zero in this row, most important first. An array of at
+    most as many entries as there are features."""
     entries = F.array(*[
-        F.struct(F.lit(-float(w)).alias("rank"), F.lit(n).alias("feature"),
+        F.struct(F.lit(-float(w)).alias("order"), F.lit(n).alias("feature"),
                  F.col(n).cast("double").alias("value"))
         for n, w in importances.items()
     ])
-    active = F.array_sort(F.filter(entries, lambda e: e["value"] > 0))
+    return F.array_sort(F.filter(entries, lambda e: e["value"] > 0))
+
+
+def top_signals(active: Column) -> dict[str, Column]:
+    """Split ``active_features`` into the first risk and trust signals."""
 
     def pick(keep_trust: bool, n: int) -> Column:
         kept = F.filter(active, lambda e: e["feature"].contains(lx.TRUST_MARKER) == keep_trust)

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scoring import decision, risk_tier
+from ..functions.scoring import active_features, decision, risk_tier, top_signals
 from ..session import ensure_checkpoint_dir
 from .dataset import stratified_folds
 from .features import align
@@ -27,7 +27,7 @@ SEED = 42
 def boosted_trees(max_iter: int = STAGES, features_col: str = "features", label_col: str = "label") -> GBTClassifier:
     return GBTClassifier(
         featuresCol=features_col, labelCol=label_col, maxIter=max_iter, stepSize=STEP,
-        maxDepth=DEPTH, seed=SEED, checkpointInterval=10, cacheNodeIds=True)
+        maxDepth=DEPTH, seed=SEED, checkpointInterval=10)
 
 
 def training_table(features: DataFrame, columns: Iterable[str], keep: Iterable[str] = ("mail_id", "label")) -> DataFrame:
@@ -103,6 +103,12 @@ def importances(model: PipelineModel) -> dict[str, float]:
     return dict(zip(model_columns(model), map(float, model.stages[-1].featureImportances.toArray()), strict=True))
 
 
+def with_top_signals(features: DataFrame, importances: dict[str, float]) -> DataFrame:
+    """Add ``top_risk_signals`` and ``top_trust_signals`` to a feature table."""
+    df = features.withColumn("_active", active_features(importances))
+    return df.withColumns(top_signals(F.col("_active"))).drop("_active")
+
+
 def top_importances(model: PipelineModel, spark, n: int = 15) -> DataFrame:
     rows = list(importances(model).items())
     return (spark.createDataFrame(rows, "feature string, importance double")
@@ -168,4 +174,4 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
 
 __all__ = ["boosted_trees", "class_report", "confusion_matrix", "cross_validate", "cv_summary",
            "evaluate", "fit_mail_model", "importances", "load_model", "model_columns", "save_model",
-           "score_mails", "top_importances", "training_table"]
+           "score_mails", "top_importances", "training_table", "with_top_signals"]

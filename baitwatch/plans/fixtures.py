@@ -87,7 +87,8 @@ _FILE = """CASE doc_id % 5 WHEN 0 THEN 'invoice.pdf.exe' WHEN 1 THEN 'Statement.
     WHEN 2 THEN 'photo.jpg' WHEN 3 THEN 'KYC-verify.js' ELSE 'report.tar.gz' END"""
 
 MAIL = f"""
-SELECT doc_id AS mail_id, CAST(doc_id % 2 AS INT) AS label,
+SELECT doc_id AS mail_id,
+    CAST(CASE WHEN (doc_id * 7919) % 100 < 7 THEN 1 - doc_id % 2 ELSE doc_id % 2 END AS INT) AS label,
     'tpl_' || (doc_id % 7) AS template_id, 'Category ' || (doc_id % 7) AS category,
     subject, body_text,
     CASE WHEN doc_id % 13 = 0 THEN replace(raw, chr(10), chr(13) || chr(10)) ELSE raw END

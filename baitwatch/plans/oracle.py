@@ -674,8 +674,8 @@ FROM token_claim AS t LEFT JOIN (SELECT h.* FROM communication_hashed AS h JOIN
 LEFT JOIN entity AS e ON e.id = c.entity_id"""
 SELECTS["content_hash"] = f"SELECT doc_id, sha256({strip('text')}) AS content_hash FROM documents"
 SELECTS["reg_enroll"] = f"""
-SELECT domain, arg_min(entity_id, rank * 1000000000000 + at) AS entity_id FROM (
-  SELECT entity_id, domain, 0 AS rank, 0 AS at FROM entity_domain
+SELECT domain, arg_min(entity_id, rank * 1000000000000 + seq) AS entity_id FROM (
+  SELECT entity_id, domain, 0 AS rank, 0 AS seq FROM entity_domain
   UNION ALL SELECT o_custkey + 5000, {strip('lower(domain)')}, 1, o_orderkey FROM claim JOIN orders ON o_orderkey = claim_id)
 GROUP BY domain"""
 SELECTS["reg_enroll_entities"] = """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,7 +14,7 @@ from ..functions import lexicons as lx
 from ..functions import social as S
 from ..functions import text as X
 from ..functions import urls as U
-from ..functions.scoring import decision, risk_tier, top_signals
+from ..functions.scoring import decision, risk_tier
 from ..functions.signatures import content_hash
 from ..operators import dataset as D
 from ..operators import features as FE
@@ -23,6 +23,7 @@ from ..operators import media as M
 from ..operators import registry as R
 from ..operators import report as RP
 from ..operators.ordering import renumber
+from ..operators.scan import scan_mails
 from ..operators.social import scan_posts, with_behaviour
 from ..operators.urls import aggregate_url_rows, explode_urls
 from ..session import ensure_checkpoint_dir
@@ -262,7 +263,7 @@ def src_mail_csv(spark, sf):
 
 
 def _unique(stem: str) -> str:
-    return f"{stem}-{next(tempfile._get_candidate_names())}"
+    return f"{stem}-{uuid.uuid4().hex}"
 
 
 @query
@@ -366,6 +367,19 @@ def _training_rows(spark, sf) -> tuple[DataFrame, list[str]]:
     return D.stratified_split(table_), columns
 
 
+_FITTED: dict[tuple[str, str], tuple] = {}
+
+
+def _fitted(spark, sf):
+    """Training rows and model of a session, fitted once and used by every
+    query that scores or explains."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FITTED:
+        rows, columns = _training_rows(spark, sf)
+        _FITTED[key] = (L.fit_mail_model(rows.filter(~F.col("is_test")), columns), columns)
+    return _FITTED[key]
+
+
 @query
 def model_cv(spark, sf):
     rows, _ = _training_rows(spark, sf)
@@ -377,8 +391,7 @@ def model_cv(spark, sf):
 @query
 def model_scores(spark, sf):
     """Fit on the training share, score every mail in bulk."""
-    rows, columns = _training_rows(spark, sf)
-    model = L.fit_mail_model(rows.filter(~F.col("is_test")), columns)
+    model, _ = _fitted(spark, sf)
     hot = FE.one_hot_auth(_wide(spark, sf))
     return L.score_mails(model, hot, ("mail_id", "label")).select(
         "mail_id", "label", "phishing_probability", "risk_tier", "prediction")
@@ -386,8 +399,13 @@ def model_scores(spark, sf):
 
 @query
 def model_importances(spark, sf):
-    rows, columns = _training_rows(spark, sf)
-    return L.top_importances(L.fit_mail_model(rows.filter(~F.col("is_test")), columns), spark)
+    return L.top_importances(_fitted(spark, sf)[0], spark)
+
+
+@query
+def mail_scan(spark, sf):
+    """The whole mail answer: probability, tier, decision, signals, sender."""
+    return scan_mails(fixture(spark, sf, "mail"), _fitted(spark, sf)[0])
 
 
 @query
@@ -414,16 +432,19 @@ def tiering(spark, sf):
 
 
 @query
-def top_signals_(spark, sf):
+def top_signals(spark, sf):
     hot, columns = _train_columns(spark, sf)
     weights = {n: float(i + 1) for i, n in enumerate(sorted(columns))}
-    lists = hot.select("mail_id", *[c.alias(n) for n, c in top_signals(weights).items()])
-    return lists.select("mail_id", F.lit("risk").alias("kind"), F.posexplode("top_risk_signals").alias("rank", "s")).unionByName(
-        lists.select("mail_id", F.lit("trust").alias("kind"), F.posexplode("top_trust_signals").alias("rank", "s"))
-    ).select("mail_id", "kind", "rank", "s.feature", "s.value")
+    lists = L.with_top_signals(hot, weights).select("mail_id", "top_risk_signals", "top_trust_signals")
 
+    def entries(kind: str) -> Column:
+        return F.transform(f"top_{kind}_signals", lambda s, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("rank"), s["feature"].alias("feature"), s["value"].alias("value")))
 
-QUERIES["top_signals"] = QUERIES.pop("top_signals_")
+    # The outer form keeps the optimizer from copying the whole feature
+    # computation into a filter below the explode.
+    both = lists.select("mail_id", F.concat(entries("risk"), entries("trust")).alias("s"))
+    return both.select("mail_id", F.inline_outer("s")).filter(F.col("feature").isNotNull())
 
 
 # --- Posts ------------------------------------------------------------------

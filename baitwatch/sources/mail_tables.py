@@ -23,18 +23,19 @@ MAIL_SCHEMA = T.StructType([
 ])
 MAIL_COLUMNS = [f.name for f in MAIL_SCHEMA.fields]
 
-_CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "lineSep": "\n"}
+_CSV = {"header": "true", "quote": '"', "escape": '"', "lineSep": "\n",
+        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def read_mail_csv(spark: SparkSession, path: str) -> DataFrame:
     """Quoted multi-line CSV. Such files do not split: convert to Parquet once
     (``write_mail_parquet``) and work on that."""
-    return spark.read.schema(MAIL_SCHEMA).options(**_CSV).csv(path)
+    return spark.read.schema(MAIL_SCHEMA).options(**_CSV, multiLine="true", maxCharsPerColumn="-1").csv(path)
 
 
 def write_mail_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     (df.select(*MAIL_COLUMNS).write.mode(mode)
-     .options(header="true", quoteAll="true", quote='"', escape='"', emptyValue="", nullValue="")
+     .options(**_CSV, quoteAll="true", emptyValue="")
      .csv(path))
 
 
