@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 _WS_RANGES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WS = f"[{_WS_RANGES}]"
-NOT_WS = f"[^{_WS_RANGES}]"
+# The nested form lets plain letters match on the first, cheap test.
+NOT_WS = rf"[!-\x{{84}}[^{_WS_RANGES}]]"
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD_BEFORE = rf"(?<!{WORD})"
 NOT_WORD_NEXT = rf"(?!{WORD})"

@@ -31,7 +31,9 @@ TEXT_FEATURES = [
 
 def _segments(text: Column) -> Column:
     names = "|".join(a.replace(".", r"\.") for a in lx.ABBREVIATIONS)
-    kept = F.regexp_replace(text, rf"{NOT_WORD_BEFORE}({names})\.", f"$1{_DOT}")
+    # Cheap test of the first letter before the Unicode look-behind.
+    first = "".join(sorted({a[0] for a in lx.ABBREVIATIONS}))
+    kept = F.regexp_replace(text, rf"(?=[{first}]){NOT_WORD_BEFORE}({names})\.", f"$1{_DOT}")
     return F.split(kept, rf"(?<=[.!?]){WS}+", -1)
 
 

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 _ENTITY = """CASE doc_id % 9 WHEN 0 THEN 'SEBI' WHEN 1 THEN 'Zerodha' WHEN 2 THEN 'Groww'
     WHEN 3 THEN 'Upstox' WHEN 4 THEN 'ICICI Direct' WHEN 5 THEN 'HDFC Securities'
     WHEN 6 THEN 'NSE' WHEN 7 THEN 'BSE' ELSE 'CDSL' END"""
@@ -241,6 +243,10 @@ FIXTURES = {
 }
 
 
+# Tables whose rows cost much more to process than to move.
+_HEAVY = {"documents", "conversations", "customer", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -248,7 +254,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = FIXTURES[name]
     used = set(re.findall(r"\{(\w+)\}", sql))
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used})
+    tables = {t: table(spark, sf_dir, t) for t in used}
+    return spark.sql(sql, **{t: spread(df) if t in _HEAVY else df for t, df in tables.items()})
 
 
 def fixture_sql(name: str) -> str:

@@ -26,7 +26,7 @@ from ..operators.ordering import renumber
 from ..operators.scan import scan_mails
 from ..operators.social import scan_posts, with_behaviour
 from ..operators.urls import aggregate_url_rows, explode_urls
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, spread
 from ..sources import generator as G
 from ..sources import mail_tables as MT
 from ..sources.uploads import check_uploads
@@ -50,7 +50,7 @@ def _mails(spark, sf, *cols: str) -> DataFrame:
 
 def _all_urls(spark, sf) -> DataFrame:
     """Links of the mails, page addresses, and links inside page sources."""
-    pages = table(spark, sf, "pages")
+    pages = spread(table(spark, sf, "pages"))
     mail = explode_urls(_mails(spark, sf, "body_text"), "body_text", "mail_id")
     html = explode_urls(pages, "html", "page_id")
     return reduce(DataFrame.unionByName, [
@@ -280,7 +280,7 @@ def src_capped_sample(spark, sf):
 
 @query
 def gen_mail(spark, sf):
-    return G.expand_templates(table(spark, sf, "customer"), "c_custkey")
+    return G.expand_templates(spread(table(spark, sf, "customer").select("c_custkey")), "c_custkey")
 
 
 def _domain_of(key: str) -> Column:

@@ -54,3 +54,13 @@ def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
     if side.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(side)
     return side
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute an input that has fewer splits than there are cores, so that
+    costly per-row work uses all of them. Large tables have more splits than
+    cores and are returned as they are."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
