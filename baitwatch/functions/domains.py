@@ -3,8 +3,8 @@
 No public-suffix download is possible here, so suffixes follow a rule: every
 last label is a suffix, and under the country codes below the listed second
 labels belong to it. A full list can be passed as ``suffixes`` instead; then
-only listed suffixes count. Suffix tests compile to hash-set lookups, so no
-join and no shuffle is needed whatever the length of the list."""
+only listed suffixes count, tested by hash-set lookups. Either way no join and
+no shuffle is needed."""
 
 from __future__ import annotations
 
@@ -56,19 +56,24 @@ def host_of(url: Column) -> Column:
     return F.lower(F.rtrim(F.trim(host), F.lit(".")))
 
 
-def _labels_in_suffix(host: Column, suffixes: Iterable[str] | None) -> list[tuple[int, Column]]:
-    """(label count, test) pairs, longest suffix first."""
+# Suffix by rule, as the tail after a dot: listed second level, else a last
+# label that is no number. The leftmost match is the longest suffix.
+_SECONDS = "|".join(rf"(?:{names.replace(' ', '|')})\.{cc}" for cc, names in SECOND_LEVEL.items())
+_SUFFIX = rf"(?:{_SECONDS}|[^.]*[^.0-9][^.]*)"
+
+
+def public_suffix(host: Column, suffixes: Iterable[str] | None = None) -> Column:
+    """Longest public suffix of a lowered host, '' if none; not for addresses."""
+    if suffixes is None:
+        lone_country = F.when(host.rlike("^[a-z]{2}$"), host)
+        return F.coalesce(lone_country, F.regexp_extract(host, rf"\.({_SUFFIX})\z", 1))
     listed: dict[int, list[str]] = {}
-    for s in rule_suffixes() if suffixes is None else suffixes:
+    for s in suffixes:
         listed.setdefault(s.count(".") + 1, []).append(s)
-    tests = [
-        (n, F.substring_index(host, ".", -n).isin(*names))
-        for n, names in sorted(listed.items(), reverse=True)
-    ]
-    if suffixes is None:
-        # Any last label after a dot unless it is a number, and a lone country code.
-        tests.append((1, host.rlike(r"(?:\.|^[a-z]{2}$)") & ~host.rlike(r"(?:^|\.)[0-9]+$")))
-    return tests
+    out = F.when(F.lit(False), F.lit(""))
+    for n, names in sorted(listed.items(), reverse=True):
+        out = out.when(F.substring_index(host, ".", -n).isin(*names), F.substring_index(host, ".", -n))
+    return out.otherwise(F.lit(""))
 
 
 def suffix_stages(suffixes: Iterable[str] | None = None,
@@ -81,10 +86,8 @@ def suffix_stages(suffixes: Iterable[str] | None = None,
     def suffix(get: Getter) -> dict[str, Column]:
         host = get(f"{p}host")
         is_ip = host.rlike(IPV4)
-        out = F.when(is_ip, F.lit(""))
-        for n, test in _labels_in_suffix(host, suffixes):
-            out = out.when(test, F.substring_index(host, ".", -n))
-        return {f"{p}is_ip_address": is_ip, f"{p}suffix": out.otherwise(F.lit(""))}
+        return {f"{p}is_ip_address": is_ip,
+                f"{p}suffix": F.when(is_ip, F.lit("")).otherwise(public_suffix(host, suffixes))}
 
     def rest(get: Getter) -> dict[str, Column]:
         host, sfx = get(f"{p}host"), get(f"{p}suffix")
@@ -108,9 +111,7 @@ def suffix_stages(suffixes: Iterable[str] | None = None,
 def registrable(host: Column) -> Column:
     """``domain.suffix`` of one host by the default rule, in a single regular
     expression: for callers that need nothing but the registrable domain."""
-    seconds = "|".join(
-        rf"(?:{names.replace(' ', '|')})\.{cc}" for cc, names in SECOND_LEVEL.items())
-    found = F.regexp_extract(host, rf"([^.]*\.(?:{seconds}|[^.]*[^.0-9][^.]*))\z", 1)
+    found = F.regexp_extract(host, rf"([^.]*\.{_SUFFIX})\z", 1)
     return (
         F.when(found != "", found)
         .when(host.rlike(IPV4), F.concat(host, F.lit(".")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as lx
 from .domains import Getter, host_of, registrable
-from .strings import WORD, contains_any, any_of, count_terms, strip
+from .strings import WORD, contains_any, count_terms, one_of, strip
 
 HEADER_FEATURES = [
     "spf_result", "dkim_result", "dmarc_result", "auth_all_failed",
@@ -137,9 +137,9 @@ def auth_stages() -> list:
 
     def failed(get: Getter) -> dict[str, Column]:
         return {"auth_all_failed": (
-            get("spf_result").isin(*lx.AUTH_FAILED_RESULTS)
-            & get("dkim_result").isin(*lx.AUTH_FAILED_RESULTS)
-            & get("dmarc_result").isin(*lx.AUTH_FAILED_RESULTS))}
+            one_of(get("spf_result"), lx.AUTH_FAILED_RESULTS)
+            & one_of(get("dkim_result"), lx.AUTH_FAILED_RESULTS)
+            & one_of(get("dmarc_result"), lx.AUTH_FAILED_RESULTS))}
 
     return [results, failed]
 
@@ -174,12 +174,12 @@ def read_stage(get: Getter) -> dict[str, Column]:
 
 def identity_stage(get: Getter) -> dict[str, Column]:
     sender = get("from_domain")
-    free = sender.isin(*lx.FREE_MAIL_DOMAINS)
+    free = one_of(sender, lx.FREE_MAIL_DOMAINS)
     return {
         "from_returnpath_mismatch": (get("return_path_addr") != "") & (sender != get("return_path_domain")),
         "from_replyto_mismatch": (get("reply_to_addr") != "") & (sender != get("reply_to_domain")),
         "sender_header_mismatch": (get("sender_addr") != "") & (sender != get("sender_domain")),
-        "reply_to_is_free_email": get("reply_to_domain").isin(*lx.FREE_MAIL_DOMAINS),
+        "reply_to_is_free_email": one_of(get("reply_to_domain"), lx.FREE_MAIL_DOMAINS),
         "sender_uses_free_email": free,
         "display_name_impersonation": contains_any(F.lower(get("from_name")), lx.OFFICIAL_NAME_KEYWORDS) & free,
         "received_chain_missing": get("received_chain_length") == 0,
@@ -220,11 +220,11 @@ def attachment_summary(names: Column) -> dict[str, Column]:
 
     return {
         "num_attachments": F.size(names),
-        "has_dangerous_attachment": some(lambda n: _extension(n).isin(*lx.DANGEROUS_EXTENSIONS)),
-        "has_macro_attachment": some(lambda n: _extension(n).isin(*lx.MACRO_EXTENSIONS)),
+        "has_dangerous_attachment": some(lambda n: one_of(_extension(n), lx.DANGEROUS_EXTENSIONS)),
+        "has_macro_attachment": some(lambda n: one_of(_extension(n), lx.MACRO_EXTENSIONS)),
         "has_double_extension_attachment": some(
-            lambda n: _inner_extension(n).isin(*lx.DOCUMENT_EXTENSIONS)
-            & _extension(n).isin(*lx.DANGEROUS_EXTENSIONS)),
+            lambda n: one_of(_inner_extension(n), lx.DOCUMENT_EXTENSIONS)
+            & one_of(_extension(n), lx.DANGEROUS_EXTENSIONS)),
         "attachment_social_keyword_count": F.aggregate(
             low, F.lit(0), lambda acc, n: acc + count_terms(n, lx.ATTACHMENT_KEYWORDS)),
     }

@@ -42,13 +42,35 @@ def count_of(flags: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a + b, (f.cast("int") for f in flags))
 
 
+def sql_string(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_array(values: Iterable[str]) -> Column:
+    """Constant array. Parsed from one text: a plan with hundreds of separate
+    literals takes seconds to put together from Python."""
+    return F.expr("array(" + ", ".join(sql_string(v) for v in values) + ")")
+
+
+def one_of(c: Column, values: Iterable[str]) -> Column:
+    """Membership in a short list."""
+    return F.array_contains(sql_array(values), c)
+
+
 def contains_any(c: Column, terms: Iterable[str]) -> Column:
-    return any_of(c.contains(t) for t in terms)
+    """``c`` holds one of ``terms``; for short strings."""
+    return F.exists(sql_array(terms), lambda t: c.contains(t))
 
 
 def count_terms(c: Column, terms: Iterable[str]) -> Column:
-    """How many distinct ``terms`` occur in ``c`` as substrings."""
-    return count_of(c.contains(t) for t in terms)
+    """How many distinct ``terms`` occur in ``c`` as substrings; for short
+    strings (long texts: ``count_terms_in``)."""
+    return F.size(F.filter(sql_array(terms), lambda t: c.contains(t)))
+
+
+def count_terms_in(column: str, terms: Iterable[str]) -> Column:
+    """The same over a named column as one generated sum."""
+    return F.expr(" + ".join(f"cast(contains({column}, {sql_string(t)}) as int)" for t in terms))
 
 
 def count_char(c: Column, ch: str) -> Column:

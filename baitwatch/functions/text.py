@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as lx
-from .strings import NOT_WORD_BEFORE, NOT_WS, WS, any_of, count_of, count_terms, fill_pattern, strip
+from .strings import NOT_WORD_BEFORE, NOT_WS, WS, any_of, count_of, count_terms_in, fill_pattern, sql_array, strip
 
 _DOT = "<DOT>"
 
@@ -70,8 +70,9 @@ def excuse_flags(lowered: Column) -> list[Column]:
     return [lowered.rlike(fill_pattern(p)) for p, _ in lx.EXCUSE_PATTERNS]
 
 
-def term_count_stage(lowered: Column) -> dict[str, Column]:
-    return {name: count_terms(lowered, terms) for name, terms in TERM_COUNTS.items()}
+def term_count_stage(lowered: str) -> dict[str, Column]:
+    """Counts over the column named ``lowered``."""
+    return {name: count_terms_in(lowered, terms) for name, terms in TERM_COUNTS.items()}
 
 
 def pattern_stage(lowered: Column) -> dict[str, Column]:
@@ -99,7 +100,7 @@ def combo_stage(get) -> dict[str, Column]:
 
 
 def _terms_found(lowered: Column, terms: list[str]) -> Column:
-    return F.array_compact(F.array(*[F.when(lowered.contains(t), F.lit(t)) for t in sorted(terms)]))
+    return F.filter(sql_array(sorted(terms)), lambda t: lowered.contains(t))
 
 
 def _matches(lowered: Column, patterns: list[tuple[str, int]]) -> Column:

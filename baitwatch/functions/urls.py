@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as lx
 from .domains import Getter, host_of, suffix_stages
-from .strings import any_of, count_char, count_of, ws_class_without
+from .strings import count_char, one_of, sql_array, ws_class_without
 
 _URL_CHARS = ws_class_without("<>\"'")
 URL_PATTERN = rf"(https?://{_URL_CHARS}+|www\.{_URL_CHARS}+)"
@@ -74,8 +74,8 @@ def flag_stage(get: Getter) -> dict[str, Column]:
     address = r"[A-Za-z0-9._%+\-]+"
     return {
         "has_https": F.lower(url).startswith("https://"),
-        "is_shortened": get("full_domain").isin(*lx.SHORTENER_DOMAINS),
-        "suspicious_tld": get("suffix").isin(*lx.SUSPICIOUS_TLDS),
+        "is_shortened": one_of(get("full_domain"), lx.SHORTENER_DOMAINS),
+        "suspicious_tld": one_of(get("suffix"), lx.SUSPICIOUS_TLDS),
         "has_at_symbol_trick": url.contains("@"),
         "has_double_slash_in_path": path.contains("//"),
         "has_email_in_url": (
@@ -89,8 +89,8 @@ def flag_stage(get: Getter) -> dict[str, Column]:
 
 def impersonation_stage(get: Getter) -> dict[str, Column]:
     sub, dom = get("subdomain"), get("domain")
-    return {"impersonation_keyword_count": count_of(
-        sub.contains(k) | dom.contains(k) for k in lx.URL_IMPERSONATION_KEYWORDS)}
+    return {"impersonation_keyword_count": F.size(F.filter(
+        sql_array(lx.URL_IMPERSONATION_KEYWORDS), lambda k: sub.contains(k) | dom.contains(k)))}
 
 
 def is_typosquat(full_domain: Column, known: Iterable[str] = tuple(lx.KNOWN_ENTITY_DOMAINS),
@@ -102,16 +102,14 @@ def is_typosquat(full_domain: Column, known: Iterable[str] = tuple(lx.KNOWN_ENTI
     base = F.substring_index(full_domain, ".", 1)
     words = F.split(base, "-", -1)
     candidates = F.array_append(words, base)
-    brands = list(dict.fromkeys(k.split(".")[0] for k in known))
+    brands = dict.fromkeys(k.split(".")[0] for k in known)
 
-    def near(word: Column, brand: str) -> Column:
-        return (word != "") & F.levenshtein(word, F.lit(brand), max_distance).between(1, max_distance)
+    def near(word: Column, brand: Column) -> Column:
+        return (word != "") & F.levenshtein(word, brand, max_distance).between(1, max_distance)
 
-    squat = any_of(
-        (base != b) & (F.array_contains(words, b) | F.exists(candidates, lambda w: near(w, b)))
-        for b in brands
-    )
-    return squat & ~full_domain.isin(*known) if skip_known else squat
+    squat = F.exists(sql_array(brands), lambda b: (base != b) & (
+        F.array_contains(words, b) | F.exists(candidates, lambda w: near(w, b))))
+    return squat & ~one_of(full_domain, known) if skip_known else squat
 
 
 def typosquat_stage(get: Getter) -> dict[str, Column]:
@@ -136,10 +134,15 @@ def with_url_features(df: DataFrame, url_col: str = "url",
     return with_stages(out, url_stages(suffixes)).drop("rest")
 
 
-def _extended_by(stage: Stage, kept: list[str]) -> Callable[[Column], Column]:
+def _extended_by(stage: Stage, names: list[str]) -> Callable[[Column], Column]:
+    """Struct -> the same struct with the fields of one more stage, whose names
+    are added to ``names``."""
+
     def extend(s: Column) -> Column:
+        old = list(names)
         new = stage(lambda n: s[n])
-        return F.struct(*[s[n].alias(n) for n in kept], *[c.alias(n) for n, c in new.items()])
+        names.extend(new)
+        return F.struct(*[s[n].alias(n) for n in old], *[c.alias(n) for n, c in new.items()])
 
     return extend
 
@@ -150,8 +153,7 @@ def url_structs(urls: Column, suffixes: Iterable[str] | None = None,
     names = ["url"]
     arr = F.transform(urls, lambda u: F.struct(u.alias("url")))
     for stage in url_stages(suffixes) if stages is None else stages:
-        arr = F.transform(arr, _extended_by(stage, list(names)))
-        names += list(stage(F.col))
+        arr = F.transform(arr, _extended_by(stage, names))
     return arr
 
 

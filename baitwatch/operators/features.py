@@ -25,7 +25,7 @@ def with_text_features(df: DataFrame, text_col: str) -> DataFrame:
     df = df.withColumns({"_lowered": F.lower(text), "_lengths": X.sentence_lengths(text)})
     low = F.col("_lowered")
     df = df.withColumns({
-        **X.structure_stage(text, F.col("_lengths")), **X.term_count_stage(low), **X.pattern_stage(low)})
+        **X.structure_stage(text, F.col("_lengths")), **X.term_count_stage("_lowered"), **X.pattern_stage(low)})
     return df.withColumns(X.combo_stage(F.col)).drop("_lowered", "_lengths")
 
 
@@ -68,18 +68,18 @@ def mail_features(mails: DataFrame, keep: Iterable[str] = ("mail_id", "label"),
     if attachments:
         df = with_attachment_features(df, "raw_email_source")
         names += H.ATTACHMENT_FEATURES
-    df = df.select(
+    df = df.selectExpr(
         *keep, "from_addr", "from_domain",
-        *[F.col(n).alias(f"url__{n}") for n in URL_FEATURES],
-        *[F.col(n).alias(f"header__{n}") for n in names],
-        *[F.col(n).alias(f"text__{n}") for n in X.TEXT_FEATURES],
+        *[f"{n} as url__{n}" for n in URL_FEATURES],
+        *[f"{n} as header__{n}" for n in names],
+        *[f"{n} as text__{n}" for n in X.TEXT_FEATURES],
     )
     return booleans_to_int(df)
 
 
 def booleans_to_int(df: DataFrame) -> DataFrame:
-    return df.select(*[
-        F.col(f.name).cast("int").alias(f.name) if isinstance(f.dataType, T.BooleanType) else F.col(f.name)
+    return df.selectExpr(*[
+        f"cast(`{f.name}` as int) as `{f.name}`" if isinstance(f.dataType, T.BooleanType) else f"`{f.name}`"
         for f in df.schema.fields
     ])
 
