@@ -33,8 +33,9 @@ def class_cutoffs(df: DataFrame, class_col: str, id_col: str, seed: int,
 
     ``ordinals(class_size, smallest_class)`` gives the wanted positions (0 means
     before the first row). Only ``(class, key)`` is read; one row per class
-    reaches the driver."""
-    keys = df.select(F.col(class_col).alias("cls"), order_key(id_col, seed).alias("key"))
+    reaches the driver. Rows without a class take no part."""
+    keys = df.filter(F.col(class_col).isNotNull()).select(
+        F.col(class_col).alias("cls"), order_key(id_col, seed).alias("key"))
     keys = keys.withColumn("prefix", F.left("key", F.lit(digits)))
     counts = keys.groupBy("cls", "prefix").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy("cls").agg(F.sum("n").alias("size"))
@@ -64,12 +65,12 @@ def class_cutoffs(df: DataFrame, class_col: str, id_col: str, seed: int,
 
 
 def at_or_before(class_col: str, key: Column, cutoffs: dict[object, list[str | None]], slot: int) -> Column:
-    """True for rows whose key is within the cut-off of their class."""
+    """True for rows whose key is within the cut-off of their class, NULL for
+    rows without a class."""
     hit = F.lit(False)
     for cls, keys in cutoffs.items():
         if keys[slot] is not None:
-            same = F.col(class_col).isNull() if cls is None else F.col(class_col) == F.lit(cls)
-            hit = hit | (same & (key <= F.lit(keys[slot])))
+            hit = hit | ((F.col(class_col) == F.lit(cls)) & (key <= F.lit(keys[slot])))
     return hit
 
 
