@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as lx
+from .numbers import round_exact
 from .strings import any_of, count_of, count_terms, flag
 
 BEHAVIOUR_FEATURES = [
@@ -30,7 +31,7 @@ def behaviour_stage(as_of: Column):
             "account_age_days": age,
             "very_new_account": flag(age < lx.NEW_ACCOUNT_DAYS),
             "abnormal_posting_frequency": flag(get("posts_per_day") > lx.MAX_POSTS_PER_DAY),
-            "follower_following_ratio": F.round(ratio, 3),
+            "follower_following_ratio": round_exact(ratio, 3),
             "suspicious_follow_ratio": flag((following > lx.SPAM_FOLLOWING) & (ratio < lx.SPAM_FOLLOW_RATIO)),
             "suspicious_handle_pattern": flag(any_of(get("handle").rlike(p) for p in lx.HANDLE_PATTERNS)),
             "suspicious_bio_keyword_count": F.coalesce(

@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as lx
+from .numbers import round_exact
 from .strings import NOT_WORD_BEFORE, NOT_WS, WS, any_of, count_of, count_terms_in, fill_pattern, sql_array, strip
 
 _DOT = "<DOT>"
@@ -58,8 +59,8 @@ def burstiness(lengths: Column) -> Column:
     zero = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("q"))
     sums = F.aggregate(lengths, zero, lambda a, n: F.struct(
         (a["s"] + n).alias("s"), (a["q"] + n.cast("long") * n).alias("q")))
-    return F.when(F.size(lengths) < lx.MIN_SENTENCES, F.lit(1.0)).otherwise(F.round(
-        F.sqrt((F.size(lengths) * sums["q"] - sums["s"] * sums["s"]).cast("double")) / sums["s"], 3))
+    ratio = F.sqrt((F.size(lengths) * sums["q"] - sums["s"] * sums["s"]).cast("double")) / sums["s"]
+    return F.when(F.size(lengths) < lx.MIN_SENTENCES, F.lit(1.0)).otherwise(round_exact(ratio, 3))
 
 
 def leak_flags(lowered: Column) -> list[Column]:

@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import round_exact
 from ..functions.scoring import active_features, decision, risk_tier, top_signals
 from ..session import ensure_checkpoint_dir
 from .dataset import stratified_folds
@@ -92,7 +93,7 @@ def score_mails(model: PipelineModel, features: DataFrame, keep: Iterable[str] =
     scored = model.transform(wide).withColumn("_p", p)
     return scored.select(
         *keep, *columns,
-        F.round("_p", 4).alias("phishing_probability"),
+        round_exact(F.col("_p"), 4).alias("phishing_probability"),
         risk_tier(F.col("_p"), "PHISHING").alias("risk_tier"),
         decision(F.col("_p"), "phishing", "legitimate").alias("prediction"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
+from ..functions.numbers import round_exact
 from ..functions.scoring import decision, risk_tier
 from ..session import broadcast_if_small
 
@@ -52,14 +53,14 @@ def audio_segments(clips: DataFrame, sample_rate: int = lx.SAMPLE_RATE,
 def unit_label(entries: Column) -> Column:
     """Label with the highest probability; the first one wins a tie.
     ``entries`` is ARRAY<STRUCT<label, p>>."""
-    best = F.aggregate(entries, entries[0], lambda acc, e: F.when(e["p"] > acc["p"], e).otherwise(acc))
+    best = F.aggregate(entries, F.get(entries, F.lit(0)), lambda acc, e: F.when(e["p"] > acc["p"], e).otherwise(acc))
     return best["label"]
 
 
 def unit_fake_probability(entries: Column) -> Column:
     """Score of the first known fake label, else of the second class."""
     by_label = F.map_from_entries(entries)
-    second = F.when(F.size(entries) > 1, entries[1]["p"]).otherwise(entries[0]["p"])
+    second = F.coalesce(F.get(entries, F.lit(1)), F.get(entries, F.lit(0)))["p"]
     return F.coalesce(*[F.try_element_at(by_label, F.lit(k)) for k in lx.FAKE_LABEL_KEYS], second)
 
 
@@ -114,7 +115,7 @@ def media_verdicts(media: DataFrame, units: DataFrame, channel: str) -> DataFram
     out = media.join(medians, "media_id", "left")
     none, m = F.col("n_units").isNull(), F.col("median")
     return out.withColumns({
-        "fake_probability": F.coalesce(F.round(m, 4), F.lit(0.0)),
+        "fake_probability": F.coalesce(round_exact(m, 4), F.lit(0.0)),
         "risk_tier": F.when(none, F.lit(empty_tier)).otherwise(risk_tier(m, lx.TOP_TIER[channel])),
         "prediction": F.when(none, F.lit("unable_to_assess")).otherwise(decision(m, positive, "authentic")),
         "num_units_analyzed": F.coalesce("n_units", F.lit(0)),

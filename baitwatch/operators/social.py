@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import social as S
 from ..functions.lexicons import TOP_TIER
+from ..functions.numbers import round_exact
 from ..functions.scoring import risk_tier
 from ..functions.strings import flag
 from .features import with_text_features
@@ -26,10 +27,10 @@ def scan_posts(posts: DataFrame, as_of: Column, keep: tuple[str, ...] = ("post_i
     image = F.when(flag(F.col("image_applicable")), F.coalesce("image_fake_probability", F.lit(0.0))).otherwise(F.lit(0.0))
     return df.select(
         *keep,
-        F.round("_fused", 4).alias("fused_risk_score"),
+        round_exact(F.col("_fused"), 4).alias("fused_risk_score"),
         risk_tier(F.col("_fused"), TOP_TIER["social"]).alias("risk_tier"),
-        F.round("_text", 4).alias("text_risk_score"),
-        F.when(F.col("image_applicable").isNotNull(), F.round(image, 4)).alias("image_risk_score"),
+        round_exact(F.col("_text"), 4).alias("text_risk_score"),
+        F.when(F.col("image_applicable").isNotNull(), round_exact(image, 4)).alias("image_risk_score"),
         "image_applicable",
-        F.round("_account", 4).alias("behavioral_risk_score"),
+        round_exact(F.col("_account"), 4).alias("behavioral_risk_score"),
     )

@@ -38,6 +38,11 @@ def strip(expr: str) -> str:
     return f"regexp_replace(regexp_replace({expr}, {q('^' + WS + '+')}, ''), {q(WS + '+$')}, '')"
 
 
+def rounded(expr: str, digits: int) -> str:
+    """Correct rounding of the binary value, as a formatter does it."""
+    return f"CAST(format('{{:.{digits}f}}', {expr}) AS DOUBLE)"
+
+
 BRANDS = [d.split(".")[0] for d in lx.KNOWN_ENTITY_DOMAINS]
 
 LEAKS = [
@@ -260,7 +265,7 @@ SELECT mail_id, lowered, sentence_count, word_count, burstiness_score, burstines
 FROM (
   SELECT m.mail_id, lowered, CAST(coalesce(l.n, 0) AS INT) AS sentence_count,
     CAST(len(regexp_extract_all(m.body_text, '[a-zA-Z'']+')) AS INT) AS word_count,
-    CASE WHEN coalesce(l.n, 0) < 3 THEN 1.0 ELSE round(sqrt(CAST(l.n * l.sq - l.s * l.s AS DOUBLE)) / l.s, 3) END AS burstiness_score,
+    CASE WHEN coalesce(l.n, 0) < 3 THEN 1.0 ELSE {rounded('sqrt(CAST(l.n * l.sq - l.s * l.s AS DOUBLE)) / l.s', 3)} END AS burstiness_score,
     {hits("lowered", lx.TROPE_WORDS)} AS llm_trope_word_count,
     {hits("lowered", lx.TROPE_PHRASES)} AS llm_trope_phrase_count,
     ({match_count("lowered", LEAKS)}) > 0 AS prompt_leakage_detected,
@@ -319,7 +324,7 @@ SELECT *, CAST(very_new_account AS INT) + CAST(abnormal_posting_frequency AS INT
 FROM (
   SELECT *, coalesce(account_age_days < 30, false) AS very_new_account,
     coalesce(posts_per_day > 20, false) AS abnormal_posting_frequency,
-    round(ratio, 3) AS follower_following_ratio,
+    {rounded('ratio', 3)} AS follower_following_ratio,
     coalesce(following > 500 AND ratio < 0.05, false) AS suspicious_follow_ratio,
     coalesce(regexp_matches(handle, '[0-9]{{6,}}') OR regexp_matches(handle, '^(user|account)[0-9]+$')
       OR regexp_matches(handle, '_{{3,}}'), false) AS suspicious_handle_pattern,
@@ -331,7 +336,7 @@ SELECT post_id, {match_count("lowered", LEAKS)} AS leaks, {match_count("lowered"
   {hits("lowered", lx.URGENCY_TERMS)} AS urgency, {hits("lowered", lx.FINANCIAL_TERMS)} AS money,
   {hits("lowered", lx.PERSONAL_TERMS)} AS personal, {hits("lowered", lx.TROPE_WORDS)} AS tropes,
   CASE WHEN len(w) < 3 THEN false ELSE
-    round(sqrt(CAST(len(w) * list_sum(list_transform(w, lambda x: x * x)) - list_sum(w) * list_sum(w) AS DOUBLE)) / list_sum(w), 3) < 0.35
+    {rounded("sqrt(CAST(len(w) * list_sum(list_transform(w, lambda x: x * x)) - list_sum(w) * list_sum(w) AS DOUBLE)) / list_sum(w)", 3)} < 0.35
     END AS monotone
 FROM (SELECT post_id, lower(post_text) AS lowered, list_filter(list_transform(string_split(
     regexp_replace(regexp_replace(post_text, '(^|[^\\p{{L}}\\p{{N}}_])(Mr|Mrs|Ms|Dr|Inc|Ltd|e\\.g|i\\.e)\\.', '\\1\\2<DOT>', 'g'),
@@ -368,7 +373,7 @@ FROM claim AS c LEFT JOIN executive AS x ON x.executive_name = {strip('c.claimed
 
 def _verdict(top: str, positive: str, empty: str) -> str:
     return f"""
-SELECT m.media_id, coalesce(round(u.median, 4), 0e0) AS fake_probability,
+SELECT m.media_id, coalesce({rounded('u.median', 4)}, 0e0) AS fake_probability,
   CASE WHEN u.n IS NULL THEN '{empty}' WHEN u.median < 0.3 THEN 'SAFE' WHEN u.median < 0.7 THEN 'SUSPICIOUS' ELSE '{top}' END AS risk_tier,
   CASE WHEN u.n IS NULL THEN 'unable_to_assess' WHEN u.median >= 0.5 THEN '{positive}' ELSE 'authentic' END AS prediction,
   coalesce(u.n, 0) AS num_units_analyzed
@@ -638,11 +643,11 @@ SELECTS["beh_age"] = "SELECT post_id, account_age_days, very_new_account FROM be
 SELECTS["beh_flags"] = """SELECT post_id, abnormal_posting_frequency, follower_following_ratio, suspicious_follow_ratio,
   suspicious_handle_pattern, suspicious_bio_keyword_count FROM behaviour"""
 SELECTS["beh_redflags"] = "SELECT post_id, behavioral_red_flag_count, behavioral_red_flag_count >= 2 AS likely_coordinated_or_bot FROM behaviour"
-SELECTS["soc_text_risk"] = "SELECT post_id, round(text_risk, 4) AS text_risk_score FROM post_risk"
+SELECTS["soc_text_risk"] = f"SELECT post_id, {rounded('text_risk', 4)} AS text_risk_score FROM post_risk"
 SELECTS["soc_fusion"] = f"""
-SELECT post_id, round(fused, 4) AS fused_risk_score, {_tier('fused', 'MANIPULATIVE')} AS risk_tier, round(text_risk, 4) AS text_risk_score,
-  CASE WHEN image_applicable IS NOT NULL THEN round(image_risk, 4) END AS image_risk_score, image_applicable,
-  round(account_risk, 4) AS behavioral_risk_score FROM post_fused"""
+SELECT post_id, {rounded('fused', 4)} AS fused_risk_score, {_tier('fused', 'MANIPULATIVE')} AS risk_tier, {rounded('text_risk', 4)} AS text_risk_score,
+  CASE WHEN image_applicable IS NOT NULL THEN {rounded('image_risk', 4)} END AS image_risk_score, image_applicable,
+  {rounded('account_risk', 4)} AS behavioral_risk_score FROM post_fused"""
 
 SELECTS["ver_domain"] = f"""
 SELECT c.claim_id, {strip('lower(c.domain)')} AS domain_checked, e.entity_id, e.entity_name, e.status, coalesce(e.status = 'active', false) AS verified
@@ -714,7 +719,7 @@ SELECT v.media_id, v.risk_tier, c.claimed_speaker_name, c.executive_authorized,
   coalesce(c.executive_authorized AND v.risk_tier IN ('DEEPFAKE', 'SYNTHETIC'), false) AS executive_impersonation
 FROM video_verdict AS v LEFT JOIN exec_claim AS c ON c.claim_id = v.media_id"""
 SELECTS["mail_verdict"] = f"""
-SELECT p.mail_id, round(p.probability, 4) AS phishing_probability, {_tier('p.probability', 'PHISHING')} AS risk_tier,
+SELECT p.mail_id, {rounded('p.probability', 4)} AS phishing_probability, {_tier('p.probability', 'PHISHING')} AS risk_tier,
   CASE WHEN p.probability >= 0.5 THEN 'phishing' ELSE 'legitimate' END AS prediction, a.domain AS domain_checked,
   k.entity AS sender_entity, k.entity IS NOT NULL AS sender_verified
 FROM prediction AS p JOIN addr AS a ON a.mail_id = p.mail_id AND a.kind = 'from'
@@ -724,7 +729,7 @@ SELECT coalesce(m.mail_id, v.media_id, s.user_id) AS incident_id, {_tier('m.prob
   m.probability AS mail_score, v.risk_tier AS video_tier, v.fake_probability AS video_score, s.tier AS social_tier, s.score AS social_score
 FROM prediction AS m FULL JOIN (SELECT * FROM video_verdict) AS v ON v.media_id = m.mail_id
 FULL JOIN (SELECT user_id, max(score) AS score, {_tier('max(score)', 'MANIPULATIVE')} AS tier FROM (
-    SELECT p.user_id, round(f.fused, 4) AS score FROM post_fused AS f JOIN post AS p ON p.post_id = f.post_id) GROUP BY user_id) AS s
+    SELECT p.user_id, {rounded('f.fused', 4)} AS score FROM post_fused AS f JOIN post AS p ON p.post_id = f.post_id) GROUP BY user_id) AS s
   ON s.user_id = coalesce(m.mail_id, v.media_id)"""
 
 

@@ -14,6 +14,7 @@ from ..functions import lexicons as lx
 from ..functions import social as S
 from ..functions import text as X
 from ..functions import urls as U
+from ..functions.numbers import round_exact
 from ..functions.scoring import decision, risk_tier
 from ..functions.signatures import content_hash
 from ..operators import dataset as D
@@ -476,7 +477,7 @@ def beh_redflags(spark, sf):
 @query
 def soc_text_risk(spark, sf):
     df = FE.with_text_features(fixture(spark, sf, "post").select("post_id", "post_text"), "post_text")
-    return df.select("post_id", F.round(S.text_risk(F.col), 4).alias("text_risk_score"))
+    return df.select("post_id", round_exact(S.text_risk(F.col), 4).alias("text_risk_score"))
 
 
 @query
@@ -643,7 +644,7 @@ def med_exec(spark, sf):
 def mail_verdict(spark, sf):
     p = F.col("probability")
     scored = fixture(spark, sf, "prediction").select(
-        "mail_id", F.round(p, 4).alias("phishing_probability"), risk_tier(p, "PHISHING").alias("risk_tier"),
+        "mail_id", round_exact(p, 4).alias("phishing_probability"), risk_tier(p, "PHISHING").alias("risk_tier"),
         decision(p, "phishing", "legitimate").alias("prediction"))
     return RP.mail_verdicts(scored, _senders(spark, sf)).drop("from_addr")
 

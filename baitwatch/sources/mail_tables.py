@@ -28,8 +28,8 @@ _CSV = {"header": "true", "quote": '"', "escape": '"', "lineSep": "\n",
 
 
 def read_mail_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Quoted multi-line CSV. Such files do not split: convert to Parquet once
-    (``write_mail_parquet``) and work on that."""
+    """Quoted multi-line CSV; empty fields are NULL. Such files do not split:
+    convert to Parquet once (``write_mail_parquet``) and work on that."""
     return spark.read.schema(MAIL_SCHEMA).options(**_CSV, multiLine="true", maxCharsPerColumn="-1").csv(path)
 
 
@@ -47,7 +47,7 @@ def read_message_files(spark: SparkSession, path: str, label: int, source_name:
     """One raw message per file -> mail rows without ``id``; undecodable bytes
     are replaced, near-empty bodies dropped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    raw = files.select(F.decode("content", "UTF-8").alias("raw_email_source"))
+    raw = files.select(F.make_valid_utf8(F.col("content").cast("string")).alias("raw_email_source"))
     subject = header(header_block(F.col("raw_email_source")), "Subject")
     rows = raw.select(
         F.lit(label).alias("label"),
