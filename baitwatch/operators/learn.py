@@ -40,7 +40,7 @@ def training_table(features: DataFrame, columns: Iterable[str], keep: Iterable[s
 
 
 def cross_validate(train: DataFrame, folds: int = 5, max_iter: int = CV_STAGES,
-                   parallelism: int = 4) -> DataFrame:
+                   parallelism: int = 5) -> DataFrame:
     """Accuracy of each held-out fold. ``train`` comes from ``training_table``;
     fits are independent Spark jobs and may run side by side."""
     spark = train.sparkSession

@@ -28,7 +28,7 @@ def prefix_digits(rows: int) -> int:
 
 def class_cutoffs(df: DataFrame, class_col: str, id_col: str, seed: int,
                   ordinals: Callable[[Column, Column], list[Column]],
-                  digits: int = 3) -> dict[object, list[str | None]]:
+                  digits: int = 4) -> dict[object, list[str | None]]:
     """Order key found at the wanted ordinals of each class.
 
     ``ordinals(class_size, smallest_class)`` gives the wanted positions (0 means

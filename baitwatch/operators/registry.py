@@ -162,16 +162,17 @@ def enroll_entities(existing: DataFrame, requests: DataFrame) -> DataFrame:
 
 def add_keys(existing: DataFrame, additions: DataFrame, keys: dict[str, Column], arrival_col: str,
              owner_in_key: bool = False) -> DataFrame:
-    """Add normalised keys; the first owner of a key keeps it. ``min_by``
-    combines on the map side, so a key added very often stays cheap."""
-    old = existing.select("entity_id", *keys, F.lit(0).alias("_rank"), F.lit(0).cast("bigint").alias("_at"))
+    """Add normalised keys; the first owner of a key keeps it. ``arrival_col``
+    is a unique number, zero or more. ``min_by`` combines on the map side, so a
+    key added very often stays cheap."""
+    old = existing.select("entity_id", *keys, F.lit(-1).cast("bigint").alias("_at"))
     new = additions.select("entity_id", *[c.alias(k) for k, c in keys.items()],
-                           F.lit(1).alias("_rank"), F.col(arrival_col).cast("bigint").alias("_at"))
+                           F.col(arrival_col).cast("bigint").alias("_at"))
     both = old.unionByName(new)
     if owner_in_key:
         return both.select("entity_id", *keys).distinct()
     return both.groupBy(*keys).agg(
-        F.min_by("entity_id", F.struct("_rank", "_at", "entity_id")).alias("entity_id")
+        F.min_by("entity_id", "_at").alias("entity_id")
     ).select("entity_id", *keys)
 
 

@@ -244,7 +244,7 @@ FIXTURES = {
 
 
 # Tables whose rows cost much more to process than to move.
-_HEAVY = {"documents", "conversations", "customer", "pages"}
+_HEAVY = {"documents", "conversations"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A lookup side is broadcast only up to this many rows.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 
 def build_session(app: str = "baitwatch", master: str | None = None,
@@ -50,16 +50,15 @@ def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
     """Hint a broadcast only after counting that ``side`` holds at most
     ``max_rows`` rows; beyond that the join shuffles and AQE splits hot keys.
 
-    The count reads no columns and stops at ``max_rows + 1`` rows."""
-    if side.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(side)
-    return side
+    A count reads no columns of a stored table and ends in one partial sum per
+    task (a limited count would send up to ``max_rows`` rows per task to one)."""
+    return F.broadcast(side) if side.count() <= max_rows else side
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute an input that has fewer splits than there are cores, so that
-    costly per-row work uses all of them. Large tables have more splits than
-    cores and are returned as they are."""
+    """Redistribute a table just read from files that has fewer splits than there
+    are cores, so that costly per-row work uses all of them. Large tables have
+    more splits than cores and are returned as they are."""
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
