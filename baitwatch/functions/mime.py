@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 from .headers import MAY_HAVE_FILENAME, body_of, header, header_block
 
 # The functions sent to the workers are closures without references to this
-# package, so executors need no copy of it.
+# package, so executors need no copy of it. They are declared nondeterministic
+# only so that the optimizer never evaluates them twice and never copies what
+# was computed below them into a filter.
 
 
 def _filenames_udf():
@@ -24,7 +26,7 @@ def _filenames_udf():
     def per_batch(raw: pd.Series) -> pd.Series:
         return raw.map(lambda r: [] if r is None else filenames(r))
 
-    return F.pandas_udf(per_batch, T.ArrayType(T.StringType()))
+    return F.pandas_udf(per_batch, T.ArrayType(T.StringType())).asNondeterministic()
 
 
 def _text_part_udf():
@@ -43,7 +45,7 @@ def _text_part_udf():
     def per_batch(raw: pd.Series) -> pd.Series:
         return raw.map(lambda r: None if r is None else text_part(r))
 
-    return F.pandas_udf(per_batch, T.StringType())
+    return F.pandas_udf(per_batch, T.StringType()).asNondeterministic()
 
 
 def attachment_names(raw: Column) -> Column:

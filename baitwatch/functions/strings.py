@@ -34,6 +34,13 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def computed_once(c: Column) -> Column:
+    """The same value, but closed to the optimizer: a filter on the result stays
+    above the projection instead of being rewritten into a copy of everything
+    the value was computed from. The test is constant within a task."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def any_of(flags: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, flags)
 

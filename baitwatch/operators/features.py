@@ -13,6 +13,7 @@ from ..functions import lexicons as lx
 from ..functions import text as X
 from ..functions import urls as U
 from ..functions.mime import attachment_names
+from ..functions.strings import computed_once
 
 URL_FEATURES = ["num_urls", *U.NUMERIC_FEATURES, *U.BOOLEAN_FEATURES, "has_https"]
 CATEGORICAL = ["spf_result", "dkim_result", "dmarc_result"]
@@ -26,7 +27,8 @@ def with_text_features(df: DataFrame, text_col: str) -> DataFrame:
     low = F.col("_lowered")
     df = df.withColumns({
         **X.structure_stage(text, F.col("_lengths")), **X.term_count_stage("_lowered"), **X.pattern_stage(low)})
-    return df.withColumns(X.combo_stage(F.col)).drop("_lowered", "_lengths")
+    df = df.withColumns(X.combo_stage(F.col)).drop("_lowered", "_lengths")
+    return df.withColumns({n: computed_once(F.col(n)) for n in X.TEXT_FEATURES})
 
 
 def with_url_structs(df: DataFrame, text_col: str, suffixes: Iterable[str] | None = None) -> DataFrame:
@@ -37,7 +39,8 @@ def with_url_structs(df: DataFrame, text_col: str, suffixes: Iterable[str] | Non
 
 def with_url_summary(df: DataFrame, text_col: str, suffixes: Iterable[str] | None = None) -> DataFrame:
     df = with_url_structs(df, text_col, suffixes)
-    return df.withColumns({**U.summarise(F.col("urls")), "url_domains": F.col("urls.full_domain")}).drop("urls")
+    found = {**U.summarise(F.col("urls")), "url_domains": F.col("urls.full_domain")}
+    return df.withColumns({n: computed_once(c) for n, c in found.items()}).drop("urls")
 
 
 def with_header_features(df: DataFrame, raw_col: str, url_domains_col: str | None = None) -> DataFrame:
@@ -48,7 +51,8 @@ def with_header_features(df: DataFrame, raw_col: str, url_domains_col: str | Non
     mismatch = (H.sender_url_mismatch(F.col("from_domain"), F.col(url_domains_col))
                 if url_domains_col else F.lit(False))
     df = df.withColumn("sender_url_domain_mismatch", mismatch)
-    return df.select(*before, "from_name", "from_addr", "from_domain", *H.HEADER_FEATURES)
+    return df.select(*before, *[
+        computed_once(F.col(n)).alias(n) for n in ("from_name", "from_addr", "from_domain", *H.HEADER_FEATURES)])
 
 
 def with_attachment_features(df: DataFrame, raw_col: str) -> DataFrame:
