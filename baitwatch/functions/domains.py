@@ -57,9 +57,10 @@ def host_of(url: Column) -> Column:
 
 
 # Suffix by rule, as the tail after a dot: listed second level, else a last
-# label that is no number. The leftmost match is the longest suffix.
+# label that is no number. The leftmost match is the longest suffix. Possessive
+# and anchored so that a hostile host of any length takes linear time.
 _SECONDS = "|".join(rf"(?:{names.replace(' ', '|')})\.{cc}" for cc, names in SECOND_LEVEL.items())
-_SUFFIX = rf"(?:{_SECONDS}|[^.]*[^.0-9][^.]*)"
+_SUFFIX = rf"(?:{_SECONDS}|(?![0-9]*+\z)[^.]++)"
 
 
 def public_suffix(host: Column, suffixes: Iterable[str] | None = None) -> Column:
@@ -111,7 +112,7 @@ def suffix_stages(suffixes: Iterable[str] | None = None,
 def registrable(host: Column) -> Column:
     """``domain.suffix`` of one host by the default rule, in a single regular
     expression: for callers that need nothing but the registrable domain."""
-    found = F.regexp_extract(host, rf"([^.]*\.{_SUFFIX})\z", 1)
+    found = F.regexp_extract(host, rf"(?:^|(?<=\.))([^.]*+\.{_SUFFIX})\z", 1)
     return (
         F.when(found != "", found)
         .when(host.rlike(IPV4), F.concat(host, F.lit(".")))

@@ -42,7 +42,8 @@ def path_of(url: Column) -> Column:
     without scheme is read as http."""
     full = F.when(url.contains("://"), url).otherwise(F.concat(F.lit("http://"), url))
     path = F.regexp_extract(full, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
-    return F.regexp_replace(path, r";[^/]*\z", "")
+    last = F.substring_index(path, "/", -1)
+    return F.concat(F.left(path, F.length(path) - F.length(last)), F.substring_index(last, ";", 1))
 
 
 def scheme_of(url: Column) -> Column:
@@ -71,7 +72,9 @@ def lexical_stage(get: Getter) -> dict[str, Column]:
 
 def flag_stage(get: Getter) -> dict[str, Column]:
     url, path = get("url"), get("path")
-    address = r"[A-Za-z0-9._%+\-]+"
+    # One character on either side decides as well as a whole run would, and
+    # keeps the search linear on very long links.
+    before = r"[A-Za-z0-9._%+\-]"
     return {
         "has_https": F.lower(url).startswith("https://"),
         "is_shortened": one_of(get("full_domain"), lx.SHORTENER_DOMAINS),
@@ -79,9 +82,9 @@ def flag_stage(get: Getter) -> dict[str, Column]:
         "has_at_symbol_trick": url.contains("@"),
         "has_double_slash_in_path": path.contains("//"),
         "has_email_in_url": (
-            url.rlike(rf"{address}%40[A-Za-z0-9.\-]+")
+            url.rlike(rf"{before}%40[A-Za-z0-9.\-]")
             | url.rlike("email=[^&]*%40")
-            | path.rlike(rf"{address}@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}")
+            | path.rlike(rf"{before}@[A-Za-z0-9.\-]+\.[A-Za-z]{{2}}")
         ),
         "has_homograph_chars": url.rlike(r"[^\x00-\x7F]"),
     }

@@ -1,3 +1,4 @@
+import time
 from urllib.parse import urlparse
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from baitwatch.functions import urls as U
 from baitwatch.functions.domains import host_of, registrable, suffix_stages
-from baitwatch.operators.features import with_url_summary
+from baitwatch.operators.features import mail_features, with_url_summary
 from baitwatch.operators.urls import aggregate_url_rows, explode_urls
 
 
@@ -116,3 +117,18 @@ def test_summary_of_one_url_is_that_url(spark):
     total = with_url_summary(df, "body").first()
     for n in U.NUMERIC_FEATURES + U.BOOLEAN_FEATURES + ["has_https"]:
         assert one[n] == total[n], n
+
+
+def test_hostile_texts_take_linear_time(spark):
+    """Long runs that would make a backtracking search quadratic."""
+    n = 200_000
+    bodies = ["http://" + "a" * n, "http://x/" + ";" * n + "/", "http://" + "a." * n, "http://a." + "b" * n + ".c",
+              "http://x/" + "a%" * n, "http://x/?" + "email=" * 2000, " " * n + "x" + "\t" * n, "." * n, "a@" * n,
+              "http://h/" + "@" * n]
+    mails = [(i, b, "From: " + b + "\n\nx") for i, b in enumerate(bodies)]
+    df = spark.createDataFrame(mails, "mail_id int, body_text string, raw_email_source string").repartition(8)
+    start = time.monotonic()
+    assert mail_features(df, keep=("mail_id",)).count() == len(bodies)
+    rows = mail_features(df, keep=("mail_id",)).select("mail_id", "url__url_length", "header__num_attachments", "text__word_count").collect()
+    assert {r["mail_id"]: r["url__url_length"] for r in rows}[0] == n + 7
+    assert time.monotonic() - start < 60
