@@ -1,3 +1,5 @@
+import subprocess
+import sys
 from email import message_from_string
 
 import pytest
@@ -101,3 +103,16 @@ def test_vocabulary_and_alignment(spark):
     hot = one_hot_auth(df, words).first()
     assert hot["header__dkim_result_temperror"] == 1 and hot["header__spf_result_pass"] == 1 and hot["header__spf_result_fail"] == 0
     assert align(df, ["a", "missing"]).first().asDict() == {"a": 1, "missing": 0}
+
+
+def test_worker_functions_need_no_package(spark):
+    """What is sent to executors must not import this package."""
+    from baitwatch.functions.mime import _filenames_udf, _text_part_udf
+    from baitwatch.functions.signatures import _signature_udf
+    from pyspark import cloudpickle
+
+    for udf in (_filenames_udf(), _text_part_udf(), _signature_udf()):
+        sent = cloudpickle.dumps(udf.func)
+        code = "import sys, pickle; sys.modules['baitwatch'] = None; pickle.loads(sys.stdin.buffer.read())"
+        done = subprocess.run([sys.executable, "-c", code], input=sent, capture_output=True, cwd="/", timeout=120)
+        assert done.returncode == 0, done.stderr[-500:]
