@@ -72,12 +72,12 @@ CTES: dict[str, str] = {name: fixture_sql(name) for name in FIXTURES}
 # --- Links ------------------------------------------------------------------
 
 CTES["mail_url"] = f"""
-SELECT mail_id, generate_subscripts(u, 1) - 1 AS pos, unnest(u) AS url
+SELECT mail_id, CAST(generate_subscripts(u, 1) - 1 AS INT) AS pos, unnest(u) AS url
 FROM (SELECT mail_id, regexp_extract_all(body_text, {q(URL)}, 1) AS u FROM mail)"""
 CTES["page_url"] = f"""
-SELECT page_id, -1 AS pos, url FROM pages
+SELECT page_id, CAST(-1 AS INT) AS pos, url FROM pages
 UNION ALL
-SELECT page_id, generate_subscripts(u, 1) - 1, unnest(u)
+SELECT page_id, CAST(generate_subscripts(u, 1) - 1 AS INT), unnest(u)
 FROM (SELECT page_id, regexp_extract_all(html, {q(URL)}, 1) AS u FROM pages)"""
 CTES["any_url"] = """
 SELECT 'mail' AS origin, mail_id AS owner_id, pos, url FROM mail_url
@@ -152,7 +152,7 @@ GROUP BY m.mail_id"""
 # --- Headers ----------------------------------------------------------------
 
 CTES["hdr"] = r"""
-SELECT mail_id, pos - 1 AS pos, lower(split_part(line, ':', 1)) AS name,
+SELECT mail_id, CAST(pos - 1 AS INT) AS pos, lower(split_part(line, ':', 1)) AS name,
   trim(substr(line, instr(line, ':') + 1)) AS value
 FROM (
   SELECT mail_id, generate_subscripts(lines, 1) AS pos, unnest(lines) AS line
@@ -502,7 +502,7 @@ SELECTS["hdr_message_id"] = "SELECT mail_id, message_id_domain_mismatch FROM hdr
 SELECTS["hdr_mailer"] = "SELECT mail_id, suspicious_mailer, has_script_originating_header FROM hdr_features"
 SELECTS["att_flags"] = "SELECT * FROM att"
 
-SELECTS["txt_sentences"] = "SELECT mail_id, no - 1 AS no, sentence FROM sentence"
+SELECTS["txt_sentences"] = "SELECT mail_id, CAST(no - 1 AS INT) AS no, sentence FROM sentence"
 SELECTS["txt_structure"] = "SELECT mail_id, sentence_count, word_count FROM txt"
 SELECTS["txt_burstiness"] = "SELECT mail_id, burstiness_score, low_burstiness_flag FROM txt"
 SELECTS["txt_lexicon"] = """SELECT mail_id, llm_trope_word_count, llm_trope_phrase_count, urgency_word_count,
@@ -634,7 +634,7 @@ _UNPIVOT = " UNION ALL ".join(
     f"SELECT mail_id, {q(n)} AS feature, CAST({n} AS DOUBLE) AS value, {w} AS weight FROM one_hot"
     for n, w in signal_weights(MODEL_NAMES).items())
 SELECTS["top_signals"] = f"""
-SELECT mail_id, CASE WHEN trust THEN 'trust' ELSE 'risk' END AS kind, rn - 1 AS rank, feature, value FROM (
+SELECT mail_id, CASE WHEN trust THEN 'trust' ELSE 'risk' END AS kind, CAST(rn - 1 AS INT) AS rank, feature, value FROM (
   SELECT *, row_number() OVER (PARTITION BY mail_id, trust ORDER BY weight DESC, feature) AS rn FROM (
     SELECT *, contains(feature, '_pass') AS trust FROM ({_UNPIVOT}) WHERE value > 0))
 WHERE rn <= CASE WHEN trust THEN 5 ELSE 8 END"""
@@ -692,7 +692,7 @@ SELECT e.id, e.entity_name, CASE WHEN r.k IS NOT NULL THEN 'revoked' ELSE e.stat
 FROM entity AS e LEFT JOIN (SELECT DISTINCT l_suppkey + 1 AS k FROM lineitem WHERE l_returnflag = 'R' AND l_tax > 0.07 AND l_quantity > 49) AS r ON r.k = e.id"""
 SELECTS["reg_seed"] = """
 SELECT k.entity_name, (SELECT max(id) FROM entity) + k.request_no AS id,
-  CASE WHEN k.entity_name <> 'Supplier#000000000' THEN 1 END AS authorized_by_id
+  CASE WHEN k.entity_name <> 'Supplier#000000000' THEN CAST(1 AS BIGINT) END AS authorized_by_id
 FROM (SELECT c_custkey + 1 AS request_no, c_name AS entity_name, 's' || (c_custkey * 3) || '.example.com' AS d1,
         'c' || c_custkey || '.example.org' AS d2 FROM customer) AS k
 WHERE NOT EXISTS (SELECT 1 FROM entity_domain AS d WHERE d.domain IN (k.d1, k.d2))"""
