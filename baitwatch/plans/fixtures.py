@@ -21,13 +21,13 @@ _ENTITY_DOMAIN = """CASE doc_id % 9 WHEN 0 THEN 'sebi.gov.in' WHEN 1 THEN 'zerod
     ELSE 'cdslindia.com' END"""
 
 _SIGNAL = """CASE doc_id % 11
-    WHEN 0 THEN 'This is urgent, please process the wire transfer immediately before it expires.'
+    WHEN 0 THEN 'Urgent: the offer expires at noon, send the wire transfer immediately.'
     WHEN 1 THEN 'I saw that you went hiking, congratulations on your award. We need the invoice and payment today.'
     WHEN 2 THEN 'Sure, here is an email for you. As an AI I cannot help with that.'
     WHEN 3 THEN 'I am on a plane with in-flight wifi and no cellular service. Reply through this email only.'
-    WHEN 4 THEN 'I hope this email finds you well. It is crucial to underscore our seamless, robust synergy.'
+    WHEN 4 THEN 'I hope this email finds you well. A robust, seamless plan is crucial and we underscore our synergy.'
     WHEN 5 THEN 'We ask because the reason for this is routine, since it is due to policy.'
-    WHEN 6 THEN 'Approved. Send it. Ask Dr. Rao or Mr. Iyer at Acme Ltd. today!  Is that ok?'
+    WHEN 6 THEN 'Looks good. Pay it. Ask Dr. Rao or Mr. Iyer at Acme Ltd. today!  Is that ok?'
     WHEN 7 THEN 'Dear ' || chr(123) || chr(123) || 'name' || chr(125) || chr(125)
         || ', [insert company name here] is unable to verify by phone. The OTP is due.'
     WHEN 8 THEN 'Thanks.'
@@ -50,7 +50,7 @@ _LINKS = """CASE doc_id % 12
     ELSE 'Admin http://localhost:8080/admin and http://999.1.2.3/x' END"""
 
 _FROM = """CASE doc_id % 10
-    WHEN 0 THEN 'From: "SEBI Compliance Team" <alerts.sebi@gmail.com>' || chr(10)
+    WHEN 0 THEN 'From: "SEBI Compliance Desk" <notice.sebi@gmail.com>' || chr(10)
     WHEN 1 THEN 'From: "' || ent || ' Support" <support@' || ent_domain || '>' || chr(10)
     WHEN 2 THEN 'From: ceo@nseindia.com' || chr(10)
     WHEN 3 THEN 'From: Support Desk <help@mail.upstox.co.in>' || chr(10)
@@ -145,14 +145,14 @@ FROM {documents}"""
 POST = """
 SELECT c.conv_id * 1000 + c.turn AS post_id, a.user_id,
     c.text || ' ' || CASE (c.conv_id + c.turn) % 7
-      WHEN 0 THEN 'Act now before it expires today. Send your payment details immediately.'
+      WHEN 0 THEN 'It expires soon, so act now and send the payment.'
       WHEN 1 THEN 'Saw that you like hiking. The invoice and kyc are ready.'
       WHEN 2 THEN 'As a large language model. We delve into a robust, seamless tapestry.'
       WHEN 3 THEN 'Limited connectivity, traveling and in a meeting all day.'
-      ELSE 'Markets were choppy today.' END AS post_text,
-    CASE a.user_id % 6 WHEN 0 THEN 'crypto_signals_4829173' WHEN 1 THEN 'user12'
-      WHEN 2 THEN 'priya_invests' WHEN 3 THEN 'a___b' WHEN 4 THEN NULL ELSE 'Account9' END AS handle,
-    CASE a.user_id % 4 WHEN 0 THEN 'Guaranteed returns! DM for signals. 100x your portfolio!'
+      ELSE 'Shares closed mixed today.' END AS post_text,
+    CASE a.user_id % 6 WHEN 0 THEN 'coin_calls_5550123' WHEN 1 THEN 'user12'
+      WHEN 2 THEN 'meera_saves' WHEN 3 THEN 'a___b' WHEN 4 THEN NULL ELSE 'Account9' END AS handle,
+    CASE a.user_id % 4 WHEN 0 THEN 'Guaranteed returns, 100x! DM for signals.'
       WHEN 1 THEN 'Long-term investor.' WHEN 2 THEN NULL ELSE 'Get RICH quick' END AS bio_text,
     CASE a.user_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'not-a-date' WHEN 2 THEN '2024-01-20'
       WHEN 3 THEN '2024-02-30' WHEN 4 THEN '2019-03-15' WHEN 5 THEN '2024-01-02' ELSE '2023-12-31' END

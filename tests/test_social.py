@@ -11,17 +11,16 @@ from baitwatch.operators.social import scan_posts, with_behaviour
 AS_OF = datetime.date(2026, 7, 10)
 SCHEMA = ("post_id int, post_text string, handle string, bio_text string, account_created_date string, "
           "posts_per_day double, followers int, following int, image_applicable boolean, image_fake_probability double")
-PUSHY = ("This is a crucial opportunity, act now before it expires today. "
-         "Send your payment details immediately to secure your allocation.")
-BOT = ("crypto_signals_4829173", "Guaranteed returns! DM for signals. 100x your portfolio!", "2026-07-05", 45.0, 12, 3000)
-PERSON = ("priya_invests", "Long-term investor. Views are my own.", "2019-03-15", 1.2, 850, 400)
+PUSHY = "The window expires tonight, so act now. Make the payment and keep your place."
+BOT = ("coin_calls_5550123", "Guaranteed returns, 100x! DM for signals.", "2026-07-05", 45.0, 12, 3000)
+PERSON = ("meera_saves", "I hold index funds.", "2018-05-02", 0.8, 850, 400)
 NOBODY = (None,) * 6
 
 
 @pytest.fixture(scope="module")
 def scans(spark):
     rows = [
-        (1, PUSHY, *BOT, None, None), (2, "Markets were choppy today. IT did well.", *PERSON, None, None),
+        (1, PUSHY, *BOT, None, None), (2, "Shares closed mixed. Banks fell.", *PERSON, None, None),
         (3, PUSHY, *NOBODY, None, None), (4, PUSHY, *NOBODY, False, 0.9), (5, "Neutral text.", *NOBODY, True, 0.95),
         (6, "x", "h", None, "not a date", None, 5, 0, None, None), (7, "", *NOBODY, True, None),
     ]
@@ -77,7 +76,7 @@ def test_tier_edges_and_monotone(spark):
 
 
 def test_handles(spark):
-    names = {"user48213957": True, "user1": True, "account77": True, "Account77": False, "a___b": True, "a__b": False,
+    names = {"user70011223": True, "user1": True, "account77": True, "Account77": False, "a___b": True, "a__b": False,
              "x12345": False}
     df = spark.createDataFrame([(n, None, None, None, None, None) for n in names],
                                "handle string, bio_text string, account_created_date string, posts_per_day double, "

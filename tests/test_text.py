@@ -14,12 +14,12 @@ def features(spark, *bodies):
 def test_one_signal_per_body(spark):
     got = features(
         spark,
-        "I hope this email finds you well. This is crucial to underscore our seamless process.",
-        "I'm currently on a plane without cellular service, but the in-flight wifi is letting this through.",
-        "This is urgent, please process the wire transfer immediately before it expires.",
-        "I saw your LinkedIn post about your hiking trip, congratulations. We need to process a wire transfer today.",
-        "Approved. Send it. Also loop in Priya on the numbers when you get a sec. Thx.",
-        "Sure, here is an email drafted to convince the recipient to act urgently.",
+        "I hope this email finds you well. A seamless plan is crucial, I underscore.",
+        "Sitting on a plane now, the in-flight wifi barely works.",
+        "Urgent: the offer expires at noon, send the wire transfer immediately.",
+        "Your LinkedIn page shows hiking photos. Now pay by wire transfer.",
+        "Fine by me. Pay it. Tell Meera about the figures later. Thx.",
+        "Sure, here is an email you can send to them.",
     )
     assert got[0]["llm_trope_word_count"] == 3 and got[0]["llm_trope_phrase_count"] == 1
     assert got[1]["out_of_band_excuse_count"] == 2

@@ -20,12 +20,12 @@ def summary(spark, *bodies):
 def test_one_signal_per_body(spark):
     got = summary(
         spark,
-        "Verify here: http://sebi-kyc-verify.xyz/secure/update",
-        "Login here: http://192.168.1.1/login",
-        "Click here: http://bit.ly/abc123",
-        "View your statement: https://www.zerodha.com/console/statements",
+        "Check http://sebi-kyc-verify.top/x/y",
+        "Open http://10.20.30.40/in",
+        "See http://bit.ly/q9",
+        "Report: https://www.zerodha.com/reports/may",
         "No links at all.",
-        "Verify at http://zerodhaa-secure.xyz/login",
+        "At http://zerodhaa-safe.xyz/in",
     )
     assert got[0]["suspicious_tld"] and got[0]["impersonation_keyword_count"] == 3
     assert got[1]["is_ip_address"] and not got[1]["has_https"]
