@@ -67,4 +67,30 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS
   (pos - ((pos * 24 // n) * n + 23) // 24)::BIGINT AS slot, NULL::INT AS grown_shard FROM p
 """
 
-ORACLE_SQL = {"op7_sharding": OP7, "op8_mixing": OP8, "op10_quality_rules": OP10}
+OP4 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+        sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM f
+"""
+
+# Sets of shingles as text, pairs through common shingles, components by recursion.
+OP5 = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+      FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS h
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id
+      JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+      GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+c AS (SELECT a, a AS b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.c, doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS c FROM c GROUP BY a) m USING (doc_id)
+"""
+
+ORACLE_SQL = {"op4_warc": OP4, "op5_ngram_join": OP5,
+              "op7_sharding": OP7, "op8_mixing": OP8, "op10_quality_rules": OP10}

@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from baitwatch.llm import decontaminate, mixing, ngram_join, quality_rules, sharding, token_files
+from baitwatch.llm import decontaminate, mixing, ngram_join, quality_rules, sharding, token_files, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read_archives(spark, folder, payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(_documents(spark, sf_dir))
 
@@ -49,6 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_warc": op4_warc,
     "op5_ngram_join": op5_ngram_join,
     "op6_token_files": op6_token_files,
     "op7_sharding": op7_sharding,
