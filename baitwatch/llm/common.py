@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from baitwatch.session import ensure_checkpoint_dir
 
@@ -133,3 +134,30 @@ def chain(h: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         out = mix(out * np.uint64(0xC2B2AE3D27D4EB4F) + h[k:k + m])
     return out
+
+
+# The filter in front of a join has this many bits, whatever the number of keys.
+FILTER_BITS = 24
+
+
+def key_filter(keys: DataFrame, name: str) -> np.ndarray:
+    """Bits set for both addresses of every key (a long). Spark combines them to words
+    of 64, so 2**FILTER_BITS / 64 rows (2 MB) come to the driver at most. It only
+    spares rows a shuffle; the join after it decides."""
+    cells = keys.select(F.explode(F.array(
+        F.shiftrightunsigned(name, 64 - FILTER_BITS), F.col(name).bitwiseAND((1 << FILTER_BITS) - 1))).alias("cell"))
+    words = cells.groupBy(F.shiftright("cell", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits")).collect()
+    out = np.zeros(1 << FILTER_BITS >> 6, np.int64)
+    for r in words:
+        out[r["w"]] = r["bits"]
+    return out.view(np.uint64)
+
+
+def may_be(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of keys (uint64) that the filter can't exclude."""
+    def there(cell: np.ndarray) -> np.ndarray:
+        return (bits[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1) > 0
+
+    at = np.flatnonzero(there(keys >> np.uint64(64 - FILTER_BITS)))
+    return at[there(keys[at] & np.uint64((1 << FILTER_BITS) - 1))]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from baitwatch.llm.common import chain, stage, text_blocks, utf8_column, words_of
+from baitwatch.llm.common import chain, key_filter, may_be, stage, text_blocks, utf8_column, words_of
 
 SEED = 3
 # Seeds kept of every item: its rarest half, and this many at least.
@@ -19,8 +19,6 @@ LEAST_SEEDS = 8
 # An item counts as found from this part of its best possible score.
 FOUND = 0.5
 MATCH, MISMATCH, GAP = 2, -2, 2
-# The filter in front of the seed join has this many bits, whatever the number of seeds.
-FILTER_BITS = 24
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,30 +34,12 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["item_id", "seed", "n_words"])
 
 
-def _filter(seeds: DataFrame) -> np.ndarray:
-    """Bits set for both addresses of every seed. Spark combines them to words of 64,
-    so 2**FILTER_BITS / 64 rows come to the driver at most."""
-    cells = seeds.select(F.explode(F.array(
-        F.shiftrightunsigned("seed", 64 - FILTER_BITS), F.col("seed").bitwiseAND((1 << FILTER_BITS) - 1))).alias("cell"))
-    words = cells.groupBy(F.shiftright("cell", 6).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits")).collect()
-    out = np.zeros(1 << FILTER_BITS >> 6, np.int64)
-    for r in words:
-        out[r["w"]] = r["bits"]
-    return out.view(np.uint64)
-
-
 def _hits(bits: np.ndarray, data: np.ndarray, offsets: np.ndarray):
     """Words of a block and the seeds that pass the filter: ``(start, end, first word
     of each text, seed, its first word, its text)``."""
     start, end, h, word = words_of(data, offsets, lower=True)
     seeds = chain(h, SEED)
-
-    def there(cell: np.ndarray) -> np.ndarray:
-        return (bits[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1) > 0
-
-    at = np.flatnonzero(there(seeds >> np.uint64(64 - FILTER_BITS)))
-    at = at[there(seeds[at] & np.uint64((1 << FILTER_BITS) - 1))]
+    at = may_be(bits, seeds)
     text = np.searchsorted(word, at, "right") - 1
     inside = at + SEED <= word[text + 1]
     return start, end, word, seeds[at][inside], at[inside], text[inside]
@@ -142,14 +122,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, found: float = FOUND) ->
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     seeds = stage(items.mapInArrow(_item_seeds, f"item_id {item_type}, seed long, n_words long").distinct(), "seeds")
-    counts = docs.select("text").mapInArrow(_count(_filter(seeds)), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(_count(key_filter(seeds, "seed")), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
     ranked = seeds.join(counts, "seed", "left").withColumns({
         "rank": F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "seed")),
         "of": F.count("*").over(Window.partitionBy("item_id"))})
     rare = stage(ranked.where(F.col("rank") <= F.greatest(F.lit(LEAST_SEEDS), F.ceil(F.col("of") / 2))).select(
         "seed", "item_id"), "rare")
     margin = seeds.agg(F.max("n_words").alias("m")).first()["m"] or 0
-    passages = stage(docs.mapInArrow(_passages(_filter(rare), int(margin)), f"doc_id {id_type}, passage string, seeds array<long>").withColumn(
+    passages = stage(docs.mapInArrow(_passages(key_filter(rare, "seed"), int(margin)), f"doc_id {id_type}, passage string, seeds array<long>").withColumn(
         "p", F.monotonically_increasing_id()), "passages")
     pairs = passages.select("p", F.explode("seeds").alias("seed")).join(rare, "seed").select("p", "item_id").distinct()
     texts = items.select("item_id", F.col("text").alias("item")).distinct()

@@ -8,13 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from baitwatch.llm import decontaminate, mixing, ngram_join, quality_rules, sharding, token_files, warc
+from baitwatch.llm import decontaminate, mixing, ngram_join, quality_rules, repeats, secret_scan, sharding, token_counts, token_files, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document stands for a repository, its source for the owner."""
+    return secret_scan.scan(_documents(spark, sf_dir), F.col("source"), F.col("doc_id"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), [1024])
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"),
+                         F.get("fits", F.lit(0)).alias("fits_1024"))
+
+
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(_documents(spark, sf_dir))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return warc.read_archives(spark, folder, payload=False).select(
@@ -55,6 +70,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_token_counts": op2_token_counts,
+    "op3_repeats": op3_repeats,
     "op4_warc": op4_warc,
     "op5_ngram_join": op5_ngram_join,
     "op6_token_files": op6_token_files,

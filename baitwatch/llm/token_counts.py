@@ -35,7 +35,8 @@ def byte_letters() -> dict[str, int]:
 class PrefixCounts:
     """Counts for the pieces of one vocabulary."""
 
-    def __init__(self, spec: dict) -> None:
+    def __init__(self, spec: dict, pre) -> None:
+        self.pre = pre
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         special = {t["content"] for t in spec.get("added_tokens") or []}
@@ -43,89 +44,103 @@ class PrefixCounts:
         self.bytes = {k: t for t, k in self.ids.items()}
         self.longest = max(map(len, self.ids))
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.ranks = {(self.ids[raw(a)], self.ids[raw(b)]): (n, self.ids[raw(a + b)]) for n, (a, b) in enumerate(merges)}
+        # Of each token the merge that makes it: its rank and its two parts.
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made = {k: (-1, k, k) for k in self.bytes}
+        for n, (a, b) in enumerate(merges):
+            x, y, z = self.ids[raw(a)], self.ids[raw(b)], self.ids[raw(a + b)]
+            self.ranks[x, y] = n
+            if self.made[z][0] < 0:
+                self.made[z] = (n, x, y)
         self.fits: dict[tuple[int, int], bool] = {}
-
-    def merged(self, text: bytes) -> list[int]:
-        """Plain byte pair encoding of a short byte string."""
-        out = [self.ids[bytes([b])] for b in text]
-        while len(out) > 1:
-            best = min((self.ranks.get(p, (len(self.ranks), 0)) for p in zip(out, out[1:], strict=False)))
-            if best[0] == len(self.ranks):
-                break
-            k, new = 0, []
-            while k < len(out):
-                if k + 1 < len(out) and self.ranks.get((out[k], out[k + 1])) == best:
-                    new.append(best[1])
-                    k += 2
-                else:
-                    new.append(out[k])
-                    k += 1
-            out = new
-        return out
+        self.known: dict[str, list[int]] = {}
 
     def compatible(self, before: int, token: int) -> bool:
-        """True if the two tokens stay as they are when encoded together; -1 stands
-        for the start of the piece."""
+        """True if the two tokens stay as they are when encoded together. The merges
+        that made them are undone from the latest on; the pair that meets at the
+        border in between must never come before the merge that was undone. Of equal
+        ranks the left one comes first, so the border comes before the right token."""
         key = (before, token)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 500_000:
                 self.fits.clear()
-            head = self.bytes[before] if before >= 0 else b""
-            known = self.fits[key] = self.merged(head + self.bytes[token]) == ([before, token] if before >= 0 else [token])
+            known = self.fits[key] = self._stay(before, token)
         return known
 
+    def _stay(self, x: int, y: int) -> bool:
+        made, ranks = self.made, self.ranks
+        limit = len(ranks)
+        while True:
+            if ranks.get((x, y), limit) < limit:
+                return False
+            a, b = made[x], made[y]
+            if a[0] < 0 and b[0] < 0:
+                return True
+            if a[0] > b[0]:
+                limit, x = a[0], a[2]
+            else:
+                limit, y = b[0] + 1, b[1]
+
     def piece(self, text: bytes) -> list[int]:
         """Tokens of every prefix of a piece, from the empty one on."""
         counts, last, ids, longest = [0], [-1], self.ids, self.longest
         for end in range(1, len(text) + 1):
             for start in range(max(0, end - longest), end):
                 token = ids.get(text[start:end])
-                if token is not None and self.compatible(last[start], token):
+                if token is not None and (start == 0 or self.compatible(last[start], token)):
                     counts.append(counts[start] + 1)
                     last.append(token)
                     break
         return counts
 
+    def split(self, text: str) -> list[tuple[int, int]]:
+        """Places of the pieces: by the pattern for ASCII, else by the library, whose
+        tables of letters and numbers may be of another Unicode version."""
+        if text.isascii():
+            return [m.span() for m in PATTERN.finditer(text)]
+        return [at for _, at in self.pre.pre_tokenize_str(text)]
+
+    def steps(self, piece: str) -> list[int]:
+        """Tokens at every code point of a piece, from the empty prefix on."""
+        known = self.known.get(piece)
+        if known is None:
+            known = self.piece(piece.encode())
+            if not piece.isascii():
+                at = np.cumsum([0, *[len(c.encode()) for c in piece]]).tolist()
+                known = [known[k] for k in at]
+            if len(self.known) > 200_000:
+                self.known.clear()
+            if len(piece) <= 32:
+                self.known[piece] = known
+        return known
+
     def chunk(self, text: str) -> bytes:
-        """Differences (int16) of the counts at every code point of a chunk."""
+        """Differences (int16) of the counts at every code point of a chunk. A cut in
+        a piece leaves all pieces before it alone, except where white space or an
+        apostrophe stands near: there the last pieces are split anew."""
+        spans = self.split(text)
         white = len(text) - len(text.lstrip(WHITE))
-        if white > 1 or "'" in text:
-            counts = [sum(self.piece(p.encode())[-1] for p in PATTERN.findall(text[:k])) for k in range(1, len(text) + 1)] \
-                if len(text) <= 64 else self._long(text)
-        else:
+        if white <= 1 and "'" not in text:
             counts, base = [], 0
-            for p in PATTERN.findall(text):
-                steps = self.piece(p.encode())
-                if p.isascii():
-                    counts += [base + c for c in steps[1:]]
-                else:
-                    at = np.cumsum([len(c.encode()) for c in p])
-                    counts += [base + steps[k] for k in at.tolist()]
+            for a, b in spans:
+                steps = self.steps(text[a:b])
+                counts += [base + c for c in steps[1:]]
                 base += steps[-1]
+        else:
+            # Leading white space is one piece however it is cut.
+            counts = list(self.steps(text[:white])[1:])
+            sums, which = [0], 0
+            for a, b in spans:
+                sums.append(sums[-1] + self.steps(text[a:b])[-1])
+            for cut in range(white + 1, len(text) + 1):
+                while spans[which][1] < cut:
+                    which += 1
+                first = max(which - 3, 0)
+                rest = text[spans[first][0]:cut]
+                counts.append(sums[first] + sum(self.steps(rest[a:b])[-1] for a, b in self.split(rest)))
         return np.diff(np.array(counts, np.int64), prepend=0).astype("<i2").tobytes()
 
-    def _long(self, text: str) -> list[int]:
-        """A long chunk with a run of white space or apostrophes. Only the pieces
-        around the cut differ from those of the whole: a cut is counted from three
-        pieces before it, where both agree, except within the leading white space."""
-        white = len(text) - len(text.lstrip(WHITE))
-        counts = [self.piece(text[:k].encode())[-1] for k in range(1, white + 1)] if white <= 64 else \
-            [c for c, k in zip(self.piece(text[:white].encode())[1:], np.cumsum([len(c.encode()) for c in text[:white]]), strict=False)]
-        if white > 64:
-            steps = self.piece(text[:white].encode())
-            counts = [steps[k] for k in np.cumsum([len(c.encode()) for c in text[:white]]).tolist()]
-        spans = [m.span() for m in PATTERN.finditer(text)]
-        sums = np.concatenate([[0], np.cumsum([self.piece(text[a:b].encode())[-1] for a, b in spans])]).tolist()
-        which = 0
-        for cut in range(white + 1, len(text) + 1):
-            while spans[which][1] < cut:
-                which += 1
-            first = max(which - 3, 0)
-            counts.append(sums[first] + sum(self.piece(p.encode())[-1] for p in PATTERN.findall(text[spans[first][0]:cut])))
-        return counts
-
 
 def prefix_counts(texts: list[str], path: str) -> list[np.ndarray]:
     """For each text the token count at each of its prefixes of 1, 2, ... code points.
@@ -136,7 +151,7 @@ def prefix_counts(texts: list[str], path: str) -> list[np.ndarray]:
         raise ValueError("prefix counts need a byte-level BPE with plain special tokens")
     state = worker_memo("prefix")
     if path not in state:
-        state[path] = PrefixCounts(tok.spec)
+        state[path] = PrefixCounts(tok.spec, tok.library.pre_tokenizer)
     counter = state[path]
     memo = worker_memo(f"prefix:{path}")
     cut = regex.compile("|".join(map(regex.escape, tok.specials))) if tok.specials else None
