@@ -65,10 +65,13 @@ def _covered(ordered: Column) -> Column:
     """Words in windows whose hash occurs twice or more. ``ordered`` holds (hash,
     place) by hash: the places beside an equal hash are kept, and the steps between
     them added, a window at most."""
-    same = lambda x, k: F.coalesce(F.get(ordered, k)["h"] == x["h"], F.lit(False))
-    marked = F.filter(ordered, lambda x, k: same(x, k - 1) | same(x, k + 1))
+    none = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
+    sides = F.arrays_zip(ordered.alias("x"), F.concat(none, ordered).alias("p"),
+                         F.concat(F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0))), none).alias("n"))
+    same = lambda z, k: F.coalesce(z["x"]["h"] == z[k]["h"], F.lit(False))
+    marked = F.filter(sides, lambda z: same(z, "p") | same(z, "n"))
     return F.aggregate(
-        F.sort_array(F.transform(marked, lambda x: x["i"])),
+        F.sort_array(F.transform(marked, lambda z: z["x"]["i"])),
         F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-WINDOW).alias("last")),
         lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")),
         lambda a: a["n"],
@@ -77,7 +80,9 @@ def _covered(ordered: Column) -> Column:
 
 def measure(docs: DataFrame) -> DataFrame:
     """All measurements of every text, beside the untouched row in ``row``. Null
-    counts as an empty text: all measurements are 0."""
+    counts as an empty text: all measurements are 0. The last step gives each row as
+    an array of one struct: filters on measurements stay above it, else Catalyst would
+    copy the computation into them, down into the loops over words."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     text = F.coalesce(F.col("row.text"), F.lit(""))
     dense = F.length(F.translate(text, SEPARATORS, ""))
@@ -92,10 +97,13 @@ def measure(docs: DataFrame) -> DataFrame:
         F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     sorted_ = hashed.select("row", "lines", "word_chars", "n_symbols", "n_words", ordered.alias("ordered"))
     repeats = F.when(F.col("ordered").isNotNull(), _covered(F.col("ordered")))
-    return sorted_.select(
-        "row", "n_words", "word_chars", "n_symbols", F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(repeats, F.lit(0)).cast("long").alias("n_repeat_words"))
+    out = {
+        "row": F.col("row"), "n_words": F.col("n_words"), "word_chars": F.col("word_chars"), "n_symbols": F.col("n_symbols"),
+        "n_lines": F.size("lines").cast("long"),
+        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        "n_repeat_words": F.coalesce(repeats, F.lit(0)).cast("long")}
+    one = sorted_.select(F.explode(F.array(F.struct(*[c.alias(k) for k, c in out.items()]))).alias("m"))
+    return one.select(*[f"m.{k}" for k in out])
 
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
