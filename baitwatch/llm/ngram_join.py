@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from baitwatch.llm.common import chain, stage, text_blocks, words_of
+from baitwatch.llm.common import chain, key_filter, may_be, stage, text_blocks, words_of
 
 SHINGLE = 5
 # Fixed number of cells in which token frequencies are counted; they only set the order.
@@ -89,24 +89,50 @@ def _sign(cells: np.ndarray):
     return sign
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of documents whose digest is the wanted one."""
+def _tokens(bits: np.ndarray):
+    """Prefix tokens that may stand in another group too, a row each."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column(2)
+            tokens = prefix.flatten().to_numpy(zero_copy_only=False)
+            lengths = np.array([len(x) if x.is_valid else 0 for x in prefix], np.int64)
+            at = may_be(bits, tokens.view(np.uint64))
+            row = np.searchsorted(np.cumsum(lengths), at, "right")
+            place = at - (np.cumsum(lengths) - lengths)[row]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(tokens[at])],
+                names=["g", "n", "at", "tok"])
+
+    return rows
+
+
+def _named(bits: np.ndarray):
+    """Documents whose id may be wanted."""
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            at = may_be(bits, ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield batch.take(pa.array(at))
+
+    return keep
+
+
+def _proven(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents whose digest is the wanted one: of several rows of an id, its class."""
     for batch in batches:
-        want, ids, out, keep = batch.column(2).to_pylist(), batch.column(0).to_pylist(), [], []
+        want, keep = batch.column(2).to_pylist(), []
         for first, _, data, offsets in text_blocks(batch):
-            for k, s in enumerate(block_sets(data, offsets), first):
-                blob = s.tobytes()
-                if hashlib.blake2b(blob, digest_size=16).digest() == want[k]:
-                    keep.append(ids[k])
-                    out.append(blob)
-        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(out, pa.binary())], names=["c", "s"])
+            keep += [k for k, s in enumerate(block_sets(data, offsets), first)
+                     if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == want[k]]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))],
+                                         names=["c", "text"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        left, right = ([s for _, _, data, offsets in text_blocks(batch, side) for s in block_sets(data, offsets)] for side in ("s", "t"))
         linked = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+        for p, q in zip(left, right, strict=True):
             if len(p) > len(q):
                 p, q = q, p
             at = np.searchsorted(q, p)
@@ -120,6 +146,14 @@ def _sizes_fit(n: str, m: str) -> Column:
     return (F.col(n) * 100 >= F.col(m) * 80) & (F.col(m) * 100 >= F.col(n) * 80)
 
 
+def _needed(n: str, k: str) -> Column:
+    """Nine times the prefix tokens that two linked groups of these sizes share at
+    least: four ninths of both sizes must be common, and of the two the one whose
+    prefix ends first can have all else only in its rest, under four fifths of it."""
+    rest = lambda c: F.ceil(F.col(c) * 4 / 5) - 1
+    return (F.col(n) + F.col(k)) * 4 - F.greatest(rest(n), rest(k)) * 9
+
+
 def connected(links: DataFrame) -> DataFrame:
     """``node, label``: the smallest node reachable through ``a, b`` links, for every
     node that has one. Labels take the least of the neighbours' and then of their own
@@ -148,18 +182,21 @@ def components(docs: DataFrame) -> DataFrame:
     signed = stage(docs.mapInArrow(_sign(_cells(docs)), "doc_id long, n long, digest binary, g long, prefix array<long>"), "signed")
     found = stage(signed.where("n > 0 and doc_id is not null").groupBy("digest", "n", "g").agg(
         F.min("doc_id").alias("c")), "classes")
-    tokens = signed.where("n > 0").select("g", "n", F.posexplode("prefix").alias("at", "tok"))
-    # Tokens of two groups or more; the first group of each is its leader.
-    shared = tokens.groupBy("tok").agg(
-        F.min(F.struct("g", "n")).alias("lead"), F.max("g").alias("last")).where("lead.g <> last").select(
-        "tok", F.col("lead.g").alias("lead"), F.col("lead.n").alias("lead_n"))
-    index = stage(tokens.join(shared, "tok"), "index")
+    # Tokens of two groups or more; copies in a batch came once, others may come again.
+    tokens = signed.where("n > 0").select("g", F.explode("prefix").alias("tok"))
+    twice = stage(tokens.groupBy("tok").agg(F.count("*").alias("k")).where("k > 1").select("tok"), "twice")
+    index = stage(signed.where("prefix is not null").select("g", "n", "prefix").mapInArrow(
+        _tokens(key_filter(twice, "tok")), "g long, n long, at int, tok long").join(twice, "tok"), "index")
 
     classes = found.select("g", "n", "c")
     several = classes.groupBy("g").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("g")
-    wanted = found.join(index.select("g").union(several).distinct(), "g", "left_semi")
-    sets = stage(docs.join(wanted.select(F.col("c").alias("doc_id"), "digest"), "doc_id").mapInArrow(
-        _sets, "c long, s binary").dropDuplicates(["c"]), "sets")
+
+    def texts_of(groups: DataFrame, name: str) -> DataFrame:
+        """The text of every class of the groups."""
+        wanted = stage(found.join(groups, "g", "left_semi").select(F.col("c").alias("doc_id"), "digest"), "wanted")
+        rows = docs.mapInArrow(_named(key_filter(wanted, "doc_id")), "doc_id long, text string")
+        rows = rows.join(wanted, "doc_id").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
+        return stage(rows.select("doc_id", "text", "digest").mapInArrow(_proven, "c long, text string"), name)
 
     def expand(groups: DataFrame) -> DataFrame:
         """Distinct sets of both groups of each pair."""
@@ -167,18 +204,23 @@ def components(docs: DataFrame) -> DataFrame:
             classes.select(F.col("g").alias("h"), F.col("c").alias("y")), "h")
         return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        with_sets = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("s")), "a").join(
-            sets.select(F.col("c").alias("b"), F.col("s").alias("t")), "b").select("a", "b", "s", "t")
-        return stage(with_sets.mapInArrow(_compare, "a long, b long, linked boolean"), "verified")
-
-    # First every group against the leader it shares most tokens with, and inside a
-    # group every set against the first.
-    best = index.where((F.col("g") != F.col("lead")) & _sizes_fit("n", "lead_n")).groupBy("g", "lead").agg(
-        F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "lead")).alias("m")).select("g", F.col("m.lead").alias("h"))
+    def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        with_texts = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("s")), "a").join(
+            texts.select(F.col("c").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
+        return stage(with_texts.mapInArrow(_compare, "a long, b long, linked boolean"), "verified")
+
+    # First every group against the leader of most of its tokens, and inside a group
+    # every set against the first: what has too few shared tokens waits for the end.
+    shared = index.groupBy("tok").agg(F.min(F.struct("g", "n")).alias("lead"), F.max("g").alias("last")).where("lead.g <> last")
+    held = index.select("tok", "g", "n").distinct().join(shared, "tok")
+    best = held.where(F.col("g") != F.col("lead.g")).groupBy("g", "n", F.col("lead.g").alias("h"), F.col("lead.n").alias("k")).agg(F.count("*").alias("m"))
+    best = best.where(_sizes_fit("n", "k") & (F.col("m") * 18 >= _needed("n", "k"))).groupBy("g").agg(
+        F.max(F.struct("m", "h")).alias("x")).select("g", F.col("x.h").alias("h"))
+    enough = held.groupBy("g", "n").agg(F.count("*").alias("m")).where(F.col("m") * 25 >= F.col("n")).select("g")
+    texts = texts_of(enough.union(several).distinct(), "texts")
     inside = classes.join(several, "g", "left_semi").groupBy("g").agg(F.min("c").alias("a"))
     inside = classes.join(inside, "g").where("c <> a").select("a", F.col("c").alias("b"))
-    done = verify(expand(best).union(inside).distinct())
+    done = verify(expand(best).union(inside).distinct(), texts)
     links = done.where("linked").select("a", "b")
     labels = connected(links)
 
@@ -197,10 +239,11 @@ def components(docs: DataFrame) -> DataFrame:
     while True:
         members = rows.groupBy("tok", "label").agg(F.min(F.struct("g", "n")).alias("m"))
         first = members.groupBy("tok").agg(F.min(F.struct("label", "m")).alias("f"))
-        pairs = members.join(first, "tok").where(F.col("label") != F.col("f.label")).select(
-            F.col("m.g").alias("g"), F.col("m.n").alias("n"), F.col("f.m.g").alias("h"), F.col("f.m.n").alias("k"))
-        new = stage(expand(pairs.where(_sizes_fit("n", "k")).distinct()).join(done, ["a", "b"], "left_anti"), "pairs")
-        checked = verify(new)
+        pairs = members.join(first, "tok").where(F.col("label") != F.col("f.label")).groupBy(
+            F.col("m.g").alias("g"), F.col("m.n").alias("n"), F.col("f.m.g").alias("h"), F.col("f.m.n").alias("k")).agg(F.count("*").alias("m"))
+        pairs = pairs.where(_sizes_fit("n", "k") & (F.col("m") * 18 >= _needed("n", "k")))
+        new = stage(expand(pairs).join(done, ["a", "b"], "left_anti"), "pairs")
+        checked = verify(new, texts)
         done = done.union(checked)
         if not checked.where("linked").limit(1).count():
             break
@@ -215,9 +258,11 @@ def components(docs: DataFrame) -> DataFrame:
     few = rows.join(most, "tok").where("label <> main")
     other = rows.select("tok", F.col("g").alias("h"), F.col("n").alias("k"), F.col("label").alias("label2"), F.col("at").alias("at2"))
     bound = F.least("at", "at2") + 1 + F.least(F.col("n") - F.col("at"), F.col("k") - F.col("at2")) - 1
-    pairs = few.join(other, "tok").where(
+    met = few.join(other, "tok").where(
         (F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("main")) | (F.col("g") < F.col("h")))
-        & _sizes_fit("n", "k") & (bound * 9 >= (F.col("n") + F.col("k")) * 4)).select("g", "h").distinct()
+        & _sizes_fit("n", "k") & (bound * 9 >= (F.col("n") + F.col("k")) * 4))
+    pairs = met.groupBy(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h"), F.least("n", "k").alias("n"),
+                        F.greatest("n", "k").alias("k")).agg(F.count("*").alias("m")).where(F.col("m") * 9 >= _needed("n", "k"))
     rest = classes.join(several, "g", "left_semi")
     rest = rest.select("g", F.col("c").alias("a")).join(rest.select("g", F.col("c").alias("b")), "g").where("a < b").select("a", "b")
     rest = rest.union(expand(pairs)).distinct().join(done, ["a", "b"], "left_anti")
@@ -225,7 +270,9 @@ def components(docs: DataFrame) -> DataFrame:
     rest = rest.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(
         of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left").where(
         "la is null or lb is null or la <> lb").select("a", "b")
-    last = verify(stage(rest, "pairs"))
+    rest = stage(rest, "pairs")
+    met = rest.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    last = verify(rest, texts_of(classes.join(met, "c", "left_semi").select("g").distinct(), "last"))
     if last.where("linked").limit(1).count():
         labels = connected(links.union(last.where("linked").select("a", "b")))
 
