@@ -71,7 +71,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _filtered(bits: np.ndarray):
-    """Texts whose unit passes the filter."""
+    """Rows whose first column, a key, passes the filter."""
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.take(pa.array(may_be(bits, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
@@ -211,8 +211,9 @@ def repeat_spans(texts: DataFrame, group_most: int = GROUP_MOST) -> tuple[DataFr
     ``u, a, b`` in bytes (spans of one text may overlap). A text that stands in
     several rows counts once."""
     anchors = stage(texts.mapInArrow(_anchors, "f long, u long, at int"), "anchors")
-    twice = anchors.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
-    marks = stage(anchors.join(twice, "f").distinct(), "marks")
+    twice = stage(anchors.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "twice")
+    likely = anchors.mapInArrow(_filtered(key_filter(twice, "f")), "f long, u long, at int")
+    marks = stage(likely.join(twice, "f").distinct(), "marks")
     candidates = stage(texts.mapInArrow(_filtered(key_filter(marks.select("u").distinct(), "u")), "u long, text string")
                        .dropDuplicates(["u"]), "candidates")
     lists = marks.groupBy("u").agg(F.collect_list(F.struct("f", "at")).alias("marks"))
