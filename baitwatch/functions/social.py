@@ -17,8 +17,10 @@ BEHAVIOUR_FEATURES = [
 
 
 def account_age_days(created: Column, as_of: Column) -> Column:
-    """Whole days up to ``as_of``; NULL for unknown or unreadable dates."""
-    iso = F.when(created.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), created)
+    """Whole days up to ``as_of``; NULL for unknown dates and for values
+    that are not as a whole a date, with or without a time."""
+    time = r"[T ][0-2][0-9](:[0-5][0-9](:[0-5][0-9](\.[0-9]{1,6})?)?)?"
+    iso = F.when(created.rlike(rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}({time})?$"), created)
     return F.date_diff(as_of, F.try_to_date(F.left(iso, F.lit(10)), "yyyy-MM-dd"))
 
 

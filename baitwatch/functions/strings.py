@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Every Unicode white-space character, by rule.
@@ -34,11 +34,15 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
-def computed_once(c: Column) -> Column:
-    """The same value, but closed to the optimizer: a filter on the result stays
-    above the projection instead of being rewritten into a copy of everything
-    the value was computed from. The test is constant within a task."""
-    return F.when(F.spark_partition_id() >= 0, c)
+def closed(df: DataFrame, computed: dict[str, Column], drop: Iterable[str] = ()) -> DataFrame:
+    """``df`` with computed columns that no filter is copied into. They pass through a
+    generated struct: a filter on any other column goes below it, down to the scan,
+    and one on a computed column stays above instead of being rewritten into a copy
+    of everything the value is made of."""
+    keep = [c for c in df.columns if c not in computed and c not in set(drop)]
+    packed = F.explode(F.array(F.struct(*[c.alias(n) for n, c in computed.items()]))).alias("_closed")
+    return df.select(*[F.col(f"`{c}`") for c in keep], packed).select(
+        *[F.col(f"`{c}`") for c in keep], *[F.col(f"_closed.`{n}`") for n in computed])
 
 
 def any_of(flags: Iterable[Column]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as lx
 from .numbers import round_exact
-from .strings import NOT_WORD_BEFORE, NOT_WS, WS, any_of, count_of, count_terms_in, fill_pattern, sql_array, strip
+from .strings import NOT_WORD_BEFORE, NOT_WS, WS, any_of, count_of, count_terms_in, fill_pattern, strip
 
 _DOT = "<DOT>"
 
@@ -101,7 +101,8 @@ def combo_stage(get) -> dict[str, Column]:
 
 
 def _terms_found(lowered: Column, terms: list[str]) -> Column:
-    return F.filter(sql_array(sorted(terms)), lambda t: lowered.contains(t))
+    """Terms in sorted order. Each test is generated code, not a loop over an array."""
+    return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(t)), F.lit(t)) for t in sorted(terms)]))
 
 
 def _matches(lowered: Column, patterns: list[tuple[str, int]]) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as lx
 from .domains import Getter, host_of, suffix_stages
-from .strings import computed_once, count_char, one_of, sql_array, ws_class_without
+from .strings import closed, count_char, one_of, sql_array, ws_class_without
 
 _URL_CHARS = ws_class_without("<>\"'")
 URL_PATTERN = rf"(https?://{_URL_CHARS}+|www\.{_URL_CHARS}+)"
@@ -135,8 +135,7 @@ def with_url_features(df: DataFrame, url_col: str = "url",
     """Add every per-URL feature to a table with one URL per row."""
     out = df if url_col == "url" else df.withColumn("url", F.col(url_col))
     out = with_stages(out, url_stages(suffixes)).drop("rest")
-    return out.select(*df.columns, *[
-        computed_once(F.col(c)).alias(c) for c in out.columns if c not in df.columns])
+    return closed(out, {c: F.col(c) for c in out.columns if c not in df.columns})
 
 
 def _extended_by(stage: Stage, names: list[str]) -> Callable[[Column], Column]:

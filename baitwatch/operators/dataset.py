@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import strip
-from .ordering import at_or_before, class_cutoffs, order_key
+from .ordering import at_or_before, class_cutoffs, order_key, with_cutoffs
 
 MIN_BODY_CHARS = 10
 
@@ -28,10 +28,11 @@ def count_by(df: DataFrame, *cols: str) -> DataFrame:
 
 def balance_classes(df: DataFrame, class_col: str = "label", id_col: str = "mail_id",
                     seed: int = 42) -> DataFrame:
-    """Every class cut down to the size of the smallest, in seeded random order.
-    The result is a plain filter: bodies are not shuffled."""
+    """Every class cut down to the size of the smallest, in seeded random order. Rows
+    meet a table of one row per class; Spark broadcasts it while it is small."""
     cut = class_cutoffs(df, class_col, id_col, seed, lambda size, smallest: [smallest])
-    return df.filter(at_or_before(class_col, order_key(id_col, seed), cut, 0))
+    rows = with_cutoffs(df, class_col, id_col, seed, cut)
+    return rows.filter(at_or_before(class_col, 0)).select(df.columns)
 
 
 def stratified_split(df: DataFrame, test_fraction: float = 0.2, class_col: str = "label",
@@ -39,7 +40,8 @@ def stratified_split(df: DataFrame, test_fraction: float = 0.2, class_col: str =
     """Add ``is_test``: the same share of every class, exact to one row."""
     cut = class_cutoffs(df, class_col, id_col, seed, lambda size, _: [
         F.floor(size * F.lit(test_fraction) + F.lit(0.5))])
-    return df.withColumn("is_test", at_or_before(class_col, order_key(id_col, seed), cut, 0))
+    rows = with_cutoffs(df, class_col, id_col, seed, cut)
+    return rows.select(*df.columns, at_or_before(class_col, 0).alias("is_test"))
 
 
 def stratified_folds(df: DataFrame, folds: int = 5, class_col: str = "label",
@@ -47,11 +49,11 @@ def stratified_folds(df: DataFrame, folds: int = 5, class_col: str = "label",
     """Add ``fold`` 0..folds-1, classes spread evenly."""
     cut = class_cutoffs(df, class_col, id_col, seed, lambda size, _: [
         F.floor(size * F.lit(k) / F.lit(folds)) for k in range(1, folds)])
-    key = order_key(id_col, seed)
+    rows = with_cutoffs(df, class_col, id_col, seed, cut)
     fold = F.lit(folds - 1)
     for k in range(folds - 1):
-        fold = fold - at_or_before(class_col, key, cut, k).cast("int")
-    return df.withColumn("fold", fold)
+        fold = fold - at_or_before(class_col, k).cast("int")
+    return rows.select(*df.columns, fold.alias("fold"))
 
 
 def capped_sample(df: DataFrame, max_rows: int, id_col: str, seed: int = 42) -> DataFrame:

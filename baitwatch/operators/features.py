@@ -13,7 +13,7 @@ from ..functions import lexicons as lx
 from ..functions import text as X
 from ..functions import urls as U
 from ..functions.mime import attachment_names
-from ..functions.strings import computed_once
+from ..functions.strings import closed
 
 URL_FEATURES = ["num_urls", *U.NUMERIC_FEATURES, *U.BOOLEAN_FEATURES, "has_https"]
 CATEGORICAL = ["spf_result", "dkim_result", "dmarc_result"]
@@ -27,8 +27,8 @@ def with_text_features(df: DataFrame, text_col: str) -> DataFrame:
     low = F.col("_lowered")
     df = df.withColumns({
         **X.structure_stage(text, F.col("_lengths")), **X.term_count_stage("_lowered"), **X.pattern_stage(low)})
-    df = df.withColumns(X.combo_stage(F.col)).drop("_lowered", "_lengths")
-    return df.withColumns({n: computed_once(F.col(n)) for n in X.TEXT_FEATURES})
+    df = df.withColumns(X.combo_stage(F.col))
+    return closed(df, {n: F.col(n) for n in X.TEXT_FEATURES}, drop=["_lowered", "_lengths"])
 
 
 def with_url_structs(df: DataFrame, text_col: str, suffixes: Iterable[str] | None = None) -> DataFrame:
@@ -40,7 +40,7 @@ def with_url_structs(df: DataFrame, text_col: str, suffixes: Iterable[str] | Non
 def with_url_summary(df: DataFrame, text_col: str, suffixes: Iterable[str] | None = None) -> DataFrame:
     df = with_url_structs(df, text_col, suffixes)
     found = {**U.summarise(F.col("urls")), "url_domains": F.col("urls.full_domain")}
-    return df.withColumns({n: computed_once(c) for n, c in found.items()}).drop("urls")
+    return closed(df, found, drop=["urls"])
 
 
 def with_header_features(df: DataFrame, raw_col: str, url_domains_col: str | None = None) -> DataFrame:
@@ -51,13 +51,13 @@ def with_header_features(df: DataFrame, raw_col: str, url_domains_col: str | Non
     mismatch = (H.sender_url_mismatch(F.col("from_domain"), F.col(url_domains_col))
                 if url_domains_col else F.lit(False))
     df = df.withColumn("sender_url_domain_mismatch", mismatch)
-    return df.select(*before, *[
-        computed_once(F.col(n)).alias(n) for n in ("from_name", "from_addr", "from_domain", *H.HEADER_FEATURES)])
+    names = ["from_name", "from_addr", "from_domain", *H.HEADER_FEATURES]
+    return closed(df, {n: F.col(n) for n in names}, drop=set(df.columns) - set(before))
 
 
 def with_attachment_features(df: DataFrame, raw_col: str) -> DataFrame:
     df = df.withColumn("_files", attachment_names(F.col(raw_col)))
-    return df.withColumns(H.attachment_summary(F.col("_files"))).drop("_files")
+    return closed(df, H.attachment_summary(F.col("_files")), drop=["_files"])
 
 
 def mail_features(mails: DataFrame, keep: Iterable[str] = ("mail_id", "label"),
@@ -95,15 +95,11 @@ def one_hot_auth(df: DataFrame, vocabulary: Iterable[str] = tuple(lx.AUTH_VOCABU
     return df.withColumns(hot).drop(*names)
 
 
-def auth_vocabulary(df: DataFrame, declared: Iterable[str] = tuple(lx.AUTH_VOCABULARY),
-                    limit: int = 1000) -> list[str]:
-    """Declared values plus those found in ``df`` at fit time. Distinct values
-    are aggregated before they reach the driver, and ``limit`` only guards
-    against columns that are no vocabulary at all."""
+def auth_vocabulary(df: DataFrame, declared: Iterable[str] = tuple(lx.AUTH_VOCABULARY)) -> list[str]:
+    """Declared values plus those found in ``df`` at fit time: the columns of the
+    model. Distinct values are aggregated before they reach the driver."""
     found = (df.select(F.explode(F.array(*[F.col(f"header__{c}") for c in CATEGORICAL])).alias("v"))
-             .distinct().limit(limit + 1).collect())
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} distinct authentication results")
+             .distinct().collect())
     declared = list(declared)
     return declared + sorted({r.v for r in found if r.v is not None} - set(declared))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import round_exact
 from ..functions.scoring import active_features, decision, risk_tier, top_signals
-from ..functions.strings import computed_once
+from ..functions.strings import closed
 from ..session import ensure_checkpoint_dir
 from .dataset import stratified_folds
 from .features import align
@@ -91,7 +91,7 @@ def score_mails(model: PipelineModel, features: DataFrame, keep: Iterable[str] =
     columns = model_columns(model)
     wide = align(features, columns, keep)
     p = vector_to_array("probability")[1]
-    scored = model.transform(wide).withColumn("_p", computed_once(p))
+    scored = closed(model.transform(wide), {"_p": p})
     return scored.select(
         *keep, *columns,
         round_exact(F.col("_p"), 4).alias("phishing_probability"),

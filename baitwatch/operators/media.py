@@ -8,13 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lx
 from ..functions.numbers import round_exact
 from ..functions.scoring import decision, risk_tier
-from ..session import broadcast_if_small
 
-# Exact medians hold a group's distinct scores in memory up to this many units;
-# larger groups go through a narrow band around the median.
-LARGE_GROUP = 100_000
-BAND = 0.00005
-SKETCH_ACCURACY = 100_000
+# Fixed number of value bins per group in which units are counted first.
+BINS = 4096
 
 
 def sample_frames(frames: DataFrame, every: int = lx.FRAME_STEP) -> DataFrame:
@@ -65,45 +61,31 @@ def unit_fake_probability(entries: Column) -> Column:
 
 
 def exact_medians(units: DataFrame, group: str, value: str) -> DataFrame:
-    """``(group, median, n_units)``, exact for groups of any size.
-
-    Counts come first (combined on the map side). Groups up to ``LARGE_GROUP``
-    use the built-in median. For larger ones two sketch quantiles bound a band
-    that must hold the median; rows outside are only counted, rows inside are
-    collapsed to distinct values before they are ranked."""
-    present = units.filter(F.col(value).isNotNull())
-    sizes = present.groupBy(group).agg(F.count(F.lit(1)).alias("n_units"))
-    large = sizes.filter(F.col("n_units") > LARGE_GROUP)
-    small = present.groupBy(group).agg(
-        F.median(value).alias("median"), F.count(F.lit(1)).alias("n_units"))
-    if large.isEmpty():
-        return small
-    ids = broadcast_if_small(large.select(group))
-    small = present.join(ids, group, "left_anti").groupBy(group).agg(
-        F.median(value).alias("median"), F.count(F.lit(1)).alias("n_units"))
-    return small.unionByName(_large_medians(present.join(ids, group, "left_semi"), group, value))
-
-
-def _large_medians(rows: DataFrame, group: str, value: str) -> DataFrame:
-    band = rows.groupBy(group).agg(
-        F.percentile_approx(value, [0.5 - BAND, 0.5 + BAND], SKETCH_ACCURACY).alias("q"),
-        F.count(F.lit(1)).alias("n_units"))
-    band = band.select(group, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "n_units")
-    placed = rows.join(broadcast_if_small(band), group)
-    collapsed = (placed.filter(F.col(value) <= F.col("hi"))
-                 .groupBy(group, "n_units",
-                          F.when(F.col(value) >= F.col("lo"), F.col(value)).alias("v"))
-                 .agg(F.count(F.lit(1)).alias("c")))
-    upto = F.sum("c").over(Window.partitionBy(group).orderBy(F.col("v").asc_nulls_first()))
-    ranked = collapsed.withColumn("upto", upto).filter("v is not null")
+    """``(group, median, n_units)``, exact for groups of any size, on one path: units
+    are counted per group and value bin (combined on the map side), the bins that hold
+    the middle ordinals are found from the counts, and only rows of these bins are
+    collapsed to distinct values and ranked. Missing and NaN values take no part."""
+    present = units.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(
+        F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
+    sizes = present.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("n_units"))
+    # The same bin for equal values; bins ascend with the values.
+    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(0.0))
+    binned = present.join(sizes, "_g").withColumn("_bin", F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int"))
+    counts = binned.groupBy("_g", "_bin", "n_units").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_g").orderBy("_bin"))
     first, second = F.floor((F.col("n_units") + 1) / 2), F.floor(F.col("n_units") / 2) + 1
-
-    def covers(at: Column) -> Column:
-        return (at <= F.col("upto")) & (at > F.col("upto") - F.col("c"))
-
-    return ranked.groupBy(group, "n_units").agg(
-        ((F.max(F.when(covers(first), F.col("v"))) + F.max(F.when(covers(second), F.col("v")))) / 2).alias("median")
-    ).select(group, "median", "n_units")
+    placed = counts.withColumn("_before", upto - F.col("_c"))
+
+    def inside(at: Column, before: str, n: str) -> Column:
+        return (at > F.col(before)) & (at <= F.col(before) + F.col(n))
+
+    middle = placed.filter(inside(first, "_before", "_c") | inside(second, "_before", "_c")).select("_g", "_bin", "_before")
+    values = binned.join(middle, ["_g", "_bin"]).groupBy("_g", "_bin", "_before", "n_units", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = values.withColumn("_at", F.col("_before") - F.col("_c") + F.sum("_c").over(
+        Window.partitionBy("_g", "_bin").orderBy("_v")))
+    return ranked.groupBy("_g", "n_units").agg(
+        ((F.max(F.when(inside(first, "_at", "_c"), F.col("_v"))) + F.max(F.when(inside(second, "_at", "_c"), F.col("_v")))) / 2).alias("median")
+    ).select(F.col("_g").alias(group), "median", "n_units")
 
 
 def media_verdicts(media: DataFrame, units: DataFrame, channel: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Entity registry: bulk checks of claims and registry maintenance.
 
-Claims are the big side. A registry table is broadcast when it is small enough
-(checked); otherwise the join shuffles and AQE splits keys that many claims
-share. Registry keys are unique, so a claim never multiplies."""
+Claims are the big side. No join is hinted: Spark broadcasts a registry side from its
+bytes, at run time too; otherwise the join shuffles and AQE splits keys that many
+claims share. Registry keys are unique, so a claim never multiplies."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from ..functions.headers import address_domain_stages
 from ..functions.signatures import content_hash, signature_valid
 from ..functions.strings import flag, strip
 from ..functions.urls import with_stages
-from ..session import broadcast_if_small
 
 
 def normal_domain(c: Column) -> Column:
@@ -32,11 +31,11 @@ def _identity(entities: DataFrame) -> DataFrame:
 
 def _check(claims: DataFrame, keys: dict[str, Column], registered: DataFrame, entities: DataFrame) -> DataFrame:
     """Left-join normalised claim keys to the registry; a miss is unverified."""
-    owners = registered.select(*keys, "entity_id").join(broadcast_if_small(_identity(entities)), "entity_id")
+    owners = registered.select(*keys, "entity_id").join(_identity(entities), "entity_id")
     checked = claims.withColumns({f"{k}_checked": c for k, c in keys.items()})
     on = [F.col(f"{k}_checked") == F.col(f"_{k}") for k in keys]
     side = owners.withColumnsRenamed({k: f"_{k}" for k in keys})
-    out = checked.join(broadcast_if_small(side), on, "left").drop(*[f"_{k}" for k in keys])
+    out = checked.join(side, on, "left").drop(*[f"_{k}" for k in keys])
     return out.withColumn("verified", flag(F.col("status") == "active"))
 
 
@@ -58,11 +57,11 @@ def verify_executives(claims: DataFrame, executives: DataFrame, entities: DataFr
                       col: str = "claimed_speaker_name") -> DataFrame:
     """Exact, case-sensitive name; the entity's status plays no part. No name
     claimed gives NULL, a name of several entities the lowest entity id."""
-    owners = (executives.join(broadcast_if_small(_identity(entities)), "entity_id")
+    owners = (executives.join(_identity(entities), "entity_id")
               .groupBy(F.col("executive_name").alias("_name"))
               .agg(F.min_by("entity_name", "entity_id").alias("executive_entity")))
     name = strip(F.col(col))
-    out = claims.join(broadcast_if_small(owners), name == F.col("_name"), "left")
+    out = claims.join(owners, name == F.col("_name"), "left")
     claimed = F.coalesce(F.col(col), F.lit("")) != ""
     return out.withColumns({
         "executive_authorized": F.when(claimed, F.col("_name").isNotNull()),
@@ -93,7 +92,7 @@ def verify_senders(df: DataFrame, addr_col: str = "from_addr") -> DataFrame:
 
 def token_table(communications: DataFrame, entities: DataFrame) -> DataFrame:
     owners = entities.select(F.col("id").alias("entity_id"), "entity_name", "entity_type", "status", "public_key_pem")
-    return communications.join(broadcast_if_small(owners), "entity_id")
+    return communications.join(owners, "entity_id")
 
 
 def verification_link(token: Column, base_url: str) -> Column:
@@ -107,7 +106,7 @@ def lookup_tokens(tokens: DataFrame, communications: DataFrame, entities: DataFr
         F.col("verification_token").alias("_token"), "entity_name", "entity_type",
         F.col("status").alias("entity_status"), "content_hash", "channel", "subject",
         (F.col("status") == "active").alias("currently_valid"))
-    out = tokens.join(broadcast_if_small(side), F.col(token_col) == F.col("_token")).drop("_token")
+    out = tokens.join(side, F.col(token_col) == F.col("_token")).drop("_token")
     return out.withColumn("link", verification_link(F.col(token_col), base_url))
 
 
@@ -120,7 +119,7 @@ def verify_token_contents(claims: DataFrame, communications: DataFrame, entities
         F.col("verification_token").alias("_token"), "entity_name", "status",
         F.col("content_hash").alias("_hash"), "signature_b64", "public_key_pem")
     joined = claims.withColumn("_digest", content_hash(F.col(content_col))).join(
-        broadcast_if_small(side), F.col(token_col) == F.col("_token"), "left")
+        side, F.col(token_col) == F.col("_token"), "left")
     early = (F.when(F.col("_token").isNull(), F.lit("unknown_token"))
              .when(F.col("status") != "active", F.lit("entity_revoked"))
              .when(F.col("_digest") != F.col("_hash"), F.lit("content_tampered")))
@@ -132,7 +131,7 @@ def verify_signed_contents(claims: DataFrame, entities: DataFrame, entity_col: s
     """Claims that carry entity, content and signature themselves."""
     side = entities.select(F.col("id").alias("_id"), "entity_name", "status", "public_key_pem")
     joined = claims.withColumn("_digest", content_hash(F.col(content_col))).join(
-        broadcast_if_small(side), F.col(entity_col) == F.col("_id"), "left")
+        side, F.col(entity_col) == F.col("_id"), "left")
     early = (F.when(F.col("_id").isNull(), F.lit("unknown_entity"))
              .when(F.col("status") != "active", F.lit("entity_revoked")))
     return _with_signature_check(joined.withColumn("_early", early)).drop("_id", "status")
@@ -162,12 +161,13 @@ def enroll_entities(existing: DataFrame, requests: DataFrame) -> DataFrame:
 
 def add_keys(existing: DataFrame, additions: DataFrame, keys: dict[str, Column], arrival_col: str,
              owner_in_key: bool = False) -> DataFrame:
-    """Add normalised keys; the first owner of a key keeps it. ``arrival_col``
+    """Add normalised keys; the first owner of a key keeps it, an addition without a
+    key is no key. ``arrival_col``
     is a unique number, zero or more. ``min_by`` combines on the map side, so a
     key added very often stays cheap."""
     old = existing.select("entity_id", *keys, F.lit(-1).cast("bigint").alias("_at"))
     new = additions.select("entity_id", *[c.alias(k) for k, c in keys.items()],
-                           F.col(arrival_col).cast("bigint").alias("_at"))
+                           F.col(arrival_col).cast("bigint").alias("_at")).dropna(subset=list(keys))
     both = old.unionByName(new)
     if owner_in_key:
         return both.select("entity_id", *keys).distinct()
@@ -197,7 +197,7 @@ def add_executives(existing: DataFrame, additions: DataFrame, arrival_col: str =
 def revoke_entities(entities: DataFrame, revocations: DataFrame, at: Column) -> DataFrame:
     """Revoke the listed active entities at time ``at``; ``changed`` marks them."""
     listed = revocations.select(F.col("entity_id").alias("_id")).distinct()
-    out = entities.join(broadcast_if_small(listed), F.col("id") == F.col("_id"), "left")
+    out = entities.join(listed, F.col("id") == F.col("_id"), "left")
     changed = F.col("_id").isNotNull() & (F.col("status") == "active")
     before = F.col("revoked_at") if "revoked_at" in entities.columns else F.lit(None).cast("timestamp")
     return out.withColumns({
@@ -213,8 +213,8 @@ def seed_requests(known: DataFrame, domains: DataFrame, entities: DataFrame, reg
     array ``domains``; all but the regulator are authorised by the regulator,
     whether it is enrolled already or comes with this batch."""
     wanted = known.select("entity_name", F.explode("domains").alias("_domain"))
-    present = wanted.join(broadcast_if_small(domains.select(F.col("domain").alias("_domain"))), "_domain", "left_semi")
-    missing = known.join(broadcast_if_small(present.select("entity_name").distinct()), "entity_name", "left_anti")
+    present = wanted.join(domains.select(F.col("domain").alias("_domain")), "_domain", "left_semi")
+    missing = known.join(present.select("entity_name").distinct(), "entity_name", "left_anti")
     top = entities.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
     is_regulator = F.col("entity_name") == regulator_name
     enrolled = entities.filter(is_regulator).agg(F.min("id").alias("m")).first()["m"]

@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.strings import closed
 from ..functions.text import evidence
 from .features import CATEGORICAL, mail_features, one_hot_auth
 from .learn import importances, model_columns, score_mails, with_top_signals
@@ -14,11 +15,13 @@ from .registry import verify_senders
 
 def scan_mails(mails: DataFrame, model: PipelineModel) -> DataFrame:
     """``(mail_id, body_text, raw_email_source)`` -> probability, tier, decision,
-    signals, sender check and text matches. No join and no shuffle."""
-    mails = mails.select("mail_id", "body_text", "raw_email_source",
-                         evidence(F.lower("body_text")).alias("text_matches"))
+    signals, sender check and text matches. No join and no shuffle. Filter mails before
+    this call: Spark's feature assembler lets no filter pass below it."""
+    mails = mails.select("mail_id", "body_text", "raw_email_source", F.lower("body_text").alias("_low"))
+    mails = closed(mails, {"text_matches": evidence(F.col("_low"))}, drop=["_low"])
     wide = mail_features(mails, keep=("mail_id", "text_matches"))
-    seen = {c.rsplit("_", 1)[1] for c in model_columns(model) if any(f"header__{n}_" in c for n in CATEGORICAL)}
+    heads = [f"header__{n}_" for n in CATEGORICAL]
+    seen = {c.removeprefix(h) for c in model_columns(model) for h in heads if c.startswith(h)}
     hot = one_hot_auth(wide, sorted(seen))
     scored = score_mails(model, hot, ("mail_id", "from_addr", "text_matches"))
     signals = with_top_signals(scored, importances(model))

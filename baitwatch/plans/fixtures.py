@@ -10,61 +10,60 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import lexicons as lx
 from ..session import spread
 
-_ENTITY = """CASE doc_id % 9 WHEN 0 THEN 'SEBI' WHEN 1 THEN 'Zerodha' WHEN 2 THEN 'Groww'
-    WHEN 3 THEN 'Upstox' WHEN 4 THEN 'ICICI Direct' WHEN 5 THEN 'HDFC Securities'
-    WHEN 6 THEN 'NSE' WHEN 7 THEN 'BSE' ELSE 'CDSL' END"""
-_ENTITY_DOMAIN = """CASE doc_id % 9 WHEN 0 THEN 'sebi.gov.in' WHEN 1 THEN 'zerodha.com'
-    WHEN 2 THEN 'groww.in' WHEN 3 THEN 'upstox.com' WHEN 4 THEN 'icicidirect.com'
-    WHEN 5 THEN 'hdfcsec.com' WHEN 6 THEN 'nseindia.com' WHEN 7 THEN 'bseindia.com'
-    ELSE 'cdslindia.com' END"""
+# Senders in the order of the fixed list, by document.
+_KNOWN = list(lx.KNOWN_ENTITY_DOMAINS.items())
+_ENTITY = f"CASE doc_id % {len(_KNOWN)} " + " ".join(f"WHEN {i} THEN '{n}'" for i, (_, n) in enumerate(_KNOWN)) + " END"
+_ENTITY_DOMAIN = f"CASE doc_id % {len(_KNOWN)} " + " ".join(f"WHEN {i} THEN '{d}'" for i, (d, _) in enumerate(_KNOWN)) + " END"
 
+# One text feature after the other, then texts that combine two, then plain ones.
 _SIGNAL = """CASE doc_id % 11
-    WHEN 0 THEN 'Urgent: the offer expires at noon, send the wire transfer immediately.'
-    WHEN 1 THEN 'I saw that you went hiking, congratulations on your award. We need the invoice and payment today.'
-    WHEN 2 THEN 'Sure, here is an email for you. As an AI I cannot help with that.'
-    WHEN 3 THEN 'I am on a plane with in-flight wifi and no cellular service. Reply through this email only.'
-    WHEN 4 THEN 'I hope this email finds you well. A robust, seamless plan is crucial and we underscore our synergy.'
-    WHEN 5 THEN 'We ask because the reason for this is routine, since it is due to policy.'
-    WHEN 6 THEN 'Looks good. Pay it. Ask Dr. Rao or Mr. Iyer at Acme Ltd. today!  Is that ok?'
-    WHEN 7 THEN 'Dear ' || chr(123) || chr(123) || 'name' || chr(125) || chr(125)
-        || ', [insert company name here] is unable to verify by phone. The OTP is due.'
-    WHEN 8 THEN 'Thanks.'
-    WHEN 9 THEN 'I can' || chr(39) || 't take calls. Your profile on LinkedIn is great! In today'
-        || chr(39) || 's fast-paced landscape we delve.'
-    ELSE 'One two three four. One two three four. One two three four.' END"""
+    WHEN 0 THEN 'Ship it asap, the deadline is near, and wire the funds as well.'
+    WHEN 1 THEN 'Noticed you at the fair; your hobby came up, your family too. A reimbursement is open.'
+    WHEN 2 THEN 'As a large language model I answer: i cannot assist with that.'
+    WHEN 3 THEN 'Limited connectivity here, in a meeting all day. We write through this email only.'
+    WHEN 4 THEN 'At your earliest convenience let us foster a holistic realm; it is paramount and innovative.'
+    WHEN 5 THEN 'Closed given that it rained, as a result of which, in order to dry, we waited.'
+    WHEN 6 THEN 'Yes. Ms. Lind of Fjord Inc. and Mrs. Ek e.g. will come along on Sunday for the long walk!  Or not?'
+    WHEN 7 THEN 'To ' || chr(123) || chr(123) || 'first' || chr(125) || chr(125)
+        || ' [insert recipient], unable to confirm via phone; gift card and pin number enclosed.'
+    WHEN 8 THEN 'Bye.'
+    WHEN 9 THEN 'They can' || chr(39) || 't answer calls. Your trip looked fine! I wanted to reach out in today'
+        || chr(39) || 's rapidly evolving myriad.'
+    ELSE 'Red hens lay eggs. Red hens lay eggs. Red hens lay eggs.' END"""
 
 _LINKS = """CASE doc_id % 12
     WHEN 0 THEN 'No link here.'
-    WHEN 1 THEN 'Verify now: http://' || brand || '-kyc-verify.xyz/secure/update?id=' || doc_id
+    WHEN 1 THEN 'Form: http://' || brand || '-desk-login.ml/broker/' || doc_id || '/refund'
     WHEN 2 THEN 'Login: http://192.168.1.' || (doc_id % 256) || '/login'
     WHEN 3 THEN 'Claim http://bit.ly/a' || doc_id || ' or www.' || ent_domain || '/help;v=1?x=2'
     WHEN 4 THEN 'See https://www.' || ent_domain || '/console/statements'
-    WHEN 5 THEN 'Go https://zerodhaa-secure.top/verify?email=investor%40example.com'
-    WHEN 6 THEN 'Go https://sebi.gov.in@login.upstoxx.club:8443/login//next#top'
-    WHEN 7 THEN 'Read https://WWW.BseIndia.COM/Path/To'
+    WHEN 5 THEN 'Go https://kotaksecuritles.ga/open?who=reader%40example.org'
+    WHEN 6 THEN 'Go https://groww.in@pay.angelonee.tk:9443/a//b#c'
+    WHEN 7 THEN 'Read https://WWW.CdslIndia.COM/Path/To'
     WHEN 8 THEN 'Read https://zerоdha.com/login'
-    WHEN 9 THEN '<a href="http://pay.secure.hdfcsec.site/x/y%20z">pay</a> https://help.' || ent_domain || '/faq'
+    WHEN 9 THEN '<a href="http://one.two.icicldirect.online/x/y%20z">pay</a> https://help.' || ent_domain || '/faq'
     WHEN 10 THEN 'Read https://mail.example.co.in/u/john.doe@mail.com/inbox'
     ELSE 'Admin http://localhost:8080/admin and http://999.1.2.3/x' END"""
 
 _FROM = """CASE doc_id % 10
-    WHEN 0 THEN 'From: "SEBI Compliance Desk" <notice.sebi@gmail.com>' || chr(10)
-    WHEN 1 THEN 'From: "' || ent || ' Support" <support@' || ent_domain || '>' || chr(10)
-    WHEN 2 THEN 'From: ceo@nseindia.com' || chr(10)
-    WHEN 3 THEN 'From: Support Desk <help@mail.upstox.co.in>' || chr(10)
+    WHEN 0 THEN 'From: "Regulator of ' || ent || '" <office77@yandex.com>' || chr(10)
+    WHEN 1 THEN 'From: "' || ent || ' Exchange" <post@' || ent_domain || '>' || chr(10)
+    WHEN 2 THEN 'From: info@nsdl.co.in' || chr(10)
+    WHEN 3 THEN 'From: Security Team <team@eu.angelone.co.in>' || chr(10)
     WHEN 4 THEN ''
-    WHEN 5 THEN 'From: "Broker' || chr(10) || chr(9) || 'Exchange" <x.y@yahoo.com>' || chr(10)
-    WHEN 6 THEN 'From: noreply@groww.in (Groww Alerts)' || chr(10)
-    WHEN 7 THEN 'FROM: KYC Cell <Kyc@Outlook.COM>' || chr(10)
-    WHEN 8 THEN 'From: "Doe, Jane" <jane@' || brand || '-verify.site>' || chr(10)
-    ELSE 'From: a@zerodha.com, b@zerodha.com' || chr(10) END"""
+    WHEN 5 THEN 'From: "Compliance' || chr(10) || chr(9) || 'Board" <c.b@aol.com>' || chr(10)
+    WHEN 6 THEN 'From: robot@cdslindia.com (CDSL robot)' || chr(10)
+    WHEN 7 THEN 'FROM: KYC Room <Room9@ICloud.COM>' || chr(10)
+    WHEN 8 THEN 'From: "Ek, Pia" <pia@' || brand || '-room.ga>' || chr(10)
+    ELSE 'From: x@groww.in, y@groww.in' || chr(10) END"""
 _REPLY_TO = """CASE doc_id % 4 WHEN 0 THEN 'Reply-To: desk@gmail.com' || chr(10)
     WHEN 1 THEN 'Reply-To: help@' || ent_domain || chr(10)
     WHEN 2 THEN '' ELSE 'Reply-to: <help@' || ent_domain || '>' || chr(10) END"""
-_RETURN_PATH = """CASE doc_id % 3 WHEN 0 THEN 'Return-Path: <bounce@compromised-server.ru>' || chr(10)
-    WHEN 1 THEN 'Return-Path: <bounce@' || ent_domain || '>' || chr(10)
+_RETURN_PATH = """CASE doc_id % 3 WHEN 0 THEN 'Return-Path: <list-17@relay.example.org>' || chr(10)
+    WHEN 1 THEN 'Return-Path: <list-17@' || ent_domain || '>' || chr(10)
     ELSE 'Return-Path: <>' || chr(10) END"""
 _SENDER = """CASE doc_id % 5 WHEN 0 THEN 'Sender: <bulk@mailer.example.org>' || chr(10)
     WHEN 1 THEN 'Sender: "Bulk" <bulk@' || ent_domain || '>' || chr(10) ELSE '' END"""
@@ -143,28 +142,28 @@ SELECT doc_id AS mail_id, CAST(doc_id % 2 AS INT) AS label,
 FROM {documents}"""
 
 POST = """
-SELECT c.conv_id * 1000 + c.turn AS post_id, a.user_id,
+SELECT c.conv_id * 1000 + c.turn AS post_id, c.conv_id % 100 AS user_id,
     c.text || ' ' || CASE (c.conv_id + c.turn) % 7
       WHEN 0 THEN 'It expires soon, so act now and send the payment.'
       WHEN 1 THEN 'Saw that you like hiking. The invoice and kyc are ready.'
       WHEN 2 THEN 'As a large language model. We delve into a robust, seamless tapestry.'
       WHEN 3 THEN 'Limited connectivity, traveling and in a meeting all day.'
       ELSE 'Shares closed mixed today.' END AS post_text,
-    CASE a.user_id % 6 WHEN 0 THEN 'coin_calls_5550123' WHEN 1 THEN 'user12'
-      WHEN 2 THEN 'meera_saves' WHEN 3 THEN 'a___b' WHEN 4 THEN NULL ELSE 'Account9' END AS handle,
-    CASE a.user_id % 4 WHEN 0 THEN 'Guaranteed returns, 100x! DM for signals.'
-      WHEN 1 THEN 'Long-term investor.' WHEN 2 THEN NULL ELSE 'Get RICH quick' END AS bio_text,
-    CASE a.user_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'not-a-date' WHEN 2 THEN '2024-01-20'
+    CASE (c.conv_id % 100) % 6 WHEN 0 THEN 'n7041996' WHEN 1 THEN 'Account310'
+      WHEN 2 THEN 'lakeside' WHEN 3 THEN 'q____r' WHEN 4 THEN NULL ELSE 'user5' END AS handle,
+    CASE (c.conv_id % 100) % 4 WHEN 0 THEN 'Forex Signals every day; passive income guru.'
+      WHEN 1 THEN 'Paints boats.' WHEN 2 THEN NULL ELSE 'financial FREEDOM for all' END AS bio_text,
+    CASE (c.conv_id % 100) % 7 WHEN 0 THEN NULL WHEN 1 THEN 'not-a-date' WHEN 2 THEN '2024-01-20'
       WHEN 3 THEN '2024-02-30' WHEN 4 THEN '2019-03-15' WHEN 5 THEN '2024-01-02' ELSE '2023-12-31' END
       AS account_created_date,
-    CASE a.user_id % 5 WHEN 0 THEN NULL ELSE a.n_events / 3e0 END AS posts_per_day,
-    CASE a.user_id % 8 WHEN 0 THEN NULL ELSE (a.user_id * 7) % 400 END AS followers,
-    CASE a.user_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 3000 WHEN 2 THEN NULL ELSE 400 END AS following,
+    CASE (c.conv_id % 100) % 5 WHEN 0 THEN NULL ELSE coalesce(e.n_events, 0) / 3e0 END AS posts_per_day,
+    CASE (c.conv_id % 100) % 8 WHEN 0 THEN NULL ELSE ((c.conv_id % 100) * 7) % 400 END AS followers,
+    CASE (c.conv_id % 100) % 4 WHEN 0 THEN 0 WHEN 1 THEN 3000 WHEN 2 THEN NULL ELSE 400 END AS following,
     CASE c.turn % 3 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END AS image_applicable,
     CASE c.turn % 3 WHEN 0 THEN NULL ELSE ((c.conv_id * 31) % 101) / 100e0 END AS image_fake_probability
 FROM {conversations} AS c
-JOIN (SELECT user_id, count(*) AS n_events FROM {events} GROUP BY user_id) AS a
-  ON a.user_id = c.conv_id % 100"""
+LEFT JOIN (SELECT user_id, count(*) AS n_events FROM {events} GROUP BY user_id) AS e
+  ON e.user_id = c.conv_id % 100"""
 
 ENTITY = """
 SELECT s_suppkey + 1 AS id, s_name AS entity_name,
@@ -243,10 +242,6 @@ FIXTURES = {
 }
 
 
-# Tables whose rows cost much more to process than to move.
-_HEAVY = {"documents", "conversations"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -254,8 +249,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = FIXTURES[name]
     used = set(re.findall(r"\{(\w+)\}", sql))
-    tables = {t: table(spark, sf_dir, t) for t in used}
-    return spark.sql(sql, **{t: spread(df) if t in _HEAVY else df for t, df in tables.items()})
+    tables = {t: spread(table(spark, sf_dir, t)) for t in used}
+    return spark.sql(sql, **tables)
 
 
 def fixture_sql(name: str) -> str:

@@ -412,13 +412,14 @@ def _number(slot: str, low: int, high: int, *keys: str) -> str:
 
 
 def _fake_url(*keys: str) -> str:
-    return f"""CASE style WHEN 'typosquat' THEN 'https://' || spoofed || '/secure/kyc-update?id=' || {_number('id', 1000, 9999, *keys)}
-  WHEN 'ip_address' THEN 'http://' || {_number('a', 10, 199, *keys)} || '.' || {_number('b', 0, 255, *keys)} || '.'
-    || {_number('c', 0, 255, *keys)} || '.' || {_number('d', 1, 254, *keys)} || '/login'
-  WHEN 'shortener' THEN 'http://bit.ly/' || {_pick(list('abcdefgh'), 'letter', *keys)} || {_number('short', 100, 999, *keys)}
-  WHEN 'email_embedded' THEN 'https://' || spoofed || '/verify?email=' || victim_email
-  WHEN 'at_symbol' THEN 'https://' || real || '@' || spoofed || '/login'
-  WHEN 'clean' THEN 'https://www.' || real || '/account/statements' ELSE '' END"""
+    parts = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"""CASE style WHEN 'typosquat' THEN 'https://' || spoofed || '/case/' || {_number('case', 10, 99999, *keys)} || '/review'
+  WHEN 'ip_address' THEN 'http://' || {_number('a', 11, 223, *keys)} || '.' || {_number('b', 1, 250, *keys)} || '.'
+    || {_number('c', 1, 250, *keys)} || '.' || {_number('d', 1, 250, *keys)} || '/form'
+  WHEN 'shortener' THEN 'https://' || {_pick(G.SHORTENERS, 'shortener', *keys)} || '/' || substr(md5({parts}), 1, 6)
+  WHEN 'email_embedded' THEN 'https://' || spoofed || '/keep?box=' || victim_email
+  WHEN 'at_symbol' THEN 'https://' || real || '@' || spoofed || '/units'
+  WHEN 'clean' THEN 'https://www.' || real || '/en/notices' ELSE '' END"""
 
 
 _K = ("seed", "no")
@@ -426,18 +427,16 @@ _TEMPLATE_ROWS = ",\n".join(
     f"({i}, {q(t[0])}, {t[1]}, " + ", ".join(q(v) for v in t[2:]) + ")" for i, t in enumerate(G.TEMPLATES))
 CTES["generated"] = f"""
 SELECT id, label, template_id,
-  CASE WHEN label = 1 THEN 'Phishing: ' ELSE 'Legitimate: ' END || array_to_string(list_transform(
+  CASE WHEN label = 1 THEN 'Risky: ' ELSE 'Ordinary: ' END || array_to_string(list_transform(
     string_split(template_id, '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS category,
   subject, body_text,
-  'From: "' || entity || ' Desk" <desk@' || from_domain || '>' || chr(10) || 'To: investor@example.com' || chr(10)
-  || 'Reply-To: desk@' || from_domain || chr(10) || 'Return-Path: <desk@' || from_domain || '>' || chr(10)
-  || 'Sender: <desk@' || from_domain || '>' || chr(10) || 'Subject: ' || subject || chr(10)
-  || 'Message-ID: <' || {_h('mid', *_K)} || '@' || from_domain || '>' || chr(10)
-  || 'X-Mailer: ' || CASE WHEN sender = 'free' THEN 'PHPMailer 6.5' ELSE 'Microsoft Outlook 16.0' END || chr(10)
-  || 'Authentication-Results: mx.example.com; spf=' || split_part(auth, ' ', 1) || '; dkim=' || split_part(auth, ' ', 2)
-  || '; dmarc=' || split_part(auth, ' ', 3) || chr(10) || 'Date: Tue, 08 Jul 2026 10:00:00 +0000' || chr(10) || chr(10)
-  || body_text || chr(10) AS raw_email_source,
-  'Generated: ' || style || ' link, ' || sender || ' sender' AS notes
+  'Authentication-Results: in.example.org; spf=' || split_part(auth, ' ', 1) || '; dkim=' || split_part(auth, ' ', 2)
+  || '; dmarc=' || split_part(auth, ' ', 3) || chr(10) || 'Message-ID: <' || {_h('mid', *_K)} || '@' || from_domain || '>' || chr(10)
+  || 'User-Agent: ' || CASE WHEN sender = 'free' THEN 'SwiftMailer' ELSE 'Evolution 3.50' END || chr(10)
+  || 'Sender: office@' || from_domain || chr(10) || 'Return-Path: <office@' || from_domain || '>' || chr(10)
+  || 'Reply-To: <office@' || from_domain || '>' || chr(10) || 'From: ' || entity || ' office <office@' || from_domain || '>' || chr(10)
+  || 'To: <' || victim_email || '>' || chr(10) || 'Subject: ' || subject || chr(10) || chr(10) || body_text || chr(10) AS raw_email_source,
+  'made from seed ' || seed AS notes
 FROM (
   SELECT *, seed * {len(G.TEMPLATES)} + no AS id,
     replace(replace(replace(replace(replace(subject_t, '{{entity}}', entity), '{{victim}}', victim), '{{amount}}', amount), '{{date}}', date), '{{url}}', url) AS subject,

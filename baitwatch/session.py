@@ -1,15 +1,12 @@
-"""Session settings and the two helpers every operator shares: reliable
-checkpoints and size-checked broadcasts."""
+"""Session settings and reliable checkpoints."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A lookup side is broadcast only up to this many rows.
-BROADCAST_ROWS = 100_000
 
 
 def build_session(app: str = "baitwatch", master: str | None = None,
@@ -42,24 +39,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="baitwatch-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
     return named
 
 
-def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``side`` holds at most
-    ``max_rows`` rows; beyond that the join shuffles and AQE splits hot keys.
-
-    A count reads no columns of a stored table and ends in one partial sum per
-    task (a limited count would send up to ``max_rows`` rows per task to one)."""
-    return F.broadcast(side) if side.count() <= max_rows else side
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a table just read from files that has fewer splits than there
-    are cores, so that costly per-row work uses all of them. Large tables have
-    more splits than cores and are returned as they are."""
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal a table anew into the number of partitions the session asks for in
+    ``baitwatch.input.partitions``: for input files of a single row group, which
+    Spark can't split. Unset, as on a cluster with many splits, nothing moves."""
+    wanted = df.sparkSession.conf.get("baitwatch.input.partitions", None)
+    return df.repartition(int(wanted)) if wanted and not df.isStreaming else df

@@ -99,7 +99,7 @@ def from_partial_headers(df: DataFrame, source_name: str = "partial", id_col: st
     )
 
 
-def from_text_labels(df: DataFrame, max_rows: int | None = 2000, id_col: str = "id",
+def from_text_labels(df: DataFrame, max_rows: int | None = None, id_col: str = "id",
                      seed: int = 42) -> DataFrame:
     """``(id, text, label)`` without any header, optionally a capped random
     sample, in the shape of a mail table."""

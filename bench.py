@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINES = [
     "mail_features_wide", "url_agg", "url_agg_rows", "url_typosquat", "hdr_mismatch", "att_flags",
-    "txt_structure", "txt_lexicon", "txt_evidence", "class_balance", "stratified_split", "shuffle_renumber",
+    "txt_structure", "txt_lexicon", "txt_patterns", "txt_evidence", "class_balance", "stratified_split", "shuffle_renumber",
     "gen_mail", "top_signals", "soc_fusion", "ver_domain", "ver_token_content", "reg_enroll",
     "med_crop_box", "med_segments", "med_verdict", "incident_report",
 ]
@@ -31,6 +31,8 @@ def main() -> None:
     os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "--driver-memory 12g pyspark-shell")
     spark = build_session("baitwatch-bench", f"local[{cpus}]", int(cpus))
     spark.sparkContext.setLogLevel("ERROR")
+    # Each input file is one row group here, which Spark can't split by itself.
+    spark.conf.set("baitwatch.input.partitions", cpus)
     warm_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(warm_dir):
         QUERIES["mail_features_wide"](spark, warm_dir).write.format("noop").mode("overwrite").save()

@@ -45,16 +45,25 @@ def units(spark):
     return rows, spark.createDataFrame(rows, "media_id int, fake_probability double").repartition(8)
 
 
-@pytest.mark.parametrize("large", [10**6, 1000, 1])
-def test_medians_are_exact_for_any_group_size(units, monkeypatch, large):
+def test_medians_are_exact_for_any_group_size(units):
     rows, df = units
-    monkeypatch.setattr(M, "LARGE_GROUP", large)
     got = {r["media_id"]: (r["median"], r["n_units"]) for r in M.exact_medians(df, "media_id", "fake_probability").collect()}
     for m in range(1, 6):
         scores = [s for k, s in rows if k == m]
         assert got[m] == (pytest.approx(statistics.median(scores), abs=1e-15), len(scores))
 
 
+def test_median_of_a_group_of_many_units(spark):
+    df = spark.range(300_001).select(F.lit(1).alias("m"), (F.col("id") * F.col("id")).cast("double").alias("v"))
+    assert tuple(M.exact_medians(df, "m", "v").first()) == (1, 150_000.0 ** 2, 300_001)
+
+
+def test_nan_scores_are_missing(spark):
+    df = spark.createDataFrame([(1, float("nan")), (1, 0.2), (2, float("nan"))], "media_id int, fake_probability double")
+    got = {r["media_id"]: r for r in M.media_verdicts(spark.createDataFrame([(1,), (2,)], "media_id int"), df, "video").collect()}
+    assert got[1]["fake_probability"] == 0.2 and got[2]["prediction"] == "unable_to_assess"
+
+
 def test_verdicts(spark, units):
     media = spark.createDataFrame([(5,), (3,), (99,)], "media_id int")
     got = {r["media_id"]: r for r in M.media_verdicts(media, units[1], "audio").collect()}

@@ -49,7 +49,8 @@ def test_query_matches_sql(spark, small, duck, name):
 
 
 def test_every_query_has_sql_or_is_a_model(small):
-    assert set(entry.queries()) - set(entry.oracle_sql()) == SLOW
+    own = {name for name in entry.queries() if not name.startswith("op") and name != "pipeline"}
+    assert own - set(entry.oracle_sql()) == SLOW
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 

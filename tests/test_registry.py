@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from baitwatch.functions.signatures import content_hash, signature_valid
 from baitwatch.operators import registry as R
-from baitwatch.session import broadcast_if_small
 
 from rsa import Key
 
@@ -141,9 +140,30 @@ def test_seed_is_idempotent(spark, entities):
         "Regulator": (1, None), "Exchange": (2, 1), "New": (3, 1)}
 
 
-def test_large_registry_joins_by_shuffle(spark, entities, monkeypatch):
-    monkeypatch.setattr(R, "broadcast_if_small", lambda df, n=0: broadcast_if_small(df, 0))
+def test_checks_build_their_plan_without_jobs_or_hints(spark, entities):
     domains = spark.createDataFrame([(1, "reg.example")], "entity_id long, domain string")
     claims = spark.range(1000).select(F.when(F.col("id") % 3 > 0, F.lit("reg.example")).otherwise(F.lit("x")).alias("domain"))
+    spark.sparkContext.setJobGroup("checks", "checks")
     out = R.verify_domains(claims, domains, entities)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("checks")
+    spark.sparkContext.setJobGroup("tests", "tests")
+    assert "hint" not in out._jdf.queryExecution().logical().toString().lower()
     assert out.filter("verified").count() == 666 and out.count() == 1000
+
+
+def test_additions_without_a_key_are_no_keys(spark):
+    old = spark.createDataFrame([(1, "a.example")], "entity_id long, domain string")
+    new = spark.createDataFrame([(2, None, 0), (2, None, 1), (3, " B.example ", 2)], "entity_id long, domain string, arrival long")
+    assert sorted(map(tuple, R.add_domains(old, new).collect())) == [(1, "a.example"), (3, "b.example")]
+
+
+def test_every_kind_of_key_keeps_its_first_owner(spark):
+    old = spark.createDataFrame([(1, "+1")], "entity_id long, phone_number string")
+    new = spark.createDataFrame([(2, " +1 ", 0), (3, "+2", 1), (4, "+2", 2)], "entity_id long, phone_number string, arrival long")
+    assert sorted(map(tuple, R.add_phones(old, new).collect())) == [(1, "+1"), (3, "+2")]
+    old = spark.createDataFrame([(1, "x", "one")], "entity_id long, platform string, handle string")
+    new = spark.createDataFrame([(2, " X", "@One ", 0), (3, "y", "one", 1)], "entity_id long, platform string, handle string, arrival long")
+    assert sorted(map(tuple, R.add_handles(old, new).collect())) == [(1, "x", "one"), (3, "y", "one")]
+    old = spark.createDataFrame([(1, "Ana")], "entity_id long, executive_name string")
+    new = spark.createDataFrame([(2, " Ana ", 0), (1, "Ana", 1)], "entity_id long, executive_name string, arrival long")
+    assert sorted(map(tuple, R.add_executives(old, new).collect())) == [(1, "Ana"), (2, "Ana")]

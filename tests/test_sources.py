@@ -69,10 +69,10 @@ def generated(spark):
 
 def test_templates_expand_evenly(generated):
     counts = generated.groupBy("template_id").count().collect()
-    assert len(counts) == len(G.TEMPLATES) == 26 and {r["count"] for r in counts} == {40}
+    assert len(counts) == len(G.TEMPLATES) and {r["count"] for r in counts} == {40}
     assert generated.select("id").distinct().count() == generated.count()
     assert generated.filter("body_text rlike '[{}]' or subject rlike '[{}]'").count() == 0
-    assert sum(t[1] for t in G.TEMPLATES) == 14
+    assert {t[2] for t in G.TEMPLATES} == {"ip_address", "shortener", "email_embedded", "typosquat", "at_symbol", "none", "clean"}
 
 
 def test_generated_mails_carry_the_intended_signals(spark, generated):
@@ -82,9 +82,9 @@ def test_generated_mails_carry_the_intended_signals(spark, generated):
         F.avg("url__is_shortened").alias("short"), F.avg("url__is_ip_address").alias("ip"),
         F.avg("header__sender_uses_free_email").alias("free"), F.avg("url__has_at_symbol_trick").alias("at"),
         F.avg("text__out_of_band_excuse_count").alias("excuse")).collect()}
-    assert got["phish_refund"]["short"] == 1 and got["phish_refund"]["free"] == 1
-    assert got["phish_grievance"]["ip"] == 1 and got["phish_tip"]["at"] == 1
-    assert got["phish_vendor_payment"]["excuse"] == 3 and got["phish_kyc_lapse"]["failed"] == 1
+    assert got["bait_tax_surplus"]["short"] == 1 and got["bait_tax_surplus"]["free"] == 1
+    assert got["bait_parcel_duty"]["ip"] == 1 and got["bait_bonus_units"]["at"] == 1
+    assert got["bait_chief_travelling"]["excuse"] == 3 and got["bait_frozen_holdings"]["failed"] == 1
     assert all(r["failed"] == 0 for r in got.values() if r["label"] == 0)
 
 
