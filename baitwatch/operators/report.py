@@ -30,12 +30,13 @@ def media_with_claims(verdicts: DataFrame, claims: DataFrame, executives: DataFr
 def incident_report(channels: dict[str, DataFrame], key: str = "incident_id") -> DataFrame:
     """One row per incident with the tier and score of every channel, NULL where
     a channel saw nothing. Channel tables hold ``key``, ``risk_tier`` and
-    ``score``, one row per incident."""
-    sides = [
-        df.select(key, F.col("risk_tier").alias(f"{name}_tier"), F.col("score").alias(f"{name}_score"))
-        for name, df in channels.items()
-    ]
-    return reduce(lambda a, b: a.join(b, key, "full_outer"), sides)
+    ``score``, one row per incident. One aggregation, combined on the map side, serves
+    any number of channels."""
+    sides = [df.select(key, F.lit(name).alias("_channel"), "risk_tier", "score") for name, df in channels.items()]
+    rows = reduce(lambda a, b: a.unionByName(b), sides)
+    return rows.groupBy(key).agg(*[
+        F.max(F.when(F.col("_channel") == name, F.col(c))).alias(f"{name}_{short}")
+        for name in channels for c, short in (("risk_tier", "tier"), ("score", "score"))])
 
 
 # Fixed texts per channel: (top tier, suspicious, otherwise).

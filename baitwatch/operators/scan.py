@@ -13,6 +13,12 @@ from .learn import importances, model_columns, score_mails, with_top_signals
 from .registry import verify_senders
 
 
+def model_vocabulary(model: PipelineModel) -> list[str]:
+    """Authentication results the model was fitted with."""
+    heads = [f"header__{n}_" for n in CATEGORICAL]
+    return sorted({c.removeprefix(h) for c in model_columns(model) for h in heads if c.startswith(h)})
+
+
 def scan_mails(mails: DataFrame, model: PipelineModel) -> DataFrame:
     """``(mail_id, body_text, raw_email_source)`` -> probability, tier, decision,
     signals, sender check and text matches. No join and no shuffle. Filter mails before
@@ -20,9 +26,7 @@ def scan_mails(mails: DataFrame, model: PipelineModel) -> DataFrame:
     mails = mails.select("mail_id", "body_text", "raw_email_source", F.lower("body_text").alias("_low"))
     mails = closed(mails, {"text_matches": evidence(F.col("_low"))}, drop=["_low"])
     wide = mail_features(mails, keep=("mail_id", "text_matches"))
-    heads = [f"header__{n}_" for n in CATEGORICAL]
-    seen = {c.removeprefix(h) for c in model_columns(model) for h in heads if c.startswith(h)}
-    hot = one_hot_auth(wide, sorted(seen))
+    hot = one_hot_auth(wide, model_vocabulary(model))
     scored = score_mails(model, hot, ("mail_id", "from_addr", "text_matches"))
     signals = with_top_signals(scored, importances(model))
     return verify_senders(signals).select(

@@ -682,13 +682,29 @@ SELECT domain, arg_min(entity_id, rank * 1000000000000 + seq) AS entity_id FROM
   SELECT entity_id, domain, 0 AS rank, 0 AS seq FROM entity_domain
   UNION ALL SELECT o_custkey + 5000, {strip('lower(domain)')}, 1, o_orderkey FROM claim JOIN orders ON o_orderkey = claim_id)
 GROUP BY domain"""
+SELECTS["reg_enroll_phones"] = f"""
+SELECT phone_number, arg_min(entity_id, rank * 1000000000000 + seq) AS entity_id FROM (
+  SELECT entity_id, phone_number, 0 AS rank, 0 AS seq FROM entity_phone
+  UNION ALL SELECT o_custkey + 5000, {strip('phone_number')}, 1, o_orderkey FROM claim JOIN orders ON o_orderkey = claim_id)
+WHERE phone_number IS NOT NULL GROUP BY phone_number"""
+SELECTS["reg_enroll_handles"] = f"""
+SELECT platform, handle, arg_min(entity_id, rank * 1000000000000 + seq) AS entity_id FROM (
+  SELECT entity_id, platform, handle, 0 AS rank, 0 AS seq FROM entity_handle
+  UNION ALL SELECT o_custkey + 5000, {strip('lower(platform)')}, {strip("ltrim(lower(handle), '@')")}, 1, o_orderkey
+  FROM claim JOIN orders ON o_orderkey = claim_id)
+WHERE platform IS NOT NULL AND handle IS NOT NULL GROUP BY platform, handle"""
+SELECTS["reg_enroll_executives"] = f"""
+SELECT DISTINCT executive_name, entity_id FROM (
+  SELECT entity_id, executive_name FROM entity_executive
+  UNION ALL SELECT o_custkey + 5000, {strip('claimed_speaker_name')} FROM claim JOIN orders ON o_orderkey = claim_id)
+WHERE executive_name IS NOT NULL"""
 SELECTS["reg_enroll_entities"] = """
 SELECT id, entity_name, entity_type, status FROM entity
 UNION ALL SELECT (SELECT max(id) FROM entity) + c_custkey + 1, c_name, 'other', 'active' FROM customer"""
 SELECTS["reg_revoke"] = """
 SELECT e.id, e.entity_name, CASE WHEN r.k IS NOT NULL THEN 'revoked' ELSE e.status END AS status,
   r.k IS NOT NULL AND e.status = 'active' AS changed
-FROM entity AS e LEFT JOIN (SELECT DISTINCT l_suppkey + 1 AS k FROM lineitem WHERE l_returnflag = 'R' AND l_tax > 0.07 AND l_quantity > 49) AS r ON r.k = e.id"""
+FROM entity AS e LEFT JOIN (SELECT l_suppkey + 1 AS k FROM lineitem GROUP BY l_suppkey HAVING count(*) FILTER (WHERE l_returnflag = 'R') * 4 > count(*)) AS r ON r.k = e.id"""
 SELECTS["reg_seed"] = """
 SELECT k.entity_name, (SELECT max(id) FROM entity) + k.request_no AS id,
   CASE WHEN k.entity_name <> 'Supplier#000000000' THEN CAST(1 AS BIGINT) END AS authorized_by_id
@@ -727,8 +743,8 @@ SELECTS["incident_report"] = f"""
 SELECT coalesce(m.mail_id, v.media_id, s.user_id) AS incident_id, {_tier('m.probability', 'PHISHING').replace('CASE', 'CASE WHEN m.probability IS NULL THEN NULL')} AS mail_tier,
   m.probability AS mail_score, v.risk_tier AS video_tier, v.fake_probability AS video_score, s.tier AS social_tier, s.score AS social_score
 FROM prediction AS m FULL JOIN (SELECT * FROM video_verdict) AS v ON v.media_id = m.mail_id
-FULL JOIN (SELECT user_id, max(score) AS score, {_tier('max(score)', 'MANIPULATIVE')} AS tier FROM (
-    SELECT p.user_id, {rounded('f.fused', 4)} AS score FROM post_fused AS f JOIN post AS p ON p.post_id = f.post_id) GROUP BY user_id) AS s
+FULL JOIN (SELECT user_id, max(score) AS score, {_tier('max(fused)', 'MANIPULATIVE')} AS tier FROM (
+    SELECT p.user_id, f.fused, {rounded('f.fused', 4)} AS score FROM post_fused AS f JOIN post AS p ON p.post_id = f.post_id) GROUP BY user_id) AS s
   ON s.user_id = coalesce(m.mail_id, v.media_id)"""
 
 

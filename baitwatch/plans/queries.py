@@ -24,7 +24,7 @@ from ..operators import media as M
 from ..operators import registry as R
 from ..operators import report as RP
 from ..operators.ordering import renumber
-from ..operators.scan import scan_mails
+from ..operators.scan import model_vocabulary, scan_mails
 from ..operators.social import scan_posts, with_behaviour
 from ..operators.urls import aggregate_url_rows, explode_urls
 from ..session import ensure_checkpoint_dir, spread
@@ -358,7 +358,8 @@ def stratified_folds(spark, sf):
 
 
 def _train_columns(spark, sf) -> tuple[DataFrame, list[str]]:
-    hot = FE.one_hot_auth(_wide(spark, sf))
+    wide = _wide(spark, sf)
+    hot = FE.one_hot_auth(wide, FE.auth_vocabulary(wide))
     return hot, FE.feature_columns(hot)
 
 
@@ -393,7 +394,7 @@ def model_cv(spark, sf):
 def model_scores(spark, sf):
     """Fit on the training share, score every mail in bulk."""
     model, _ = _fitted(spark, sf)
-    hot = FE.one_hot_auth(_wide(spark, sf))
+    hot = FE.one_hot_auth(_wide(spark, sf), model_vocabulary(model))
     return L.score_mails(model, hot, ("mail_id", "label")).select(
         "mail_id", "label", "phishing_probability", "risk_tier", "prediction")
 
@@ -562,6 +563,30 @@ def reg_enroll(spark, sf):
     return R.add_domains(_reg(spark, sf, "entity_domain"), additions, "claim_id").select("domain", "entity_id")
 
 
+def _claims_by_customer(spark, sf, *columns):
+    orders = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("claim_id"), (F.col("o_custkey") + 5000).alias("entity_id"))
+    return fixture(spark, sf, "claim").select("claim_id", *columns).join(orders, "claim_id")
+
+
+@query
+def reg_enroll_phones(spark, sf):
+    added = _claims_by_customer(spark, sf, "phone_number")
+    return R.add_phones(_reg(spark, sf, "entity_phone"), added, "claim_id").select("phone_number", "entity_id")
+
+
+@query
+def reg_enroll_handles(spark, sf):
+    added = _claims_by_customer(spark, sf, "platform", "handle")
+    return R.add_handles(_reg(spark, sf, "entity_handle"), added, "claim_id").select("platform", "handle", "entity_id")
+
+
+@query
+def reg_enroll_executives(spark, sf):
+    added = _claims_by_customer(spark, sf, "claimed_speaker_name").withColumnRenamed("claimed_speaker_name", "executive_name")
+    return R.add_executives(_reg(spark, sf, "entity_executive"), added, "claim_id").select("executive_name", "entity_id")
+
+
 @query
 def reg_enroll_entities(spark, sf):
     requests = table(spark, sf, "customer").select(
@@ -573,8 +598,10 @@ def reg_enroll_entities(spark, sf):
 
 @query
 def reg_revoke(spark, sf):
-    hit = (F.col("l_returnflag") == "R") & (F.col("l_tax") > 0.07) & (F.col("l_quantity") > 49)
-    revocations = table(spark, sf, "lineitem").filter(hit).select((F.col("l_suppkey") + 1).alias("entity_id"))
+    """Suppliers with more than a quarter of their lines returned."""
+    shares = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(
+        F.count_if(F.col("l_returnflag") == "R").alias("back"), F.count("*").alias("n"))
+    revocations = shares.filter("back * 4 > n").select((F.col("l_suppkey") + 1).alias("entity_id"))
     out = R.revoke_entities(_reg(spark, sf, "entity"), revocations, F.lit("2026-01-01 00:00:00").cast("timestamp"))
     return out.select("id", "entity_name", "status", "changed")
 
@@ -656,9 +683,13 @@ def incident_report(spark, sf):
         F.col("mail_id").alias("incident_id"), risk_tier(p, "PHISHING").alias("risk_tier"), p.alias("score"))
     video = _verdicts(spark, sf, "video").select(
         F.col("media_id").alias("incident_id"), "risk_tier", F.col("fake_probability").alias("score"))
+    order = F.array(*[F.lit(t) for t in ("SAFE", "SUSPICIOUS", "MANIPULATIVE")])
     worst = (scan_posts(fixture(spark, sf, "post"), F.lit(AS_OF).cast("date"), ("user_id",))
-             .groupBy(F.col("user_id").alias("incident_id")).agg(F.max("fused_risk_score").alias("score")))
-    social = worst.withColumn("risk_tier", risk_tier(F.col("score"), "MANIPULATIVE"))
+             .groupBy(F.col("user_id").alias("incident_id")).agg(
+                 F.max("fused_risk_score").alias("score"),
+                 F.max(F.array_position(order, F.col("risk_tier"))).alias("_worst")))
+    # Tiers rise with the score before rounding, so the worst tier is that of the highest.
+    social = worst.select("incident_id", F.element_at(order, F.col("_worst").cast("int")).alias("risk_tier"), "score")
     return RP.incident_report({"mail": mail, "video": video, "social": social})
 
 

@@ -3,6 +3,8 @@ are narrow, so they run in append mode without state or watermark."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +70,17 @@ def scan_post_stream(posts: DataFrame, handles: DataFrame, entities: DataFrame,
     return verify_handles(scanned, handles, entities)
 
 
+def route_posts(posts: DataFrame, registry: Callable[[], tuple[DataFrame, DataFrame]], as_of: Column,
+                scanned: str, checkpoint: str) -> StreamingQuery:
+    """Post verdicts with the registry as it is at each micro-batch: ``registry`` gives
+    handles and entities anew, so an entity revoked meanwhile is no longer verified."""
+    def one(batch: DataFrame, batch_id: int) -> None:
+        write_batch_once(scan_post_stream(batch, *registry(), as_of), scanned, batch_id)
+
+    return (posts.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def write_stream(df: DataFrame, out: str, checkpoint: str, file_format: str = "parquet") -> StreamingQuery:
     """Process what has landed, then stop; restart resumes at the checkpoint."""
     return (df.writeStream.format(file_format).outputMode("append")

@@ -96,6 +96,26 @@ def test_post_stream_equals_batch(spark, small, tmp_path):
     assert got.filter("verified").count() == 0 < got.filter("status = 'revoked'").count()
 
 
+def test_posts_meet_the_registry_of_their_batch(spark, tmp_path):
+    path = str(tmp_path / "in")
+    row = ("p", "x", "one")
+    posts = spark.createDataFrame([row], "post_text string, platform string, handle string")
+    full = posts.select(*[F.col(f.name) if f.name in posts.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in ST.POST_INPUT.fields])
+    handles = spark.createDataFrame([(1, "x", "one")], "entity_id long, platform string, handle string")
+    status = ["active"]
+
+    def registry():
+        return handles, spark.createDataFrame([(1, "One", status[0])], "id long, entity_name string, status string")
+
+    for now in ("active", "revoked"):
+        status[0] = now
+        full.write.mode("append").parquet(path)
+        ST.route_posts(ST.read_landing(spark, path, ST.POST_INPUT), registry, F.lit("2024-02-01").cast("date"),
+                       str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(240)
+    got = spark.read.parquet(str(tmp_path / "out")).select("batch_id", "verified").collect()
+    assert sorted(map(tuple, got)) == [(0, True), (1, False)]
+
+
 def test_uploads_are_routed_once(spark, small, tmp_path):
     fixture(spark, small, "upload").select("path", "kind", "length").repartition(2).write.parquet(str(tmp_path / "in"))
     landed = ST.read_landing(spark, str(tmp_path / "in"), ST.UPLOAD_INPUT, max_files=1)
