@@ -17,7 +17,7 @@ SEED = 3
 # Seeds kept of every item: its rarest half, and this many at least.
 LEAST_SEEDS = 8
 # An item counts as found from this part of its best possible score.
-FOUND = 0.5
+FOUND = 0.4
 MATCH, MISMATCH, GAP = 2, -2, 2
 
 

@@ -5,8 +5,11 @@ truncations are answered from these counts, without encoding a prefix again."""
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,9 @@ from baitwatch.llm.token_pieces import WHITE, fill, keys_of, pieces
 PATTERN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
+# Letters below are the same in all Unicode versions in use.
+LATIN_END = "\u0220"
+
 
 @lru_cache
 def byte_letters() -> dict[str, int]:
@@ -42,7 +48,8 @@ class PrefixCounts:
         special = {t["content"] for t in spec.get("added_tokens") or []}
         self.ids = {raw(t): k for t, k in spec["model"]["vocab"].items() if t not in special}
         self.bytes = {k: t for t, k in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        # Every beginning of a token; -1 where it is none itself.
+        self.starts = {t[:k]: -1 for t in self.ids for k in range(1, len(t))} | self.ids
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         # Of each token the merge that makes it: its rank and its two parts.
         self.ranks: dict[tuple[int, int], int] = {}
@@ -52,23 +59,14 @@ class PrefixCounts:
             self.ranks[x, y] = n
             if self.made[z][0] < 0:
                 self.made[z] = (n, x, y)
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.known: dict[str, list[int]] = {}
 
-    def compatible(self, before: int, token: int) -> bool:
+    def _stay(self, x: int, y: int) -> bool:
         """True if the two tokens stay as they are when encoded together. The merges
         that made them are undone from the latest on; the pair that meets at the
         border in between must never come before the merge that was undone. Of equal
         ranks the left one comes first, so the border comes before the right token."""
-        key = (before, token)
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) > 500_000:
-                self.fits.clear()
-            known = self.fits[key] = self._stay(before, token)
-        return known
-
-    def _stay(self, x: int, y: int) -> bool:
         made, ranks = self.made, self.ranks
         limit = len(ranks)
         while True:
@@ -84,19 +82,38 @@ class PrefixCounts:
 
     def piece(self, text: bytes) -> list[int]:
         """Tokens of every prefix of a piece, from the empty one on."""
-        counts, last, ids, longest = [0], [-1], self.ids, self.longest
-        for end in range(1, len(text) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids.get(text[start:end])
-                if token is not None and (start == 0 or self.compatible(last[start], token)):
-                    counts.append(counts[start] + 1)
-                    last.append(token)
+        n = len(text)
+        counts, last = [0, *[-1] * n], [-1] * (n + 1)
+        find, fits, stay = self.starts.get, self.fits, self._stay
+        for start in range(n):
+            before, count = last[start], counts[start] + 1
+            for end in range(start + 1, n + 1):
+                token = find(text[start:end])
+                if token is None:
                     break
+                if token < 0 or counts[end] >= 0:
+                    continue
+                if start:
+                    key = before << 32 | token
+                    fit = fits.get(key)
+                    if fit is None:
+                        fit = fits[key] = stay(before, token)
+                    if not fit:
+                        continue
+                counts[end], last[end] = count, token
+        if len(fits) > 1_000_000:
+            fits.clear()
         return counts
 
     def split(self, text: str) -> list[tuple[int, int]]:
-        """Places of the pieces: by the pattern for ASCII, else by the library, whose
-        tables of letters and numbers may be of another Unicode version."""
+        """Places of the pieces: at once for a word, with a mark after it, by the pattern
+        for ASCII, else by the library, whose tables of letters and numbers may be of
+        another Unicode version than Python's."""
+        body = text[1:] if text[:1] == " " else text
+        if body.isalpha() and max(body) < LATIN_END:
+            return [(0, len(text))]
+        if body[:-1].isalpha() and body[-1] in ".,;:!?" and max(body) < LATIN_END:
+            return [(0, len(text) - 1), (len(text) - 1, len(text))]
         if text.isascii():
             return [m.span() for m in PATTERN.finditer(text)]
         return [at for _, at in self.pre.pre_tokenize_str(text)]
@@ -107,9 +124,9 @@ class PrefixCounts:
         if known is None:
             known = self.piece(piece.encode())
             if not piece.isascii():
-                at = np.cumsum([0, *[len(c.encode()) for c in piece]]).tolist()
-                known = [known[k] for k in at]
-            if len(self.known) > 200_000:
+                ends = accumulate(1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4 for c in piece)
+                known = [0, *[known[k] for k in ends]]
+            if len(self.known) > 400_000:
                 self.known.clear()
             if len(piece) <= 32:
                 self.known[piece] = known
@@ -120,7 +137,7 @@ class PrefixCounts:
         a piece leaves all pieces before it alone, except where white space or an
         apostrophe stands near: there the last pieces are split anew."""
         spans = self.split(text)
-        white = len(text) - len(text.lstrip(WHITE))
+        white = len(text) - len(text.lstrip(WHITE)) if text[1:2] in WHITE else 1
         if white <= 1 and "'" not in text:
             counts, base = [], 0
             for a, b in spans:
@@ -139,7 +156,7 @@ class PrefixCounts:
                 first = max(which - 3, 0)
                 rest = text[spans[first][0]:cut]
                 counts.append(sums[first] + sum(self.steps(rest[a:b])[-1] for a, b in self.split(rest)))
-        return np.diff(np.array(counts, np.int64), prepend=0).astype("<i2").tobytes()
+        return array("h", map(sub, counts, [0, *counts[:-1]])).tobytes()
 
 
 def prefix_counts(texts: list[str], path: str) -> list[np.ndarray]:

@@ -13,7 +13,7 @@ from baitwatch.llm.common import worker_memo
 # The white space that the tokenizer's pattern knows (fixed by Unicode).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 # Chunks kept in a worker; the memo starts anew beyond that.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 800_000
 MEMO_CHARS = 64
 
 _CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
