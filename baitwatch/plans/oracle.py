@@ -763,6 +763,12 @@ SELECT p.mail_id, {_verdict_sql('mail', _tier('p.probability', 'PHISHING'))} AS
 FROM (SELECT *, regexp_replace(replace(f, '_', ' '), '^(text|header|url)  ', '') AS w
       FROM (SELECT *, {sql_list(sorted(MODEL_NAMES))}[mail_id % {len(MODEL_NAMES)} + 1] AS f FROM prediction)) AS p"""
 del SELECTS["txt_documents"]
+SELECTS["mail_scan_facts"] = f"""
+SELECT s.mail_id, s.sender_verified, s.sender_entity, s.domain_checked, true AS sound, e.category, e.matches
+FROM ({SELECTS["ver_sender"]}) AS s, ({SELECTS["txt_evidence"]}) AS e WHERE e.mail_id = s.mail_id"""
+SELECTS["model_facts"] = f"""
+SELECT CAST({len(MODEL_NAMES)} AS BIGINT) AS n_features, true AS none_negative, 1.0::DOUBLE AS total
+FROM (SELECT count(*) FROM documents)"""
 
 
 def oracle_sql() -> dict[str, str]:

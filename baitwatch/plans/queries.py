@@ -410,6 +410,27 @@ def mail_scan(spark, sf):
     return scan_mails(fixture(spark, sf, "mail"), _fitted(spark, sf)[0])
 
 
+@query
+def mail_scan_facts(spark, sf):
+    """What the mail answer says apart from the fitted trees: sender check and all
+    text matches, and that probability, tier and decision are of their domains."""
+    scanned = scan_mails(fixture(spark, sf, "mail"), _fitted(spark, sf)[0])
+    sound = (F.col("phishing_probability").between(0, 1) & F.col("risk_tier").isin("SAFE", "SUSPICIOUS", "PHISHING")
+             & F.col("prediction").isin("phishing", "legitimate") & (F.size("top_risk_signals") <= lx.TOP_RISK_SIGNALS))
+    return scanned.select(
+        "mail_id", "sender_verified", "sender_entity", "domain_checked", sound.alias("sound"),
+        F.explode("text_matches").alias("category", "terms")).withColumn("matches", F.array_join("terms", "|")).drop("terms")
+
+
+@query
+def model_facts(spark, sf):
+    """Importances of the fitted model: one per feature, none negative, one in sum."""
+    found = L.importances(_fitted(spark, sf)[0])
+    return spark.createDataFrame(list(found.items()), "feature string, importance double").agg(
+        F.count("*").alias("n_features"), F.min(F.col("importance") >= 0).alias("none_negative"),
+        F.round(F.sum("importance"), 6).alias("total"))
+
+
 @query
 def eval_metrics(spark, sf):
     return L.evaluate(fixture(spark, sf, "prediction"))
