@@ -13,6 +13,30 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import lexicons as lx
 from ..session import spread
 
+# Two public test keys and their signatures of one notice. The private
+# keys were made for this and thrown away.
+NOTICE = "Units are redeemed on the last Friday of the month."
+PUBLIC_KEYS = ((
+    "-----BEGIN PUBLIC KEY-----\n"
+    "MIGfMA0GCSqGSIb3DQEBAQUAA4GNADCBiQKBgQDr0KxRGJWgfPTAiRt0gtnOPwKcd9CBKIfg4PxQ\n"
+    "ChmoMRrr3LNmiuQqo6OLCcBvsNzVv9C6zlxQTjN1HktqRQZKKi1ogz/yPzF4rClzBCqgS1BXWPxJ\n"
+    "UB1ow+SMgYZOO1g0leuZJyJXYsmk43v9h547+HSVr1nOg3k2el1uERSIjQIDAQAB\n"
+    "-----END PUBLIC KEY-----\n"
+), (
+    "-----BEGIN PUBLIC KEY-----\n"
+    "MIGfMA0GCSqGSIb3DQEBAQUAA4GNADCBiQKBgQCfHGNVLtdN2ordSvf+TY6URVEhQPzOk7dzD1eS\n"
+    "LM24SB/ba8mtsrdKoBHlWNd9r2jylw67PlOSS0QaeVhU93Xz87y5MpJ/Gfq65Nm60XNHS3cT0ecR\n"
+    "SrbuISZiPVEWpCE6nnh8V42jSfrFwsFWi0QjB7ID91gN4KEv13NwJ+Fx4QIDAQAB\n"
+    "-----END PUBLIC KEY-----\n"
+))
+SIGNATURES = ((
+    "Ge9TSZCpbBHfWRBbCfAN41QjdWJzT+xT1IlMp64FazGZCdGj9mpCVCSaT3aVRtzUE7QHA+UWBiEeu1EISmA0J7qhm9BS7Vk0zRo2"
+    "Oro9GhpRYtVsCf+eFg9rAGlDMQcoNJJxQs6JE2X0PdkzXPkcoKc6aFfkZt4pAhzn0u7TNpE="
+), (
+    "c++8Ey67niYd2mYRlWXZ2C9JdFdkjmQrU3/iVoEuraxfs+3rukV8R7L1GrPOR1kgu0vHtLYMxanKg/EEBDt1f/kTGp+Ne90bO+VL"
+    "mhnqmsrzXkuOR+2wBBwi00Kg74/epYzJQVCgxAqptQeBHDl30pGlvA2/6Vn8hdnnQNJEXPo="
+))
+
 # Senders in the order of the fixed list, by document.
 _KNOWN = list(lx.KNOWN_ENTITY_DOMAINS.items())
 _ENTITY = f"CASE doc_id % {len(_KNOWN)} " + " ".join(f"WHEN {i} THEN '{n}'" for i, (_, n) in enumerate(_KNOWN)) + " END"
@@ -165,14 +189,14 @@ FROM {conversations} AS c
 LEFT JOIN (SELECT user_id, count(*) AS n_events FROM {events} GROUP BY user_id) AS e
   ON e.user_id = c.conv_id % 100"""
 
-ENTITY = """
+ENTITY = f"""
 SELECT s_suppkey + 1 AS id, s_name AS entity_name,
     CASE s_nationkey % 4 WHEN 0 THEN 'regulator' WHEN 1 THEN 'exchange' WHEN 2 THEN 'broker' ELSE 'other' END AS entity_type,
     CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'INZ' || s_suppkey END AS registration_number,
-    'PEM-' || s_suppkey AS public_key_pem,
+    CASE s_suppkey % 2 WHEN 0 THEN '{PUBLIC_KEYS[0]}' ELSE '{PUBLIC_KEYS[1]}' END AS public_key_pem,
     CASE WHEN s_suppkey % 7 = 0 THEN 'revoked' ELSE 'active' END AS status,
     CASE WHEN s_suppkey = 0 THEN NULL ELSE 1 END AS authorized_by_id
-FROM {supplier}"""
+FROM {{supplier}}"""
 ENTITY_DOMAIN = "SELECT s_suppkey + 1 AS entity_id, 's' || s_suppkey || '.example.com' AS domain FROM {supplier}"
 ENTITY_PHONE = "SELECT s_suppkey + 1 AS entity_id, '+91-22-' || (4000000 + s_suppkey) AS phone_number FROM {supplier}"
 ENTITY_HANDLE = """SELECT s_suppkey + 1 AS entity_id,
@@ -194,16 +218,19 @@ SELECT o_orderkey AS claim_id,
       WHEN 2 THEN 'exec 1' ELSE 'Exec ' || (o_custkey % 45) END AS claimed_speaker_name
 FROM {orders}"""
 
-COMMUNICATION = """
+# Every second turn is the notice, signed by its entity's key or by the other one.
+COMMUNICATION = f"""
 SELECT conv_id % 90 + 1 AS entity_id, 'tok-' || conv_id || '-' || turn AS verification_token,
-    text AS content, CASE turn % 2 WHEN 0 THEN 'email' ELSE 'sms' END AS channel,
-    'Turn ' || turn AS subject, 'AAAA' AS signature_b64
-FROM {conversations}"""
-TOKEN_CLAIM = """
+    CASE WHEN turn % 2 = 0 THEN '{NOTICE}' ELSE text END AS content, CASE turn % 2 WHEN 0 THEN 'email' ELSE 'sms' END AS channel,
+    'Turn ' || turn AS subject,
+    CASE WHEN turn % 2 = 1 THEN 'AAAA' WHEN (conv_id % 90 + (turn % 4) * 0.5) % 2 = 0 THEN '{SIGNATURES[0]}' ELSE '{SIGNATURES[1]}' END AS signature_b64
+FROM {{conversations}}"""
+TOKEN_CLAIM = f"""
 SELECT conv_id * 1000 + turn AS claim_id,
     CASE WHEN (conv_id + turn) % 11 = 0 THEN 'missing-' || conv_id ELSE 'tok-' || conv_id || '-' || turn END AS token,
-    CASE WHEN (conv_id + turn) % 5 = 0 THEN text || ' altered' ELSE '  ' || text || chr(10) END AS content
-FROM {conversations}"""
+    CASE WHEN (conv_id + turn) % 5 = 0 THEN text || ' altered' WHEN turn % 2 = 0 THEN '{NOTICE}'
+      ELSE '  ' || text || chr(10) END AS content
+FROM {{conversations}}"""
 
 MEDIA = "SELECT c_custkey AS media_id, c_custkey AS incident_id FROM {customer}"
 MEDIA_UNIT = """

@@ -10,7 +10,7 @@ from ..functions import lexicons as lx
 from ..functions.domains import rule_suffixes
 from ..operators.report import SIGNAL_TEXTS, VERDICT_TEXTS
 from ..sources import generator as G
-from .fixtures import FIXTURES, fixture_sql
+from .fixtures import FIXTURES, NOTICE, SIGNATURES, fixture_sql
 
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_WS = "[^" + WS[1:]
@@ -671,9 +671,17 @@ SELECTS["ver_token"] = """
 SELECT t.claim_id, t.token, e.entity_name, e.entity_type, e.status AS entity_status, c.content_hash, c.channel, c.subject,
   e.status = 'active' AS currently_valid, 'https://verify.example/v/' || t.token AS link
 FROM token_claim AS t JOIN communication_hashed AS c ON c.verification_token = t.token JOIN entity AS e ON e.id = c.entity_id"""
+# The notice under the signature of the entity's own key; nothing else is signed.
+_SIGNED = f"(c.content = {q(NOTICE)} AND c.signature_b64 = CASE WHEN e.id % 2 = 1 THEN {q(SIGNATURES[0])} ELSE {q(SIGNATURES[1])} END)"
+SELECTS["ver_signature"] = f"""
+SELECT c.verification_token AS token, e.entity_name, CASE WHEN e.id IS NULL THEN 'unknown_entity' WHEN e.status <> 'active' THEN 'entity_revoked'
+  WHEN {_SIGNED} THEN NULL ELSE 'signature_mismatch' END AS reason, coalesce(e.status = 'active' AND {_SIGNED}, false) AS verified
+FROM (SELECT * REPLACE (CASE WHEN channel = 'sms' AND length(content) % 9 = 0 THEN entity_id + 1000000 ELSE entity_id END AS entity_id)
+      FROM communication) AS c LEFT JOIN entity AS e ON e.id = c.entity_id"""
 SELECTS["ver_token_content"] = f"""
 SELECT t.claim_id, e.entity_name, CASE WHEN c.verification_token IS NULL THEN 'unknown_token' WHEN e.status <> 'active' THEN 'entity_revoked'
-  WHEN sha256({strip('t.content')}) <> c.content_hash THEN 'content_tampered' ELSE 'signature_mismatch' END AS reason, false AS verified
+  WHEN sha256({strip('t.content')}) <> c.content_hash THEN 'content_tampered' WHEN {_SIGNED} THEN NULL ELSE 'signature_mismatch' END AS reason,
+  c.verification_token IS NOT NULL AND e.status = 'active' AND sha256({strip('t.content')}) = c.content_hash AND {_SIGNED} AS verified
 FROM token_claim AS t LEFT JOIN (SELECT h.* FROM communication_hashed AS h JOIN entity AS o ON o.id = h.entity_id) AS c ON c.verification_token = t.token
 LEFT JOIN entity AS e ON e.id = c.entity_id"""
 SELECTS["content_hash"] = f"SELECT doc_id, sha256({strip('text')}) AS content_hash FROM documents"

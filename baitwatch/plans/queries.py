@@ -568,6 +568,16 @@ def ver_token_content(spark, sf):
     return out.select("claim_id", "entity_name", "reason", "verified")
 
 
+@query
+def ver_signature(spark, sf):
+    """Contents that carry entity and signature themselves; some name no known entity."""
+    lost = (F.col("channel") == "sms") & (F.length("content") % 9 == 0)
+    claims = fixture(spark, sf, "communication").withColumn(
+        "entity_id", F.when(lost, F.col("entity_id") + 1_000_000).otherwise(F.col("entity_id")))
+    out = R.verify_signed_contents(claims.withColumnRenamed("verification_token", "token"), _reg(spark, sf, "entity"))
+    return out.select("token", "entity_name", "reason", "verified")
+
+
 @query
 def content_hash_(spark, sf):
     return table(spark, sf, "documents").select("doc_id", content_hash(F.col("text")).alias("content_hash"))
