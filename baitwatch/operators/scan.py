@@ -31,4 +31,5 @@ def scan_mails(mails: DataFrame, model: PipelineModel) -> DataFrame:
     signals = with_top_signals(scored, importances(model))
     return verify_senders(signals).select(
         "mail_id", "phishing_probability", "risk_tier", "prediction", "top_risk_signals", "top_trust_signals",
-        "sender_verified", "sender_entity", "domain_checked", "text_matches")
+        "sender_verified", "sender_entity", "domain_checked", "text_matches",
+        F.struct(*model_columns(model)).alias("raw_features"))

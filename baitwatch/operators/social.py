@@ -10,6 +10,7 @@ from ..functions.lexicons import TOP_TIER
 from ..functions.numbers import round_exact
 from ..functions.scoring import risk_tier
 from ..functions.strings import flag
+from ..functions.text import TEXT_FEATURES
 from .features import with_text_features
 
 
@@ -18,7 +19,9 @@ def with_behaviour(df: DataFrame, as_of: Column) -> DataFrame:
     return df.withColumns(S.red_flag_stage(F.col))
 
 
-def scan_posts(posts: DataFrame, as_of: Column, keep: tuple[str, ...] = ("post_id",)) -> DataFrame:
+def scan_posts(posts: DataFrame, as_of: Column, keep: tuple[str, ...] = ("post_id",),
+               features: bool = True) -> DataFrame:
+    """Scores and tier of each post, with the features behind them unless left out."""
     df = with_behaviour(with_text_features(posts, "post_text"), as_of)
     df = df.withColumns({"_text": S.text_risk(F.col),
                          "_account": S.behaviour_risk(F.col("behavioral_red_flag_count"))})
@@ -33,4 +36,6 @@ def scan_posts(posts: DataFrame, as_of: Column, keep: tuple[str, ...] = ("post_i
         F.when(F.col("image_applicable").isNotNull(), round_exact(image, 4)).alias("image_risk_score"),
         "image_applicable",
         round_exact(F.col("_account"), 4).alias("behavioral_risk_score"),
+        *([F.struct(*TEXT_FEATURES).alias("text_features"), F.struct(*S.BEHAVIOUR_FEATURES).alias("behavioral_features")]
+          if features else []),
     )

@@ -504,7 +504,7 @@ def soc_text_risk(spark, sf):
 
 @query
 def soc_fusion(spark, sf):
-    return scan_posts(fixture(spark, sf, "post"), F.lit(AS_OF).cast("date"))
+    return scan_posts(fixture(spark, sf, "post"), F.lit(AS_OF).cast("date"), features=False)
 
 
 # --- Registry ---------------------------------------------------------------

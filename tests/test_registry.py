@@ -167,3 +167,21 @@ def test_every_kind_of_key_keeps_its_first_owner(spark):
     old = spark.createDataFrame([(1, "Ana")], "entity_id long, executive_name string")
     new = spark.createDataFrame([(2, " Ana ", 0), (1, "Ana", 1)], "entity_id long, executive_name string, arrival long")
     assert sorted(map(tuple, R.add_executives(old, new).collect())) == [(1, "Ana"), (2, "Ana")]
+
+
+def test_registry_tables_round_trip_and_rules(spark, tmp_path):
+    from baitwatch.sources import registry_tables as T
+
+    tables = {
+        "entities": spark.createDataFrame([(1, "One", "broker", "PEM", "active"), (1, "Two", "broker", "PEM", "gone")],
+                                          "id long, entity_name string, entity_type string, public_key_pem string, status string"),
+        "entity_domains": spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "entity_id long, domain string")}
+    for name in T.SCHEMAS:
+        tables.setdefault(name, spark.createDataFrame([], T.SCHEMAS[name]))
+    T.save_registry(tables, str(tmp_path))
+    loaded = T.load_registry(spark, str(tmp_path))
+    assert set(loaded) == set(T.SCHEMAS) and loaded["entities"].count() == 2
+    assert loaded["entities"].columns[-1] == "revoked_at"
+    got = {(r["table_name"], r["rule"]): r["n_rows"] for r in T.violations(loaded).collect()}
+    assert got == {("entities", "id repeats"): 2, ("entities", "status is unknown"): 1,
+                   ("entity_domains", "domain is null"): 1, ("entity_domains", "domain repeats"): 2}
