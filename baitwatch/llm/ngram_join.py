@@ -284,6 +284,8 @@ def components(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest id; columns as in the
-    input. Documents with an empty set stay."""
+    input. Documents with an empty set stay. Of repeated rows of an id one stays. Rows
+    with a null doc_id are in no component and stay."""
     first = components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    kept = docs.join(first, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return kept.union(docs.where("doc_id is null"))

@@ -79,6 +79,7 @@ def test_components_corner(spark, corner, empty):
     assert got == [(0, 0), (0, 1), (1, 1), (2, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (7, 1), (8, 8), (9, 9)]
     assert ngram_join.components(empty).count() == 0
     assert ngram_join.keep_first(empty).count() == 0
+    assert sorted(r["doc_id"] or 0 for r in ngram_join.keep_first(corner).collect()) == [0, 0, 1, 3, 4, 5, 6, 8, 9]
 
 
 def test_connected_finds_long_chains(spark):
