@@ -11,6 +11,7 @@ from baitwatch.llm.common import SEPARATORS, SEPARATOR_RUN, stage
 
 # Fixed number of bins of the sampling order in which words are added up first.
 BINS = 4096
+SALTS = 64
 # Digits of the md5 that make the uniform number (13 hexadecimal digits: 52 bits).
 UNIFORM_DIGITS = 13
 
@@ -97,7 +98,10 @@ def allot(rows: DataFrame, doc_id: Column, source: Column, weights: tuple[int, .
     cuts = crossing.join(cut, F.col("_cs").eqNullSafe(F.col("_us")), "left").select("_cs", "_cb", "_cut")
     limits = targets.join(cuts, F.col("_ts").eqNullSafe(F.col("_cs")), "left").select(
         "_ts", "source_size", "target", "_whole", F.col("_cb"), "_cut")
-    chosen = keyed.join(limits, F.col("_src").eqNullSafe(F.col("_ts")))
+    # A source's rows are dealt over SALTS keys, so none meets its limits in one task.
+    limits = limits.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = keyed.withColumn("_salt", F.pmod(F.xxhash64(doc_id, F.col("size"), F.col("_q")), F.lit(SALTS)).cast("int"))
+    chosen = dealt.join(limits, F.col("_src").eqNullSafe(F.col("_ts")) & (F.col("_salt") == F.col("_part")))
     extra = F.coalesce((F.col("_bin") < F.col("_cb")) | (F.col("_q") <= F.col("_cut")), F.lit(False)).cast("long")
     copies = F.col("_whole") + extra
     return chosen.select(*rows.columns, "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
