@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from baitwatch.llm.common import chain, key_filter, may_be, stage, text_blocks, words_of
 
 SHINGLE = 5
+# Rounds in which components meet through one member each, before every remaining pair
+# across components is held against each other; they save pairs, not results.
+ROUNDS = 2
 # Fixed number of cells in which token frequencies are counted; they only set the order.
 CELL_BITS = 16
 
@@ -236,7 +239,7 @@ def components(docs: DataFrame) -> DataFrame:
         return stage(rows.join(open_, "tok", "left_semi").groupBy("tok", "g", "n", "label").agg(F.min("at").alias("at")), "alive")
 
     rows = alive(labelled())
-    while True:
+    for _ in range(ROUNDS):
         members = rows.groupBy("tok", "label").agg(F.min(F.struct("g", "n")).alias("m"))
         first = members.groupBy("tok").agg(F.min(F.struct("label", "m")).alias("f"))
         pairs = members.join(first, "tok").where(F.col("label") != F.col("f.label")).groupBy(
