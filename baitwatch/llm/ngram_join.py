@@ -26,7 +26,7 @@ from baitwatch.llm.common import chain, key_filter, may_be, stage, text_blocks,
 SHINGLE = 5
 # Rounds in which components meet through one member each, before every remaining pair
 # across components is held against each other; they save pairs, not results.
-ROUNDS = 2
+ROUNDS = 6
 # Fixed number of cells in which token frequencies are counted; they only set the order.
 CELL_BITS = 16
 
