@@ -55,7 +55,13 @@ def pack(lists: list[np.ndarray]) -> list[bytes]:
     length = np.full(total, BLOCK, np.int64)
     ends = first_block[1:][sizes > 0] - 1
     length[ends] = sizes[sizes > 0] - (n_blocks[sizes > 0] - 1) * BLOCK
-    width = _widths(grid)
+    if flat.max(initial=0) < 1 << 16:
+        memo = worker_memo("widths")
+        if "table" not in memo:
+            memo["table"] = _widths(np.arange(1 << 16, dtype=np.uint64))
+        width = memo["table"][grid.astype(np.uint16)]
+    else:
+        width = _widths(grid)
     best = np.where(width[:, :BLOCK] > 60, np.uint8(ESCAPE), np.uint8(1))
     spans = {1: width}
     for p in (2, 4, 8, 16, 32):
