@@ -266,7 +266,7 @@ def dedup(docs: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
                               F.sha2(F.col("text").cast("binary"), 256).alias("whole")), "light")
     texts = rows.where(F.octet_length("text") >= LENGTH).select("u", "text")
     candidates, spans = repeat_spans(texts, group_most)
-    per_text = spans.distinct().groupBy("u").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    per_text = spans.groupBy("u").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     cut = candidates.join(per_text, "u").select("u", "text", "spans").mapInArrow(
         _cut, "u long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("u", "v")
     copies = light.where(F.col("n_bytes") >= LENGTH).groupBy(F.col("u").alias("w")).agg(F.count("*").alias("n")).where("n > 1").select("w")
