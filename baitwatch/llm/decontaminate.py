@@ -1,6 +1,7 @@
-"""Benchmark decontamination: rare n-grams of the test items seed candidate passages
-of the training texts, and Smith-Waterman alignment of passage and item scores exact,
-edited and paraphrased copies."""
+"""Benchmark decontamination: word n-grams of the test items seed candidate passages of
+the training texts, and Smith-Waterman alignment of passage and item scores exact,
+edited and paraphrased copies. Every n-gram seeds, common ones too: a partial or edited
+copy may hold no other."""
 
 from __future__ import annotations
 
@@ -8,14 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from baitwatch.llm.common import chain, key_filter, may_be, stage, text_blocks, utf8_column, words_of
 
 SEED = 3
-# Seeds kept of every item: its rarest half, and this many at least.
-LEAST_SEEDS = 8
 # An item counts as found from this part of its best possible score.
 FOUND = 0.4
 MATCH, MISMATCH, GAP = 2, -2, 2
@@ -45,20 +44,6 @@ def _hits(bits: np.ndarray, data: np.ndarray, offsets: np.ndarray):
     return start, end, word, seeds[at][inside], at[inside], text[inside]
 
 
-def _count(bits: np.ndarray):
-    """Documents that hold each seed, added up per task."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for _, _, data, offsets in text_blocks(batch):
-                _, _, _, seed, _, text = _hits(bits, data, offsets)
-                found.append(np.unique(np.stack([seed, text.astype(np.uint64)]), axis=1)[0])
-            seed, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(n)], names=["seed", "n"])
-
-    return count
-
-
 def _passages(bits: np.ndarray, margin: int):
     """Runs of hits at most ``margin`` words apart, with ``margin`` words around."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,46 +80,50 @@ def align(passage: np.ndarray, item: np.ndarray) -> int:
     return best
 
 
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _score(found: float):
+    """Scores of the pairs that can reach ``found``: no score exceeds the part of the
+    item's words that the passage has, so a pair under it needs no alignment."""
     def sequence(text: str) -> np.ndarray:
         raw = text.encode()
         return words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), lower=True)[2]
 
-    for batch in batches:
-        known: dict[tuple[str, str], float] = {}
-        scores = []
-        for p, q in zip(utf8_column(batch, "passage").to_pylist(), utf8_column(batch, "item").to_pylist(), strict=True):
-            if (p, q) not in known:
-                item = sequence(q)
-                known[p, q] = align(sequence(p), item) / (MATCH * len(item))
-            scores.append(known[p, q])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["doc_id", "item_id", "score"])
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[tuple[str, str], float | None] = {}
+            rows, scores = [], []
+            for k, (p, q) in enumerate(zip(utf8_column(batch, "passage").to_pylist(), utf8_column(batch, "item").to_pylist(), strict=True)):
+                if (p, q) not in known:
+                    passage, item = sequence(p), sequence(q)
+                    most = np.count_nonzero(np.isin(item, passage)) / len(item)
+                    known[p, q] = align(passage, item) / (MATCH * len(item)) if most >= found else None
+                if known[p, q] is not None:
+                    rows.append(k)
+                    scores.append(known[p, q])
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(scores, pa.float64())],
+                                             names=["doc_id", "item_id", "score"])
+
+    return score
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, found: float = FOUND) -> DataFrame:
     """``doc_id, item_id, score`` of every document and test item whose alignment
     reaches ``found`` of the item's best possible score (1.0: the whole item word for
-    word, A-Z in either case). Documents need ``doc_id, text``, items ``item_id,
-    text``; null texts are empty, items of under three words seed nothing and are not
-    found. Rows of one id are one document: the best score counts. Rows with a null
-    doc_id are reported under null."""
+    word, A-Z in either case), if three words in a row are the same. Documents need
+    ``doc_id, text``, items ``item_id, text``; null texts are empty, items of under
+    three words seed nothing and are not found. Rows of one id are one document: the
+    best score counts. Rows with a null doc_id are reported under null."""
     docs = docs.select("doc_id", "text")
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     seeds = stage(items.mapInArrow(_item_seeds, f"item_id {item_type}, seed long, n_words long").distinct(), "seeds")
-    counts = docs.select("text").mapInArrow(_count(key_filter(seeds, "seed")), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    ranked = seeds.join(counts, "seed", "left").withColumns({
-        "rank": F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "seed")),
-        "of": F.count("*").over(Window.partitionBy("item_id"))})
-    rare = stage(ranked.where(F.col("rank") <= F.greatest(F.lit(LEAST_SEEDS), F.ceil(F.col("of") / 2))).select(
-        "seed", "item_id"), "rare")
     margin = seeds.agg(F.max("n_words").alias("m")).first()["m"] or 0
-    passages = stage(docs.mapInArrow(_passages(key_filter(rare, "seed"), int(margin)), f"doc_id {id_type}, passage string, seeds array<long>").withColumn(
+    passages = stage(docs.mapInArrow(_passages(key_filter(seeds, "seed"), int(margin)), f"doc_id {id_type}, passage string, seeds array<long>").withColumn(
         "p", F.monotonically_increasing_id()), "passages")
-    pairs = passages.select("p", F.explode("seeds").alias("seed")).join(rare, "seed").select("p", "item_id").distinct()
+    pairs = passages.select("p", F.explode("seeds").alias("seed")).join(seeds.select("seed", "item_id"), "seed").select("p", "item_id").distinct()
     texts = items.select("item_id", F.col("text").alias("item")).distinct()
     scored = pairs.join(passages, "p").join(texts, "item_id").select("doc_id", "item_id", "passage", "item").mapInArrow(
-        _score, f"doc_id {id_type}, item_id {item_type}, score double")
+        _score(found), f"doc_id {id_type}, item_id {item_type}, score double")
     return scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score")).where(F.col("score") >= found)
 
 

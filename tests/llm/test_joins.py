@@ -153,6 +153,32 @@ def test_items_are_found_whole_edited_and_often(spark):
     assert kept.columns == docs.columns and {x["doc_id"] for x in kept.collect()} == set(range(67, 107))
 
 
+@pytest.mark.parametrize("exact", [True, False])
+def test_partial_and_much_edited_items_are_found(spark, exact):
+    import numpy as np
+
+    r = random.Random(12)
+    items, texts = _items(), []
+    for k, t in items:
+        words = t.split(" ")
+        copies = [words[:15], words[15:], words[8:21]]
+        # An edit each five or four words: under half of the 3-grams are left.
+        for places in (range(4, 30, 5), range(3, 30, 4), [*range(3, 30, 4), 29]):
+            copies.append([f"new{r.randrange(10**6)}" if n in places else w for n, w in enumerate(words)])
+        texts += [f"{_prose(r, 50)} {' '.join(c)} {_prose(r, 50)}" for c in copies]
+        texts += [f"{_prose(r, 20)} {t} {_prose(r, 20)}"] * exact
+    texts += [_prose(r, 150) for _ in range(20)]
+    number: dict[str, int] = {}
+    words = [np.array([number.setdefault(w, len(number)) for w in t.split(" ")]) for t in texts]
+    best = {(k, i): decontaminate.align(words[k], np.array([number.setdefault(w, len(number)) for w in t.split(" ")])) / 60
+            for k in range(len(texts)) for i, t in items}
+    want = {x: v for x, v in best.items() if v >= decontaminate.FOUND}
+    assert len(want) == len(items) * (6 + exact)
+    docs = table(spark, [(k, t, "a") for k, t in enumerate(texts)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]): x["score"] for x in decontaminate.contaminated(docs, bench).collect()} == want
+
+
 def test_alignment_equals_the_plain_recurrence():
     import numpy as np
 
