@@ -201,11 +201,11 @@ def components(docs: DataFrame) -> DataFrame:
         rows = rows.join(wanted, "doc_id").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
         return stage(rows.select("doc_id", "text", "digest").mapInArrow(_proven, "c long, text string"), name)
 
-    def expand(groups: DataFrame) -> DataFrame:
-        """Distinct sets of both groups of each pair."""
-        pairs = groups.select("g", "h").join(classes.select("g", F.col("c").alias("x")), "g").join(
-            classes.select(F.col("g").alias("h"), F.col("c").alias("y")), "h")
-        return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    def expand(groups: DataFrame, sets: DataFrame) -> DataFrame:
+        """Distinct sets of both groups of each pair, across components."""
+        pairs = groups.select("g", "h").join(sets.select("g", F.col("c").alias("x"), F.col("label").alias("l")), "g").join(
+            sets.select(F.col("g").alias("h"), F.col("c").alias("y"), F.col("label").alias("m")), "h")
+        return pairs.where("l <> m").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         with_texts = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("s")), "a").join(
@@ -223,57 +223,59 @@ def components(docs: DataFrame) -> DataFrame:
     texts = texts_of(enough.union(several).distinct(), "texts")
     inside = classes.join(several, "g", "left_semi").groupBy("g").agg(F.min("c").alias("a"))
     inside = classes.join(inside, "g").where("c <> a").select("a", F.col("c").alias("b"))
-    done = verify(expand(best).union(inside).distinct(), texts)
+    done = verify(expand(best, classes.withColumn("label", F.col("c"))).union(inside).distinct(), texts)
     links = done.where("linked").select("a", "b")
     labels = connected(links)
 
     def labelled() -> DataFrame:
-        """The index with the least label of each group's sets."""
-        of = classes.join(labels.select(F.col("node").alias("c"), "label"), "c", "left").groupBy("g").agg(
-            F.min(F.coalesce("label", "c")).alias("label"))
-        return index.select("tok", "g", "n", "at").join(of, "g")
-
-    def alive(rows: DataFrame) -> DataFrame:
-        """Rows of tokens that still meet in two components."""
-        open_ = rows.groupBy("tok").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("tok")
-        return stage(rows.join(open_, "tok", "left_semi").groupBy("tok", "g", "n", "label").agg(F.min("at").alias("at")), "alive")
-
-    rows = alive(labelled())
+        """The classes with the labels of their components."""
+        return stage(classes.join(labels.select(F.col("node").alias("c"), "label"), "c", "left").select(
+            "g", "n", "c", F.coalesce("label", "c").alias("label")), "sets")
+
+    def alive(sets: DataFrame) -> DataFrame:
+        """The index of tokens at which sets of two groups and two components meet. A
+        group's part is its component, or the group alone if it has sets of several."""
+        of = sets.groupBy("g").agg(F.min("label").alias("l1"), F.max("label").alias("l2"))
+        rows = index.select("tok", "g", "n", "at").join(of, "g")
+        open_ = rows.groupBy("tok").agg(F.min("l1").alias("l1"), F.max("l2").alias("l2"), F.min("g").alias("g1"), F.max("g").alias("g2")).where(
+            "l1 <> l2 and g1 <> g2").select("tok")
+        part = F.struct("l1", "l2", F.when(F.col("l1") != F.col("l2"), F.col("g")).otherwise(0).alias("own"))
+        return stage(rows.join(open_, "tok", "left_semi").groupBy("tok", "g", "n", part.alias("part")).agg(F.min("at").alias("at")), "alive")
+
+    sets = labelled()
+    rows = alive(sets)
     for _ in range(ROUNDS):
-        members = rows.groupBy("tok", "label").agg(F.min(F.struct("g", "n")).alias("m"))
-        first = members.groupBy("tok").agg(F.min(F.struct("label", "m")).alias("f"))
-        pairs = members.join(first, "tok").where(F.col("label") != F.col("f.label")).groupBy(
+        members = rows.groupBy("tok", "part").agg(F.min(F.struct("g", "n")).alias("m"))
+        first = members.groupBy("tok").agg(F.min(F.struct("part", "m")).alias("f"))
+        pairs = members.join(first, "tok").where(F.col("part") != F.col("f.part")).groupBy(
             F.col("m.g").alias("g"), F.col("m.n").alias("n"), F.col("f.m.g").alias("h"), F.col("f.m.n").alias("k")).agg(F.count("*").alias("m"))
         pairs = pairs.where(_sizes_fit("n", "k") & (F.col("m") * 18 >= _needed("n", "k")))
-        new = stage(expand(pairs).join(done, ["a", "b"], "left_anti"), "pairs")
+        new = stage(expand(pairs, sets).join(done, ["a", "b"], "left_anti"), "pairs")
         checked = verify(new, texts)
         done = done.union(checked)
         if not checked.where("linked").limit(1).count():
             break
         links = links.union(checked.where("linked").select("a", "b"))
         labels = connected(links)
-        rows = alive(labelled())
+        sets = labelled()
+        rows = alive(sets)
 
-    # Every remaining pair across components. Of each token the component with most
+    # Every remaining pair across components. Of each token the part with most
     # groups stands on one side only, so it is never paired within itself.
-    most = rows.groupBy("tok", "label").agg(F.count("*").alias("k")).groupBy("tok").agg(
-        F.max(F.struct("k", "label")).alias("m")).select("tok", F.col("m.label").alias("main"))
-    few = rows.join(most, "tok").where("label <> main")
-    other = rows.select("tok", F.col("g").alias("h"), F.col("n").alias("k"), F.col("label").alias("label2"), F.col("at").alias("at2"))
+    most = rows.groupBy("tok", "part").agg(F.count("*").alias("k")).groupBy("tok").agg(
+        F.max(F.struct("k", "part")).alias("m")).select("tok", F.col("m.part").alias("main"))
+    few = rows.join(most, "tok").where("part <> main")
+    other = rows.select("tok", F.col("g").alias("h"), F.col("n").alias("k"), F.col("part").alias("part2"), F.col("at").alias("at2"))
     bound = F.least("at", "at2") + 1 + F.least(F.col("n") - F.col("at"), F.col("k") - F.col("at2")) - 1
     met = few.join(other, "tok").where(
-        (F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("main")) | (F.col("g") < F.col("h")))
+        (F.col("part") != F.col("part2")) & ((F.col("part2") == F.col("main")) | (F.col("g") < F.col("h")))
         & _sizes_fit("n", "k") & (bound * 9 >= (F.col("n") + F.col("k")) * 4))
     pairs = met.groupBy(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h"), F.least("n", "k").alias("n"),
                         F.greatest("n", "k").alias("k")).agg(F.count("*").alias("m")).where(F.col("m") * 9 >= _needed("n", "k"))
-    rest = classes.join(several, "g", "left_semi")
-    rest = rest.select("g", F.col("c").alias("a")).join(rest.select("g", F.col("c").alias("b")), "g").where("a < b").select("a", "b")
-    rest = rest.union(expand(pairs)).distinct().join(done, ["a", "b"], "left_anti")
-    of = labels.select(F.col("node"), F.col("label"))
-    rest = rest.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(
-        of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left").where(
-        "la is null or lb is null or la <> lb").select("a", "b")
-    rest = stage(rest, "pairs")
+    rest = sets.join(several, "g", "left_semi")
+    rest = rest.select("g", F.col("c").alias("a"), F.col("label").alias("l")).join(
+        rest.select("g", F.col("c").alias("b"), F.col("label").alias("m")), "g").where("a < b and l <> m").select("a", "b")
+    rest = stage(rest.union(expand(pairs, sets)).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
     met = rest.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     last = verify(rest, texts_of(classes.join(met, "c", "left_semi").select("g").distinct(), "last"))
     if last.where("linked").limit(1).count():

@@ -74,6 +74,25 @@ def test_components_equal_all_pairs(spark):
     assert {r["doc_id"] for r in kept.collect()} == {c for _, c in got.values()}
 
 
+def test_components_of_groups_with_sets_of_several(spark):
+    """Sets of 20 to 22 shingles with the same five rare ones first: groups by size, two
+    of them with a set of either family. Fillers make the other shingles common."""
+    r = random.Random(5)
+    one, two, fillers = [], [], []
+    for _ in range(12):
+        rare, a, b = (_prose(r, n) for n in (9, 15, 15))
+        y, z, x = _prose(r, 1), _prose(r, 1), _prose(r, 1)
+        one += [f"{rare} {a}", f"{rare} {a} {y}", f"{rare} {a} {y} {z}"]
+        two += [f"{rare} {b}", f"{rare} {b} {x}"]
+        tail = " ".join(rare.split(" ")[5:])
+        fillers += [f"{_prose(r, 60)} {tail} {own} {_prose(r, 60)}" for own in (f"{a} {y} {z}", f"{b} {x}") for _ in range(8)]
+    rows = list(enumerate(one + two + fillers))
+    want = _components(rows)
+    assert len({c for _, c in want.values()}) == 24 + len(fillers)
+    docs = table(spark, [(i, t, "a") for i, t in rows])
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.components(docs).collect()} == want
+
+
 def test_components_corner(spark, corner, empty):
     got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in ngram_join.components(corner).collect())
     assert got == [(0, 0), (0, 1), (1, 1), (2, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (7, 1), (8, 8), (9, 9)]
