@@ -27,8 +27,6 @@ PIECE_BYTES = 16 << 10
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-# Longest header block that is looked at before a candidate is given up.
-HEADER_BYTES = 64 << 10
 
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
@@ -115,7 +113,7 @@ def _members(handle, begin: int, end: int, size: int) -> Iterator[bytes]:
 
     def decode(offset: int) -> tuple[bytes, int] | None:
         """The member at a place of the buffer and the place after it."""
-        unpacker, out, fed, proven, head = zlib.decompressobj(31), [], offset, False, b""
+        unpacker, out, fed, proven, head = zlib.decompressobj(31), [], offset, False, bytearray()
         while not unpacker.eof:
             if fed >= len(buffer) and not more(0):
                 return None
@@ -127,10 +125,10 @@ def _members(handle, begin: int, end: int, size: int) -> Iterator[bytes]:
                 return None
             out.append(got)
             if not proven:
-                head += got[:HEADER_BYTES]
-                if not head.startswith(VERSION[:len(head)]) or (b"\r\n\r\n" not in head and len(head) >= HEADER_BYTES):
+                head += got
+                if not head.startswith(VERSION[:len(head)]):
                     return None
-                proven = b"\r\n\r\n" in head
+                proven = head.find(b"\r\n\r\n", max(0, len(head) - len(got) - 3)) >= 0
         return (b"".join(out), fed - len(unpacker.unused_data)) if proven else None
 
     offset = 0

@@ -36,6 +36,15 @@ def test_every_record_is_read_once_however_files_are_split(spark, split):
         assert got[i]["payload"] == (raw if source == i else b"")
 
 
+def test_a_url_may_have_any_length(spark):
+    text = "".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(1600))
+    urls = {1: "http://h/" + "a" * 100_000, 2: f"http://h/{text}", 3: f"http://h/{text}/2"}
+    folder = warc.write_archives(_pages(spark, [(1, urls[1], "x"), (2, urls[2], BIG), (3, urls[3], BIG), (4, "u", "y")]))
+    for split in (997, 1 << 20):
+        got = {r["page_id"]: (r["url"], r["refers_to"]) for r in warc.read_archives(spark, folder, split).collect()}
+        assert got == {1: (urls[1], None), 2: (urls[2], None), 3: (urls[3], 2), 4: ("u", None)}
+
+
 def test_foreign_bytes_are_passed_over(spark, tmp_path):
     record = warc._record(5, "u", "response", None, 2, "", b"hi")
     junk = b"\x1f\x8b\x08 no member" + gzip.compress(b"not a record" * 50)
