@@ -136,5 +136,63 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN g USING (doc_id)
 """
 
+# Turns in order; control strings get a backslash, frames are those of the marked template.
+_CONTROL = r"([<\[])(\\*(?:/?s>|/?INST\]|OUT\]|/?SYS\]|/?ROLE\]))"
+OP11 = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, ['user', 'assistant'][i + 1], '</s>[INST] ok [/INST]' FROM range(2) AS s(i)),
+e AS (SELECT *, length(regexp_replace(text, '{_CONTROL}', '\1\\\2', 'g')) + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 11 WHEN 'assistant' THEN 9
+        ELSE 17 + length(regexp_replace(role, '{_CONTROL}', '\1\\\2', 'g')) END AS n FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (sum(n) + 3)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+# Every prefix of a rebuilt conversation as the joined digests of its turns.
+OP12 = r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+        md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, length(coalesce(text, '')) AS chars
+      FROM conversations WHERE conv_id IS NOT NULL),
+tab AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
+        FROM range(256) AS s(i)),
+h AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'),
+        lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 6 AS h
+      FROM (SELECT DISTINCT conv_id FROM t), tab),
+r AS (SELECT h.conv_id, t.pos, t.id, t.chars FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 100 AND t.pos < h.h
+      UNION ALL SELECT t.conv_id, t.pos + 1000000, t.id, t.chars FROM t JOIN h USING (conv_id) WHERE t.pos >= h.h),
+p AS (SELECT conv_id, chars, row_number() OVER w AS depth, string_agg(id, '') OVER w AS path FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+m AS (SELECT conv_id, chars, depth, path FROM p UNION ALL SELECT conv_id, 0, 0, '' FROM h),
+g AS (SELECT conv_id, max(depth) AS last FROM m GROUP BY conv_id),
+n AS (SELECT path, depth, max(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = last), '')) AS ends_sha256
+      FROM m JOIN g USING (conv_id) GROUP BY path, depth),
+k AS (SELECT substr(path, 1, length(path) - 32) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+a AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+u AS (SELECT substr(path, 1, 32 * d) AS path, sum((n_convs - 1) * chars) AS saved, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+      FROM (SELECT *, unnest(range(depth + 1)) AS d FROM a) GROUP BY 1)
+SELECT a.conv_id, a.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, a.n_convs::BIGINT AS n_convs, a.n_children::BIGINT AS n_children,
+  u.n_leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, a.ends_sha256
+FROM a JOIN u USING (path) LEFT JOIN a q ON a.depth > 0 AND q.path = substr(a.path, 1, length(a.path) - 32)
+"""
+
+_TERMS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+OP13 = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS doc, {_TERMS} AS terms FROM documents),
+n AS (SELECT doc_id, doc, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM n),
+f AS (SELECT doc, term, count(*)::BIGINT AS tf FROM (SELECT doc, unnest(terms) AS term FROM d) GROUP BY doc, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, c GROUP BY term, docs),
+i AS (SELECT DISTINCT item_id, text, term FROM (SELECT item_id, text, unnest({_TERMS}) AS term FROM benchmark)),
+s AS (SELECT item_id, text, doc_id, doc, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))))::BIGINT AS score
+      FROM i JOIN w USING (term) JOIN f USING (term) JOIN n USING (doc), c GROUP BY item_id, text, doc_id, doc),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
 ORACLE_SQL = {"op1_secret_scan": OP1, "op4_warc": OP4, "op5_ngram_join": OP5,
-              "op7_sharding": OP7, "op8_mixing": OP8, "op10_quality_rules": OP10}
+              "op7_sharding": OP7, "op8_mixing": OP8, "op10_quality_rules": OP10,
+              "op11_chat_format": OP11, "op12_prefix_trie": OP12, "op13_lexical_search": OP13}
