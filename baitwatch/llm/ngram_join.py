@@ -1,15 +1,20 @@
 """Jaccard join of documents on word shingles by a grouped prefix join.
 
-Shingles are 64-bit hashes. All sets are ordered by one global order (rare cells
-first), and two sets with a Jaccard of 0.8 must share a token in their prefixes, the
-first fifth and one. Documents with the same size and prefix form one group; groups
-meet through prefix tokens, pass a size and a place filter, and are then expanded to
-their distinct sets, which are compared in full.
+Shingles are 64-bit hashes. Documents of one shingle set make a class, named by a
+128-bit digest. One pass over the texts deals all tokens into buckets by their value;
+in a bucket the classes of each token are counted exactly, and a token of two classes or
+more is reported to each of them. What a class doesn't share can't be in common with
+anyone: a class that shares under four fifths of its set links with nothing and is done.
+
+Of the others, tokens stand in order of the number of their classes, those of one class
+first. Two sets of a Jaccard of 0.8 have their first common token where enough is left
+of both behind it; that decides which tokens are a prefix and which meetings count.
+Sets with the same size and prefix form one group; groups meet through prefix tokens,
+and are then expanded to their sets, which are compared in full.
 
 Only the components are asked for, so pairs that are already connected are never
-compared: every group is first held against one leader, then the components that
-share a token against each other through one member each, and at last every
-remaining pair across components."""
+compared: groups are first held against one leader per token, then every remaining
+pair across components."""
 
 from __future__ import annotations
 
@@ -18,17 +23,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from baitwatch.llm.common import chain, key_filter, may_be, stage, text_blocks, words_of
+from baitwatch.llm.common import chain, stage, text_blocks, words_of
 
 SHINGLE = 5
-# Rounds in which components meet through one member each, before every remaining pair
-# across components is held against each other; they save pairs, not results.
-ROUNDS = 6
-# Fixed number of cells in which token frequencies are counted; they only set the order.
-CELL_BITS = 16
+# Rounds in which groups meet one leader per token, before every remaining pair across
+# components is held against each other; they save pairs, not results.
+ROUNDS = 2
+# Tokens that a task sorts at once, and tokens meant for one bucket.
+CHUNK_TOKENS = 1 << 22
+BUCKET_TOKENS = 3 << 20
+# In a bucket that overflows, a token of more classes counts as this common: the order
+# among such tokens is by value, and their entries need not be held.
+COMMON = 1 << 16
 
 
 def block_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -43,120 +54,169 @@ def block_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> It
             yield chain(h[a:b], b - a) if b > a else runs[:0]
 
 
-def _cells(docs: DataFrame) -> np.ndarray:
-    """Documents per cell of the token space, over all documents: at most 2**CELL_BITS
-    rows reach the driver, whatever the input."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, np.int64)
-        for batch in batches:
-            for _, _, data, offsets in text_blocks(batch):
-                for s in block_sets(data, offsets):
-                    total += np.bincount((s >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
-
-    out = np.zeros(1 << CELL_BITS, np.int64)
-    for row in docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        out[row["cell"]] = row["n"]
-    return out
+def packed(tokens: np.ndarray) -> bytes:
+    """Sorted tokens (uint64) as the first one and differences of one width."""
+    if not len(tokens):
+        return b""
+    steps = np.diff(tokens)
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + tokens[:1].tobytes() + np.ascontiguousarray(steps).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    width = data[0]
+    raw = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    steps = np.zeros((len(raw) + 1, 8), np.uint8)
+    steps[1:, :width] = raw
+    out = steps.view(np.uint64).reshape(-1)
+    out[0] = np.frombuffer(data, np.uint64, 1, 1)[0]
+    return np.cumsum(out, dtype=np.uint64)
+
+
+_DEALT = "bucket int, row bigint, n int, digest binary, mark binary, tokens binary, owner binary"
+
+
+def _deal(buckets: int):
+    """A row per document (its id, size and digest of its set, MD5 of its text), and per
+    chunk and bucket the tokens with their owners: sizes and digests once each, and
+    two bytes per token."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        count, held, size, seen = 0, [], 0, {}
+
+        def chunk() -> pa.RecordBatch:
+            tokens = np.concatenate([s for s in held])
+            owner = np.repeat(np.arange(len(held), dtype=np.uint16), [len(s) for s in held])
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            names = np.frombuffer(b"".join(seen), np.uint8).reshape(-1, 16)
+            sizes = np.array([len(s) for s in held], np.uint32)
+            rows = []
+            for b in range(buckets):
+                a, e = int(cuts[b]), int(cuts[b + 1])
+                if a < e:
+                    there, local = np.unique(owner[a:e], return_inverse=True)
+                    lead = len(there).to_bytes(4, "little") + sizes[there].tobytes() + names[there].tobytes()
+                    rows.append((b, packed(tokens[a:e]), lead + local.astype(np.uint16).tobytes()))
+            none = [None] * len(rows)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array(none, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary()), pa.array(none, pa.binary()),
+                 pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
+                names=[c.split()[0] for c in _DEALT.split(", ")])
 
-
-def _sign(cells: np.ndarray):
-    """Per document: set size, digest of the set, group key, and the prefix, left out
-    where the group came before in the batch."""
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digest, group, prefix, seen = [], [], [], [], set()
+            n, digest, mark = [], [], []
             for _, _, data, offsets in text_blocks(batch):
+                mark += [hashlib.md5(data[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 for s in block_sets(data, offsets):
-                    size = len(s)
-                    n.append(size)
-                    if not size:
-                        digest.append(b"")
-                        group.append(0)
-                        prefix.append(None)
-                        continue
-                    keep = size - (4 * size + 4) // 5 + 1
-                    order = np.lexsort((s, cells[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))[:keep]
-                    tokens = s[order].view(np.int64)
-                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    key = int.from_bytes(hashlib.blake2b(tokens.tobytes() + size.to_bytes(8, "little"), digest_size=8).digest(),
-                                         "little", signed=True)
-                    group.append(key)
-                    prefix.append(None if key in seen else tokens)
-                    seen.add(key)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(group, pa.int64()),
-                 pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "g", "prefix"])
-
-    return sign
-
-
-def _tokens(bits: np.ndarray):
-    """Prefix tokens that may stand in another group too, a row each."""
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prefix = batch.column(2)
-            tokens = prefix.flatten().to_numpy(zero_copy_only=False)
-            lengths = np.array([len(x) if x.is_valid else 0 for x in prefix], np.int64)
-            at = may_be(bits, tokens.view(np.uint64))
-            row = np.searchsorted(np.cumsum(lengths), at, "right")
-            place = at - (np.cumsum(lengths) - lengths)[row]
+                    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                    n.append(len(s))
+                    digest.append(d)
+                    if len(s) and d not in seen:
+                        if size + len(s) > CHUNK_TOKENS and held or len(held) == 1 << 16:
+                            yield chunk()
+                            held, size, seen = [], 0, {}
+                        seen[d] = None
+                        held.append(s)
+                        size += len(s)
+            place = np.arange(count, count + len(n), dtype=np.int64)
+            count += len(n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(tokens[at])],
-                names=["g", "n", "at", "tok"])
-
-    return rows
-
-
-def _named(bits: np.ndarray):
-    """Documents whose id may be wanted."""
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            at = may_be(bits, ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            yield batch.take(pa.array(at))
-
-    return keep
-
-
-def _proven(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents whose digest is the wanted one: of several rows of an id, its class."""
-    for batch in batches:
-        want, keep = batch.column(2).to_pylist(), []
-        for first, _, data, offsets in text_blocks(batch):
-            keep += [k for k, s in enumerate(block_sets(data, offsets), first)
-                     if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == want[k]]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))],
-                                         names=["c", "text"])
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                [pa.array(((place + part) % buckets).astype(np.int32)), batch.column(0), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(mark, pa.binary()),
+                 pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary())], names=[c.split()[0] for c in _DEALT.split(", ")])
+        if held:
+            yield chunk()
+
+    return deal
+
+
+_COUNTED = "row bigint, n int, digest binary, mark binary, toks array<bigint>, counts array<int>"
+_COUNTED_NAMES = [c.split()[0] for c in _COUNTED.split(", ")]
+
+
+class Bucket:
+    """Tokens with the classes that hold them, of one bucket."""
+
+    def __init__(self) -> None:
+        self.tokens, self.owners, self.names, self.n, self.size, self.limit = [], [], [], 0, 0, 2 * BUCKET_TOKENS
+        self.saturated = np.zeros(0, np.uint64)
+
+    def add(self, tokens: bytes, owner: bytes) -> Iterator[pa.RecordBatch]:
+        there = int.from_bytes(owner[:4], "little")
+        sizes = np.frombuffer(owner, np.uint32, there, 4)
+        digests = np.frombuffer(owner, np.uint8, 16 * there, 4 + 4 * there).reshape(-1, 16)
+        names = np.concatenate([digests, sizes.view(np.uint8).reshape(-1, 4)], axis=1)
+        self.tokens.append(unpacked(tokens))
+        self.owners.append(np.frombuffer(owner, np.uint16, offset=4 + 20 * there).astype(np.int64) + self.n)
+        self.names.append(names)
+        self.n += there
+        self.size += len(self.tokens[-1])
+        if self.size > self.limit:
+            yield from self.fold(False)
+            self.limit = max(self.limit, 2 * self.size)
+
+    def fold(self, last: bool) -> Iterator[pa.RecordBatch]:
+        """Equal entries become one. In the end, or where too many are held, tokens are
+        reported: all of two classes or more, or those that are saturated."""
+        if not self.tokens:
+            return
+        names = np.ascontiguousarray(np.concatenate(self.names)).view("V20").reshape(-1)
+        names, of = np.unique(names, return_inverse=True)
+        tokens, owner = np.concatenate(self.tokens), of[np.concatenate(self.owners)]
+        order = np.lexsort((owner, tokens))
+        tokens, owner = tokens[order], owner[order]
+        new = np.r_[True, (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])]
+        tokens, owner = tokens[new], owner[new]
+        first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        runs = np.diff(np.r_[first, len(tokens)])
+        full = np.isin(tokens[first], self.saturated) | (runs > COMMON)
+        count = np.repeat(np.where(full, COMMON, runs), runs)
+        report = np.repeat(full | (last & (runs > 1)), runs)
+        if not last:
+            self.saturated = np.union1d(self.saturated, tokens[first][full])
+        yield self.report(names, tokens[report], owner[report], count[report])
+        keep = ~np.repeat(full, runs)
+        self.tokens, self.owners, self.names = [tokens[keep]], [owner[keep]], [names.view(np.uint8).reshape(-1, 20)]
+        self.n, self.size = len(names), int(keep.sum())
+
+    @staticmethod
+    def report(names: np.ndarray, tokens: np.ndarray, owner: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(owner, kind="stable")
+        owner = owner[order]
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
+        raw = names[owner[first]].view(np.uint8).reshape(-1, 20)
+        at = pa.array(np.r_[first, len(owner)].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (tokens[order].view(np.int64), count[order].astype(np.int32))]
+        digests = pa.array([r[:16].tobytes() for r in raw], pa.binary())
+        sizes = pa.array(np.ascontiguousarray(raw[:, 16:]).view(np.uint32).reshape(-1).astype(np.int32) if len(raw) else np.zeros(0, np.int32))
+        return pa.RecordBatch.from_arrays([pa.nulls(len(raw), pa.int64()), sizes, digests, pa.nulls(len(raw), pa.binary()), *lists], names=_COUNTED_NAMES)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents pass; buckets, one after the other, become the shared tokens of
+    their classes."""
+    bucket, held = None, Bucket()
     for batch in batches:
-        left, right = ([s for _, _, data, offsets in text_blocks(batch, side) for s in block_sets(data, offsets)] for side in ("s", "t"))
-        linked = []
-        for p, q in zip(left, right, strict=True):
-            if len(p) > len(q):
-                p, q = q, p
-            at = np.searchsorted(q, p)
-            at[at == len(q)] = 0
-            both = int(np.count_nonzero(q[at] == p))
-            linked.append(100 * both >= 80 * (len(p) + len(q) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+        rows = batch.filter(pc.is_null(batch.column(5)))
+        yield pa.RecordBatch.from_arrays([*rows.columns[1:5], pa.nulls(rows.num_rows, pa.list_(pa.int64())), pa.nulls(rows.num_rows, pa.list_(pa.int32()))],
+                                         names=_COUNTED_NAMES)
+        dealt = batch.filter(pc.is_valid(batch.column(5)))
+        for b, tokens, owner in zip(*(dealt.column(k) for k in (0, 5, 6)), strict=True):
+            if b.as_py() != bucket:
+                yield from held.fold(True)
+                bucket, held = b.as_py(), Bucket()
+            yield from held.add(tokens.as_py(), owner.as_py())
+    yield from held.fold(True)
 
 
 def _sizes_fit(n: str, m: str) -> Column:
     return (F.col(n) * 100 >= F.col(m) * 80) & (F.col(m) * 100 >= F.col(n) * 80)
 
 
-def _needed(n: str, k: str) -> Column:
-    """Nine times the prefix tokens that two linked groups of these sizes share at
-    least: four ninths of both sizes must be common, and of the two the one whose
-    prefix ends first can have all else only in its rest, under four fifths of it."""
-    rest = lambda c: F.ceil(F.col(c) * 4 / 5) - 1
-    return (F.col(n) + F.col(k)) * 4 - F.greatest(rest(n), rest(k)) * 9
-
-
 def connected(links: DataFrame) -> DataFrame:
     """``node, label``: the smallest node reachable through ``a, b`` links, for every
     node that has one. Labels take the least of the neighbours' and then of their own
@@ -175,122 +235,140 @@ def connected(links: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row. A null text is an empty
-    one; empty sets are linked with nothing and have their own id. Equal texts always
-    share a component. Rows with a null doc_id are no nodes: they get the component of
-    an equal text, if one has an id, and else null. Repeated rows of one doc_id are
-    judged each by its own text. Needs ``doc_id`` and ``text``; others are ignored."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stage(docs.mapInArrow(_sign(_cells(docs)), "doc_id long, n long, digest binary, g long, prefix array<long>"), "signed")
-    found = stage(signed.where("n > 0 and doc_id is not null").groupBy("digest", "n", "g").agg(
-        F.min("doc_id").alias("c")), "classes")
-    # Tokens of two groups or more; copies in a batch came once, others may come again.
-    tokens = signed.where("n > 0").select("g", F.explode("prefix").alias("tok"))
-    twice = stage(tokens.groupBy("tok").agg(F.count("*").alias("k")).where("k > 1").select("tok"), "twice")
-    index = stage(signed.where("prefix is not null").select("g", "n", "prefix").mapInArrow(
-        _tokens(key_filter(twice, "tok")), "g long, n long, at int, tok long").join(twice, "tok"), "index")
-
-    classes = found.select("g", "n", "c")
-    several = classes.groupBy("g").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("g")
-
-    def texts_of(groups: DataFrame, name: str) -> DataFrame:
-        """The text of every class of the groups."""
-        wanted = stage(found.join(groups, "g", "left_semi").select(F.col("c").alias("doc_id"), "digest"), "wanted")
-        rows = docs.mapInArrow(_named(key_filter(wanted, "doc_id")), "doc_id long, text string")
-        rows = rows.join(wanted, "doc_id").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
-        return stage(rows.select("doc_id", "text", "digest").mapInArrow(_proven, "c long, text string"), name)
-
-    def expand(groups: DataFrame, sets: DataFrame) -> DataFrame:
-        """Distinct sets of both groups of each pair, across components."""
-        pairs = groups.select("g", "h").join(sets.select("g", F.col("c").alias("x"), F.col("label").alias("l")), "g").join(
-            sets.select(F.col("g").alias("h"), F.col("c").alias("y"), F.col("label").alias("m")), "h")
-        return pairs.where("l <> m").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        with_texts = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("s")), "a").join(
-            texts.select(F.col("c").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
-        return stage(with_texts.mapInArrow(_compare, "a long, b long, linked boolean"), "verified")
-
-    # First every group against the leader of most of its tokens, and inside a group
-    # every set against the first: what has too few shared tokens waits for the end.
-    shared = index.groupBy("tok").agg(F.min(F.struct("g", "n")).alias("lead"), F.max("g").alias("last")).where("lead.g <> last")
-    held = index.select("tok", "g", "n").distinct().join(shared, "tok")
-    best = held.where(F.col("g") != F.col("lead.g")).groupBy("g", "n", F.col("lead.g").alias("h"), F.col("lead.n").alias("k")).agg(F.count("*").alias("m"))
-    best = best.where(_sizes_fit("n", "k") & (F.col("m") * 18 >= _needed("n", "k"))).groupBy("g").agg(
-        F.max(F.struct("m", "h")).alias("x")).select("g", F.col("x.h").alias("h"))
-    enough = held.groupBy("g", "n").agg(F.count("*").alias("m")).where(F.col("m") * 25 >= F.col("n")).select("g")
-    texts = texts_of(enough.union(several).distinct(), "texts")
-    inside = classes.join(several, "g", "left_semi").groupBy("g").agg(F.min("c").alias("a"))
-    inside = classes.join(inside, "g").where("c <> a").select("a", F.col("c").alias("b"))
-    done = verify(expand(best, classes.withColumn("label", F.col("c"))).union(inside).distinct(), texts)
-    links = done.where("linked").select("a", "b")
-    labels = connected(links)
-
-    def labelled() -> DataFrame:
-        """The classes with the labels of their components."""
-        return stage(classes.join(labels.select(F.col("node").alias("c"), "label"), "c", "left").select(
-            "g", "n", "c", F.coalesce("label", "c").alias("label")), "sets")
-
-    def alive(sets: DataFrame) -> DataFrame:
+def _signed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``row, n, digest, mark`` of every row (its doc_id, size and digest of its set, MD5
+    of its text), and the classes that may
+    link: ``c, n, e, toks``, the class, its size, the number of its shared tokens and
+    these, rarest first."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+    # A word and its separator have six bytes or so: a shingle per word.
+    buckets = max(8, -(-size // (6 * BUCKET_TOKENS)))
+    dealt = docs.mapInArrow(_deal(buckets), _DEALT).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    both = stage(dealt.mapInArrow(_count, _COUNTED), "counted")
+    shared = both.where("toks is not null").groupBy(F.col("digest").alias("c")).agg(
+        F.first("n").alias("n"), F.flatten(F.collect_list(F.arrays_zip("counts", "toks"))).alias("t"))
+    # Rarest first; a token that left an overflowing bucket may have been reported twice.
+    toks = F.array_distinct(F.sort_array("t")["toks"])
+    shared = stage(shared.where(F.size("t") * 10 >= F.col("n") * 8).select("c", "n", toks.alias("toks")), "shared")
+    shared = shared.withColumn("e", F.size("toks")).where(F.col("e") * 10 >= F.col("n") * 8)
+    return both.where("toks is null").select("row", "n", "digest", "mark"), shared
+
+
+def class_components(shared: DataFrame) -> DataFrame:
+    """``node, label`` of the classes that are linked with others."""
+    # Behind the token at place p of a set n - p tokens are left with it; to have four
+    # fifths of the set in common, p is a fifth at most.
+    prefix = F.slice("toks", F.lit(1), F.greatest(F.lit(0), F.floor(F.col("n") / 5).cast("int") + 1 - (F.col("n") - F.col("e"))))
+    grouped = shared.withColumn("prefix", prefix).where(F.size("prefix") > 0)
+    grouped = stage(grouped.select("c", "n", "e", "prefix", F.sha2(F.concat_ws(",", "n", "e", F.col("prefix").cast("array<string>")), 256).alias("g")), "grouped")
+    classes = grouped.select("g", "c")
+    index = grouped.groupBy("g").agg(F.first("n").alias("n"), F.first("e").alias("e"), F.first("prefix").alias("prefix"))
+    index = stage(index.select("g", "n", "e", F.posexplode("prefix").alias("k", "tok")).withColumn("at", F.col("n") - F.col("e") + F.col("k")).drop("k"), "index")
+
+    def fits(n: str, e: str, at: str, m: str, f: str, to: str) -> Column:
+        """Groups whose first common token this may be: enough is shared, and left."""
+        need = (F.col(n) + F.col(m)) * 4
+        left = F.least(F.col(n) - F.col(at), F.col(m) - F.col(to))
+        return _sizes_fit(n, m) & (F.least(F.col(e), F.col(f)) * 9 >= need) & (left * 9 >= need)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """Pairs of classes, compared by all tokens they share with anyone."""
+        side = lambda c, n, t: shared.select(F.col("c").alias(c), F.col("n").cast("long").alias(n), F.col("toks").alias(t))
+        both = pairs.join(side("a", "n", "s"), "a").join(side("b", "m", "t"), "b")
+        common = both.select("a", "b", "n", "m", F.size(F.array_intersect("s", "t")).cast("long").alias("o"))
+        return stage(common.select("a", "b", (F.col("o") * 100 >= (F.col("n") + F.col("m") - F.col("o")) * 80).alias("linked")), "verified")
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    def open_index(sets: DataFrame) -> DataFrame:
         """The index of tokens at which sets of two groups and two components meet. A
         group's part is its component, or the group alone if it has sets of several."""
         of = sets.groupBy("g").agg(F.min("label").alias("l1"), F.max("label").alias("l2"))
-        rows = index.select("tok", "g", "n", "at").join(of, "g")
+        rows = index.join(of, "g")
         open_ = rows.groupBy("tok").agg(F.min("l1").alias("l1"), F.max("l2").alias("l2"), F.min("g").alias("g1"), F.max("g").alias("g2")).where(
             "l1 <> l2 and g1 <> g2").select("tok")
-        part = F.struct("l1", "l2", F.when(F.col("l1") != F.col("l2"), F.col("g")).otherwise(0).alias("own"))
-        return stage(rows.join(open_, "tok", "left_semi").groupBy("tok", "g", "n", part.alias("part")).agg(F.min("at").alias("at")), "alive")
+        part = F.when(F.col("l1") == F.col("l2"), F.struct("l1", F.lit("").alias("own"))).otherwise(F.struct("l1", F.col("g").alias("own")))
+        return stage(rows.join(open_, "tok", "left_semi").select("tok", "g", "n", "e", "at", part.alias("part")), "open")
+
+    def labelled(labels: DataFrame) -> DataFrame:
+        return stage(classes.join(labels.select(F.col("node").alias("c"), "label"), "c", "left").select(
+            "g", "c", F.coalesce("label", "c").alias("label")), "sets")
 
-    sets = labelled()
-    rows = alive(sets)
+    sets = stage(classes.withColumn("label", F.col("c")), "sets")
+    done = links = labels = None
     for _ in range(ROUNDS):
-        members = rows.groupBy("tok", "part").agg(F.min(F.struct("g", "n")).alias("m"))
-        first = members.groupBy("tok").agg(F.min(F.struct("part", "m")).alias("f"))
-        pairs = members.join(first, "tok").where(F.col("part") != F.col("f.part")).groupBy(
-            F.col("m.g").alias("g"), F.col("m.n").alias("n"), F.col("f.m.g").alias("h"), F.col("f.m.n").alias("k")).agg(F.count("*").alias("m"))
-        pairs = pairs.where(_sizes_fit("n", "k") & (F.col("m") * 18 >= _needed("n", "k")))
-        new = stage(expand(pairs, sets).join(done, ["a", "b"], "left_anti"), "pairs")
-        checked = verify(new, texts)
-        done = done.union(checked)
-        if not checked.where("linked").limit(1).count():
+        rows = open_index(sets)
+        # The leader is what shares most of itself: of edited copies, the original.
+        rank = F.struct((F.col("e") / F.col("n")).alias("r"), "g", "n", "e", "at", "part")
+        best = rows.groupBy("tok", "part").agg(F.max(rank).alias("m"))
+        lead = best.groupBy("tok").agg(F.max("m").alias("f")).select("tok", *(F.col(f"f.{c}").alias(f"_{c}") for c in ("g", "n", "e", "at", "part")))
+        meet = best.select("tok", "m.*").join(lead, "tok").where((F.col("part") != F.col("_part")) & fits("n", "e", "at", "_n", "_e", "_at"))
+        meet = meet.select("g", F.col("_g").alias("h")).distinct()
+        first = sets.groupBy("g").agg(F.min("c").alias("y"))
+        # All sets of a group against the first one of the leading group, and of their own.
+        pairs = meet.join(sets.select("g", F.col("c").alias("x")), "g").join(first.withColumnRenamed("g", "h"), "h").select("x", "y").union(
+            sets.select("g", F.col("c").alias("x")).join(first, "g").select("x", "y"))
+        new = ordered(pairs)
+        checked = verify(new if done is None else new.join(done, ["a", "b"], "left_anti"))
+        done = checked if done is None else done.union(checked)
+        if labels is not None and not checked.where("linked").limit(1).count():
             break
-        links = links.union(checked.where("linked").select("a", "b"))
+        found = checked.where("linked").select("a", "b")
+        links = found if links is None else links.union(found)
         labels = connected(links)
-        sets = labelled()
-        rows = alive(sets)
+        sets = labelled(labels)
 
-    # Every remaining pair across components. Of each token the part with most
-    # groups stands on one side only, so it is never paired within itself.
+    # Every remaining pair across components. Of each token the part with most groups
+    # stands on one side only, so it is never paired within itself.
+    rows = open_index(sets)
     most = rows.groupBy("tok", "part").agg(F.count("*").alias("k")).groupBy("tok").agg(
         F.max(F.struct("k", "part")).alias("m")).select("tok", F.col("m.part").alias("main"))
     few = rows.join(most, "tok").where("part <> main")
-    other = rows.select("tok", F.col("g").alias("h"), F.col("n").alias("k"), F.col("part").alias("part2"), F.col("at").alias("at2"))
-    bound = F.least("at", "at2") + 1 + F.least(F.col("n") - F.col("at"), F.col("k") - F.col("at2")) - 1
+    other = rows.select("tok", *(F.col(c).alias(f"_{c}") for c in ("g", "n", "e", "at", "part")))
     met = few.join(other, "tok").where(
-        (F.col("part") != F.col("part2")) & ((F.col("part2") == F.col("main")) | (F.col("g") < F.col("h")))
-        & _sizes_fit("n", "k") & (bound * 9 >= (F.col("n") + F.col("k")) * 4))
-    pairs = met.groupBy(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h"), F.least("n", "k").alias("n"),
-                        F.greatest("n", "k").alias("k")).agg(F.count("*").alias("m")).where(F.col("m") * 9 >= _needed("n", "k"))
-    rest = sets.join(several, "g", "left_semi")
-    rest = rest.select("g", F.col("c").alias("a"), F.col("label").alias("l")).join(
-        rest.select("g", F.col("c").alias("b"), F.col("label").alias("m")), "g").where("a < b and l <> m").select("a", "b")
-    rest = stage(rest.union(expand(pairs, sets)).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-    met = rest.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    last = verify(rest, texts_of(classes.join(met, "c", "left_semi").select("g").distinct(), "last"))
-    if last.where("linked").limit(1).count():
-        labels = connected(links.union(last.where("linked").select("a", "b")))
-
-    of = found.join(labels.select(F.col("node").alias("c"), "label"), "c", "left").select(
-        "digest", F.col("n").alias("size"), F.coalesce("label", "c").alias("component"))
-    joined = signed.select("doc_id", "n", "digest").join(of, (F.col("n") > 0) & (signed["digest"] == of["digest"]) & (F.col("n") == F.col("size")), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        (F.col("part") != F.col("_part")) & ((F.col("_part") == F.col("main")) | (F.col("g") < F.col("_g")))
+        & fits("n", "e", "at", "_n", "_e", "_at"))
+    met = met.select(F.least("g", "_g").alias("g"), F.greatest("g", "_g").alias("h")).distinct()
+    left, right = sets.select("g", F.col("c").alias("x"), F.col("label").alias("l")), sets.select(F.col("g").alias("h"), F.col("c").alias("y"), F.col("label").alias("m"))
+    several = sets.groupBy("g").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("g", F.col("g").alias("h"))
+    rest = met.union(several).join(left, "g").join(right, "h").where("l <> m").select("x", "y")
+    last = verify(ordered(rest).join(done, ["a", "b"], "left_anti"))
+    return connected(links.union(last.where("linked").select("a", "b"))) if last.where("linked").limit(1).count() else labels
+
+
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``row, n, digest, mark`` of every row and ``digest, node`` of the classes that have one."""
+    signed, shared = _signed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return signed, class_components(shared).select(F.col("node").alias("digest"), F.col("label").alias("node"))
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row. A null text is an empty one;
+    empty sets are linked with nothing and have their own id. Equal texts always share
+    a component. Repeated rows of one doc_id are judged each by its own text. A row with
+    a null doc_id links like others; the smallest id of a component is that of a row
+    that has one, and null where none has. Needs ``doc_id`` and ``text``; others are
+    ignored. A worker holds one text with about 60 bytes of memory per byte of it, or
+    a chunk of CHUNK_TOKENS tokens or a bucket, about 300 MB, whichever is more."""
+    signed, nodes = _joined(docs)
+    classes = signed.where("n > 0").groupBy("digest").agg(F.min("row").alias("c"))
+    of = classes.join(nodes, "digest", "left").withColumn("node", F.coalesce("node", "digest"))
+    least = of.groupBy("node").agg(F.min("c").alias("component"))
+    of = of.join(least, "node").select("digest", "component")
+    return signed.join(of, "digest", "left").select(
+        F.col("row").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("row")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest id; columns as in the
-    input. Documents with an empty set stay. Of repeated rows of an id one stays. Rows
-    with a null doc_id are in no component and stay."""
-    first = components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null"))
+    """One row of each component, that with the smallest doc_id (null last; of texts of
+    one id that with the smallest digest; of equal rows one); columns as in the input.
+    Texts without words stay, equal rows of one id once."""
+    signed, nodes = _joined(docs)
+    of = signed.join(nodes, "digest", "left").withColumn("node", F.coalesce("node", "digest"))
+    first = of.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("row").isNull().alias("none"), "row", "digest", "mark")).alias("f"))
+    keys = first.select("f.row", "f.mark").union(of.where("n = 0").select("row", "mark").distinct())
+    key = lambda i, m: F.concat(F.coalesce(i.cast("long").cast("string"), F.lit("")), F.lit("|"), m)
+    keyed = docs.withColumn("_key", key(F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    wanted = keys.select(key(F.col("row"), F.lower(F.hex("mark"))).alias("_key"))
+    return keyed.dropDuplicates(["_key"]).join(wanted, "_key", "left_semi").select(docs.columns)

@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from baitwatch.llm import decontaminate, ngram_join, repeats
@@ -98,7 +100,44 @@ def test_components_corner(spark, corner, empty):
     assert got == [(0, 0), (0, 1), (1, 1), (2, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (7, 1), (8, 8), (9, 9)]
     assert ngram_join.components(empty).count() == 0
     assert ngram_join.keep_first(empty).count() == 0
-    assert sorted(r["doc_id"] or 0 for r in ngram_join.keep_first(corner).collect()) == [0, 0, 1, 3, 4, 5, 6, 8, 9]
+    # The null-id copy of a text goes, the empty text without an id stays.
+    assert sorted(r["doc_id"] or 0 for r in ngram_join.keep_first(corner).collect()) == [0, 1, 3, 4, 5, 6, 8, 9]
+
+
+def test_no_text_is_dropped_without_a_kept_twin(spark):
+    """Repeated ids with different texts, null ids with copies."""
+    r = random.Random(8)
+    a, b, c, d = (_prose(r, 40) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b.upper()), (2, a), (2, c), (None, c), (None, d), (None, d + " end"), (3, None), (3, None), (None, ""), (None, "")]
+    kept = sorted(((x["doc_id"], x["text"]) for x in ngram_join.keep_first(table(spark, [(*x, "a") for x in rows])).collect()), key=str)
+    assert kept in [sorted([(1, a), (1, one), (2, c), (None, two), (3, None), (None, "")], key=str) for one in (b, b.upper()) for two in (d, d + " end")]
+
+
+def test_tokens_are_counted_exactly_in_overflowing_buckets(monkeypatch):
+    r = np.random.default_rng(2)
+    pool = np.sort(r.integers(1, 2**63, 300, dtype=np.uint64))
+    sets = [np.unique(np.r_[r.choice(pool, 20), pool[:3]]) for _ in range(400)]
+    monkeypatch.setattr(ngram_join, "COMMON", 100)
+    for limit in (50, 10**9):
+        held, got = ngram_join.Bucket(), {}
+        held.limit = limit
+        batches = []
+        for first in range(0, 400, 25):
+            part = [sets[k] for k in range(first, first + 25)] * 2
+            names = np.array([(k % 25 + first) for k in range(50)])
+            tokens = np.concatenate(part)
+            owner = np.repeat(np.arange(50), [len(s) for s in part])
+            order = np.argsort(tokens, kind="stable")
+            lead = (50).to_bytes(4, "little") + np.array([len(s) for s in part], np.uint32).tobytes() + b"".join(int(k).to_bytes(16, "big") for k in names)
+            batches += held.add(ngram_join.packed(tokens[order]), lead + owner[order].astype(np.uint16).tobytes())
+        batches += held.fold(True)
+        for b in batches:
+            for row in b.to_pylist():
+                got.setdefault(int.from_bytes(row["digest"], "big"), []).extend(zip(row["toks"], row["counts"], strict=True))
+        count = Counter(int(t) for s in sets for t in s)
+        for k, s in enumerate(sets):
+            want = {int(np.uint64(t).view(np.int64)): min(count[int(t)], 100) for t in s if count[int(t)] > 1}
+            assert dict(got[k]) == want
 
 
 def test_connected_finds_long_chains(spark):
@@ -218,3 +257,13 @@ def test_decontaminate_corner(spark, corner, empty):
     assert got == [(0, 1.0), (1, 1.0), (2, 1.0), (7, 1.0)]
     assert decontaminate.contaminated(empty, bench).count() == 0
     assert decontaminate.contaminated(corner, bench.limit(0)).count() == 0
+
+
+def test_texts_without_an_id_are_cleaned_too(spark):
+    """Null and repeated ids, and an item that is far longer than the others."""
+    r = random.Random(6)
+    short, long, own = _prose(r, 30), _prose(r, 3000), [_prose(r, 200) for _ in range(4)]
+    bench = spark.createDataFrame([(1, short), (2, long), (3, None)], "item_id long, text string")
+    rows = [(None, short), (None, own[0]), (4, own[1]), (4, f"{own[2]} {short} {own[3]}"), (5, long.upper()), (6, own[3])]
+    kept = decontaminate.keep_clean(table(spark, [(*x, "a") for x in rows]), bench)
+    assert sorted(((x["doc_id"], x["text"]) for x in kept.collect()), key=str) == sorted([(None, own[0]), (4, own[1]), (6, own[3])], key=str)
