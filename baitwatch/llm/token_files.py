@@ -25,6 +25,8 @@ BLOCK = 128
 # Ids per word by selector 1 to 14 (fixed by the format); each gets 60 // n bits.
 COUNTS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
+# Bytes of text meant for one shard.
+SHARD_BYTES = 32 << 20
 _U = np.uint64
 
 
@@ -164,8 +166,7 @@ def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     memo = worker_memo(f"ids:{path}")
     whole = [tok.whole(t) for t in texts]
     keys = [[] if w else keys_of(t) for t, w in zip(texts, whole, strict=True)]
-    make = lambda chunks: [np.array(e.ids, np.uint32).tobytes() for e in tok.library.encode_batch_fast(chunks, add_special_tokens=False)]
-    get = fill(memo, keys, make).__getitem__
+    get = fill(memo, keys, tok.encode_chunks).__getitem__
     return [np.array(tok.library.encode(t, add_special_tokens=False).ids, np.uint32) if w
             else np.frombuffer(b"".join(map(get, k)), np.uint32) for t, w, k in zip(texts, whole, keys, strict=True)]
 
@@ -208,8 +209,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    # Rows of one id, or of none, may be many: the beginnings of their texts split them.
+    ordered = rows.repartitionByRange(n, "doc_id", F.left("text", F.lit(64))).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_writer(tokenizer_path, end_id), "shard int, doc_id long, first long, n_tokens long, payload binary").write.parquet(folder)
     return folder
 
@@ -225,19 +228,27 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["shard", "doc_id", "first", "n_tokens", "ids_crc32"])
 
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """``shard, doc_id, start, payload`` of a token file; ``start`` counts the ids of
-    all documents before. Only one row per shard is added up in order."""
+def _stored(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of a token file, and ``of, before``: the ids before each shard. Only one
+    row per shard is added up in order."""
     stored = spark.read.schema("shard int, doc_id long, first long, n_tokens long, payload binary").parquet(folder)
     sums = stored.groupBy(F.col("shard").alias("of")).agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("of", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return stored, sums.select("of", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+
+
+def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """``shard, doc_id, start, payload`` of a token file; ``start`` counts the ids of
+    all documents before."""
+    stored, starts = _stored(spark, folder)
     return stored.join(starts, F.col("shard") == F.col("of")).select(
         "shard", "doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "payload")
 
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32``, the last two from the decoded ids."""
-    return read_tokens(spark, folder).mapInArrow(
-        _reader, "shard int, doc_id long, first long, n_tokens long, ids_crc32 long").select(
-        "doc_id", F.col("first").alias("start"), "n_tokens", "ids_crc32")
+    """``doc_id, start, n_tokens, ids_crc32``, the last two from the decoded ids. Payloads
+    are decoded where they are read; what is joined has no payload."""
+    stored, starts = _stored(spark, folder)
+    decoded = stored.mapInArrow(_reader, "shard int, doc_id long, first long, n_tokens long, ids_crc32 long")
+    return decoded.join(starts, F.col("shard") == F.col("of")).select(
+        "doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")

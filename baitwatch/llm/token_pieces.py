@@ -8,6 +8,8 @@ import os
 import re
 from collections.abc import Callable
 
+import numpy as np
+
 from baitwatch.llm.common import worker_memo
 
 # The white space that the tokenizer's pattern knows (fixed by Unicode).
@@ -15,6 +17,8 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 # Chunks kept in a worker; the memo starts anew beyond that.
 MEMO_ENTRIES = 800_000
 MEMO_CHARS = 64
+# Chunks that are encoded as one text.
+JOINED = 500
 
 _CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _ADJACENT = re.compile(f"[{WHITE}]{{2}}|\x00")
@@ -37,6 +41,11 @@ class Pieces:
             self.spec = json.load(f)
         pre, added = self.spec.get("pre_tokenizer") or {}, self.spec.get("added_tokens") or []
         self.specials = [t["content"] for t in added]
+        # Bytes of each token: byte-level vocabularies write one letter per byte.
+        self.lengths = np.zeros(max(self.spec["model"]["vocab"].values(), default=0) + 1 if isinstance(self.spec["model"]["vocab"], dict) else 1, np.int64)
+        if isinstance(self.spec["model"]["vocab"], dict):
+            for token, k in self.spec["model"]["vocab"].items():
+                self.lengths[k] = len(token)
         self.chunked = (
             self.spec["model"]["type"] == "BPE" and not self.spec.get("normalizer")
             and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"))
@@ -46,6 +55,31 @@ class Pieces:
         return not self.chunked or any(s in text for s in self.specials)
 
 
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids (uint32) of each chunk. Chunks that begin with white space and end with
+        something visible are encoded many at a time, as one text: it has the same
+        chunks, and the bytes of its tokens tell where each one ends."""
+        plain = [k for k, c in enumerate(chunks) if c and c[0] in WHITE and c[-1] not in WHITE] if not any(
+            x in WHITE for s in self.specials for x in s) else []
+        groups = [plain[a:a + JOINED] for a in range(0, len(plain), JOINED)]
+        out: list[bytes | None] = [None] * len(chunks)
+        texts = [[chunks[k] for k in g] for g in groups]
+        for group, text, e in zip(groups, texts, self.library.encode_batch_fast(["".join(t) for t in texts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in text])
+            upto = np.cumsum(self.lengths[ids])
+            cuts = np.searchsorted(upto, ends)
+            if cuts[-1] < len(upto) and np.array_equal(upto[cuts], ends):
+                raw, a = ids.tobytes(), 0
+                for k, b in zip(group, (4 * cuts + 4).tolist(), strict=True):
+                    out[k] = raw[a:b]
+                    a = b
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, e in zip(rest, self.library.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, np.uint32).tobytes()
+        return out
+
+
 def pieces(path: str) -> Pieces:
     memo = worker_memo("pieces")
     if path not in memo:
@@ -69,13 +103,15 @@ def chunk_of(key: str) -> str:
 
 
 def fill(memo: dict, keys: list[list[str]], make: Callable[[list[str]], list]) -> dict:
-    """Values for all keys of a block of texts: ``memo`` with what it lacked, or, for
-    long chunks, entries that last for this block only."""
+    """``memo`` with values for all keys of a block of texts. Those of long chunks go
+    when the next block comes."""
+    passing = worker_memo("passing").setdefault(id(memo), [])
+    for k in passing:
+        memo.pop(k, None)
+    passing.clear()
     if len(memo) > MEMO_ENTRIES:
         memo.clear()
     lacking = list({k for ks in keys for k in set(ks).difference(memo)})
-    values = make([chunk_of(k) for k in lacking])
-    passing = {}
-    for k, v in zip(lacking, values, strict=True):
-        (memo if len(k) <= MEMO_CHARS else passing)[k] = v
-    return {**memo, **passing} if passing else memo
+    memo.update(zip(lacking, make([chunk_of(k) for k in lacking]), strict=True))
+    passing += [k for k in lacking if len(k) > MEMO_CHARS]
+    return memo
