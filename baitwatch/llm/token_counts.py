@@ -133,29 +133,21 @@ class PrefixCounts:
         return known
 
     def chunk(self, text: str) -> bytes:
-        """Differences (int16) of the counts at every code point of a chunk. A cut in
-        a piece leaves all pieces before it alone, except where white space or an
-        apostrophe stands near: there the last pieces are split anew."""
+        """Differences (int16) of the counts at every code point of a chunk, white space
+        and what is visible after it. A cut in the visible part leaves the pieces before
+        it as they are, and of its own piece the beginning: one walk over the pieces is
+        enough. Only a contraction of two letters is none yet after the first of them."""
         spans = self.split(text)
-        white = len(text) - len(text.lstrip(WHITE)) if text[1:2] in WHITE else 1
-        if white <= 1 and "'" not in text:
-            counts, base = [], 0
-            for a, b in spans:
-                steps = self.steps(text[a:b])
-                counts += [base + c for c in steps[1:]]
-                base += steps[-1]
-        else:
-            # Leading white space is one piece however it is cut.
-            counts = list(self.steps(text[:white])[1:])
-            sums, which = [0], 0
-            for a, b in spans:
-                sums.append(sums[-1] + self.steps(text[a:b])[-1])
-            for cut in range(white + 1, len(text) + 1):
-                while spans[which][1] < cut:
-                    which += 1
-                first = max(which - 3, 0)
-                rest = text[spans[first][0]:cut]
-                counts.append(sums[first] + sum(self.steps(rest[a:b])[-1] for a, b in self.split(rest)))
+        white = len(text) - len(text.lstrip(WHITE))
+        # Leading white space is one piece however it is cut.
+        counts, base = list(self.steps(text[:white])[1:]) if white > 1 else [], 0
+        for a, b in spans:
+            steps = self.steps(text[a:b])
+            done = max(len(counts) - a, 0)
+            counts += [base + c for c in steps[done + 1:]]
+            if text[a:b] in ("'re", "'ve", "'ll"):
+                counts[-2] = base + self.steps("'")[-1] + self.steps(text[a + 1])[-1]
+            base += steps[-1]
         return array("h", map(sub, counts, [0, *counts[:-1]])).tobytes()
 
 

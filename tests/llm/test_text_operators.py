@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -30,6 +31,17 @@ def test_every_prefix_has_the_librarys_count(library):
         assert counts.tolist() == want, text
 
 
+def test_prefix_counts_of_very_long_runs_are_exact_and_quick(library):
+    r = np.random.default_rng(1)
+    letters = "".join(r.choice(list("etaoinsx"), 40_000))
+    runs = ["  " + letters, letters[:20_000] + "'" + letters[20_000:], "\n\n" + "it's'll've" * 4000, "  '" + "x9=" * 10_000, " \t" + "é日" * 10_000]
+    began = time.process_time()
+    for text, counts in zip(runs, token_counts.prefix_counts(runs, BPE), strict=True):
+        for k in (1, 2, 3, 4, 100, 101, 102, 19_999, len(text)):
+            assert counts[k - 1] == len(library.encode(text[:k], add_special_tokens=False).ids), (text[:9], k)
+    assert time.process_time() - began < 60
+
+
 def test_budgets_and_cuts_come_from_the_counts(spark, library):
     docs = table(spark, [(k, t, "a") for k, t in enumerate(ODD)])
     counts = token_counts.token_counts(docs, BPE, [3, 10_000], store=True)
