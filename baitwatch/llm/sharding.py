@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from baitwatch.llm.common import stage
 
-# Fixed number of bins in which ranks are counted first; a bin is what one task sorts.
-BINS = 4096
-
 
 def _rank_in_bins(rows: DataFrame, keys: list[str], bin_: Column, order: list[str], out: str) -> DataFrame:
     """Rank (from 0) of each row under ``order`` within ``keys`` without sorting a key
@@ -43,14 +40,18 @@ def shard(docs: DataFrame, n_shards: int, seed: int = 17) -> DataFrame:
     ties = ["_h", "doc_id", "size", "text_crc32"]
     prefix = F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")
     in_source = _rank_in_bins(hashed, ["source"], prefix, ties, "_rank")
-    totals = hashed.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("_total")).withColumn(
-        "_rows", F.sum("_total").over(Window.partitionBy()))
+    totals = hashed.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("_total"))
     placed = in_source.join(totals, F.col("source").eqNullSafe(F.col("_s"))).withColumn(
-        "_f", (F.col("_rank") + F.lit(0.5)) / F.col("_total"))
-    # A column with one value stands for "all rows"; null sources sort first.
-    placed = placed.withColumn("_all", F.lit(0))
+        "_f", (F.col("_rank") + F.lit(0.5)) / F.col("_total")).withColumn("_rows", hashed.agg(F.count("*").alias("n")).scalar())
+    # Ranges of the whole order; null sources sort first. Many small sources share a
+    # fraction (one half, where each has one row), so the fraction alone cuts no bins.
     order = ["_f", "source", *ties]
-    ranked = _rank_in_bins(placed, ["_all"], F.floor(F.col("_f") * BINS).cast("int"), order, "_pos")
+    parts = stage(placed.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "parts")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    first = parts.groupBy(F.col("_part").alias("_p")).agg(F.count("*").alias("_n")).select(
+        "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    ranked = parts.withColumn("_at", at).join(first, F.col("_part") == F.col("_p")).withColumn("_pos", F.col("_first") + F.col("_at"))
     cut = ranked.withColumn("shard", F.floor(F.col("_pos") * n_shards / F.col("_rows")).cast("int"))
     begin = F.expr(f"(shard * _rows + {n_shards - 1}) div {n_shards}")
     return cut.select("doc_id", "source", "size", "text_crc32", "shard", (F.col("_pos") - begin).cast("long").alias("slot"))
