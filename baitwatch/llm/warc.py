@@ -28,7 +28,10 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+# Record types that carry a page; others are passed over.
+PAGES = ("response", "revisit", "resource")
+
+RECORD = "page_id long, record_id string, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
 def _filesystem(path: str):
@@ -40,7 +43,7 @@ def _filesystem(path: str):
 
 def _record(page_id: int, url: str, kind: str, refers: int | None, size: int, digest: str, payload: bytes) -> bytes:
     fields = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z",
         "WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"), f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Length: {size}", "Content-Type: text/html; charset=utf-8"]
     if kind == "revisit":
@@ -77,8 +80,8 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> str:
     """Write ``page_id, url, html`` (other columns are ignored) and return the folder.
     A null html is empty, a null url too. Of equal payloads of LEAST_REVISIT bytes or
     more the smallest page_id is the response and the others refer to it; repeated
-    rows of that page_id are responses too. Rows with a null page_id can't be named in
-    an archive and are refused with an error."""
+    rows of that page_id are responses too. A row with a null page_id gets a record
+    whose name has no number; it may refer to a page, no page refers to it."""
     spark = pages.sparkSession
     folder = folder or shared_path(spark, "warc")
     files, root = _filesystem(folder)
@@ -88,11 +91,10 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> str:
                         F.sha2(html, 256).alias("digest"), "html")
     # Only payloads that occur under several pages need the join.
     first = rows.where(F.col("size") >= LEAST_REVISIT).groupBy(F.col("digest").alias("same")).agg(
-        F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first <> last").select("same", "first")
+        F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("same", "first")
     joined = rows.join(first, F.col("digest") == F.col("same"), "left")
-    refers = F.when(F.col("first") != F.col("page_id"), F.col("first"))
-    ready = joined.select(F.expr("if(page_id is null, raise_error('a page without page_id'), page_id)").cast("long").alias("page_id"),
-                          "url", refers.alias("refers"), "size", "digest", F.when(refers.isNull(), F.col("html")).alias("html"))
+    refers = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
+    ready = joined.select("page_id", "url", refers.alias("refers"), "size", "digest", F.when(refers.isNull(), F.col("html")).alias("html"))
     ready.mapInArrow(_writer(folder), "n long").agg(F.sum("n")).collect()
     return folder
 
@@ -156,26 +158,41 @@ def _members(handle, begin: int, end: int, size: int) -> Iterator[bytes]:
             buffer, base, offset = buffer[offset:], base + offset, 0
 
 
-def _parse(member: bytes) -> tuple:
+def _number(urn: str | None) -> int | None:
+    """The page_id in a record's name; names of other writers have none."""
+    name = (urn or "").strip("<>")
+    digits = name.removeprefix("urn:page:")
+    return int(digits) if name != digits and digits.lstrip("-").isdigit() else None
+
+
+def _parse(member: bytes) -> tuple | None:
+    """A record's columns, None for a record that carries no page. Of a HTTP message
+    the payload is what follows its header; a record without a length goes on to the
+    end of its member, less the two line ends after it."""
     head, _, rest = member.partition(b"\r\n\r\n")
     fields = {}
-    for line in head.decode().split("\r\n")[1:]:
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
         fields[name.strip().lower()] = value.strip()
-    payload = rest[:int(fields["content-length"])]
-    number = lambda urn: int(urn.rpartition(":")[2].rstrip(">"))
-    kind = fields["warc-type"]
+    kind = fields.get("warc-type", "")
+    if kind not in PAGES:
+        return None
+    length = fields.get("content-length", "")
+    payload = rest[:int(length)] if length.isdigit() else rest.removesuffix(b"\r\n\r\n")
+    if fields.get("content-type", "").replace(" ", "").startswith("application/http"):
+        payload = payload.partition(b"\r\n\r\n")[2]
+    size, digest = len(payload), hashlib.sha256(payload).hexdigest()
     if kind == "revisit":
-        size, digest = int(fields["x-payload-length"]), fields["warc-payload-digest"].rpartition(":")[2]
-    else:
-        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
-    refers = number(fields["warc-refers-to"]) if "warc-refers-to" in fields else None
-    return number(fields["warc-record-id"]), fields.get("warc-target-uri", ""), kind, refers, size, digest, payload
+        named = fields.get("warc-payload-digest", "")
+        stated = fields.get("x-payload-length", "")
+        size, digest = int(stated) if stated.isdigit() else None, named.removeprefix("sha256:") or None
+    record = fields.get("warc-record-id")
+    return _number(record), record, fields.get("warc-target-uri", ""), kind, _number(fields.get("warc-refers-to")), size, digest, payload
 
 
 def _reader(with_payload: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         names = [c.split()[0] for c in RECORD.split(", ")]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -188,7 +205,9 @@ def _reader(with_payload: bool):
                 with files.open_input_file(name) as handle:
                     for member in _members(handle, begin, end, size):
                         row = _parse(member)
-                        rows.append(row if with_payload else (*row[:6], None))
+                        if row is None:
+                            continue
+                        rows.append(row if with_payload else (*row[:-1], None))
                         held += len(member) if with_payload else 200
                         if held >= CHUNK_BYTES:
                             yield batch_of(rows)
@@ -200,8 +219,10 @@ def _reader(with_payload: bool):
 
 
 def read_archives(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES, payload: bool = True) -> DataFrame:
-    """All records of the ``*.warc.gz`` files of a folder, in tasks of ``split_bytes``
-    of a file, whatever the file's size. An empty folder gives no rows; bytes that are
+    """All pages of the ``*.warc.gz`` files of a folder, in tasks of ``split_bytes`` of a
+    file, whatever the file's size: records of the types PAGES, by any writer; those of
+    other types are passed over. ``page_id`` and ``refers_to`` are null where the names
+    are not this module's, sizes and digests of revisits where they aren't stated. An empty folder gives no rows; bytes that are
     no WARC member are passed over."""
     listed = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option(
         "pathGlobFilter", "*.warc.gz").load(folder).select("path", "length")
