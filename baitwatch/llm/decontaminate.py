@@ -117,18 +117,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, found: float = FOUND) ->
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     seeds = stage(items.mapInArrow(_item_seeds, f"item_id {item_type}, seed long, n_words long").distinct(), "seeds")
-    margin = seeds.agg(F.max("n_words").alias("m")).first()["m"] or 0
-    passages = stage(docs.mapInArrow(_passages(key_filter(seeds, "seed"), int(margin)), f"doc_id {id_type}, passage string, seeds array<long>").withColumn(
-        "p", F.monotonically_increasing_id()), "passages")
-    pairs = passages.select("p", F.explode("seeds").alias("seed")).join(seeds.select("seed", "item_id"), "seed").select("p", "item_id").distinct()
     texts = items.select("item_id", F.col("text").alias("item")).distinct()
-    scored = pairs.join(passages, "p").join(texts, "item_id").select("doc_id", "item_id", "passage", "item").mapInArrow(
-        _score(found), f"doc_id {id_type}, item_id {item_type}, score double")
+    # Items of about one length (a power of two of words) at a time: a long item widens
+    # the passages of no short one. There are as many classes as a length has bits.
+    length = F.ceil(F.log2("n_words")).cast("int")
+    scored = None
+    for r in seeds.select(length.alias("c")).distinct().collect() or [None]:
+        mine = seeds if r is None else seeds.where(length == r["c"])
+        passages = stage(docs.mapInArrow(_passages(key_filter(mine, "seed"), 1 << (r["c"] if r else 0)), f"doc_id {id_type}, passage string, seeds array<long>").withColumn(
+            "p", F.monotonically_increasing_id()), "passages")
+        pairs = passages.select("p", F.explode("seeds").alias("seed")).join(mine.select("seed", "item_id"), "seed").select("p", "item_id").distinct()
+        part = pairs.join(passages, "p").join(texts, "item_id").select("doc_id", "item_id", "passage", "item").mapInArrow(
+            _score(found), f"doc_id {id_type}, item_id {item_type}, score double")
+        scored = part if scored is None else scored.union(part)
     return scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score")).where(F.col("score") >= found)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, found: float = FOUND) -> DataFrame:
-    """Documents in which no item was found, columns as in the input. Rows with a null
-    doc_id can't be named and stay."""
-    bad = contaminated(docs, benchmark, found).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Documents in which no item was found, columns as in the input. Each text is judged
+    by itself, also those of rows with a null or repeated doc_id."""
+    # Named by the columns' own text, so rows need no id.
+    name = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    bad = contaminated(docs.select(name.alias("doc_id"), "text"), benchmark, found).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, name == F.col("_bad"), "left_anti").select(docs.columns)

@@ -72,8 +72,8 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_b
         sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM f
+  CASE WHEN payload_bytes >= 100 AND first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first IS DISTINCT FROM page_id THEN first END AS refers_to FROM f
 """
 
 # Sets of shingles as text, pairs through common shingles, components by recursion.
@@ -111,28 +111,28 @@ def _found(kind: int, pattern: str, group: int) -> str:
 
 _PLACED = """SELECT doc_id, source, kind, v, b + coalesce(list_sum(list_transform(ms[:k - 1], lambda x: length(x))), 0) AS a, length(m) AS n
       FROM (SELECT *, coalesce(list_sum(list_transform(s[:k], lambda x: length(x))), 0) AS b FROM ({0}))"""
-_HOLDERS = "(SELECT v, count(DISTINCT coalesce(source, '')) AS owners FROM c GROUP BY v)"
+_HOLDERS = "(SELECT v, count(DISTINCT coalesce(source, '')) AS owners, count(DISTINCT (coalesce(source, ''), coalesce(doc_id::VARCHAR, ''))) AS repositories FROM c GROUP BY v)"
 
 OP1 = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 p AS MATERIALIZED ({" UNION ALL ".join(_PLACED.format(_found(k, x, g)) for k, x, g in (
     (0, _ASSIGN, 1), (1, "AKIA[A-Z0-9]{12,}", 0), (2, "[0-9a-f]{32,}", 0), (3, "[A-Za-z0-9+/_=-]{20,}", 0)))}),
 b AS (SELECT * FROM p WHERE kind < 3 AND length(v) >= [8, 16, 32][kind + 1]),
-r AS (SELECT * FROM p WHERE kind = 3 AND n BETWEEN 20 AND 512 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
+r AS (SELECT * FROM p WHERE kind = 3 AND n >= 20 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
       AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = p.doc_id AND b.a < p.a + p.n AND p.a < b.a + b.n)),
 c AS MATERIALIZED (SELECT * FROM b UNION ALL SELECT * FROM r),
 e AS (SELECT v, -sum(f / length(v) * log2(f / length(v))) AS entropy FROM (
       SELECT v, x, count(*)::DOUBLE AS f FROM (SELECT v, unnest(string_split(v, '')) AS x FROM (SELECT DISTINCT v FROM c)) GROUP BY v, x) GROUP BY v),
-j AS (SELECT c.*, owners >= 3 AS example, owners = 1 AND entropy >= 3 AND NOT regexp_matches(lower(v),
+j AS (SELECT c.*, owners >= 3 AS example, repositories, owners = 1 AND repositories < 100 AND entropy >= 3 AND NOT regexp_matches(lower(v),
         'example|sample|changeme|placeholder|dummy|redacted|xxxx|your|test|1234567|abcdefg') AS live
       FROM c JOIN {_HOLDERS} USING (v) JOIN e USING (v)),
 w AS (SELECT *, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || a || ':' || (a + n) AS span FROM j),
 g AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
         sha256(coalesce(string_agg(span, ',' ORDER BY a, kind) FILTER (WHERE kind < 3), '')) AS base_sha256,
         coalesce(string_agg(span, ',' ORDER BY a, kind) FILTER (WHERE kind < 3 OR live), '') AS spans,
-        count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE example) AS n_example FROM w GROUP BY doc_id)
+        count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE example) AS n_example, max(repositories) AS n_repositories FROM w GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+  coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(n_repositories, 0) AS n_repositories
 FROM d LEFT JOIN g USING (doc_id)
 """
 
