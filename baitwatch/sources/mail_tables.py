@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,9 +28,44 @@ _CSV = {"header": "true", "quote": '"', "escape": '"', "lineSep": "\n",
 
 
 def read_mail_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Quoted multi-line CSV; empty fields are NULL. Such files do not split:
-    convert to Parquet once (``write_mail_parquet``) and work on that."""
-    return spark.read.schema(MAIL_SCHEMA).options(**_CSV, multiLine="true", maxCharsPerColumn="-1").csv(path)
+    """Quoted multi-line CSV, split like any text file; empty fields are NULL. See
+    ``csv_records`` for how a range of bytes finds the records that begin in it."""
+    parsed = csv_records(spark, path).where("n > 1").select(F.from_csv(
+        "record", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in MAIL_SCHEMA.fields),
+        {**_CSV, "header": "false", "multiLine": "true", "maxCharsPerColumn": "-1", "mode": "FAILFAST"}).alias("r"))
+    return parsed.select("r.*")
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """``path, n, record``: the records of quoted CSV files, numbered from 1 in each file,
+    header included, without splitting fields.
+
+    Spark reads the files as lines, in ranges of bytes. A line begins a record if an even
+    number of quotation marks stands before it in its file (a doubled mark inside a field
+    counts twice). So every range is summed up by the parity of its marks; sums over the
+    ranges of a file, a row each, give the parity at which each range begins, and with it
+    the lines that begin records and the number of records before the range. A record
+    that runs over the end of a range is joined from both. No task holds more than one
+    range or one record. Marks stand at the ends of quoted fields or doubled inside them,
+    as the format has it; a mark inside an unquoted field breaks the count."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+        F.col("value").alias("line"), (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("marks"))
+    in_block = Window.partitionBy("path", "block").orderBy("at")
+    odd = F.sum("marks").over(in_block) - F.col("marks")
+    # Whether the line begins a record, for either parity at the begin of its range.
+    placed = lines.withColumns({"if_even": (odd % 2 == 0).cast("int"), "if_odd": (odd % 2 == 1).cast("int")})
+    blocks = lines.groupBy("path", "block").agg(F.sum("marks").alias("marks"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    parity = blocks.select("path", "block", (F.coalesce(F.sum("marks").over(before), F.lit(0)) % 2).alias("parity"))
+    begun = placed.groupBy("path", "block").agg(F.sum("if_even").alias("even"), F.sum("if_odd").alias("odd"))
+    first = parity.join(begun, ["path", "block"]).withColumn("n", F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd")))
+    first = first.select(F.col("path").alias("_path"), F.col("block").alias("_block"), "parity", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    known = placed.join(first, (F.col("path") == F.col("_path")) & (F.col("block") == F.col("_block")))
+    begins = F.when(F.col("parity") == 0, F.col("if_even")).otherwise(F.col("if_odd"))
+    numbered = known.select("path", "block", "at", "line", (F.col("base") + F.sum(begins).over(in_block)).alias("n"))
+    joined = numbered.groupBy("path", "n").agg(F.sort_array(F.collect_list(F.struct("block", "at", "line"))).alias("l"))
+    return joined.select("path", "n", F.array_join("l.line", "\n").alias("record"))
 
 
 def write_mail_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

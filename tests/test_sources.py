@@ -116,3 +116,39 @@ def test_worker_functions_need_no_package(spark):
         code = "import sys, pickle; sys.modules['baitwatch'] = None; pickle.loads(sys.stdin.buffer.read())"
         done = subprocess.run([sys.executable, "-c", code], input=sent, capture_output=True, cwd="/", timeout=120)
         assert done.returncode == 0, done.stderr[-500:]
+
+
+ODD_FIELDS = ['a "quoted" word', "two\nlines", '"', "", 'ends with "', "x\r\ny", ',"\n,"\n', "plain", 'é🙂 "日本"\n\n\n"', None]
+
+
+def _odd_mails(spark, n):
+    rows = [(k, k % 2, "t", "c", ODD_FIELDS[k % 10], f"{ODD_FIELDS[k * 7 % 10]}{k}\n" * (k % 4 + 1), ODD_FIELDS[k * 3 % 10], None) for k in range(n)]
+    return spark.createDataFrame(rows, MT.MAIL_SCHEMA)
+
+
+@pytest.mark.parametrize("split", [37, 1000, 1 << 27])
+def test_quoted_csv_is_the_same_for_every_split(spark, tmp_path, split):
+    """One file, fields with line ends and quotation marks, ranges that begin anywhere."""
+    want = [tuple(v or None for v in r[1:]) for r in _odd_mails(spark, 150).orderBy("id").collect()]
+    MT.write_mail_csv(_odd_mails(spark, 150).coalesce(1), str(tmp_path / "csv"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        read = MT.read_mail_csv(spark, str(tmp_path / "csv")).orderBy("id").collect()
+        n_tasks = spark.read.text(str(tmp_path / "csv")).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert [r["id"] for r in read] == list(range(150))
+    assert [tuple(v or None for v in r[1:]) for r in read] == want
+    assert n_tasks > 1 or split == 1 << 27
+
+
+def test_csv_records_of_several_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('h1,h2\n1,"x\ny"\n2,""""\n')
+    (tmp_path / "b.csv").write_text('h1,h2\n3,z')
+    (tmp_path / "c.csv").write_text("")
+    got = sorted((r["path"][-5:], r["n"], r["record"]) for r in MT.csv_records(spark, str(tmp_path)).collect())
+    assert got == [("a.csv", 1, "h1,h2"), ("a.csv", 2, '1,"x\ny"'), ("a.csv", 3, '2,""""'), ("b.csv", 1, "h1,h2"), ("b.csv", 2, "3,z")]
