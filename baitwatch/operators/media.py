@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lx
 from ..functions.numbers import round_exact
 from ..functions.scoring import decision, risk_tier
+from ..session import ensure_checkpoint_dir
 
-# Fixed number of value bins per group in which units are counted first.
-BINS = 4096
+# Size of the quantile sketches, and the ranks at which they give bounds: so far from the
+# middle on either side.
+SKETCH_K = 1024
+MIDDLE = (0.2, 0.05, 0.01)
 
 
 def sample_frames(frames: DataFrame, every: int = lx.FRAME_STEP) -> DataFrame:
@@ -60,29 +63,47 @@ def unit_fake_probability(entries: Column) -> Column:
     return F.coalesce(*[F.try_element_at(by_label, F.lit(k)) for k in lx.FAKE_LABEL_KEYS], second)
 
 
-def exact_medians(units: DataFrame, group: str, value: str) -> DataFrame:
-    """``(group, median, n_units)``, exact for groups of any size, on one path: units
-    are counted per group and value bin (combined on the map side), the bins that hold
-    the middle ordinals are found from the counts, and only rows of these bins are
-    collapsed to distinct values and ranked. Missing and NaN values take no part."""
+def median_bounds(units: DataFrame, group: str, value: str) -> DataFrame:
+    """``(_g, n_units, _b)``: values near the middle of each group, ascending, from a
+    quantile sketch that is combined on the map side. Sketches are random in part, so the
+    bounds are written to the checkpoint folder: whoever reads them sees the same ones."""
+    present = units.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(
+        F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
+    ensure_checkpoint_dir(units.sparkSession)
+    sketched = present.groupBy("_g").agg(F.count(F.lit(1)).alias("n_units"), F.kll_sketch_agg_double("_v", F.lit(SKETCH_K)).alias("_s"))
+    ranks = sorted(0.5 + sign * d for d in MIDDLE for sign in (-1, 1))
+    return sketched.select("_g", "n_units", F.array(*[F.kll_sketch_get_quantile_double("_s", F.lit(r)) for r in ranks]).alias("_b")).checkpoint()
+
+
+def in_zones(units: DataFrame, group: str, value: str, bounds: DataFrame) -> DataFrame:
+    """``(_g, n_units, _v, _zone)``: between which bounds each value lies; equal values
+    share a zone, zones ascend with the values."""
     present = units.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(
         F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
-    sizes = present.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("n_units"))
-    # The same bin for equal values; bins ascend with the values.
-    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(0.0))
-    binned = present.join(sizes, "_g").withColumn("_bin", F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int"))
-    counts = binned.groupBy("_g", "_bin", "n_units").agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy("_g").orderBy("_bin"))
+    zone = sum((F.col("_v") > F.get("_b", F.lit(i))).cast("int") for i in range(2 * len(MIDDLE)))
+    return present.join(bounds, "_g").select("_g", "n_units", "_v", zone.alias("_zone"))
+
+
+def exact_medians(units: DataFrame, group: str, value: str) -> DataFrame:
+    """``(group, median, n_units)``, exact for groups of any size and shape, on one path:
+    a sketch gives bounds near the middle, exact counts between the bounds (combined on
+    the map side) tell in which zones the middle ordinals lie, and only rows of these
+    are collapsed to distinct values and ranked: about a fiftieth of a large group,
+    wherever its outliers are. Bounds decide what is ranked, never the result. Missing
+    and NaN values take no part."""
+    binned = in_zones(units, group, value, median_bounds(units, group, value))
+    counts = binned.groupBy("_g", "_zone", "n_units").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_g").orderBy("_zone"))
     first, second = F.floor((F.col("n_units") + 1) / 2), F.floor(F.col("n_units") / 2) + 1
     placed = counts.withColumn("_before", upto - F.col("_c"))
 
     def inside(at: Column, before: str, n: str) -> Column:
         return (at > F.col(before)) & (at <= F.col(before) + F.col(n))
 
-    middle = placed.filter(inside(first, "_before", "_c") | inside(second, "_before", "_c")).select("_g", "_bin", "_before")
-    values = binned.join(middle, ["_g", "_bin"]).groupBy("_g", "_bin", "_before", "n_units", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    middle = placed.filter(inside(first, "_before", "_c") | inside(second, "_before", "_c")).select("_g", "_zone", "_before")
+    values = binned.join(middle, ["_g", "_zone"]).groupBy("_g", "_zone", "_before", "n_units", "_v").agg(F.count(F.lit(1)).alias("_c"))
     ranked = values.withColumn("_at", F.col("_before") - F.col("_c") + F.sum("_c").over(
-        Window.partitionBy("_g", "_bin").orderBy("_v")))
+        Window.partitionBy("_g", "_zone").orderBy("_v")))
     return ranked.groupBy("_g", "n_units").agg(
         ((F.max(F.when(inside(first, "_at", "_c"), F.col("_v"))) + F.max(F.when(inside(second, "_at", "_c"), F.col("_v")))) / 2).alias("median")
     ).select(F.col("_g").alias(group), "median", "n_units")

@@ -58,6 +58,15 @@ def test_median_of_a_group_of_many_units(spark):
     assert tuple(M.exact_medians(df, "m", "v").first()) == (1, 150_000.0 ** 2, 300_001)
 
 
+def test_an_outlier_puts_no_large_group_into_one_zone(spark):
+    """Half a million values near 0 and one at 1: value ranges of equal width would hold
+    them all in one; the zones that are ranked stay small."""
+    df = spark.range(500_001).select(F.lit(1).alias("m"), F.when(F.col("id") == 0, 1.0).otherwise(F.col("id") * 1e-12).alias("v"))
+    zones = {r["_zone"]: r["n"] for r in M.in_zones(df, "m", "v", M.median_bounds(df, "m", "v")).groupBy("_zone").agg(F.count("*").alias("n")).collect()}
+    assert zones[len(M.MIDDLE)] < 25_000 and len(zones) == 2 * len(M.MIDDLE) + 1
+    assert tuple(M.exact_medians(df, "m", "v").first()) == (1, 250_001 * 1e-12, 500_001)
+
+
 def test_nan_scores_are_missing(spark):
     df = spark.createDataFrame([(1, float("nan")), (1, 0.2), (2, float("nan"))], "media_id int, fake_probability double")
     got = {r["media_id"]: r for r in M.media_verdicts(spark.createDataFrame([(1,), (2,)], "media_id int"), df, "video").collect()}
