@@ -23,13 +23,13 @@ def decision(score: Column, positive: str, negative: str) -> Column:
 
 def active_features(importances: dict[str, float]) -> Column:
     """Features above zero in this row, most important first. An array of at
-    most as many entries as there are features."""
+    most as many entries as there are features. Importances are the same for all rows,
+    so the entries stand in their order and no row is sorted."""
     entries = F.array(*[
-        F.struct(F.lit(-float(w)).alias("order"), F.lit(n).alias("feature"),
-                 F.col(n).cast("double").alias("value"))
-        for n, w in importances.items()
+        F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value"))
+        for n, _ in sorted(importances.items(), key=lambda x: (-x[1], x[0]))
     ])
-    return F.array_sort(F.filter(entries, lambda e: e["value"] > 0))
+    return F.filter(entries, lambda e: e["value"] > 0)
 
 
 def top_signals(active: Column) -> dict[str, Column]:

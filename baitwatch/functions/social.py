@@ -51,6 +51,10 @@ def red_flag_stage(get) -> dict[str, Column]:
     return {"behavioral_red_flag_count": flags, "likely_coordinated_or_bot": flags >= lx.BOT_RED_FLAGS}
 
 
+TEXT_RISK_FEATURES = ["urgency_financial_combo", "personalization_financial_mismatch", "prompt_leakage_detected",
+                      "out_of_band_excuse_count", "low_burstiness_flag", "llm_trope_word_count"]
+
+
 def text_risk(get) -> Column:
     """Weighted sum of the signals that fired, capped at 1."""
     fired = {

@@ -29,6 +29,15 @@ TEXT_FEATURES = [
     "personalization_financial_mismatch",
 ]
 
+PATTERN_FEATURES = {"prompt_leakage_detected", "out_of_band_excuse_count"}
+# Features made from the sentence lengths, and what the combined ones are made of.
+LENGTH_FEATURES = {"sentence_count", "burstiness_score"}
+COMBINED = {
+    "urgency_financial_combo": ("urgency_word_count", "financial_action_word_count"),
+    "personalization_financial_mismatch": ("personal_osint_word_count", "financial_action_word_count"),
+    "low_burstiness_flag": ("burstiness_score",),
+}
+
 
 def _segments(text: Column) -> Column:
     names = "|".join(a.replace(".", r"\.") for a in lx.ABBREVIATIONS)
@@ -110,16 +119,35 @@ def _matches(lowered: Column, patterns: list[tuple[str, int]]) -> Column:
         F.regexp_extract_all(lowered, F.lit(fill_pattern(p)), F.lit(group)) for p, group in patterns])
 
 
-def evidence(lowered: Column) -> Column:
+def found_stage(lowered: Column) -> dict[str, Column]:
+    """Per term list the terms that occur, sorted."""
+    return {f"_found_{name}": _terms_found(lowered, terms) for name, terms in TERM_COUNTS.items()}
+
+
+def found_count_stage() -> dict[str, Column]:
+    """Counts as sizes of what was found."""
+    return {name: F.size(f"_found_{name}") for name in TERM_COUNTS}
+
+
+def evidence_of_found(lowered: Column) -> Column:
     """MAP<category, ARRAY<match>>: terms in sorted order, regex matches in
-    pattern then text order."""
+    pattern then text order; over the columns of ``found_stage``."""
+    return _evidence({name: F.col(f"_found_{name}") for name in TERM_COUNTS}, lowered)
+
+
+def evidence(lowered: Column) -> Column:
+    """The same without a stage before it."""
+    return _evidence({name: _terms_found(lowered, terms) for name, terms in TERM_COUNTS.items()}, lowered)
+
+
+def _evidence(terms: dict[str, Column], lowered: Column) -> Column:
     found = {
-        "llm_tropes": F.concat(_terms_found(lowered, lx.TROPE_WORDS), _terms_found(lowered, lx.TROPE_PHRASES)),
+        "llm_tropes": F.concat(terms["llm_trope_word_count"], terms["llm_trope_phrase_count"]),
         "prompt_leakage": _matches(lowered, lx.PROMPT_LEAK_PATTERNS),
         "out_of_band_excuses": _matches(lowered, lx.EXCUSE_PATTERNS),
-        "urgency": _terms_found(lowered, lx.URGENCY_TERMS),
-        "financial": _terms_found(lowered, lx.FINANCIAL_TERMS),
-        "causal_connectives": _terms_found(lowered, lx.CAUSAL_TERMS),
-        "personal_osint": _terms_found(lowered, lx.PERSONAL_TERMS),
+        "urgency": terms["urgency_word_count"],
+        "financial": terms["financial_action_word_count"],
+        "causal_connectives": terms["causal_connective_count"],
+        "personal_osint": terms["personal_osint_word_count"],
     }
     return F.map_from_arrays(F.array(*[F.lit(k) for k in found]), F.array(*found.values()))

@@ -19,16 +19,30 @@ URL_FEATURES = ["num_urls", *U.NUMERIC_FEATURES, *U.BOOLEAN_FEATURES, "has_https
 CATEGORICAL = ["spf_result", "dkim_result", "dmarc_result"]
 
 
-def with_text_features(df: DataFrame, text_col: str) -> DataFrame:
-    """Add the 14 text features. The lowered text and the sentence lengths are
-    projections of their own, so each is computed once."""
-    text = F.col(text_col)
-    df = df.withColumns({"_lowered": F.lower(text), "_lengths": X.sentence_lengths(text)})
-    low = F.col("_lowered")
-    df = df.withColumns({
-        **X.structure_stage(text, F.col("_lengths")), **X.term_count_stage("_lowered"), **X.pattern_stage(low)})
-    df = df.withColumns(X.combo_stage(F.col))
-    return closed(df, {n: F.col(n) for n in X.TEXT_FEATURES}, drop=["_lowered", "_lengths"])
+def with_text_features(df: DataFrame, text_col: str, names: Iterable[str] = X.TEXT_FEATURES, matches: bool = False) -> DataFrame:
+    """Add the text features in ``names`` (all 14 by default) and, on demand, the map
+    ``text_matches``. Only the stages that these need are built. The lowered text and
+    the sentence lengths are projections of their own, and with matches the terms found
+    are a stage of which counts and matches are both made: each text is searched once."""
+    text, names = F.col(text_col), list(names)
+    unknown = set(names) - set(X.TEXT_FEATURES)
+    if unknown:
+        raise ValueError(f"unknown text features: {sorted(unknown)}")
+    wanted = set(names).union(*[X.COMBINED.get(n, ()) for n in names])
+    low, first = F.col("_lowered"), {}
+    if matches or wanted & {*X.TERM_COUNTS, *X.PATTERN_FEATURES}:
+        first["_lowered"] = F.lower(text)
+    if wanted & X.LENGTH_FEATURES:
+        first["_lengths"] = X.sentence_lengths(text)
+    df = df.withColumns(first)
+    if matches:
+        df = df.withColumns(X.found_stage(low))
+    stages = {**X.structure_stage(text, F.col("_lengths")), **(X.found_count_stage() if matches else X.term_count_stage("_lowered")),
+              **X.pattern_stage(low)}
+    df = df.withColumns({n: c for n, c in stages.items() if n in wanted})
+    df = df.withColumns({n: c for n, c in X.combo_stage(F.col).items() if n in wanted})
+    closing = {n: F.col(n) for n in names} | ({"text_matches": X.evidence_of_found(low)} if matches else {})
+    return closed(df, closing, drop={*first, *(X.found_stage(low) if matches else ()), *wanted} - set(names))
 
 
 def with_url_structs(df: DataFrame, text_col: str, suffixes: Iterable[str] | None = None) -> DataFrame:
@@ -61,19 +75,19 @@ def with_attachment_features(df: DataFrame, raw_col: str) -> DataFrame:
 
 
 def mail_features(mails: DataFrame, keep: Iterable[str] = ("mail_id", "label"),
-                  attachments: bool = True) -> DataFrame:
+                  attachments: bool = True, matches: bool = False) -> DataFrame:
     """Wide table: ``keep`` plus ``url__*``, ``header__*`` and ``text__*``
     columns, booleans as 0/1. No shuffle: links are handled inside the row.
-    ``from_addr`` is kept for the sender check."""
+    ``from_addr`` is kept for the sender check, ``text_matches`` on demand."""
     df = with_url_summary(mails, "body_text")
-    df = with_text_features(df, "body_text").drop("body_text")
+    df = with_text_features(df, "body_text", matches=matches).drop("body_text")
     df = with_header_features(df, "raw_email_source", "url_domains").drop("url_domains")
     names = list(H.HEADER_FEATURES)
     if attachments:
         df = with_attachment_features(df, "raw_email_source")
         names += H.ATTACHMENT_FEATURES
     df = df.selectExpr(
-        *keep, "from_addr", "from_domain",
+        *keep, *(["text_matches"] if matches else []), "from_addr", "from_domain",
         *[f"{n} as url__{n}" for n in URL_FEATURES],
         *[f"{n} as header__{n}" for n in names],
         *[f"{n} as text__{n}" for n in X.TEXT_FEATURES],
@@ -95,13 +109,22 @@ def one_hot_auth(df: DataFrame, vocabulary: Iterable[str] = tuple(lx.AUTH_VOCABU
     return df.withColumns(hot).drop(*names)
 
 
-def auth_vocabulary(df: DataFrame, declared: Iterable[str] = tuple(lx.AUTH_VOCABULARY)) -> list[str]:
-    """Declared values plus those found in ``df`` at fit time: the columns of the
-    model. Distinct values are aggregated before they reach the driver."""
-    found = (df.select(F.explode(F.array(*[F.col(f"header__{c}") for c in CATEGORICAL])).alias("v"))
-             .distinct().collect())
+def auth_vocabulary(df: DataFrame, declared: Iterable[str] = tuple(lx.AUTH_VOCABULARY), most: int = lx.AUTH_EXTRA) -> list[str]:
+    """Declared values plus the ``most`` frequent others in ``df`` at fit time: the
+    columns of the model. Values are words that a sender may invent, so their number is
+    bounded; a value beyond it has no column, like one that first appears after fitting.
+    Counts are combined before they are compared."""
+    found = df.select(F.explode(F.array(*[F.col(f"header__{c}") for c in CATEGORICAL])).alias("v"))
     declared = list(declared)
-    return declared + sorted({r.v for r in found if r.v is not None} - set(declared))
+    rest = found.where(~F.col("v").isin(declared)).groupBy("v").agg(F.count("*").alias("n"))
+    return declared + sorted(r.v for r in rest.orderBy(F.desc("n"), "v").limit(most).collect())
+
+
+def header_vocabulary(mails: DataFrame, raw_col: str = "raw_email_source") -> list[str]:
+    """The same from raw messages: no other feature is computed, no body is read."""
+    heads = mails.select(F.col(raw_col).alias("raw")).withColumn("head", H.header_block(F.col("raw")))
+    heads = U.with_stages(heads, [H.read_stage, *H.auth_stages()])
+    return auth_vocabulary(heads.select(*[F.col(c).alias(f"header__{c}") for c in CATEGORICAL]))
 
 
 def align(df: DataFrame, columns: Iterable[str], keep: Iterable[str] = ()) -> DataFrame:

@@ -8,16 +8,15 @@ from multiprocessing.pool import ThreadPool
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round_exact
 from ..functions.scoring import active_features, decision, risk_tier, top_signals
-from ..functions.strings import closed
 from ..session import ensure_checkpoint_dir
 from .dataset import stratified_folds
 from .features import align
+from .trees import Node, model_nodes, used_columns, with_probability
 
 STAGES = 200
 CV_STAGES = 100
@@ -85,13 +84,14 @@ def model_columns(model: PipelineModel) -> list[str]:
     return list(model.stages[0].getInputCols())
 
 
-def score_mails(model: PipelineModel, features: DataFrame, keep: Iterable[str] = ("mail_id",)) -> DataFrame:
-    """Probability of class 1 (4 decimals), tier and decision. Narrow: works on
-    streams too. Feature columns stay for the signal lists."""
-    columns = model_columns(model)
-    wide = align(features, columns, keep)
-    p = vector_to_array("probability")[1]
-    scored = closed(model.transform(wide), {"_p": p})
+def score_mails(model: PipelineModel | Iterable[Node], features: DataFrame, keep: Iterable[str] = ("mail_id",)) -> DataFrame:
+    """Probability of class 1 (4 decimals), tier and decision, from a fitted model or the
+    node table of one. Narrow: works on streams too; filters on kept columns reach the
+    scan. Feature columns stay for the signal lists."""
+    fitted = isinstance(model, PipelineModel)
+    nodes = model_nodes(model) if fitted else list(model)
+    columns = model_columns(model) if fitted else used_columns(nodes)
+    scored = with_probability(align(features, columns, keep), nodes, "_p")
     return scored.select(
         *keep, *columns,
         round_exact(F.col("_p"), 4).alias("phishing_probability"),

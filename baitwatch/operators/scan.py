@@ -6,8 +6,6 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.strings import closed
-from ..functions.text import evidence
 from .features import CATEGORICAL, mail_features, one_hot_auth
 from .learn import importances, model_columns, score_mails, with_top_signals
 from .registry import verify_senders
@@ -23,9 +21,7 @@ def scan_mails(mails: DataFrame, model: PipelineModel) -> DataFrame:
     """``(mail_id, body_text, raw_email_source)`` -> probability, tier, decision,
     signals, sender check and text matches. No join and no shuffle. Filter mails before
     this call: Spark's feature assembler lets no filter pass below it."""
-    mails = mails.select("mail_id", "body_text", "raw_email_source", F.lower("body_text").alias("_low"))
-    mails = closed(mails, {"text_matches": evidence(F.col("_low"))}, drop=["_low"])
-    wide = mail_features(mails, keep=("mail_id", "text_matches"))
+    wide = mail_features(mails.select("mail_id", "body_text", "raw_email_source"), keep=("mail_id",), matches=True)
     hot = one_hot_auth(wide, model_vocabulary(model))
     scored = score_mails(model, hot, ("mail_id", "from_addr", "text_matches"))
     signals = with_top_signals(scored, importances(model))

@@ -22,7 +22,9 @@ def with_behaviour(df: DataFrame, as_of: Column) -> DataFrame:
 def scan_posts(posts: DataFrame, as_of: Column, keep: tuple[str, ...] = ("post_id",),
                features: bool = True) -> DataFrame:
     """Scores and tier of each post, with the features behind them unless left out."""
-    df = with_behaviour(with_text_features(posts, "post_text"), as_of)
+    # Without the features only those behind the text risk are computed.
+    names = TEXT_FEATURES if features else S.TEXT_RISK_FEATURES
+    df = with_behaviour(with_text_features(posts, "post_text", names), as_of)
     df = df.withColumns({"_text": S.text_risk(F.col),
                          "_account": S.behaviour_risk(F.col("behavioral_red_flag_count"))})
     df = df.withColumn("_fused", S.fused_score(

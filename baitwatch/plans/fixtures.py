@@ -269,6 +269,22 @@ FIXTURES = {
 }
 
 
+def rule_nodes(features: list[str]) -> list[tuple]:
+    """Boosted trees by rule instead of by fit, a tree per feature: ``(tree, node, weight,
+    feature, threshold, left, right, value)``. The tree of the k-th feature (in
+    alphabetical order) splits on it, then to the left on the one after it, to the right
+    on the one three after it."""
+    names, out = sorted(features), []
+    for k in range(len(names)):
+        second, third = names[(k + 1) % len(names)], names[(k + 3) % len(names)]
+        weight = 1.0 if k == 0 else 0.1
+        value = lambda j: ((k * 7 + j * 5) % 11 - 5) / 4
+        out += [(k, 0, weight, names[k], k % 3 + 0.5, 1, 2, None), (k, 1, weight, second, k % 2 - 0.5, 3, 4, None),
+                (k, 2, weight, third, k % 5 + 0.25, 5, 6, None)]
+        out += [(k, 3 + j, weight, None, None, None, None, value(j)) for j in range(4)]
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

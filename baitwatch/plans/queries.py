@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +27,14 @@ from ..operators import report as RP
 from ..operators.ordering import renumber
 from ..operators.scan import model_vocabulary, scan_mails
 from ..operators.social import scan_posts, with_behaviour
+from ..operators.trees import Node, load_nodes, node_table, save_nodes
+from ..operators.typosquat import flag_lookalikes
 from ..operators.urls import aggregate_url_rows, explode_urls
 from ..session import ensure_checkpoint_dir, spread
 from ..sources import generator as G
 from ..sources import mail_tables as MT
 from ..sources.uploads import check_uploads
-from .fixtures import fixture, table
+from .fixtures import fixture, rule_nodes, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,6 +112,18 @@ def url_typosquat(spark, sf):
     return _url_features(spark, sf).select(*_OWNER, "full_domain", "is_typosquat")
 
 
+def _registered_domains(spark, sf) -> DataFrame:
+    known = ", ".join(f"('{d}')" for d in lx.KNOWN_ENTITY_DOMAINS)
+    return fixture(spark, sf, "entity_domain").select("domain").union(spark.sql(f"VALUES {known}"))
+
+
+@query
+def url_typosquat_registry(spark, sf):
+    """Look-alikes of any registered domain, not of a fixed list."""
+    found = _url_features(spark, sf).select(*_OWNER, "full_domain")
+    return flag_lookalikes(found, _registered_domains(spark, sf))
+
+
 @query
 def url_agg(spark, sf):
     return FE.with_url_summary(_mails(spark, sf, "body_text"), "body_text").select("mail_id", *FE.URL_FEATURES)
@@ -200,33 +215,33 @@ def txt_sentences(spark, sf):
         "mail_id", F.posexplode(X.sentences(F.col("body_text"))).alias("no", "sentence"))
 
 
-def _text_features(spark, sf) -> DataFrame:
-    return FE.with_text_features(_mails(spark, sf, "body_text"), "body_text")
+def _text_features(spark, sf, *names: str) -> DataFrame:
+    return FE.with_text_features(_mails(spark, sf, "body_text"), "body_text", names).select("mail_id", *names)
 
 
 @query
 def txt_structure(spark, sf):
-    return _text_features(spark, sf).select("mail_id", "sentence_count", "word_count")
+    return _text_features(spark, sf, "sentence_count", "word_count")
 
 
 @query
 def txt_burstiness(spark, sf):
-    return _text_features(spark, sf).select("mail_id", "burstiness_score", "low_burstiness_flag")
+    return _text_features(spark, sf, "burstiness_score", "low_burstiness_flag")
 
 
 @query
 def txt_lexicon(spark, sf):
-    return _text_features(spark, sf).select("mail_id", *X.TERM_COUNTS)
+    return _text_features(spark, sf, *X.TERM_COUNTS)
 
 
 @query
 def txt_patterns(spark, sf):
-    return _text_features(spark, sf).select("mail_id", "prompt_leakage_detected", "out_of_band_excuse_count")
+    return _text_features(spark, sf, "prompt_leakage_detected", "out_of_band_excuse_count")
 
 
 @query
 def txt_combos(spark, sf):
-    return _text_features(spark, sf).select("mail_id", "urgency_financial_combo", "personalization_financial_mismatch")
+    return _text_features(spark, sf, "urgency_financial_combo", "personalization_financial_mismatch")
 
 
 @query
@@ -358,8 +373,7 @@ def stratified_folds(spark, sf):
 
 
 def _train_columns(spark, sf) -> tuple[DataFrame, list[str]]:
-    wide = _wide(spark, sf)
-    hot = FE.one_hot_auth(wide, FE.auth_vocabulary(wide))
+    hot = FE.one_hot_auth(_wide(spark, sf), FE.header_vocabulary(_mails(spark, sf, "raw_email_source")))
     return hot, FE.feature_columns(hot)
 
 
@@ -399,6 +413,27 @@ def model_scores(spark, sf):
         "mail_id", "label", "phishing_probability", "risk_tier", "prediction")
 
 
+@query
+def tree_scores(spark, sf):
+    """Scores from a saved node table: trees by rule, written, loaded and compiled."""
+    path = f"{ensure_checkpoint_dir(spark)}/nodes-{uuid.uuid4().hex}"
+    hot = FE.one_hot_auth(_wide(spark, sf))
+    save_nodes(node_table(spark, [Node(*n) for n in rule_nodes(FE.feature_columns(hot))]), path)
+    return L.score_mails(load_nodes(spark, path), hot, ("mail_id", "label")).select(
+        "mail_id", "label", "phishing_probability", "risk_tier", "prediction")
+
+
+@query
+def model_scores_agree(spark, sf):
+    """The fitted trees as one expression against the library's own transform: the same
+    probability for every mail."""
+    model, columns = _fitted(spark, sf)
+    hot = FE.one_hot_auth(_wide(spark, sf), model_vocabulary(model))
+    ours = L.with_probability(FE.align(hot, columns, ("mail_id", "label")), L.model_nodes(model), "_p")
+    both = model.transform(ours).withColumn("_q", vector_to_array("probability")[1])
+    return both.select("mail_id", "label", (F.abs(F.col("_p") - F.col("_q")) < 1e-9).alias("same"))
+
+
 @query
 def model_importances(spark, sf):
     return L.top_importances(_fitted(spark, sf)[0], spark)
@@ -498,7 +533,7 @@ def beh_redflags(spark, sf):
 
 @query
 def soc_text_risk(spark, sf):
-    df = FE.with_text_features(fixture(spark, sf, "post").select("post_id", "post_text"), "post_text")
+    df = FE.with_text_features(fixture(spark, sf, "post").select("post_id", "post_text"), "post_text", S.TEXT_RISK_FEATURES)
     return df.select("post_id", round_exact(S.text_risk(F.col), 4).alias("text_risk_score"))
 
 
