@@ -75,38 +75,47 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(out, dtype=np.uint64)
 
 
-_DEALT = "bucket int, row bigint, n int, digest binary, mark binary, tokens binary, owner binary"
+_DEALT = "dest int, row bigint, n int, digest binary, mark binary, chunk bigint, tokens binary, owner binary"
+_NAMES = [c.split()[0] for c in _DEALT.split(", ")]
+_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+
+
+def _rows(**columns) -> pa.RecordBatch:
+    """Rows of ``_DEALT``; columns left out are null."""
+    n = len(columns["dest"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(_NAMES, _KINDS, strict=True)], names=_NAMES)
 
 
 def _deal(buckets: int):
-    """A row per document (its id, size and digest of its set, MD5 of its text), and per
-    chunk and bucket the tokens with their owners: sizes and digests once each, and
-    two bytes per token."""
+    """Three kinds of rows. Per document its id, size and digest of its set, MD5 of its
+    text. Per chunk of classes their digests (``tokens``) and sizes (``owner``). Per chunk
+    and bucket the tokens and, of each, the class by its place among those that are there
+    (``owner``: their number, eight bytes of each one's digest, its place in the chunk,
+    then two bytes per token)."""
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        count, held, size, seen = 0, [], 0, {}
+        n_chunks, held, size, seen = 0, [], 0, {}
 
         def chunk() -> pa.RecordBatch:
-            tokens = np.concatenate([s for s in held])
+            nonlocal n_chunks
+            number = part << 24 | n_chunks
+            n_chunks += 1
+            tokens = np.concatenate(held)
             owner = np.repeat(np.arange(len(held), dtype=np.uint16), [len(s) for s in held])
             order = np.argsort(tokens, kind="stable")
             tokens, owner = tokens[order], owner[order]
             bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            names = np.frombuffer(b"".join(seen), np.uint8).reshape(-1, 16)
-            sizes = np.array([len(s) for s in held], np.uint32)
-            rows = []
+            names = np.frombuffer(b"".join(seen), np.uint64).reshape(-1, 2)[:, 0]
+            dest, blobs, owners = [number % buckets], [b"".join(seen)], [np.array([len(s) for s in held], np.uint32).tobytes()]
             for b in range(buckets):
                 a, e = int(cuts[b]), int(cuts[b + 1])
                 if a < e:
                     there, local = np.unique(owner[a:e], return_inverse=True)
-                    lead = len(there).to_bytes(4, "little") + sizes[there].tobytes() + names[there].tobytes()
-                    rows.append((b, packed(tokens[a:e]), lead + local.astype(np.uint16).tobytes()))
-            none = [None] * len(rows)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array(none, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary()), pa.array(none, pa.binary()),
-                 pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-                names=[c.split()[0] for c in _DEALT.split(", ")])
+                    dest.append(b)
+                    blobs.append(packed(tokens[a:e]))
+                    owners.append(len(there).to_bytes(4, "little") + names[there].tobytes() + there.tobytes() + local.astype(np.uint16).tobytes())
+            return _rows(dest=dest, chunk=[number] * len(dest), tokens=blobs, owner=owners, n=[-1] + [None] * (len(dest) - 1))
 
         for batch in batches:
             n, digest, mark = [], [], []
@@ -123,94 +132,141 @@ def _deal(buckets: int):
                         seen[d] = None
                         held.append(s)
                         size += len(s)
-            place = np.arange(count, count + len(n), dtype=np.int64)
-            count += len(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(((place + part) % buckets).astype(np.int32)), batch.column(0), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(mark, pa.binary()),
-                 pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary())], names=[c.split()[0] for c in _DEALT.split(", ")])
+            yield _rows(dest=[(part + k) % buckets for k in range(len(n))], row=batch.column(0), n=n, digest=digest, mark=mark)
         if held:
             yield chunk()
 
     return deal
 
 
-_COUNTED = "row bigint, n int, digest binary, mark binary, toks array<bigint>, counts array<int>"
-_COUNTED_NAMES = [c.split()[0] for c in _COUNTED.split(", ")]
-
-
 class Bucket:
-    """Tokens with the classes that hold them, of one bucket."""
+    """Tokens with the classes that hold them, of one bucket. An entry is a token, eight
+    bytes of its class's digest, by which the classes of a token are told apart, and the
+    chunk and place from which it came."""
 
     def __init__(self) -> None:
-        self.tokens, self.owners, self.names, self.n, self.size, self.limit = [], [], [], 0, 0, 2 * BUCKET_TOKENS
+        self.tokens, self.names, self.chunks, self.places, self.size, self.limit = [], [], [], [], 0, 2 * BUCKET_TOKENS
+        self.numbers: list[int] = []
         self.saturated = np.zeros(0, np.uint64)
 
-    def add(self, tokens: bytes, owner: bytes) -> Iterator[pa.RecordBatch]:
+    def add(self, chunk: int, tokens: bytes, owner: bytes) -> Iterator[tuple[int, bytes, bytes]]:
         there = int.from_bytes(owner[:4], "little")
-        sizes = np.frombuffer(owner, np.uint32, there, 4)
-        digests = np.frombuffer(owner, np.uint8, 16 * there, 4 + 4 * there).reshape(-1, 16)
-        names = np.concatenate([digests, sizes.view(np.uint8).reshape(-1, 4)], axis=1)
+        names, places = np.frombuffer(owner, np.uint64, there, 4), np.frombuffer(owner, np.uint16, there, 4 + 8 * there)
+        local = np.frombuffer(owner, np.uint16, offset=4 + 10 * there)
         self.tokens.append(unpacked(tokens))
-        self.owners.append(np.frombuffer(owner, np.uint16, offset=4 + 20 * there).astype(np.int64) + self.n)
-        self.names.append(names)
-        self.n += there
-        self.size += len(self.tokens[-1])
+        self.names.append(names[local])
+        self.places.append(places[local])
+        self.chunks.append(np.full(len(local), len(self.numbers), np.uint32))
+        self.numbers.append(chunk)
+        self.size += len(local)
         if self.size > self.limit:
             yield from self.fold(False)
             self.limit = max(self.limit, 2 * self.size)
 
-    def fold(self, last: bool) -> Iterator[pa.RecordBatch]:
-        """Equal entries become one. In the end, or where too many are held, tokens are
-        reported: all of two classes or more, or those that are saturated."""
+    def fold(self, last: bool) -> Iterator[tuple[int, bytes, bytes]]:
+        """``(chunk, tokens, places and counts)`` of reported tokens: in the end all of two
+        classes or more, and before, where too many are held, those that are saturated."""
         if not self.tokens:
             return
-        names = np.ascontiguousarray(np.concatenate(self.names)).view("V20").reshape(-1)
-        names, of = np.unique(names, return_inverse=True)
-        tokens, owner = np.concatenate(self.tokens), of[np.concatenate(self.owners)]
-        order = np.lexsort((owner, tokens))
-        tokens, owner = tokens[order], owner[order]
-        new = np.r_[True, (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])]
-        tokens, owner = tokens[new], owner[new]
-        first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        runs = np.diff(np.r_[first, len(tokens)])
-        full = np.isin(tokens[first], self.saturated) | (runs > COMMON)
-        count = np.repeat(np.where(full, COMMON, runs), runs)
-        report = np.repeat(full | (last & (runs > 1)), runs)
+        tokens, names, chunks, places = (np.concatenate(x) for x in (self.tokens, self.names, self.chunks, self.places))
+        order = np.lexsort((names, tokens))
+        tokens, names, chunks, places = tokens[order], names[order], chunks[order], places[order]
+        fresh = np.r_[True, tokens[1:] != tokens[:-1]]
+        first = np.flatnonzero(fresh)
+        new = fresh | np.r_[True, names[1:] != names[:-1]]
+        runs, classes = np.diff(np.r_[first, len(tokens)]), np.add.reduceat(new.astype(np.int64), first)
+        full = np.isin(tokens[first], self.saturated) | (classes > COMMON)
+        count = np.repeat(np.where(full, COMMON, classes), runs)
+        report = np.repeat(full | (last & (classes > 1)), runs)
         if not last:
             self.saturated = np.union1d(self.saturated, tokens[first][full])
-        yield self.report(names, tokens[report], owner[report], count[report])
+        by = np.flatnonzero(report)
+        by = by[np.argsort(chunks[by], kind="stable")]
+        cuts = np.searchsorted(chunks[by], np.arange(len(self.numbers) + 1))
+        for k, number in enumerate(self.numbers):
+            at = by[cuts[k]:cuts[k + 1]]
+            if len(at):
+                yield number, packed(tokens[at]), places[at].tobytes() + count[at].astype(np.uint32).tobytes()
+        # Equal entries of one class are kept all: each has its own chunk to report to.
         keep = ~np.repeat(full, runs)
-        self.tokens, self.owners, self.names = [tokens[keep]], [owner[keep]], [names.view(np.uint8).reshape(-1, 20)]
-        self.n, self.size = len(names), int(keep.sum())
-
-    @staticmethod
-    def report(names: np.ndarray, tokens: np.ndarray, owner: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(owner, kind="stable")
-        owner = owner[order]
-        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-        raw = names[owner[first]].view(np.uint8).reshape(-1, 20)
-        at = pa.array(np.r_[first, len(owner)].astype(np.int32))
-        lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (tokens[order].view(np.int64), count[order].astype(np.int32))]
-        digests = pa.array([r[:16].tobytes() for r in raw], pa.binary())
-        sizes = pa.array(np.ascontiguousarray(raw[:, 16:]).view(np.uint32).reshape(-1).astype(np.int32) if len(raw) else np.zeros(0, np.int32))
-        return pa.RecordBatch.from_arrays([pa.nulls(len(raw), pa.int64()), sizes, digests, pa.nulls(len(raw), pa.binary()), *lists], names=_COUNTED_NAMES)
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents pass; buckets, one after the other, become the shared tokens of
-    their classes."""
-    bucket, held = None, Bucket()
+        self.tokens, self.names, self.chunks, self.places = [tokens[keep]], [names[keep]], [chunks[keep]], [places[keep]]
+        self.size = int(keep.sum())
+
+
+def _count(buckets: int):
+    """Rows of documents and chunks pass; buckets, one after the other, become reports to
+    the chunks from which their tokens came."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(reports: Iterator[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+            for chunk, tokens, owner in reports:
+                yield _rows(dest=[chunk % buckets], chunk=[chunk], tokens=[tokens], owner=[owner])
+
+        bucket, held = None, Bucket()
+        for batch in batches:
+            dealt = pc.and_(pc.is_valid(batch.column(5)), pc.is_null(batch.column(2)))
+            yield batch.filter(pc.invert(dealt))
+            rows = batch.filter(dealt)
+            for dest, chunk, tokens, owner in zip(*(rows.column(k) for k in (0, 5, 6, 7)), strict=True):
+                if dest.as_py() != bucket:
+                    yield from sent(held.fold(True))
+                    bucket, held = dest.as_py(), Bucket()
+                yield from sent(held.add(chunk.as_py(), tokens.as_py(), owner.as_py()))
+        yield from sent(held.fold(True))
+
+    return count
+
+
+_COUNTED = "row bigint, n int, digest binary, mark binary, toks array<bigint>"
+
+
+def classes_of(digests: bytes, sizes: bytes, reports: list[tuple[bytes, bytes]]) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
+    """Digest, size and shared tokens (rarest first) of the classes of a chunk that may
+    link: those that share four fifths of their set."""
+    n = np.frombuffer(sizes, np.uint32).astype(np.int64)
+    tokens, places, counts = [], [], []
+    for t, o in reports:
+        tokens.append(unpacked(t))
+        k = len(tokens[-1])
+        places.append(np.frombuffer(o, np.uint16, k))
+        counts.append(np.frombuffer(o, np.uint32, k, 2 * k))
+    if not tokens:
+        return [], n[:0], []
+    token, place, count = np.concatenate(tokens), np.concatenate(places), np.concatenate(counts)
+    order = np.lexsort((token, count, place))
+    token, place = token[order], place[order]
+    # A token that left an overflowing bucket may have been reported twice.
+    once = np.r_[True, (token[1:] != token[:-1]) | (place[1:] != place[:-1])]
+    token, place = token[once], place[once]
+    cuts = np.searchsorted(place, np.arange(len(n) + 1))
+    keep = np.flatnonzero((np.diff(cuts) * 10 >= n * 8) & (np.diff(cuts) > 0))
+    return [digests[16 * k:16 * k + 16] for k in keep.tolist()], n[keep], [token[cuts[k]:cuts[k + 1]].view(np.int64) for k in keep.tolist()]
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents pass; of each chunk, one after the other, its classes come out."""
+    names = [c.split()[0] for c in _COUNTED.split(", ")]
+
+    def classes() -> pa.RecordBatch:
+        digests, n, toks = classes_of(*head, reports)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.nulls(len(n), pa.binary()),
+                                           pa.array(toks, pa.list_(pa.int64()))], names=names)
+
+    chunk, head, reports = None, None, []
     for batch in batches:
         rows = batch.filter(pc.is_null(batch.column(5)))
-        yield pa.RecordBatch.from_arrays([*rows.columns[1:5], pa.nulls(rows.num_rows, pa.list_(pa.int64())), pa.nulls(rows.num_rows, pa.list_(pa.int32()))],
-                                         names=_COUNTED_NAMES)
+        yield pa.RecordBatch.from_arrays([*rows.columns[1:5], pa.nulls(rows.num_rows, pa.list_(pa.int64()))], names=names)
         dealt = batch.filter(pc.is_valid(batch.column(5)))
-        for b, tokens, owner in zip(*(dealt.column(k) for k in (0, 5, 6)), strict=True):
-            if b.as_py() != bucket:
-                yield from held.fold(True)
-                bucket, held = b.as_py(), Bucket()
-            yield from held.add(tokens.as_py(), owner.as_py())
-    yield from held.fold(True)
+        for number, n, tokens, owner in zip(*(dealt.column(k) for k in (5, 2, 6, 7)), strict=True):
+            if number.as_py() != chunk:
+                if head:
+                    yield classes()
+                chunk, head, reports = number.as_py(), None, []
+            if n.is_valid:
+                head = tokens.as_py(), owner.as_py()
+            else:
+                reports.append((tokens.as_py(), owner.as_py()))
+    if head:
+        yield classes()
 
 
 def _sizes_fit(n: str, m: str) -> Column:
@@ -239,18 +295,17 @@ def _signed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``row, n, digest, mark`` of every row (its doc_id, size and digest of its set, MD5
     of its text), and the classes that may
     link: ``c, n, e, toks``, the class, its size, the number of its shared tokens and
-    these, rarest first."""
+    these, rarest first. A chunk of classes is dealt into buckets and each bucket reports
+    back to the chunk, so no digest travels with a token."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     # A word and its separator have six bytes or so: a shingle per word.
     buckets = max(8, -(-size // (6 * BUCKET_TOKENS)))
-    dealt = docs.mapInArrow(_deal(buckets), _DEALT).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
-    both = stage(dealt.mapInArrow(_count, _COUNTED), "counted")
-    shared = both.where("toks is not null").groupBy(F.col("digest").alias("c")).agg(
-        F.first("n").alias("n"), F.flatten(F.collect_list(F.arrays_zip("counts", "toks"))).alias("t"))
-    # Rarest first; a token that left an overflowing bucket may have been reported twice.
-    toks = F.array_distinct(F.sort_array("t")["toks"])
-    shared = stage(shared.where(F.size("t") * 10 >= F.col("n") * 8).select("c", "n", toks.alias("toks")), "shared")
-    shared = shared.withColumn("e", F.size("toks")).where(F.col("e") * 10 >= F.col("n") * 8)
+    dealt = docs.mapInArrow(_deal(buckets), _DEALT).repartitionById(buckets, F.col("dest")).sortWithinPartitions("dest")
+    counted = dealt.mapInArrow(_count(buckets), _DEALT).repartitionById(buckets, F.col("dest")).sortWithinPartitions("chunk")
+    both = stage(counted.mapInArrow(_gather, _COUNTED), "counted")
+    # A class of several chunks comes from each of them, the same every time.
+    shared = both.where("toks is not null").select(F.col("digest").alias("c"), "n", "toks").dropDuplicates(["c"])
+    shared = stage(shared.withColumn("e", F.size("toks")), "shared")
     return both.where("toks is null").select("row", "n", "digest", "mark"), shared
 
 
