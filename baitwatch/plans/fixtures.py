@@ -268,6 +268,8 @@ FIXTURES = {
     "face_box": FACE_BOX, "clip": CLIP, "upload": UPLOAD,
 }
 
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
 
 def rule_nodes(features: list[str]) -> list[tuple]:
     """Boosted trees by rule instead of by fit, a tree per feature: ``(tree, node, weight,
@@ -292,7 +294,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = FIXTURES[name]
     used = set(re.findall(r"\{(\w+)\}", sql))
-    tables = {t: spread(table(spark, sf_dir, t)) for t in used}
+    # Whole texts are worth dealing out; rows of numbers are not.
+    tables = {t: spread(table(spark, sf_dir, t)) if t in TEXT_TABLES else table(spark, sf_dir, t) for t in used}
     return spark.sql(sql, **tables)
 
 

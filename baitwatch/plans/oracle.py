@@ -670,7 +670,9 @@ SELECTS["beh_flags"] = """SELECT post_id, abnormal_posting_frequency, follower_f
   suspicious_handle_pattern, suspicious_bio_keyword_count FROM behaviour"""
 SELECTS["beh_redflags"] = "SELECT post_id, behavioral_red_flag_count, behavioral_red_flag_count >= 2 AS likely_coordinated_or_bot FROM behaviour"
 SELECTS["soc_text_risk"] = f"SELECT post_id, {rounded('text_risk', 4)} AS text_risk_score FROM post_risk"
-SELECTS["soc_fusion"] = f"""
+SELECTS["feature_align"] = ("SELECT mail_id, " + ", ".join(sorted(MODEL_NAMES)[::2])
+                            + ", CAST(0 AS INT) AS header__arc_result_pass, CAST(0 AS INT) AS text__emoji_count FROM one_hot")
+SELECTS["soc_fusion"] = SELECTS["stream_post_scan"] = f"""
 SELECT post_id, {rounded('fused', 4)} AS fused_risk_score, {_tier('fused', 'MANIPULATIVE')} AS risk_tier, {rounded('text_risk', 4)} AS text_risk_score,
   CASE WHEN image_applicable IS NOT NULL THEN {rounded('image_risk', 4)} END AS image_risk_score, image_applicable,
   {rounded('account_risk', 4)} AS behavioral_risk_score FROM post_fused"""

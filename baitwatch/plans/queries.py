@@ -34,6 +34,7 @@ from ..session import ensure_checkpoint_dir, spread
 from ..sources import generator as G
 from ..sources import mail_tables as MT
 from ..sources.uploads import check_uploads
+from ..streaming import scans as ST
 from .fixtures import fixture, rule_nodes, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -434,6 +435,16 @@ def model_scores_agree(spark, sf):
     return both.select("mail_id", "label", (F.abs(F.col("_p") - F.col("_q")) < 1e-9).alias("same"))
 
 
+ALIGNED_EXTRA = ["header__arc_result_pass", "text__emoji_count"]
+
+
+@query
+def feature_align(spark, sf):
+    """The column list of a model: every second feature, and two the table lacks."""
+    hot = FE.one_hot_auth(_wide(spark, sf))
+    return FE.align(hot, [*sorted(FE.feature_columns(hot))[::2], *ALIGNED_EXTRA], ("mail_id",))
+
+
 @query
 def model_importances(spark, sf):
     return L.top_importances(_fitted(spark, sf)[0], spark)
@@ -542,6 +553,20 @@ def soc_fusion(spark, sf):
     return scan_posts(fixture(spark, sf, "post"), F.lit(AS_OF).cast("date"), features=False)
 
 
+@query
+def stream_post_scan(spark, sf):
+    """Posts that land in several files, scanned as a stream that stops when all are
+    done and is started once more; the sink read back."""
+    place = f"{ensure_checkpoint_dir(spark)}/{_unique('posts')}"
+    posts = fixture(spark, sf, "post")
+    posts.repartition(3).write.parquet(f"{place}/landing")
+    for _ in range(2):
+        landed = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 2).parquet(f"{place}/landing")
+        scanned = scan_posts(landed, F.lit(AS_OF).cast("date"), features=False)
+        ST.write_stream(scanned, f"{place}/scanned", f"{place}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{place}/scanned")
+
+
 # --- Registry ---------------------------------------------------------------
 
 
