@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from baitwatch.llm.common import mix, prefix_hash, stage, text_blocks, utf8_column
 
-SHARD = 4096
+SHARD = 2048
 # Terms of most documents whose pairs have intersection lists: 2,016 pairs.
 PAIR_TERMS = 64
 # Items searched for in one pass over the index: as many as have this many bytes of text.
@@ -143,7 +143,7 @@ def _shards(n_docs: int, n_terms: int, pair_terms: list[tuple[int, int]]):
                 n.append(count[a:b])
                 for into, (at, values) in zip((terms, tfs), lists, strict=True):
                     into += [values[at[k]:at[k + 1]] for k in range(a, b)]
-                if len(terms) >= SHARD or sum(map(len, terms)) > 1 << 22:
+                if len(terms) >= SHARD or sum(map(len, terms)) > 1 << 20:
                     yield shard(ids, np.concatenate(n), terms, tfs)
                     ids, n, terms, tfs = [], [], [], []
         if ids:
