@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 from operator import sub
 
@@ -19,24 +18,12 @@ from pyspark.sql import functions as F
 
 from baitwatch.llm.common import BLOCK_BYTES, utf8_column, worker_memo
 from baitwatch.llm.token_files import _runs
-from baitwatch.llm.token_pieces import WHITE, fill, keys_of, pieces
+from baitwatch.llm.token_pieces import LATIN_END, WHITE, byte_letters, fill, keys_of, pieces
 
 # The pattern of byte-level BPE (fixed by the tokenizer).
 PATTERN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
-# Letters below are the same in all Unicode versions in use.
-LATIN_END = "\u0220"
-
-
-@lru_cache
-def byte_letters() -> dict[str, int]:
-    """Letters by which byte-level vocabularies write bytes: printable ones stand for
-    themselves, the others for letters from U+0100 on, in order."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
-
 
 class PrefixCounts:
     """Counts for the pieces of one vocabulary."""

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from baitwatch.llm.common import BLOCK_BYTES, shared_path, utf8_column, worker_memo
-from baitwatch.llm.token_pieces import fill, keys_of, pieces
+from baitwatch.llm.token_pieces import MEMO_ENTRIES, fill, keys_of, pieces
 
 BLOCK = 128
 # Ids per word by selector 1 to 14 (fixed by the format); each gets 60 // n bits.
@@ -166,7 +166,10 @@ def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     memo = worker_memo(f"ids:{path}")
     whole = [tok.whole(t) for t in texts]
     keys = [[] if w else keys_of(t) for t, w in zip(texts, whole, strict=True)]
-    get = fill(memo, keys, tok.encode_chunks).__getitem__
+    words = worker_memo(f"words:{path}")
+    if len(words) > MEMO_ENTRIES:
+        words.clear()
+    get = fill(memo, keys, lambda chunks: tok.encode_chunks(chunks, words)).__getitem__
     return [np.array(tok.library.encode(t, add_special_tokens=False).ids, np.uint32) if w
             else np.frombuffer(b"".join(map(get, k)), np.uint32) for t, w, k in zip(texts, whole, keys, strict=True)]
 

@@ -7,6 +7,7 @@ import json
 import os
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
@@ -17,11 +18,14 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 # Chunks kept in a worker; the memo starts anew beyond that.
 MEMO_ENTRIES = 800_000
 MEMO_CHARS = 64
+# Letters below are the same in all Unicode versions in use.
+LATIN_END = "\u0220"
 # Chunks that are encoded as one text.
 JOINED = 500
 
 _CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-_ADJACENT = re.compile(f"[{WHITE}]{{2}}|\x00")
+# What the quick way to cut a text doesn't know.
+RARE_WHITE = [*(c for c in WHITE if c not in " \n"), "\x00"]
 
 
 class Pieces:
@@ -49,20 +53,29 @@ class Pieces:
         self.chunked = (
             self.spec["model"]["type"] == "BPE" and not self.spec.get("normalizer")
             and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"))
+        self.marks = dict(zip(".,;:!?", self._encode(list(".,;:!?")), strict=True)) if self.chunked else {}
 
     def whole(self, text: str) -> bool:
         """True if the text has to go to the library as a whole."""
         return not self.chunked or any(s in text for s in self.specials)
 
 
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids (uint32) of each chunk. Chunks that begin with white space and end with
-        something visible are encoded many at a time, as one text: it has the same
-        chunks, and the bytes of its tokens tell where each one ends."""
-        plain = [k for k, c in enumerate(chunks) if c and c[0] in WHITE and c[-1] not in WHITE] if not any(
-            x in WHITE for s in self.specials for x in s) else []
-        groups = [plain[a:a + JOINED] for a in range(0, len(plain), JOINED)]
+    def encode_chunks(self, chunks: list[str], words: dict) -> list[bytes]:
+        """Ids (uint32) of each chunk. A space, letters and a mark are two pieces of the
+        pattern; ``words`` has the ids of such letters, seen with other marks before."""
+        stems = [c[:-1] if c[:1] == " " and c[-1] in self.marks and (s := c[1:-1]).isalpha() and (s.isascii() or max(s) < LATIN_END) else c for c in chunks]
+        lacking = list(set(stems).difference(words))
+        words.update(zip(lacking, self._encode(lacking), strict=True))
+        return [words[s] if s is c else words[s] + self.marks[c[-1]] for s, c in zip(stems, chunks, strict=True)]
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        """Chunks that begin with white space and end with something visible are encoded
+        many at a time, as one text: it has the same chunks, and the bytes of its tokens
+        tell where each one ends."""
         out: list[bytes | None] = [None] * len(chunks)
+        joins = not any(x in WHITE for s in self.specials for x in s)
+        plain = [k for k, c in enumerate(chunks) if joins and c and c[0] in WHITE and c[-1] not in WHITE]
+        groups = [plain[a:a + JOINED] for a in range(0, len(plain), JOINED)]
         texts = [[chunks[k] for k in g] for g in groups]
         for group, text, e in zip(groups, texts, self.library.encode_batch_fast(["".join(t) for t in texts], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
@@ -80,6 +93,15 @@ class Pieces:
         return out
 
 
+@lru_cache
+def byte_letters() -> dict[str, int]:
+    """Letters by which byte-level vocabularies write bytes: printable ones stand for
+    themselves, the others for letters from U+0100 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 def pieces(path: str) -> Pieces:
     memo = worker_memo("pieces")
     if path not in memo:
@@ -91,11 +113,13 @@ def keys_of(text: str) -> list[str]:
     """Keys of the chunks of a text, in order. A key without mark stands for a space
     and the key; one that starts with a line feed for itself; one that starts with
     NUL for what follows it."""
-    if _ADJACENT.search(text):
-        return ["\x00" + c for c in _CHUNK.findall(text)]
-    keys = text.replace("\n", " \n").split(" ")
-    keys[0] = "\x00" + keys[0]
-    return keys
+    if not any(map(text.__contains__, RARE_WHITE)):
+        keys = text.replace("\n", " \n").split(" ")
+        # Two white characters in a row leave an empty key or a lone line feed.
+        if "" not in keys[1:] and "\n" not in keys and keys[0][:1] != "\n":
+            keys[0] = "\x00" + keys[0]
+            return keys
+    return ["\x00" + c for c in _CHUNK.findall(text)]
 
 
 def chunk_of(key: str) -> str:
@@ -103,15 +127,19 @@ def chunk_of(key: str) -> str:
 
 
 def fill(memo: dict, keys: list[list[str]], make: Callable[[list[str]], list]) -> dict:
-    """``memo`` with values for all keys of a block of texts. Those of long chunks go
-    when the next block comes."""
+    """Values for all keys of a block of texts, kept in ``memo``. Those of long chunks
+    go when the next block comes."""
     passing = worker_memo("passing").setdefault(id(memo), [])
     for k in passing:
         memo.pop(k, None)
     passing.clear()
     if len(memo) > MEMO_ENTRIES:
         memo.clear()
-    lacking = list({k for ks in keys for k in set(ks).difference(memo)})
+    here: set[str] = set()
+    for ks in keys:
+        here.update(ks)
+    lacking = list(here.difference(memo))
     memo.update(zip(lacking, make([chunk_of(k) for k in lacking]), strict=True))
     passing += [k for k in lacking if len(k) > MEMO_CHARS]
-    return memo
+    # The block's own entries lie closer together than those of the whole memo.
+    return {k: memo[k] for k in here}
