@@ -27,14 +27,15 @@ def media_with_claims(verdicts: DataFrame, claims: DataFrame, executives: DataFr
         F.col("executive_authorized") & F.col("risk_tier").isin(*synthetic)))
 
 
-def incident_report(channels: dict[str, DataFrame], key: str = "incident_id") -> DataFrame:
+def incident_report(channels: dict[str, DataFrame], keys: str | tuple[str, ...] = "incident_id") -> DataFrame:
     """One row per incident with the tier and score of every channel, NULL where
-    a channel saw nothing. Channel tables hold ``key``, ``risk_tier`` and
+    a channel saw nothing. Channel tables hold the keys, ``risk_tier`` and
     ``score``, one row per incident. One aggregation, combined on the map side, serves
     any number of channels."""
-    sides = [df.select(key, F.lit(name).alias("_channel"), "risk_tier", "score") for name, df in channels.items()]
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    sides = [df.select(*keys, F.lit(name).alias("_channel"), "risk_tier", "score") for name, df in channels.items()]
     rows = reduce(lambda a, b: a.unionByName(b), sides)
-    return rows.groupBy(key).agg(*[
+    return rows.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_channel") == name, F.col(c))).alias(f"{name}_{short}")
         for name in channels for c, short in (("risk_tier", "tier"), ("score", "score"))])
 

@@ -268,6 +268,9 @@ FIXTURES = {
     "face_box": FACE_BOX, "clip": CLIP, "upload": UPLOAD,
 }
 
+# Rules of all three kinds for the hosts of the fixtures.
+SUFFIX_RULES = ["com", "org", "net", "in", "co.in", "ga", "ml", "tk", "*.example.com", "!www.example.com", "*.online", "!icicldirect.online", "example", "ly"]
+
 TEXT_TABLES = {"documents", "pages", "conversations"}
 
 

@@ -10,7 +10,7 @@ from ..functions import lexicons as lx
 from ..functions.domains import rule_suffixes
 from ..operators.report import SIGNAL_TEXTS, VERDICT_TEXTS
 from ..sources import generator as G
-from .fixtures import FIXTURES, NOTICE, SIGNATURES, fixture_sql, rule_nodes
+from .fixtures import FIXTURES, NOTICE, SIGNATURES, SUFFIX_RULES, fixture_sql, rule_nodes
 
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_WS = "[^" + WS[1:]
@@ -480,6 +480,18 @@ SELECTS: dict[str, str] = {}
 SELECTS["url_find"] = "SELECT mail_id, pos, url FROM mail_url"
 SELECTS["url_parts"] = "SELECT origin, owner_id, pos, url, scheme, host, path FROM any_url_parts"
 SELECTS["url_domain"] = "SELECT origin, owner_id, pos, host, subdomain, domain, suffix, full_domain FROM any_url_domain"
+# The number of suffix labels of each host, rule by rule.
+SELECTS["url_domain_rules"] = f"""
+SELECT origin, owner_id, pos, host, CASE WHEN ip THEN '' ELSE array_to_string(l[n - k + 1 : n], '.') END AS suffix,
+  CASE WHEN ip THEN host WHEN n > k THEN l[n - k] ELSE '' END AS domain, CASE WHEN ip THEN '' ELSE array_to_string(l[1 : greatest(n - k - 1, 0)], '.') END AS subdomain,
+  CASE WHEN ip THEN host || '.' WHEN n > k THEN l[n - k] || '.' || array_to_string(l[n - k + 1 : n], '.') ELSE '.' || array_to_string(l[n - k + 1 : n], '.') END AS full_domain
+FROM (SELECT *, coalesce(
+        (SELECT max(j) - 1 FROM range(1, n + 1) AS s(j) WHERE list_contains(r, '!' || array_to_string(l[n - j + 1 : n], '.'))),
+        (SELECT max(j) FROM range(1, n + 1) AS s(j) WHERE list_contains(r, array_to_string(l[n - j + 1 : n], '.'))
+            OR (j > 1 AND list_contains(r, '*.' || array_to_string(l[n - j + 2 : n], '.')))), 1) AS k
+      FROM (SELECT origin, owner_id, pos, host, string_split(host, '.') AS l, len(string_split(host, '.')) AS n,
+              regexp_full_match(host, '((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\\.|$)){{4}}') AND NOT ends_with(host, '.') AS ip,
+              {sql_list(SUFFIX_RULES)} AS r FROM any_url_parts))"""
 SELECTS["url_lexical"] = """SELECT origin, owner_id, pos, url_length, num_dots, num_hyphens, num_at_symbols, num_digits,
   num_percent_encoded_chars, subdomain_level, path_level FROM any_url_features"""
 SELECTS["url_flags"] = """SELECT origin, owner_id, pos, is_ip_address, has_https, is_shortened, suspicious_tld,

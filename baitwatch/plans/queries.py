@@ -27,6 +27,7 @@ from ..operators import report as RP
 from ..operators.ordering import renumber
 from ..operators.scan import model_vocabulary, scan_mails
 from ..operators.social import scan_posts, with_behaviour
+from ..operators.suffixes import with_registrable
 from ..operators.trees import Node, load_nodes, node_table, save_nodes
 from ..operators.typosquat import flag_lookalikes
 from ..operators.urls import aggregate_url_rows, explode_urls
@@ -35,7 +36,7 @@ from ..sources import generator as G
 from ..sources import mail_tables as MT
 from ..sources.uploads import check_uploads
 from ..streaming import scans as ST
-from .fixtures import fixture, rule_nodes, table
+from .fixtures import SUFFIX_RULES, fixture, rule_nodes, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,6 +90,14 @@ def _url_features(spark, sf) -> DataFrame:
     return U.with_url_features(_all_urls(spark, sf))
 
 
+@query
+def url_domain_rules(spark, sf):
+    """Registrable domains under a rule table with wildcards and exceptions."""
+    rules = spark.sql("VALUES " + ", ".join(f"('{r}')" for r in SUFFIX_RULES)).toDF("rule")
+    hosts = _all_urls(spark, sf).select(*_OWNER, U.host_of(F.col("url")).alias("host"))
+    return with_registrable(hosts, rules)
+
+
 @query
 def url_lexical(spark, sf):
     return _url_features(spark, sf).select(
@@ -775,7 +784,7 @@ def incident_report(spark, sf):
     video = _verdicts(spark, sf, "video").select(
         F.col("media_id").alias("incident_id"), "risk_tier", F.col("fake_probability").alias("score"))
     order = F.array(*[F.lit(t) for t in ("SAFE", "SUSPICIOUS", "MANIPULATIVE")])
-    worst = (scan_posts(fixture(spark, sf, "post"), F.lit(AS_OF).cast("date"), ("user_id",))
+    worst = (scan_posts(fixture(spark, sf, "post"), F.lit(AS_OF).cast("date"), ("user_id",), features=False)
              .groupBy(F.col("user_id").alias("incident_id")).agg(
                  F.max("fused_risk_score").alias("score"),
                  F.max(F.array_position(order, F.col("risk_tier"))).alias("_worst")))

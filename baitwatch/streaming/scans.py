@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.registry import verify_handles
+from ..operators.report import incident_report
 from ..operators.scan import scan_mails
 from ..operators.social import scan_posts
 from ..sources.uploads import check_uploads
@@ -59,6 +60,12 @@ def as_json(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
 
 
+def first_deliveries(mails: DataFrame, received: str = "received_at", delay: str = "1 day") -> DataFrame:
+    """Mails without repeated deliveries of one ``mail_id`` within ``delay`` of each other.
+    State holds the ids of that time only; the watermark lets older ones go."""
+    return mails.withWatermark(received, delay).dropDuplicatesWithinWatermark(["mail_id"])
+
+
 def scan_mail_stream(mails: DataFrame, model: PipelineModel) -> DataFrame:
     return scan_mails(mails.filter(missing_field("body_text", "raw_email_source").isNull()), model)
 
@@ -117,3 +124,26 @@ def route_mails(mails: DataFrame, model: PipelineModel, scanned: str, rejected:
 
     return (mails.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def incident_stream(channels: dict[str, DataFrame], seen: str = "seen_at", delay: str = "1 hour", span: str = "1 day") -> DataFrame:
+    """The incident table over streams of verdicts: a row per incident and ``span`` of
+    event time, ``day`` being its begin, in update mode. Channel streams hold
+    ``incident_id, risk_tier, score`` and ``seen``; they may fall behind each other by
+    ``delay``, after which a span's state goes."""
+    timed = {name: df.withWatermark(seen, delay).select(
+        "incident_id", F.window(seen, span)["start"].alias("day"), "risk_tier", "score") for name, df in channels.items()}
+    return incident_report(timed, ("incident_id", "day"))
+
+
+def route_incidents(incidents: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Changed incidents of each micro-batch in a folder of their own."""
+    return (incidents.writeStream.outputMode("update").foreachBatch(lambda batch, n: write_batch_once(batch, out, n))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def latest_incidents(spark: SparkSession, out: str) -> DataFrame:
+    """Each incident as its last change left it."""
+    rows = spark.read.parquet(out)
+    keys, rest = ["incident_id", "day"], [c for c in rows.columns if c not in ("incident_id", "day", "batch_id")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select(*keys, "r.*")

@@ -1,13 +1,16 @@
 import json
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from baitwatch.operators import dataset as D
 from baitwatch.operators import features as FE
 from baitwatch.operators import learn as L
+from baitwatch.operators import report as RP
 from baitwatch.operators.registry import verify_handles
 from baitwatch.operators.scan import scan_mails
+from baitwatch.operators import trees as T
 from baitwatch.operators.social import scan_posts
 from baitwatch.plans.fixtures import fixture
 from baitwatch.streaming import scans as ST
@@ -52,6 +55,29 @@ def test_saved_model_keeps_columns_and_scores(model, tmp_path):
     assert len(top) == 15 and top[0]["importance"] >= top[-1]["importance"]
 
 
+def test_trees_as_a_table_score_like_the_model(spark, model, tmp_path):
+    fitted, _, hot = model
+    nodes = L.model_nodes(fitted)
+    T.save_nodes(T.node_table(spark, nodes), str(tmp_path / "nodes"))
+    loaded = T.load_nodes(spark, str(tmp_path / "nodes"))
+    assert loaded == sorted(nodes)
+    ours = T.with_probability(hot.select("mail_id", *L.model_columns(fitted)), loaded, "_p")
+    both = fitted.transform(ours).select("_p", vector_to_array("probability")[1].alias("q")).collect()
+    assert both and all(abs(r["_p"] - r["q"]) < 1e-9 for r in both)
+    # A deep, one-sided tree, a single leaf, NaN and null go right.
+    odd = [T.Node(0, 0, 1.0, "a", 1.0, 1, 2, None), T.Node(0, 1, 1.0, None, None, None, None, 2.0), T.Node(0, 2, 1.0, "b", 0.0, 3, 4, None),
+           T.Node(0, 3, 1.0, None, None, None, None, 3.0), T.Node(0, 4, 1.0, None, None, None, None, 5.0), T.Node(1, 0, 0.5, None, None, None, None, 8.0)]
+    rows = spark.createDataFrame([(1.0, 9.0), (2.0, 0.0), (2.0, 1.0), (float("nan"), 1.0), (None, -1.0)], "a double, b double")
+    assert [r[0] for r in rows.select(T.margin(odd)).collect()] == [6.0, 7.0, 9.0, 9.0, 7.0]
+
+
+def test_filters_reach_the_scan_below_the_scores(spark, small, model):
+    mails = spark.read.parquet(f"{small}/documents.parquet").select(
+        F.col("doc_id").alias("mail_id"), F.col("text").alias("body_text"), F.col("text").alias("raw_email_source"))
+    plan = scan_mails(mails, model[0]).where("mail_id = 7")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,7)" in plan.split("PushedFilters", 1)[1]
+
+
 def test_scan_is_one_narrow_plan(spark, small, model):
     mails = spark.read.parquet(f"{small}/documents.parquet").select(
         F.col("doc_id").alias("mail_id"), F.col("text").alias("body_text"), F.col("text").alias("raw_email_source"))
@@ -124,3 +150,34 @@ def test_uploads_are_routed_once(spark, small, tmp_path):
     ok, no = (spark.read.parquet(str(tmp_path / d)) for d in ("ok", "no"))
     assert ok.count() + no.count() == fixture(spark, small, "upload").count()
     assert ok.count() > 0 and {r[0] for r in no.select("reason").distinct().collect()} == {"too_large", "unsupported_type"}
+
+
+def test_repeated_deliveries_are_dropped_within_the_delay(spark, tmp_path):
+    rows = [(1, "2024-01-01 10:00:00"), (2, "2024-01-01 10:05:00"), (1, "2024-01-01 12:00:00"), (1, "2024-01-01 10:00:00"), (None, "2024-01-01 10:00:00")]
+    schema = "mail_id long, received_at timestamp"
+    got = []
+    for part in (rows[:2], rows[2:]):
+        spark.createDataFrame(part, "mail_id long, t string").select("mail_id", F.to_timestamp("t").alias("received_at")).write.mode("append").parquet(str(tmp_path / "in"))
+        landed = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        ST.write_stream(ST.first_deliveries(landed), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(240)
+        got.append(sorted(r["mail_id"] or 0 for r in spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == [[1, 2], [0, 1, 2]]
+
+
+def test_incident_stream_equals_the_report(spark, tmp_path):
+    """Channels land in several files and restarts, with a replay of the last start."""
+    def verdicts(name, n, step):
+        return spark.range(n).select((F.col("id") * step % 40).alias("incident_id"), F.lit(name).alias("risk_tier"),
+                                     (F.col("id") / n).alias("score")).dropDuplicates(["incident_id"]).withColumn(
+            "seen_at", F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_interval(hours=F.col("incident_id").cast("int")))
+
+    batch = {c: verdicts(c, n, step) for c, n, step in (("mail", 30, 1), ("video", 20, 3), ("social", 25, 7))}
+    want = RP.incident_report({c: df.select("incident_id", F.window("seen_at", "1 day")["start"].alias("day"), "risk_tier", "score") for c, df in batch.items()},
+                              ("incident_id", "day"))
+    for turn in range(3):
+        for c, df in batch.items():
+            df.where(F.col("incident_id") % 3 == turn).repartition(2).write.mode("append").parquet(str(tmp_path / c))
+        streams = {c: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / c)) for c, df in batch.items()}
+        ST.route_incidents(ST.incident_stream(streams, delay="3 days"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(240)
+    got = ST.latest_incidents(spark, str(tmp_path / "out"))
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))

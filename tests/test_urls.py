@@ -1,3 +1,4 @@
+import random
 import time
 from urllib.parse import urlparse
 
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 
 from baitwatch.functions import urls as U
 from baitwatch.functions.domains import host_of, registrable, suffix_stages
+from baitwatch.operators.suffixes import with_registrable
+from baitwatch.operators.typosquat import flag_lookalikes
 from baitwatch.operators.features import mail_features, with_url_summary
 from baitwatch.operators.urls import aggregate_url_rows, explode_urls
 
@@ -132,3 +135,38 @@ def test_hostile_texts_take_linear_time(spark):
     rows = mail_features(df, keep=("mail_id",)).select("mail_id", "url__url_length", "header__num_attachments", "text__word_count").collect()
     assert {r["mail_id"]: r["url__url_length"] for r in rows}[0] == n + 7
     assert time.monotonic() - start < 60
+
+
+def test_lookalikes_of_a_registry_equal_brute_force(spark):
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("abc") for _ in range(n))
+    brands = [word(r.randrange(1, 9)) for _ in range(60)] + ["a-b", ""]
+    hosts = [f"{word(r.randrange(0, 10))}{r.choice(['', '-', '-x-'])}{word(r.randrange(0, 5))}" for _ in range(300)] + brands + ["z" * 40, "-", "b-a"]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def squat(base):
+        return any(b and b != base and w and distance(w, b) <= 2 for b in brands for w in {*base.split("-"), base})
+
+    domains = spark.createDataFrame([(h + ".com",) for h in hosts] + [(None,)], "full_domain string")
+    registry = spark.createDataFrame([(b + ".in",) for b in brands] + [(None,)], "domain string")
+    got = {x["full_domain"]: x["is_typosquat"] for x in flag_lookalikes(domains, registry).collect()}
+    assert got == {**{h + ".com": squat(h) for h in hosts}, None: False}
+    assert not any(x["is_typosquat"] for x in flag_lookalikes(domains, registry.limit(0)).collect())
+    plan = flag_lookalikes(domains, registry)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan
+
+
+def test_suffix_rules_of_all_kinds(spark):
+    rules = spark.createDataFrame([("com",), ("uk",), ("co.uk",), ("*.ck",), ("!www.ck",), ("CO.UK",)], "rule string")
+    want = {"a.b.com": ("a", "b", "com"), "x.co.uk": ("", "x", "co.uk"), "co.uk": ("", "", "co.uk"), "a.b.ck": ("", "a", "b.ck"), "b.ck": ("", "", "b.ck"),
+            "m.www.ck": ("m", "www", "ck"), "www.ck": ("", "www", "ck"), "ck": ("", "", "ck"), "q.unknown": ("", "q", "unknown"), "10.0.0.1": ("", "10.0.0.1", "")}
+    rows = with_registrable(spark.createDataFrame([(h,) for h in [*want, None]], "host string"), rules).collect()
+    got = {r["host"]: (r["subdomain"], r["domain"], r["suffix"]) for r in rows}
+    assert got.pop(None) == (None, None, None) and got == want
