@@ -117,6 +117,27 @@ def test_secrets_by_owner(spark):
     assert [got[i]["n_example"] for i in (4, 5, 6)] == [1, 1, 1] and "owned" not in got[4]["spans"]
 
 
+def test_bare_runs_of_any_length_and_many_spans():
+    key = "".join(np.random.default_rng(4).choice(list("abcXYZ0189+/"), 5000))
+    spans, values = secret_scan.find(f"k {key} end")
+    assert [v for v in values if v[1] == 3] == [(key, 3, 2, 5002)] and not spans
+    # Runs and base spans in turn: each run beside its spans, none inside one.
+    text = " ".join(f"token=abcdefgh{k} {BARE}{k}" for k in range(50_000))
+    began = time.process_time()
+    spans, values = secret_scan.find(text)
+    assert len(spans) == 50_000 and sum(v[1] == 3 for v in values) == 50_000
+    spans, values = secret_scan.find(f"secret={BARE}x {BARE}y")
+    assert [(v[1], v[2]) for v in values] == [(0, 0), (3, 29)] and len(spans) == 1
+    assert time.process_time() - began < 30
+
+
+def test_a_value_pasted_all_over_by_one_owner_is_not_live(spark):
+    rows = [(k, f"x {BARE}", "a") for k in range(secret_scan.WIDE_REPOSITORIES)] + [(1000, f"x {BARE}Z9a", "a")]
+    got = {r["doc_id"]: r for r in secret_scan.scan(table(spark, rows), F.col("source"), F.col("doc_id")).collect()}
+    assert (got[3]["n_live"], got[3]["n_repositories"], got[3]["spans"]) == (0, secret_scan.WIDE_REPOSITORIES, "")
+    assert (got[1000]["n_live"], got[1000]["n_repositories"]) == (1, 1)
+
+
 def test_secrets_corner(spark, corner, empty):
     rows = secret_scan.scan(corner, F.col("source"), F.col("doc_id")).collect()
     assert len(rows) == len(ROWS) and {r["spans"] for r in rows} == {""}
