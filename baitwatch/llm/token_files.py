@@ -19,12 +19,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from baitwatch.llm.common import BLOCK_BYTES, shared_path, utf8_column, worker_memo
-from baitwatch.llm.token_pieces import MEMO_ENTRIES, fill, keys_of, pieces
+from baitwatch.llm.token_pieces import fill, keys_of, pieces
 
 BLOCK = 128
 # Ids per word by selector 1 to 14 (fixed by the format); each gets 60 // n bits.
 COUNTS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
+# Words and chunks (words with the marks after them) that a worker keeps. Workers are
+# reused, so this memory stays while other steps run.
+WORDS, CHUNKS = 400_000, 200_000
 # Bytes of text meant for one shard.
 SHARD_BYTES = 32 << 20
 _U = np.uint64
@@ -167,9 +170,9 @@ def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     whole = [tok.whole(t) for t in texts]
     keys = [[] if w else keys_of(t) for t, w in zip(texts, whole, strict=True)]
     words = worker_memo(f"words:{path}")
-    if len(words) > MEMO_ENTRIES:
+    if len(words) > WORDS:
         words.clear()
-    get = fill(memo, keys, lambda chunks: tok.encode_chunks(chunks, words)).__getitem__
+    get = fill(memo, keys, lambda chunks: tok.encode_chunks(chunks, words), CHUNKS).__getitem__
     return [np.array(tok.library.encode(t, add_special_tokens=False).ids, np.uint32) if w
             else np.frombuffer(b"".join(map(get, k)), np.uint32) for t, w, k in zip(texts, whole, keys, strict=True)]
 

@@ -126,14 +126,14 @@ def chunk_of(key: str) -> str:
     return key[1:] if key[:1] == "\x00" else key if key[:1] == "\n" else " " + key
 
 
-def fill(memo: dict, keys: list[list[str]], make: Callable[[list[str]], list]) -> dict:
+def fill(memo: dict, keys: list[list[str]], make: Callable[[list[str]], list], most: int = MEMO_ENTRIES) -> dict:
     """Values for all keys of a block of texts, kept in ``memo``. Those of long chunks
     go when the next block comes."""
     passing = worker_memo("passing").setdefault(id(memo), [])
     for k in passing:
         memo.pop(k, None)
     passing.clear()
-    if len(memo) > MEMO_ENTRIES:
+    if len(memo) > most:
         memo.clear()
     here: set[str] = set()
     for ks in keys:
