@@ -27,7 +27,7 @@ COUNTS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
 # Words and chunks (words with the marks after them) that a worker keeps. Workers are
 # reused, so this memory stays while other steps run.
-WORDS, CHUNKS = 400_000, 200_000
+WORDS, CHUNKS = 800_000, 250_000
 # Bytes of text meant for one shard.
 SHARD_BYTES = 32 << 20
 _U = np.uint64
