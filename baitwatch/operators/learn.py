@@ -39,12 +39,20 @@ def training_table(features: DataFrame, columns: Iterable[str], keep: Iterable[s
     return assembler.transform(features).select(*keep, "features").checkpoint()
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """Rows to fit on, written to the checkpoint folder. A fit is hundreds of short jobs,
+    and each of their tasks carries the plan that led to the rows; one with joins in it
+    takes longer to unpack than a tree level to grow."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint()
+
+
 def cross_validate(train: DataFrame, folds: int = 5, max_iter: int = CV_STAGES,
                    parallelism: int = 5) -> DataFrame:
     """Accuracy of each held-out fold. ``train`` comes from ``training_table``;
     fits are independent Spark jobs and may run side by side."""
     spark = train.sparkSession
-    folded = stratified_folds(train, folds).persist()
+    folded = settled(stratified_folds(train, folds).select("features", "label", "fold"))
 
     def one(k: int) -> tuple[int, float]:
         model = boosted_trees(max_iter).fit(folded.filter(F.col("fold") != k))
@@ -54,7 +62,6 @@ def cross_validate(train: DataFrame, folds: int = 5, max_iter: int = CV_STAGES,
 
     with ThreadPool(min(parallelism, folds)) as pool:
         scores = pool.map(one, range(folds))
-    folded.unpersist()
     return spark.createDataFrame(scores, "fold int, accuracy double")
 
 
@@ -68,7 +75,7 @@ def fit_mail_model(train: DataFrame, columns: Iterable[str], max_iter: int = STA
     """Fit on a ``training_table``; the returned pipeline carries the column
     list in its assembler, so saving it saves the list."""
     columns = list(columns)
-    model = boosted_trees(max_iter).fit(train)
+    model = boosted_trees(max_iter).fit(settled(train.select("features", "label")))
     return PipelineModel([VectorAssembler(inputCols=columns, outputCol="features"), model])
 
 
@@ -176,4 +183,4 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
 
 __all__ = ["boosted_trees", "class_report", "confusion_matrix", "cross_validate", "cv_summary",
            "evaluate", "fit_mail_model", "importances", "load_model", "model_columns", "save_model",
-           "score_mails", "top_importances", "training_table", "with_top_signals"]
+           "score_mails", "settled", "top_importances", "training_table", "with_top_signals"]

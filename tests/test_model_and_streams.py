@@ -42,6 +42,26 @@ def test_cross_validation_has_five_folds(model):
     assert summary["folds"] == 5 and 0.7 < summary["mean_accuracy"] <= 1.0
 
 
+def test_fits_start_from_written_rows(spark, monkeypatch):
+    """Every task of a fit carries the plan of its rows: no join or shuffle may be in it."""
+    plans, fitting = [], L.boosted_trees
+
+    class Watched:
+        def __init__(self, *args):
+            self.trees = fitting(*args)
+
+        def fit(self, rows):
+            plans.append(rows._jdf.queryExecution().executedPlan().toString() + rows._jdf.queryExecution().toRdd().toDebugString())
+            return self.trees.fit(rows)
+
+    monkeypatch.setattr(L, "boosted_trees", Watched)
+    mails = spark.range(60).select(F.col("id").alias("mail_id"), (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 7).alias("url__a"))
+    rows = D.stratified_split(L.training_table(mails, ["url__a"])).filter("not is_test").drop("is_test")
+    L.fit_mail_model(rows, ["url__a"], 1)
+    assert L.cross_validate(rows, max_iter=1).count() == 5
+    assert len(plans) == 6 and not any(word in plan for plan in plans for word in ("Join", "Exchange", "Shuffled"))
+
+
 def test_saved_model_keeps_columns_and_scores(model, tmp_path):
     fitted, _, hot = model
     L.save_model(fitted, str(tmp_path / "m"))
