@@ -9,8 +9,10 @@ its output for fewer turns rewrites history; the turn at which this shows is rep
 and the conversation is not formatted.
 
 Conversations are cut into blocks of turns, so one of any length is rendered by many
-tasks. Every turn, in a conversation of any length, is rendered after the LOOK turns
-before it, or all if fewer: a template may look back that far."""
+tasks. Every turn is rendered after all turns before it: the cost of a conversation
+grows with the square of its turns, spread over its blocks. A template of which more is
+known says so by ``looks_back``: then only so many turns before are rendered again, with
+the same output."""
 
 from __future__ import annotations
 
@@ -27,7 +29,6 @@ from baitwatch.llm.turns import numbered
 
 Template = Callable[[list[tuple[str, str]]], str]
 
-LOOK = 32
 BLOCK = 128
 # Stands for a turn's text where the text's place is looked for; private use, so that
 # templates do not write it themselves.
@@ -41,6 +42,23 @@ _ESCAPED = re.compile(rf"([<\[])\\(\\*{_REST})")
 _FRAMES = {"user": ("[INST]", "[/INST]"), "system": ("[SYS]", "[/SYS]"), "assistant": ("[OUT]", "</s>")}
 
 
+def looks_back(n: int) -> Callable[[Template], Template]:
+    """Declares of a template that what it writes for a turn depends on nothing but
+    that turn and the ``n`` turns before it, and on whether there are ``n``; and that
+    its output for more turns begins with that for fewer, or breaks off within ``n``."""
+
+    def declare(template: Template) -> Template:
+        template.look = n
+        return template
+
+    return declare
+
+
+def _look(template: Template) -> int | None:
+    """Turns that the template looks back at; None: all."""
+    return getattr(template, "look", None)
+
+
 def escape(text: str) -> str:
     """Control strings get one backslash after their first character, also those that
     have some: ``[INST]`` to ``[\\INST]``, ``[\\INST]`` to ``[\\\\INST]``."""
@@ -51,6 +69,7 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1\2", text)
 
 
+@looks_back(1)
 def marked(turns: list[tuple[str, str]]) -> str:
     """``<s>``, then every turn between marks of its role; a role without marks of its
     own is named in front of its text."""
@@ -85,9 +104,10 @@ def render_turns(template: Template, turns: list[tuple[str, str]], skip: int, lo
     does not show its text."""
     pieces: list[str] = []
     ranges: list[tuple[int, int] | None] = []
-    before = template(turns[max(0, skip - LOOK):skip])
+    look = _look(template)
+    before = template(turns[0 if look is None else max(0, skip - look):skip])
     for k in range(skip, len(turns)):
-        first = max(0, k - LOOK)
+        first = 0 if look is None else max(0, k - look)
         if k > skip and first > 0:
             before = template(turns[first:k])
         role = turns[k][0]
@@ -165,9 +185,16 @@ def format_chats(conversations: DataFrame, template: Template = marked, loss: tu
     empty one; an empty text has an empty range."""
     rows = numbered(conversations)
     part = F.floor(F.col("pos") / BLOCK)
-    # The last turns of a block are looked back at by the next one.
-    next_too = F.when(F.col("pos") % BLOCK >= BLOCK - LOOK, F.array(part, part + 1)).otherwise(F.array(part))
-    dealt = rows.select("conv_id", F.explode(next_too).alias("part"), "pos", "role", "text")
+    look = _look(template)
+    if look is None:
+        # Every later block looks back at a turn.
+        ends = rows.groupBy(F.col("conv_id").alias("_c")).agg(F.floor(F.max("pos") / BLOCK).alias("_last"))
+        rows = rows.join(ends, F.col("conv_id").eqNullSafe(F.col("_c")))
+        seen_by = F.sequence(part, F.col("_last"))
+    else:
+        # The last turns of a block are looked back at by the next ones.
+        seen_by = F.sequence(part, F.floor((F.col("pos") + look) / BLOCK))
+    dealt = rows.select("conv_id", F.explode(seen_by).alias("part"), "pos", "role", "text")
     dealt = dealt.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "pos")
     # A last block that is full is looked back at by a block without turns.
     return dealt.mapInArrow(_renderer(template, frozenset(loss)), _PARTS).where("n_turns > 0")

@@ -90,6 +90,33 @@ def test_templates_that_rewrite_history_are_reported(spark):
     assert sorted(got[3], key=str) == sorted([(None, False)] * 3 + [(301, True)], key=str)
 
 
+def test_templates_may_look_back_at_every_turn(spark):
+    def numbering(turns):
+        return "".join(f"#{k} {role} of {turns[0][1]}: {text};" for k, (role, text) in enumerate(turns))
+
+    def late(turns):
+        """Once it has 200 turns it leaves out what was said in turn 3."""
+        return "".join(text for k, (_, text) in enumerate(turns) if k != 3 or len(turns) < 200)
+
+    rows = [(c, k, ("user", "assistant")[k % 2], f"{c} {k}") for c, n in ((1, 300), (2, 256), (None, 140)) for k in range(n)]
+    parts = sorted(chat_format.format_chats(talk(spark, rows), numbering).collect(), key=lambda r: r["part"])
+    for conv, turns in ordered(rows).items():
+        own = [p for p in parts if p["conv_id"] == conv]
+        assert "".join(p["text"] for p in own) == numbering(turns) and sum(p["n_turns"] for p in own) == len(turns)
+        assert [p["text"][m["start"]:m["end"]] for p in own for m in p["loss"]] == [t for r, t in turns if r == "assistant"]
+    got = chat_format.format_chats(talk(spark, rows), late).where("rewritten_at is not null").collect()
+    assert sorted((r["conv_id"], r["part"], r["rewritten_at"]) for r in got) == [(1, 1, 199), (2, 1, 199)]
+
+
+def test_declared_looks_are_any_length(spark):
+    def threads(turns):
+        return "".join(f"{text}<{turns[k - 150][1] if k >= 150 else ''}>" for k, (_, text) in enumerate(turns))
+
+    rows = [(1, k, "assistant", f"t{k}") for k in range(500)]
+    parts = sorted(chat_format.format_chats(talk(spark, rows), chat_format.looks_back(300)(threads)).collect(), key=lambda r: r["part"])
+    assert "".join(p["text"] for p in parts) == threads(ordered(rows)[1])
+
+
 def test_chats_corner(spark):
     assert chat_format.digests(talk(spark, TALKS).limit(0)).count() == 0
 
