@@ -306,7 +306,7 @@ def src_capped_sample(spark, sf):
 
 @query
 def gen_mail(spark, sf):
-    return G.expand_templates(spread(table(spark, sf, "customer").select("c_custkey")), "c_custkey")
+    return G.expand_templates(table(spark, sf, "customer").select("c_custkey"), "c_custkey")
 
 
 def _domain_of(key: str) -> Column:

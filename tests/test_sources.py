@@ -13,6 +13,12 @@ from baitwatch.sources import mail_tables as MT
 from baitwatch.sources.uploads import check_uploads, read_manifest
 
 
+def test_seeds_of_one_split_are_expanded_by_many_tasks(spark):
+    mails = G.expand_templates(spark.range(400, numPartitions=1), "id")
+    per_task = [r["n"] for r in mails.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()]
+    assert sum(per_task) == 400 * len(G.TEMPLATES) and max(per_task) <= sum(per_task) // 4
+
+
 def test_csv_round_trip(spark, tmp_path):
     odd = [(1, 1, "t", "c", ' "quoted", x', "line one\nline \"two\", end\n\n", "From: a\r\n\r\nb \\ c\n", None),
            (2, 0, "t", "c", None, " ", "₹ ünï", "n")]
