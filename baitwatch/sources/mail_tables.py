@@ -44,28 +44,140 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     number of quotation marks stands before it in its file (a doubled mark inside a field
     counts twice). So every range is summed up by the parity of its marks; sums over the
     ranges of a file, a row each, give the parity at which each range begins, and with it
-    the lines that begin records and the number of records before the range. A record
-    that runs over the end of a range is joined from both. No task holds more than one
-    range or one record. Marks stand at the ends of quoted fields or doubled inside them,
-    as the format has it; a mark inside an unquoted field breaks the count."""
+    the lines that begin records and the number of records before the range. Tasks then
+    read their ranges again, in order, and put records together as they go: no line is
+    shuffled. A record that runs over the end of a range gets the lines before the first
+    record of the ranges after it. These and the sums, a row a range, are broadcast. No
+    task holds more than one batch of lines or one record. Marks stand at the ends of
+    quoted fields or doubled inside them, as the format has it; a mark inside an unquoted
+    field breaks the count."""
     lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
-        F.col("value").alias("line"), (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("marks"))
-    in_block = Window.partitionBy("path", "block").orderBy("at")
-    odd = F.sum("marks").over(in_block) - F.col("marks")
-    # Whether the line begins a record, for either parity at the begin of its range.
-    placed = lines.withColumns({"if_even": (odd % 2 == 0).cast("int"), "if_odd": (odd % 2 == 1).cast("int")})
-    blocks = lines.groupBy("path", "block").agg(F.sum("marks").alias("marks"))
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("value").cast("binary").alias("line"))  # bytes: Arrow takes no string that isn't UTF-8
+    blocks = lines.mapInArrow(_block_sums(), "path string, block long, marks long, even long, odd long")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    parity = blocks.select("path", "block", (F.coalesce(F.sum("marks").over(before), F.lit(0)) % 2).alias("parity"))
-    begun = placed.groupBy("path", "block").agg(F.sum("if_even").alias("even"), F.sum("if_odd").alias("odd"))
-    first = parity.join(begun, ["path", "block"]).withColumn("n", F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd")))
-    first = first.select(F.col("path").alias("_path"), F.col("block").alias("_block"), "parity", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    known = placed.join(first, (F.col("path") == F.col("_path")) & (F.col("block") == F.col("_block")))
-    begins = F.when(F.col("parity") == 0, F.col("if_even")).otherwise(F.col("if_odd"))
-    numbered = known.select("path", "block", "at", "line", (F.col("base") + F.sum(begins).over(in_block)).alias("n"))
-    joined = numbered.groupBy("path", "n").agg(F.sort_array(F.collect_list(F.struct("block", "at", "line"))).alias("l"))
-    return joined.select("path", "n", F.array_join("l.line", "\n").alias("record"))
+    parity = blocks.withColumn("parity", F.coalesce(F.sum("marks").over(before), F.lit(0)) % 2)
+    begun = F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd"))
+    first = parity.select(F.col("path").alias("_path"), F.col("block").alias("_block"), "parity", F.coalesce(F.sum(begun).over(before), F.lit(0)).alias("base"))
+    # Outer: a range without sums is an error that the task reports, not a loss of lines.
+    known = lines.join(F.broadcast(first), (F.col("path") == F.col("_path")) & (F.col("block") == F.col("_block")), "left").select(
+        "path", "block", "parity", "base", "line")
+    schema = "path string, block long, n long, record binary"
+    rest = known.mapInArrow(_block_records(heads=True), schema).groupBy(F.col("path").alias("_path"), F.col("n").alias("_n")).agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("block", F.col("record").cast("string").alias("record"))))["record"], "\n").alias("rest"))
+    records = known.mapInArrow(_block_records(heads=False), schema).withColumn("record", F.col("record").cast("string"))
+    return records.join(F.broadcast(rest), (F.col("path") == F.col("_path")) & (F.col("n") == F.col("_n")), "left").select(
+        "path", "n", F.when(F.col("rest").isNull(), F.col("record")).otherwise(F.concat("record", F.lit("\n"), "rest")).alias("record"))
+
+
+# The functions sent to the workers are closures without references to this package, so
+# executors need no copy of it. A task reads its ranges one after the other, in order.
+
+
+def _runs():
+    """Batch -> ``(path, block, first row, row after the last, marks of each row)`` of
+    its runs of rows of one range."""
+    def runs(batch):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        if not batch.num_rows:
+            return
+        paths = batch.column("path").dictionary_encode()
+        blocks = batch.column("block").to_numpy(zero_copy_only=False)
+        marks = pc.count_substring(batch.column("line"), b'"').to_numpy(zero_copy_only=False).astype(np.int64)
+        of = paths.indices.to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((of[1:] != of[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)], strict=True):
+            yield paths.dictionary[int(of[a])].as_py(), int(blocks[a]), a, b, marks[a:b]
+
+    return runs
+
+
+def _block_sums():
+    """Rows of lines -> a row a range: its marks, and the lines that begin records if the
+    marks before it are even in number, or odd."""
+    runs = _runs()
+
+    def sums(batches):
+        import pyarrow as pa
+
+        def out(at, marks, even, odd):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([at[0]], pa.string()), *[pa.array([x], pa.int64()) for x in (at[1], marks, even, odd)]],
+                names=["path", "block", "marks", "even", "odd"])
+
+        now, total, even, odd = None, 0, 0, 0
+        for batch in batches:
+            for path, block, a, b, marks in runs(batch):
+                if (path, block) != now:
+                    if now is not None:
+                        yield out(now, total, even, odd)
+                    now, total, even, odd = (path, block), 0, 0, 0
+                uneven = int(((total + marks.cumsum() - marks) % 2).sum())
+                total, even, odd = total + int(marks.sum()), even + (b - a) - uneven, odd + uneven
+        if now is not None:
+            yield out(now, total, even, odd)
+
+    return sums
+
+
+def _block_records(heads: bool):
+    """Rows of lines -> the records that begin in each range, as far as it holds them; or,
+    of each range that begins inside a record, the lines up to the next one."""
+    runs = _runs()
+
+    def records(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        now, odd, n, held, rows = None, 0, 0, [], []
+
+        def out():
+            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
+                names=["path", "block", "n", "record"])
+
+        def close(is_head):
+            if held and is_head == heads:
+                rows.append((*now, n, b"\n".join(held)))
+            held.clear()
+
+        inside = False  # a record that begins in this range is open
+        for batch in batches:
+            for path, block, a, b, marks in runs(batch):
+                if (path, block) != now:
+                    if now is not None:
+                        close(not inside)
+                    parity, base = batch.column("parity")[a].as_py(), batch.column("base")[a].as_py()
+                    if parity is None:
+                        raise ValueError(f"no sums of the range {block} of {path}: the files were split in another way")
+                    now, odd, n, inside = (path, block), parity, base, False
+                begins = np.flatnonzero((odd + marks.cumsum() - marks) % 2 == 0).tolist()
+                odd = (odd + int(marks.sum())) % 2
+                if heads and inside:
+                    continue
+                upto = begins[0] if begins else b - a
+                held.extend(batch.column("line")[a:a + upto].to_pylist())
+                if begins:
+                    close(not inside)
+                    inside = True
+                    if heads:
+                        continue
+                    lines = batch.column("line")[a + upto:b].to_pylist()
+                    for start, end in zip(begins, begins[1:], strict=False):
+                        n += 1
+                        rows.append((*now, n, b"\n".join(lines[start - upto:end - upto])))
+                    n += 1
+                    held.extend(lines[begins[-1] - upto:])
+            yield out()
+        if now is not None:
+            close(not inside)
+        yield out()
+
+    return records
 
 
 def write_mail_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

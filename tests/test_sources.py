@@ -1,3 +1,4 @@
+import re
 import subprocess
 import sys
 from email import message_from_string
@@ -158,3 +159,13 @@ def test_csv_records_of_several_files(spark, tmp_path):
     (tmp_path / "c.csv").write_text("")
     got = sorted((r["path"][-5:], r["n"], r["record"]) for r in MT.csv_records(spark, str(tmp_path)).collect())
     assert got == [("a.csv", 1, "h1,h2"), ("a.csv", 2, '1,"x\ny"'), ("a.csv", 3, '2,""""'), ("b.csv", 1, "h1,h2"), ("b.csv", 2, "3,z")]
+
+
+def test_quoted_csv_shuffles_no_lines(spark, tmp_path):
+    """Only sums and cut records, a row a range, are dealt out."""
+    (tmp_path / "a.csv").write_bytes(b'h1,h2\n1,"x\n\xff"\n2,"y\n\n"\n')
+    records = MT.csv_records(spark, str(tmp_path))
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(path" in plan and not re.search(r"hashpartitioning\([^)]*block", plan)
+    assert sorted((r["n"], bytes(r["b"])) for r in records.select("n", F.col("record").cast("binary").alias("b")).collect()) == [
+        (1, b"h1,h2"), (2, b'1,"x\n\xff"'), (3, b'2,"y\n\n"')]
