@@ -41,9 +41,9 @@ COMBINED = {
 
 def _segments(text: Column) -> Column:
     names = "|".join(a.replace(".", r"\.") for a in lx.ABBREVIATIONS)
-    # Cheap test of the first letter before the Unicode look-behind.
-    first = "".join(sorted({a[0] for a in lx.ABBREVIATIONS}))
-    kept = F.regexp_replace(text, rf"(?=[{first}]){NOT_WORD_BEFORE}({names})\.", f"$1{_DOT}")
+    # The letters come before the Unicode look-behind, and most texts need neither.
+    dotted = any_of([F.contains(text, F.lit(f"{a}.")) for a in lx.ABBREVIATIONS])
+    kept = F.when(dotted, F.regexp_replace(text, rf"(?=(?:{names})\.){NOT_WORD_BEFORE}({names})\.", f"$1{_DOT}")).otherwise(text)
     return F.split(kept, rf"(?<=[.!?]){WS}+", -1)
 
 

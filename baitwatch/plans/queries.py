@@ -36,7 +36,7 @@ from ..sources import generator as G
 from ..sources import mail_tables as MT
 from ..sources.uploads import check_uploads
 from ..streaming import scans as ST
-from .fixtures import SUFFIX_RULES, fixture, rule_nodes, table
+from .fixtures import SUFFIX_RULES, dealt_mails, fixture, rule_nodes, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -265,7 +265,7 @@ def txt_evidence(spark, sf):
 
 
 def _wide(spark, sf) -> DataFrame:
-    return FE.mail_features(fixture(spark, sf, "mail"))
+    return FE.mail_features(dealt_mails(spark, sf))
 
 
 @query
@@ -462,14 +462,14 @@ def model_importances(spark, sf):
 @query
 def mail_scan(spark, sf):
     """The whole mail answer: probability, tier, decision, signals, sender."""
-    return scan_mails(fixture(spark, sf, "mail"), _fitted(spark, sf)[0])
+    return scan_mails(dealt_mails(spark, sf), _fitted(spark, sf)[0])
 
 
 @query
 def mail_scan_facts(spark, sf):
     """What the mail answer says apart from the fitted trees: sender check and all
     text matches, and that probability, tier and decision are of their domains."""
-    scanned = scan_mails(fixture(spark, sf, "mail"), _fitted(spark, sf)[0])
+    scanned = scan_mails(dealt_mails(spark, sf), _fitted(spark, sf)[0])
     sound = (F.col("phishing_probability").between(0, 1) & F.col("risk_tier").isin("SAFE", "SUSPICIOUS", "PHISHING")
              & F.col("prediction").isin("phishing", "legitimate") & (F.size("top_risk_signals") <= lx.TOP_RISK_SIGNALS))
     return scanned.select(
