@@ -23,6 +23,8 @@ CV_STAGES = 100
 STEP = 0.1
 DEPTH = 3
 SEED = 42
+# Rows of one task of a fit, which holds them in memory.
+ROWS_A_TASK = 250_000
 
 
 def boosted_trees(max_iter: int = STAGES, features_col: str = "features", label_col: str = "label") -> GBTClassifier:
@@ -40,11 +42,14 @@ def training_table(features: DataFrame, columns: Iterable[str], keep: Iterable[s
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """Rows to fit on, written to the checkpoint folder. A fit is hundreds of short jobs,
-    and each of their tasks carries the plan that led to the rows; one with joins in it
-    takes longer to unpack than a tree level to grow."""
+    """Rows to fit on, dealt out evenly and written to the checkpoint folder. A fit is
+    hundreds of short jobs, and each of their tasks carries the plan that led to the rows;
+    one with joins in it takes longer to unpack than a tree level to grow. What the joins
+    leave may be one or two partitions, and every tree would grow in that few tasks: there
+    is one a core, and more where they would hold over ``ROWS_A_TASK`` rows."""
     ensure_checkpoint_dir(rows.sparkSession)
-    return rows.checkpoint()
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK))
+    return rows.repartition(tasks).checkpoint()
 
 
 def cross_validate(train: DataFrame, folds: int = 5, max_iter: int = CV_STAGES,

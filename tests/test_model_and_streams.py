@@ -13,6 +13,7 @@ from baitwatch.operators.scan import scan_mails
 from baitwatch.operators import trees as T
 from baitwatch.operators.social import scan_posts
 from baitwatch.plans.fixtures import fixture
+from baitwatch.plans.queries import QUERIES
 from baitwatch.streaming import scans as ST
 
 STAGES = 5  # the full number of stages is only a parameter
@@ -201,3 +202,16 @@ def test_incident_stream_equals_the_report(spark, tmp_path):
         ST.route_incidents(ST.incident_stream(streams, delay="3 days"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(240)
     got = ST.latest_incidents(spark, str(tmp_path / "out"))
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_fit_rows_lie_evenly(spark):
+    """A split by class leaves its rows in a partition a class; a fit has one a core."""
+    rows = spark.range(4000).select(F.col("id").alias("mail_id"), (F.col("id") % 2).cast("int").alias("label"))
+    held = L.settled(D.stratified_split(rows.coalesce(1)).filter("not is_test").select("mail_id", "label"))
+    sizes = [r["n"] for r in held.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 3200 and len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) - min(sizes) <= len(sizes)
+
+
+def test_wide_rows_of_one_row_group_are_dealt_out(spark, small):
+    rows = QUERIES["feature_align"](spark, small).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert len(rows) > 8 and max(r["n"] for r in rows) < 40
