@@ -214,10 +214,11 @@ def repeat_spans(texts: DataFrame, group_most: int = GROUP_MOST) -> tuple[DataFr
     twice = stage(anchors.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "twice")
     likely = anchors.mapInArrow(_filtered(key_filter(twice, "f")), "f long, u long, at int")
     marks = stage(likely.join(twice, "f").distinct(), "marks")
-    candidates = stage(texts.mapInArrow(_filtered(key_filter(marks.select("u").distinct(), "u")), "u long, text string")
-                       .dropDuplicates(["u"]), "candidates")
     lists = marks.groupBy("u").agg(F.collect_list(F.struct("f", "at")).alias("marks"))
-    contexts = stage(candidates.join(lists, "u").select("u", "text", "marks").mapInArrow(_contexts, CONTEXT), "contexts")
+    # One of each text and its marks, in the same shuffle by u.
+    candidates = stage(texts.mapInArrow(_filtered(key_filter(marks.select("u").distinct(), "u")), "u long, text string")
+                       .dropDuplicates(["u"]).join(lists, "u").select("u", "text", "marks"), "candidates")
+    contexts = stage(candidates.mapInArrow(_contexts, CONTEXT), "contexts")
     groups = stage(contexts.groupBy("f", "k").agg(
         F.max("before").alias("before"), F.max("context").alias("context"), F.count("*").alias("n")), "groups").select(
         "f", "k", "before", "context", "n")
@@ -229,7 +230,7 @@ def repeat_spans(texts: DataFrame, group_most: int = GROUP_MOST) -> tuple[DataFr
     spans = small.mapInArrow(_scan_groups, SPANS).union(
         strings.join(known, ["f", "o", "s"]).select("f", "k", "a", (F.col("a") + LENGTH).alias("b")))
     places = contexts.select("f", "k", "u", (F.col("at") - F.col("before")).alias("from"))
-    return candidates, places.join(spans, ["f", "k"]).select("u", (F.col("from") + F.col("a")).alias("a"), (F.col("from") + F.col("b")).alias("b"))
+    return candidates.select("u", "text"), places.join(spans, ["f", "k"]).select("u", (F.col("from") + F.col("a")).alias("a"), (F.col("from") + F.col("b")).alias("b"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
