@@ -16,13 +16,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from baitwatch.llm.common import BLOCK_BYTES, utf8_column, worker_memo
+from baitwatch.llm.common import utf8_column, worker_memo
 from baitwatch.llm.token_files import _runs
-from baitwatch.llm.token_pieces import LATIN_END, WHITE, byte_letters, fill, keys_of, pieces
+from baitwatch.llm.token_pieces import LATIN_END, TEXT_BYTES, WHITE, WHITES, byte_letters, laid_out, pieces
 
 # The pattern of byte-level BPE (fixed by the tokenizer).
 PATTERN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+WHITE_ALL = "".join(sorted(WHITES))
 
 
 class PrefixCounts:
@@ -119,13 +120,16 @@ class PrefixCounts:
                 self.known[piece] = known
         return known
 
-    def chunk(self, text: str) -> bytes:
-        """Differences (int16) of the counts at every code point of a chunk, white space
-        and what is visible after it. A cut in the visible part leaves the pieces before
+    def part(self, text: str) -> bytes:
+        """Differences (int16) of the counts at every code point of a part, white space
+        and what is visible after it. A cut in what is visible leaves the pieces before
         it as they are, and of its own piece the beginning: one walk over the pieces is
         enough. Only a contraction of two letters is none yet after the first of them."""
         spans = self.split(text)
-        white = len(text) - len(text.lstrip(WHITE))
+        if len(spans) == 1 and text[0] != "'":
+            steps = self.steps(text)
+            return array("h", map(sub, steps[1:], steps)).tobytes()
+        white = len(text) - len(text.lstrip(WHITE_ALL))
         # Leading white space is one piece however it is cut.
         counts, base = list(self.steps(text[:white])[1:]) if white > 1 else [], 0
         for a, b in spans:
@@ -149,7 +153,6 @@ def prefix_counts(texts: list[str], path: str) -> list[np.ndarray]:
     if path not in state:
         state[path] = PrefixCounts(tok.spec, tok.library.pre_tokenizer)
     counter = state[path]
-    memo = worker_memo(f"prefix:{path}")
     cut = regex.compile("|".join(map(regex.escape, tok.specials))) if tok.specials else None
     parts, owner = [], []
     for k, text in enumerate(texts):
@@ -160,12 +163,12 @@ def prefix_counts(texts: list[str], path: str) -> list[np.ndarray]:
             at = m.end()
         parts.append((text[at:], None))
         owner.append(k)
-    keys = [keys_of(t) if t else [] for t, _ in parts]
-    get = fill(memo, keys, lambda chunks: [counter.chunk(c) for c in chunks]).__getitem__
+    raw, at = laid_out(pa.array([t for t, _ in parts], pa.large_string()), f"prefix:{path}", lambda new: [counter.part(p) for p in new])
+    steps, at = np.frombuffer(raw, "<i2"), (at // 2).tolist()
     out: list[list[np.ndarray]] = [[] for _ in texts]
     base = [0] * len(texts)
-    for (_, inner), ks, k in zip(parts, keys, owner, strict=True):
-        counts = base[k] + np.cumsum(np.frombuffer(b"".join(map(get, ks)), "<i2"), dtype=np.int64)
+    for (_, inner), a, b, k in zip(parts, at, at[1:], owner, strict=False):
+        counts = base[k] + np.cumsum(steps[a:b], dtype=np.int64)
         if inner is not None:
             base[k] = (int(counts[inner - 1]) if inner else base[k]) + 1
             counts = np.append(counts, base[k])
@@ -178,7 +181,7 @@ def _counter(path: str, budgets: list[int], store: bool):
         for batch in batches:
             texts = utf8_column(batch, "text")
             lengths = np.array([len(x.as_buffer()) for x in texts], np.int64)
-            for a, b in _runs(lengths, BLOCK_BYTES):
+            for a, b in _runs(lengths, TEXT_BYTES):
                 counts = prefix_counts(texts[a:b].to_pylist(), path)
                 fits = [[int(np.flatnonzero(c <= most)[-1]) + 1 if len(c) and (c <= most).any() else 0 for most in budgets] for c in counts]
                 yield pa.RecordBatch.from_arrays(

@@ -19,15 +19,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from baitwatch.llm.common import BLOCK_BYTES, shared_path, utf8_column, worker_memo
-from baitwatch.llm.token_pieces import fill, keys_of, pieces
+from baitwatch.llm.token_pieces import TEXT_BYTES, laid_out, pieces
 
 BLOCK = 128
 # Ids per word by selector 1 to 14 (fixed by the format); each gets 60 // n bits.
 COUNTS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
-# Words and chunks (words with the marks after them) that a worker keeps. Workers are
-# reused, so this memory stays while other steps run.
-WORDS, CHUNKS = 800_000, 250_000
 # Bytes of text meant for one shard.
 SHARD_BYTES = 32 << 20
 _U = np.uint64
@@ -166,15 +163,11 @@ def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids (uint32) of each text as the tokenizer's library gives them, without added
     special tokens; special strings inside a text as is the library's default."""
     tok = pieces(path)
-    memo = worker_memo(f"ids:{path}")
     whole = [tok.whole(t) for t in texts]
-    keys = [[] if w else keys_of(t) for t, w in zip(texts, whole, strict=True)]
-    words = worker_memo(f"words:{path}")
-    if len(words) > WORDS:
-        words.clear()
-    get = fill(memo, keys, lambda chunks: tok.encode_chunks(chunks, words), CHUNKS).__getitem__
-    return [np.array(tok.library.encode(t, add_special_tokens=False).ids, np.uint32) if w
-            else np.frombuffer(b"".join(map(get, k)), np.uint32) for t, w, k in zip(texts, whole, keys, strict=True)]
+    raw, at = laid_out(pa.array(["" if w else t for t, w in zip(texts, whole, strict=True)], pa.large_string()), f"ids:{path}", tok.encode)
+    ids, at = np.frombuffer(raw, np.uint32), (at // 4).tolist()
+    return [np.array(tok.library.encode(t, add_special_tokens=False).ids, np.uint32) if w else ids[a:b]
+            for t, w, a, b in zip(texts, whole, at, at[1:], strict=False)]
 
 
 def _runs(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -193,7 +186,7 @@ def _writer(path: str, end_id: int):
         for batch in batches:
             texts = utf8_column(batch, "text")
             lengths = np.array([len(x.as_buffer()) for x in texts], np.int64)
-            for a, b in _runs(lengths, BLOCK_BYTES):
+            for a, b in _runs(lengths, TEXT_BYTES):
                 ids = [np.append(x, np.uint32(end_id)) for x in encode_texts(texts[a:b].to_pylist(), path)]
                 n = np.array([len(x) for x in ids], np.int64)
                 first = start + np.cumsum(n) - n

@@ -1,5 +1,6 @@
-"""Texts cut into chunks that a byte-level BPE encodes one by one, so that repeated
-chunks are encoded once in a worker."""
+"""Texts cut into parts that a byte-level BPE encodes one by one, so that repeated
+parts are encoded once in a worker. Parts are cut and counted as whole columns; only
+the distinct ones of a block of texts become Python strings."""
 
 from __future__ import annotations
 
@@ -10,22 +11,43 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 from baitwatch.llm.common import worker_memo
 
-# The white space that the tokenizer's pattern knows (fixed by Unicode).
+# The white space that the tokenizer's pattern knows (fixed by Unicode), as a class of
+# a pattern.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-# Chunks kept in a worker; the memo starts anew beyond that.
-MEMO_ENTRIES = 800_000
+# Parts that a worker keeps; longer ones are not kept. Workers are reused, so this
+# memory stays while other steps run.
+PARTS = 800_000
 MEMO_CHARS = 64
+# Bytes of texts that are cut and looked up at once.
+TEXT_BYTES = 4 << 20
 # Letters below are the same in all Unicode versions in use.
 LATIN_END = "\u0220"
-# Chunks that are encoded as one text.
+# Parts that are encoded as one text.
 JOINED = 500
 
-_CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-# What the quick way to cut a text doesn't know.
-RARE_WHITE = [*(c for c in WHITE if c not in " \n"), "\x00"]
+WHITES = frozenset(re.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001)))))
+
+
+def _kinds(n: int) -> np.ndarray:
+    """Kinds of the characters of ``n`` bytes, by their bytes as one number: 1 white
+    space, 2 a letter below LATIN_END, 3 another character below it, 0 above."""
+    out = np.zeros(1 << 8 * min(n, 2), np.uint8)
+    for c in map(chr, range(0x80 if n == 1 else 0x800)):
+        if len(c.encode()) == n:
+            out[int.from_bytes(c.encode(), "big")] = 1 if c in WHITES else 0 if c >= LATIN_END else 2 if c.isalpha() else 3
+    return out
+
+
+_ONE, _TWO = _kinds(1), _kinds(2)
+_THREE = [int.from_bytes(c.encode(), "big") for c in sorted(WHITES) if len(c.encode()) == 3]
+# First bytes of characters of two bytes, and of white space of three.
+_LEAD = np.zeros(256, np.uint8)
+_LEAD[0xC2:0xE0] = 2
+_LEAD[[c >> 16 for c in _THREE]] = 3
 
 
 class Pieces:
@@ -53,30 +75,22 @@ class Pieces:
         self.chunked = (
             self.spec["model"]["type"] == "BPE" and not self.spec.get("normalizer")
             and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"))
-        self.marks = dict(zip(".,;:!?", self._encode(list(".,;:!?")), strict=True)) if self.chunked else {}
+        self.feed = len(self.library.encode("\n", add_special_tokens=False).ids)
 
     def whole(self, text: str) -> bool:
         """True if the text has to go to the library as a whole."""
         return not self.chunked or any(s in text for s in self.specials)
 
-
-    def encode_chunks(self, chunks: list[str], words: dict) -> list[bytes]:
-        """Ids (uint32) of each chunk. A space, letters and a mark are two pieces of the
-        pattern; ``words`` has the ids of such letters, seen with other marks before."""
-        stems = [c[:-1] if c[:1] == " " and c[-1] in self.marks and (s := c[1:-1]).isalpha() and (s.isascii() or max(s) < LATIN_END) else c for c in chunks]
-        lacking = list(set(stems).difference(words))
-        words.update(zip(lacking, self._encode(lacking), strict=True))
-        return [words[s] if s is c else words[s] + self.marks[c[-1]] for s, c in zip(stems, chunks, strict=True)]
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        """Chunks that begin with white space and end with something visible are encoded
-        many at a time, as one text: it has the same chunks, and the bytes of its tokens
-        tell where each one ends."""
-        out: list[bytes | None] = [None] * len(chunks)
-        joins = not any(x in WHITE for s in self.specials for x in s)
-        plain = [k for k, c in enumerate(chunks) if joins and c and c[0] in WHITE and c[-1] not in WHITE]
+    def encode(self, parts: list[str]) -> list[bytes]:
+        """Ids (uint32) of each part. Parts that end with something visible are encoded
+        many at a time, as one text: each begins with white space, or with a line feed
+        put before it, so the text has the same pieces, and the bytes of its tokens tell
+        where each part ends."""
+        out: list[bytes | None] = [None] * len(parts)
+        joins = self.chunked and WHITES.isdisjoint("".join(self.specials))
+        plain = [k for k, c in enumerate(parts) if joins and c and c[-1] not in WHITES]
         groups = [plain[a:a + JOINED] for a in range(0, len(plain), JOINED)]
-        texts = [[chunks[k] for k in g] for g in groups]
+        texts = [[c if (c := parts[k])[0] in WHITES else "\n" + c for k in g] for g in groups]
         for group, text, e in zip(groups, texts, self.library.encode_batch_fast(["".join(t) for t in texts], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
             ends = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in text])
@@ -84,11 +98,11 @@ class Pieces:
             cuts = np.searchsorted(upto, ends)
             if cuts[-1] < len(upto) and np.array_equal(upto[cuts], ends):
                 raw, a = ids.tobytes(), 0
-                for k, b in zip(group, (4 * cuts + 4).tolist(), strict=True):
-                    out[k] = raw[a:b]
+                for k, c, b in zip(group, text, (4 * cuts + 4).tolist(), strict=True):
+                    out[k] = raw[a:b] if c is parts[k] else raw[a + 4 * self.feed:b]
                     a = b
         rest = [k for k, x in enumerate(out) if x is None]
-        for k, e in zip(rest, self.library.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False), strict=True):
+        for k, e in zip(rest, self.library.encode_batch_fast([parts[k] for k in rest], add_special_tokens=False), strict=True):
             out[k] = np.array(e.ids, np.uint32).tobytes()
         return out
 
@@ -109,37 +123,67 @@ def pieces(path: str) -> Pieces:
     return memo[path]
 
 
-def keys_of(text: str) -> list[str]:
-    """Keys of the chunks of a text, in order. A key without mark stands for a space
-    and the key; one that starts with a line feed for itself; one that starts with
-    NUL for what follows it."""
-    if not any(map(text.__contains__, RARE_WHITE)):
-        keys = text.replace("\n", " \n").split(" ")
-        # Two white characters in a row leave an empty key or a lone line feed.
-        if "" not in keys[1:] and "\n" not in keys and keys[0][:1] != "\n":
-            keys[0] = "\x00" + keys[0]
-            return keys
-    return ["\x00" + c for c in _CHUNK.findall(text)]
-
-
-def chunk_of(key: str) -> str:
-    return key[1:] if key[:1] == "\x00" else key if key[:1] == "\n" else " " + key
-
-
-def fill(memo: dict, keys: list[list[str]], make: Callable[[list[str]], list], most: int = MEMO_ENTRIES) -> dict:
-    """Values for all keys of a block of texts, kept in ``memo``. Those of long chunks
-    go when the next block comes."""
-    passing = worker_memo("passing").setdefault(id(memo), [])
-    for k in passing:
-        memo.pop(k, None)
-    passing.clear()
-    if len(memo) > most:
+def _kind_of(raw: np.ndarray) -> np.ndarray:
+    """The kind of the character that each byte of UTF-8 texts is part of."""
+    kind, lead = _ONE[raw], _LEAD[raw]
+    at = np.flatnonzero(lead == 2)
+    kind[at] = kind[at + 1] = _TWO[raw[at].astype(np.uint16) << 8 | raw[at + 1]]
+    at = np.flatnonzero(lead == 3)
+    at = at[np.isin(raw[at].astype(np.int32) << 16 | raw[at + 1].astype(np.int32) << 8 | raw[at + 2], _THREE)]
+    kind[at] = kind[at + 1] = kind[at + 2] = 1
+    return kind
+
+
+def parts_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The parts of all texts (large strings) in order, and the place of the first one
+    of each text, the end included. Chunks are cut again after letters that something
+    visible but no letter follows, and after a line feed that is all their white space:
+    there a piece of the pattern ends whatever stands on the other side. Past LATIN_END
+    nothing is cut, since letters differ between Unicode versions."""
+    _, where, data = texts.buffers()
+    bounds = np.frombuffer(where, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    bounds = bounds - bounds[0]
+    kind = _kind_of(raw)
+    white, texts_at = kind == 1, bounds[bounds < len(raw)]
+    begins = white.copy()
+    begins[1:] &= ~white[:-1]
+    begins[texts_at] = True
+    feeds = np.flatnonzero(begins[:-1] & (raw[:-1] == 10) & ~white[1:])
+    begins[1:] |= (kind[:-1] == 2) & (kind[1:] == 3)
+    begins[feeds + 1] = True
+    first = np.flatnonzero(begins)
+    parts = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(np.append(first, len(raw))), pa.py_buffer(raw)])
+    return parts, np.searchsorted(first, bounds)
+
+
+def values_of(parts: list[str], name: str, make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    """What ``make`` gives for each part. A worker keeps what parts gave, those asked for
+    last the longest; ``make`` gets what is lacking, sorted."""
+    memo, older = worker_memo(f"parts:{name}"), worker_memo(f"older:{name}")
+    if len(memo) > PARTS // 2:
+        older.clear()
+        older.update(memo)
         memo.clear()
-    here: set[str] = set()
-    for ks in keys:
-        here.update(ks)
-    lacking = list(here.difference(memo))
-    memo.update(zip(lacking, make([chunk_of(k) for k in lacking]), strict=True))
-    passing += [k for k in lacking if len(k) > MEMO_CHARS]
-    # The block's own entries lie closer together than those of the whole memo.
-    return {k: memo[k] for k in here}
+    needed = [p for p in parts if p not in memo]
+    memo.update((p, older[p]) for p in needed if p in older)
+    needed = sorted(p for p in needed if p not in older)
+    memo.update(zip(needed, make(needed), strict=True))
+    out = list(map(memo.__getitem__, parts))
+    for p in needed:
+        if len(p) > MEMO_CHARS:
+            del memo[p]
+    return out
+
+
+def laid_out(texts: pa.Array, name: str, make: Callable[[list[str]], list[bytes]]) -> tuple[bytes | pa.Buffer, np.ndarray]:
+    """What ``make`` gives for the parts of all texts (large strings), one behind the
+    other, and the place of each text's first byte there, the end included. Each
+    distinct part of the texts is looked up once."""
+    parts, first = parts_of(texts)
+    if not len(parts):
+        return b"", first
+    coded = parts.dictionary_encode()
+    line = pa.array(values_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), name, make), pa.large_binary()).take(coded.indices)
+    _, where, data = line.buffers()
+    return data, np.frombuffer(where, np.int64, len(line) + 1)[first]

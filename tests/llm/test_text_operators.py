@@ -7,11 +7,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from baitwatch.llm import quality_rules, secret_scan, token_counts, token_files
+from baitwatch.llm import quality_rules, secret_scan, token_counts, token_files, token_pieces
 
 from .conftest import LONG, PROSE, ROWS, table
 
@@ -42,6 +43,36 @@ def test_prefix_counts_of_very_long_runs_are_exact_and_quick(library):
     assert time.process_time() - began < 60
 
 
+# What parts are cut at and what they must not be cut at.
+SYLLABLES = [*" \n\t\r", "  ", "\n\n", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u3000", "a", "the", "Ing", "é", "×", "ª", "µ", "ß", "\u021f", "\u0220", "\u0301", "日",
+             "ʰ", "🙂", "1", "23", "²", "'", "'s", "'re", "'ll", "'t", ".", ",", "-", "--", "***", "_", "\x00", "\x1c", "\u200b", "<|endoftext|>", "<|endo", "ʼ"]
+
+
+def test_parts_have_the_librarys_tokens_at_every_prefix(library):
+    r = np.random.default_rng(7)
+    texts = ["  --a", "\u2003  \u1680-", *("".join(r.choice(SYLLABLES, r.integers(0, 12))) for _ in range(1500))]
+    for text, ids, counts in zip(texts, token_files.encode_texts(texts, BPE), token_counts.prefix_counts(texts, BPE), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+        assert counts.tolist() == [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(1, len(text) + 1)], text
+
+
+def test_letters_are_asked_for_once_whatever_follows_them(monkeypatch):
+    asked = []
+    make = lambda parts: asked.extend(parts) or [p.encode() for p in parts]
+    words = [f"w{'abcdefghij'[k // 10]}{'klmnopqrst'[k % 10]}" for k in range(100)]
+    texts = [f"{w} {w}, {w}*** {w}=1\n{w}.\n\n{w}" for w in words] + ["", "  ", "\n"]
+    for _ in range(2):
+        data, at = token_pieces.laid_out(pa.array(texts, pa.large_string()), "asked", make)
+        assert [bytes(data)[a:b].decode() for a, b in zip(at, at[1:], strict=False)] == texts
+    # A word stands alone, after a space and after two line feeds.
+    assert len(asked) == len(set(asked)) == 3 * len(words) + len([",", "***", "=1", "\n", ".", "  "])
+    # Whatever is no longer kept is made anew.
+    monkeypatch.setattr(token_pieces, "PARTS", 20)
+    for a in range(0, 100, 10):
+        data, _ = token_pieces.laid_out(pa.array(texts[a:a + 10] + texts[:3], pa.large_string()), "few", make)
+        assert bytes(data).decode() == "".join(texts[a:a + 10] + texts[:3])
+
+
 def test_budgets_and_cuts_come_from_the_counts(spark, library):
     docs = table(spark, [(k, t, "a") for k, t in enumerate(ODD)])
     counts = token_counts.token_counts(docs, BPE, [3, 10_000], store=True)
