@@ -49,6 +49,9 @@ class PrefixCounts:
                 self.made[z] = (n, x, y)
         self.fits: dict[int, bool] = {}
         self.known: dict[str, list[int]] = {}
+        self.longest = max(map(len, self.ids), default=0)
+        # The last piece with its counts and the last tokens of its prefixes.
+        self.last: tuple[bytes, list[int], list[int]] = (b"", [0], [-1])
 
     def _stay(self, x: int, y: int) -> bool:
         """True if the two tokens stay as they are when encoded together. The merges
@@ -69,13 +72,19 @@ class PrefixCounts:
                 limit, y = b[0] + 1, b[1]
 
     def piece(self, text: bytes) -> list[int]:
-        """Tokens of every prefix of a piece, from the empty one on."""
-        n = len(text)
-        counts, last = [0, *[-1] * n], [-1] * (n + 1)
+        """Tokens of every prefix of a piece, from the empty one on. Prefixes that the
+        piece shares with the last one are taken from there: pieces come sorted."""
+        n, shared = len(text), 0
+        for x, y in zip(text, self.last[0], strict=False):
+            if x != y:
+                break
+            shared += 1
+        counts = self.last[1][:shared + 1] + [-1] * (n - shared)
+        last = self.last[2][:shared + 1] + [-1] * (n - shared)
         find, fits, stay = self.starts.get, self.fits, self._stay
-        for start in range(n):
+        for start in range(max(shared + 1 - self.longest, 0), n):
             before, count = last[start], counts[start] + 1
-            for end in range(start + 1, n + 1):
+            for end in range(start + 1 if start > shared else shared + 1, n + 1):
                 token = find(text[start:end])
                 if token is None:
                     break
@@ -91,6 +100,7 @@ class PrefixCounts:
                 counts[end], last[end] = count, token
         if len(fits) > 1_000_000:
             fits.clear()
+        self.last = text, counts, last
         return counts
 
     def split(self, text: str) -> list[tuple[int, int]]:
@@ -176,6 +186,14 @@ def prefix_counts(texts: list[str], path: str) -> list[np.ndarray]:
     return [np.concatenate(x) if len(x) > 1 else x[0] for x in out]
 
 
+def _longest(counts: np.ndarray, most: int) -> int:
+    """Code points of the longest prefix of at most so many tokens."""
+    if not len(counts) or counts[-1] <= most:
+        return len(counts)
+    kept = np.flatnonzero(counts <= most)
+    return int(kept[-1]) + 1 if len(kept) else 0
+
+
 def _counter(path: str, budgets: list[int], store: bool):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +201,7 @@ def _counter(path: str, budgets: list[int], store: bool):
             lengths = np.array([len(x.as_buffer()) for x in texts], np.int64)
             for a, b in _runs(lengths, TEXT_BYTES):
                 counts = prefix_counts(texts[a:b].to_pylist(), path)
-                fits = [[int(np.flatnonzero(c <= most)[-1]) + 1 if len(c) and (c <= most).any() else 0 for most in budgets] for c in counts]
+                fits = [[_longest(c, most) for most in budgets] for c in counts]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.array(lengths[a:b]), pa.array([int(c[-1]) if len(c) else 0 for c in counts], pa.int64()),
                      pa.array(fits, pa.list_(pa.int64())),

@@ -32,6 +32,30 @@ def test_every_prefix_has_the_librarys_count(library):
         assert counts.tolist() == want, text
 
 
+def test_a_piece_starts_from_what_it_shares_with_the_last_one():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, key, *default):
+            self.asked += 1
+            return super().get(key, *default)
+
+    tok = token_pieces.pieces(BPE)
+    counter = token_counts.PrefixCounts(tok.spec, tok.library.pre_tokenizer)
+    counter.starts = Counting(counter.starts)
+    words = [b"", b"a", *(b" thereinafterwardshiptionalingly" + x for x in (b"", b"a", b"ab", b"ation", b"s")), b" there", "é日本".encode(), "é日本語".encode(), "é月".encode(), b"a"]
+    got = []
+    for w in words:
+        counter.starts.asked = 0
+        got.append((counter.piece(w), counter.starts.asked))
+    for w, (counts, _) in zip(words, got, strict=True):
+        counter.last = b"", [0], [-1]
+        assert counter.piece(w) == counts
+        if not any(b > 127 for b in w):
+            assert counts == [len(tok.library.encode(w[:k].decode(), add_special_tokens=False).ids) for k in range(len(w) + 1)]
+    assert all(3 * asked < 2 * got[2][1] for _, asked in got[3:7])
+
+
 def test_prefix_counts_of_very_long_runs_are_exact_and_quick(library):
     r = np.random.default_rng(1)
     letters = "".join(r.choice(list("etaoinsx"), 40_000))
