@@ -28,15 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from baitwatch.llm.common import chain, stage, text_blocks, words_of
+from baitwatch.llm.common import chain, forget, stage, text_blocks, words_of
 
 SHINGLE = 5
 # Rounds in which groups meet one leader per token, before every remaining pair across
 # components is held against each other; they save pairs, not results.
 ROUNDS = 2
-# Tokens that a task sorts at once, and tokens meant for one bucket.
-CHUNK_TOKENS = 1 << 22
-BUCKET_TOKENS = 3 << 20
+# Tokens that a task sorts at once, and tokens meant for one bucket. An executor holds as
+# many of them as it has cores, beside its JVM.
+CHUNK_TOKENS = 1 << 20
+BUCKET_TOKENS = 1 << 20
 # In a bucket that overflows, a token of more classes counts as this common: the order
 # among such tokens is by value, and their entries need not be held.
 COMMON = 1 << 16
@@ -93,6 +94,7 @@ def _deal(buckets: int):
     (``owner``: their number, eight bytes of each one's digest, its place in the chunk,
     then two bytes per token)."""
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("powers")
         part = TaskContext.get().partitionId()
         n_chunks, held, size, seen = 0, [], 0, {}
 
@@ -163,30 +165,42 @@ class Bucket:
             yield from self.fold(False)
             self.limit = max(self.limit, 2 * self.size)
 
+    def _taken(self, name: str) -> np.ndarray:
+        """A column as one array; its pieces are let go."""
+        out = np.concatenate(getattr(self, name))
+        setattr(self, name, [])
+        return out
+
     def fold(self, last: bool) -> Iterator[tuple[int, bytes, bytes]]:
         """``(chunk, tokens, places and counts)`` of reported tokens: in the end all of two
         classes or more, and before, where too many are held, those that are saturated."""
         if not self.tokens:
             return
-        tokens, names, chunks, places = (np.concatenate(x) for x in (self.tokens, self.names, self.chunks, self.places))
+        # A column at a time, so that no more than one is held twice.
+        tokens, names = self._taken("tokens"), self._taken("names")
         order = np.lexsort((names, tokens))
-        tokens, names, chunks, places = tokens[order], names[order], chunks[order], places[order]
-        fresh = np.r_[True, tokens[1:] != tokens[:-1]]
-        first = np.flatnonzero(fresh)
-        new = fresh | np.r_[True, names[1:] != names[:-1]]
-        runs, classes = np.diff(np.r_[first, len(tokens)]), np.add.reduceat(new.astype(np.int64), first)
+        tokens, names = tokens[order], names[order]
+        chunks, places = self._taken("chunks")[order], self._taken("places")[order]
+        del order
+        new = np.r_[True, tokens[1:] != tokens[:-1]]
+        first = np.flatnonzero(new)
+        new[1:] |= names[1:] != names[:-1]
+        if last:
+            del names
+        runs, classes = np.diff(np.r_[first, len(tokens)]), np.add.reduceat(new, first, dtype=np.int64)
         full = np.isin(tokens[first], self.saturated) | (classes > COMMON)
-        count = np.repeat(np.where(full, COMMON, classes), runs)
-        report = np.repeat(full | (last & (classes > 1)), runs)
         if not last:
             self.saturated = np.union1d(self.saturated, tokens[first][full])
-        by = np.flatnonzero(report)
+        count = np.repeat(np.where(full, COMMON, classes).astype(np.uint32), runs)
+        by = np.flatnonzero(np.repeat(full | (last & (classes > 1)), runs))
         by = by[np.argsort(chunks[by], kind="stable")]
         cuts = np.searchsorted(chunks[by], np.arange(len(self.numbers) + 1))
         for k, number in enumerate(self.numbers):
             at = by[cuts[k]:cuts[k + 1]]
             if len(at):
-                yield number, packed(tokens[at]), places[at].tobytes() + count[at].astype(np.uint32).tobytes()
+                yield number, packed(tokens[at]), places[at].tobytes() + count[at].tobytes()
+        if last:
+            return
         # Equal entries of one class are kept all: each has its own chunk to report to.
         keep = ~np.repeat(full, runs)
         self.tokens, self.names, self.chunks, self.places = [tokens[keep]], [names[keep]], [chunks[keep]], [places[keep]]
@@ -201,16 +215,17 @@ def _count(buckets: int):
             for chunk, tokens, owner in reports:
                 yield _rows(dest=[chunk % buckets], chunk=[chunk], tokens=[tokens], owner=[owner])
 
+        forget()
         bucket, held = None, Bucket()
         for batch in batches:
             dealt = pc.and_(pc.is_valid(batch.column(5)), pc.is_null(batch.column(2)))
             yield batch.filter(pc.invert(dealt))
-            rows = batch.filter(dealt)
-            for dest, chunk, tokens, owner in zip(*(rows.column(k) for k in (0, 5, 6, 7)), strict=True):
-                if dest.as_py() != bucket:
+            for k in np.flatnonzero(dealt.to_numpy(zero_copy_only=False)).tolist():
+                dest, chunk, tokens, owner = (batch.column(c)[k].as_py() for c in (0, 5, 6, 7))
+                if dest != bucket:
                     yield from sent(held.fold(True))
-                    bucket, held = dest.as_py(), Bucket()
-                yield from sent(held.add(chunk.as_py(), tokens.as_py(), owner.as_py()))
+                    bucket, held = dest, Bucket()
+                yield from sent(held.add(chunk, tokens, owner))
         yield from sent(held.fold(True))
 
     return count
@@ -251,20 +266,21 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.nulls(len(n), pa.binary()),
                                            pa.array(toks, pa.list_(pa.int64()))], names=names)
 
+    forget()
     chunk, head, reports = None, None, []
     for batch in batches:
         rows = batch.filter(pc.is_null(batch.column(5)))
         yield pa.RecordBatch.from_arrays([*rows.columns[1:5], pa.nulls(rows.num_rows, pa.list_(pa.int64()))], names=names)
-        dealt = batch.filter(pc.is_valid(batch.column(5)))
-        for number, n, tokens, owner in zip(*(dealt.column(k) for k in (5, 2, 6, 7)), strict=True):
-            if number.as_py() != chunk:
+        for k in np.flatnonzero(pc.is_valid(batch.column(5)).to_numpy(zero_copy_only=False)).tolist():
+            n, number, tokens, owner = (batch.column(c)[k].as_py() for c in (2, 5, 6, 7))
+            if number != chunk:
                 if head:
                     yield classes()
-                chunk, head, reports = number.as_py(), None, []
-            if n.is_valid:
-                head = tokens.as_py(), owner.as_py()
+                chunk, head, reports = number, None, []
+            if n is not None:
+                head = tokens, owner
             else:
-                reports.append((tokens.as_py(), owner.as_py()))
+                reports.append((tokens, owner))
     if head:
         yield classes()
 
@@ -405,7 +421,7 @@ def components(docs: DataFrame) -> DataFrame:
     a null doc_id links like others; the smallest id of a component is that of a row
     that has one, and null where none has. Needs ``doc_id`` and ``text``; others are
     ignored. A worker holds one text with about 60 bytes of memory per byte of it, or
-    a chunk of CHUNK_TOKENS tokens or a bucket, about 300 MB, whichever is more."""
+    a chunk of CHUNK_TOKENS tokens or a bucket, whichever is more."""
     signed, nodes = _joined(docs)
     classes = signed.where("n > 0").groupBy("digest").agg(F.min("row").alias("c"))
     of = classes.join(nodes, "digest", "left").withColumn("node", F.coalesce("node", "digest"))

@@ -3,12 +3,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from baitwatch.llm import decontaminate, ngram_join, repeats
+from baitwatch.llm import common, decontaminate, ngram_join, repeats
 
 from .conftest import PROSE, ROWS, table
 
@@ -143,6 +144,37 @@ def test_tokens_are_counted_exactly_in_overflowing_buckets(monkeypatch):
                     assert got[k] == sorted(shared, key=lambda t: (min(count[t], 100), t))
 
 
+def test_a_worker_holds_little_beside_the_jvm():
+    """A full bucket of classes that share all tokens, counted."""
+    r = np.random.default_rng(4)
+    chunks = 8
+    per = ngram_join.BUCKET_TOKENS // chunks
+    tokens = np.unique(r.integers(1, 2**63, per, dtype=np.uint64))
+    owner = r.integers(0, 100, len(tokens)).astype(np.uint16).tobytes()
+    rows = [(k, ngram_join.packed(tokens), (100).to_bytes(4, "little") + r.bytes(800) + np.arange(100, dtype=np.uint16).tobytes() + owner) for k in range(chunks)]
+    tracemalloc.start()
+    try:
+        held = ngram_join.Bucket()
+        for row in rows:
+            assert not list(held.add(*row))
+        told = sum(len(ngram_join.unpacked(t)) for _, t, _ in held.fold(True))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert told == chunks * len(tokens)
+    assert most < 100 << 20
+
+
+def test_a_step_starts_without_what_others_left():
+    common.worker_memo("parts:a")["x"] = b"y"
+    common.worker_memo("powers")["z"] = 1
+    list(ngram_join._count(8)(iter([])))
+    assert not common.worker_memo("parts:a") and not common.worker_memo("powers")
+    common.worker_memo("powers")["z"] = 1
+    common.forget("powers")
+    assert common.worker_memo("powers").pop("z") == 1
+
+
 def test_connected_finds_long_chains(spark):
     pairs = [(k, k + 1) for k in range(60)] + [(100, 103), (103, 101)]
     got = {r["node"]: r["label"] for r in ngram_join.connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
