@@ -4,6 +4,8 @@ The index is cut by documents: a shard holds the postings of about SHARD documen
 sorted by term, with the impact of each posting and the largest impact of each term.
 For the PAIR_TERMS terms of most documents it also holds, per pair, the largest joint
 impact over the intersection of both lists. Shards are written once; a search reads them.
+A shard is a row whose postings are one compressed value, in a row group of its own: the
+JVM reads one at a time and passes it on as bytes, in batches of bounded bytes.
 
 In a shard an item's terms become units: a term with its largest impact, or two terms
 matched as a pair. A document holding one or both of a pair gains at most the largest of
@@ -54,36 +56,89 @@ def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(start, offsets)
 
 
+def _pack(**columns: np.ndarray) -> pa.Buffer:
+    """Columns of any lengths as one compressed value: the JVM passes it on as bytes,
+    where lists would be decoded and copied number by number."""
+    columns = {c: pa.array(x) for c, x in columns.items()}
+    batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns.values()], names=list(columns))
+    sink = pa.BufferOutputStream()
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3), use_threads=False)
+    with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+        out.write_batch(batch)
+    return sink.getvalue()
+
+
+def _unpack(value: pa.Scalar) -> dict[str, np.ndarray]:
+    batch = pa.ipc.open_stream(value.as_buffer(), options=pa.ipc.IpcReadOptions(use_threads=False)).read_next_batch()
+    return {c: batch.column(j).values.to_numpy(zero_copy_only=False) for j, c in enumerate(batch.schema.names)}
+
+
+def _row(docs: pa.Array, known: pa.Array, *rest) -> list[pa.Array]:
+    """A row of an index table: lists of ids, then plain values."""
+    return [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (docs, known)] + [
+        pa.array([x.to_pybytes() if isinstance(x, pa.Buffer) else x], pa.binary() if isinstance(x, pa.Buffer) else pa.int64()) for x in rest]
+
+
+_FORWARD = "docs array<long>, known array<boolean>, n_docs long, n_terms long, terms binary, postings binary"
+
+
 def _forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: id, number of terms, distinct terms and their counts."""
+    """Documents with terms, about SHARD in a row: ids, numbers of documents and terms,
+    the distinct terms with the start of each one's postings, and by term the places of
+    its documents with the counts in each."""
+    ids, n, terms, docs, size = [], [], [], 0, 0
+
+    def out() -> pa.RecordBatch:
+        known, count, term = pa.concat_arrays(ids), np.concatenate(n), np.concatenate(terms)
+        place = np.repeat(np.arange(len(count), dtype=np.min_scalar_type(len(count))), count)
+        order = np.argsort(term, kind="stable")
+        term, place = term[order], place[order]
+        posting = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (place[1:] != place[:-1])])
+        tf = np.diff(np.r_[posting, len(term)]).astype(np.int32)
+        term, place = term[posting], place[posting]
+        starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+        return pa.RecordBatch.from_arrays(_row(
+            known.fill_null(0), known.is_valid(), len(count), int(count.sum()),
+            _pack(terms=term[starts], starts=np.r_[starts, len(term)]), _pack(n=count, places=place, tfs=tf)), names=[c.split()[0] for c in _FORWARD.split(", ")])
+
     for batch in batches:
-        rows = [[], [], []]
-        for _, _, data, offsets in text_blocks(batch):
+        for row, _, data, offsets in text_blocks(batch):
             h, first = terms_of(data, offsets)
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                terms, counts = np.unique(h[a:b], return_counts=True)
-                rows[0].append(b - a)
-                rows[1].append(terms.view(np.int64))
-                rows[2].append(counts.astype(np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.list_(pa.int64())), pa.array(rows[2], pa.list_(pa.int32()))],
-            names=["doc_id", "n", "terms", "tfs"])
+            count = np.diff(first)
+            full = np.flatnonzero(count)
+            for k in range(0, len(full), SHARD):
+                some = full[k:k + SHARD]
+                ids.append(batch.column(0).take(pa.array(row + some)))
+                n.append(count[some])
+                # Texts between them have no terms.
+                terms.append(h[first[some[0]]:first[some[-1] + 1]].view(np.int64))
+                docs, size = docs + len(some), size + len(terms[-1])
+                if docs >= SHARD or size > 1 << 20:
+                    yield out()
+                    ids, n, terms, docs, size = [], [], [], 0, 0
+    if ids:
+        yield out()
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents per term, added up over stretches of the input before they are shuffled."""
-    held, size = [], 0
+    terms, counts, size = [], [], 0
 
     def out() -> pa.RecordBatch:
-        terms, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n.astype(np.int64))], names=["term", "df"])
+        distinct, at = np.unique(np.concatenate(terms) if terms else np.zeros(0, np.int64), return_inverse=True)
+        df = np.zeros(len(distinct), np.int64)
+        np.add.at(df, at, np.concatenate(counts) if counts else np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(df)], names=["term", "df"])
 
     for batch in batches:
-        held.append(batch.column(0).flatten().to_numpy(zero_copy_only=False))
-        size += len(held[-1])
-        if size > 1 << 22:
-            yield out()
-            held, size = [], 0
+        for value in batch.column(0):
+            lists = _unpack(value)
+            terms.append(lists["terms"])
+            counts.append(np.diff(lists["starts"]))
+            size += len(terms[-1])
+            if size > 1 << 20:
+                yield out()
+                terms, counts, size = [], [], 0
     yield out()
 
 
@@ -97,24 +152,16 @@ def saturation(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (1_000_000_000 * tf) // (1000 * tf + 20 * m)
 
 
-_SHARD = ("docs array<long>, known array<boolean>, terms array<long>, starts array<long>, places array<int>, impacts array<long>, highest array<long>, "
-          "pair_a array<long>, pair_b array<long>, joint array<long>")
+_SHARD = "docs array<long>, known array<boolean>, postings binary"
 
 
 def _shards(n_docs: int, n_terms: int, pair_terms: list[tuple[int, int]]):
-    """Shards of the documents of a task. ``pair_terms`` are terms with their weights."""
-    def shard(ids: list[pa.Array], n: np.ndarray, terms: list[np.ndarray], tfs: list[np.ndarray]) -> pa.RecordBatch:
-        size = np.array([len(t) for t in terms])
+    """A shard of each row of a task. ``pair_terms`` are terms with their weights."""
+    def shard(docs: pa.Array, known: pa.Array, distinct: np.ndarray, bounds: np.ndarray, n: np.ndarray, place: np.ndarray, tf: np.ndarray) -> pa.RecordBatch:
         m = 50 + (50 * n * n_docs) // max(n_terms, 1)
-        place = np.repeat(np.arange(len(n), dtype=np.int32), size)
-        term, tf = np.concatenate(terms), np.concatenate(tfs).astype(np.int64)
-        order = np.argsort(term, kind="stable")
-        term, place = term[order], place[order]
-        impact = saturation(tf[order], m[place])
-        starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
-        distinct = term[starts]
-        highest = np.maximum.reduceat(impact, starts) if len(starts) else np.zeros(0, np.int64)
-        ends = np.r_[starts[1:], len(term)]
+        impact = saturation(tf.astype(np.int64), m[place])
+        starts, ends = bounds[:-1], bounds[1:]
+        highest = np.maximum.reduceat(impact, starts)
         # Joint maxima, in weighted impacts, over the documents that hold both terms.
         there, full = [], []
         for t, w in pair_terms:
@@ -126,28 +173,16 @@ def _shards(n_docs: int, n_terms: int, pair_terms: list[tuple[int, int]]):
                 full.append(column)
         pairs = [(there[i], there[j], int(np.where((full[i] >= 0) & (full[j] >= 0), full[i] + full[j], 0).max()))
                  for i in range(len(there)) for j in range(i + 1, len(there))]
-        known = pa.concat_arrays(ids)
-        one = [known.fill_null(0), known.is_valid(), distinct, np.r_[starts, len(term)], place, impact, highest, *(np.array([p[k] for p in pairs], np.int64) for k in range(3))]
-        kinds = [pa.int64(), pa.bool_(), *(pa.int64(),) * 2, pa.int32(), *(pa.int64(),) * 5]
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.list_(t)) if isinstance(x, np.ndarray) else pa.ListArray.from_arrays([0, len(x)], x)
-                                           for x, t in zip(one, kinds, strict=True)], names=[c.split()[0] for c in _SHARD.split(", ")])
+        pair_a, pair_b, joint = (np.array([p[k] for p in pairs], np.int64) for k in range(3))
+        # What one term adds is below 1,000,000.
+        packed = _pack(terms=distinct, starts=bounds, places=place, impacts=impact.astype(np.int32), highest=highest, pair_a=pair_a, pair_b=pair_b, joint=joint)
+        return pa.RecordBatch.from_arrays(_row(docs, known, packed), names=[c.split()[0] for c in _SHARD.split(", ")])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, n, terms, tfs = [], [], [], []
         for batch in batches:
-            count = batch.column(1).to_numpy(zero_copy_only=False)
-            lists = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in batch.columns[2:]]
-            for a in range(0, batch.num_rows, SHARD):
-                b = min(a + SHARD, batch.num_rows)
-                ids.append(batch.column(0).slice(a, b - a))
-                n.append(count[a:b])
-                for into, (at, values) in zip((terms, tfs), lists, strict=True):
-                    into += [values[at[k]:at[k + 1]] for k in range(a, b)]
-                if len(terms) >= SHARD or sum(map(len, terms)) > 1 << 20:
-                    yield shard(ids, np.concatenate(n), terms, tfs)
-                    ids, n, terms, tfs = [], [], [], []
-        if ids:
-            yield shard(ids, np.concatenate(n), terms, tfs)
+            for docs, known, terms, postings in zip(*batch.columns, strict=True):
+                lists, found = _unpack(terms), _unpack(postings)
+                yield shard(docs.values, known.values, lists["terms"], lists["starts"], found["n"], found["places"], found["tfs"])
 
     return build
 
@@ -165,13 +200,17 @@ def build_index(docs: DataFrame) -> Index:
     Terms are told apart by 64-bit hashes. What reaches the driver: two counts and the
     PAIR_TERMS terms of most documents."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    forward = stage(rows.mapInArrow(_forward, "doc_id long, n long, terms array<long>, tfs array<int>").where("n > 0"), "forward")
-    total = forward.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
-    df = stage(forward.select("terms").mapInArrow(_document_counts, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")), "df")
+    # A row group for each row: readers hold one at a time, whatever the size of a file.
+    one = {"parquet.block.row.count.limit": "1", "compression": "uncompressed"}
+    forward = stage(rows.mapInArrow(_forward, _FORWARD), "forward", **one)
+    total = forward.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", "n_terms"))).first()
+    # Already added up in the tasks: Spark adds behind the shuffle only.
+    counts = forward.select("terms").mapInArrow(_document_counts, "term long, df long").repartition("term")
+    df = stage(counts.groupBy("term").agg(F.sum("df").alias("df")), "df")
     common = df.orderBy(F.desc("df"), "term").limit(PAIR_TERMS).collect()
-    pair_terms = [(r["term"], weight(total["n"], r["df"])) for r in common]
-    shards = stage(forward.mapInArrow(_shards(total["n"], total["terms"], pair_terms), _SHARD), "shards")
-    return Index(shards, df, total["n"])
+    pair_terms = [(r["term"], weight(total["n_docs"], r["df"])) for r in common]
+    shards = stage(forward.select("docs", "known", "terms", "postings").mapInArrow(_shards(total["n_docs"], total["n_terms"], pair_terms), _SHARD), "shards", **one)
+    return Index(shards, df, total["n_docs"])
 
 
 class Units:
@@ -241,7 +280,7 @@ def _searcher(items: list[tuple[int, np.ndarray, np.ndarray]], k: int):
         floors = [1] * len(items)
         for batch in batches:
             for row in range(batch.num_rows):
-                shard = {c: batch.column(j)[row].values.to_numpy(zero_copy_only=False) for j, c in enumerate(batch.schema.names)}
+                shard = {c: batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("docs", "known")} | _unpack(batch.column("postings")[row])
                 a, b = np.minimum(shard["pair_a"], shard["pair_b"]).tolist(), np.maximum(shard["pair_a"], shard["pair_b"]).tolist()
                 joint = {"pairs": dict(zip(zip(a, b, strict=True), shard["joint"].tolist(), strict=True)), "terms": {*a, *b}}
                 for i, (_, terms, weights) in enumerate(items):

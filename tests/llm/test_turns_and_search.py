@@ -6,8 +6,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,6 +233,36 @@ def test_search_finds_what_all_scores_find(spark, monkeypatch):
     assert got == best(docs, sorted(set(items), key=str), 10)
 
 
+def test_index_is_read_one_shard_at_a_time(spark, monkeypatch):
+    r = random.Random(6)
+    docs = [(k, " ".join(r.choices([f"w{j}" for j in range(90)] + ["É"], k=r.randrange(0, 30)))) for k in range(900)]
+    monkeypatch.setattr(lexical_search, "SHARD", 270)
+    index = lexical_search.build_index(table(spark, [(*d, "a") for d in docs]).coalesce(1))
+    groups = [m.row_group(k).num_rows for f in index.shards.inputFiles() for m in [pq.ParquetFile(unquote(urlparse(f).path)).metadata] for k in range(m.num_row_groups)]
+    assert len(groups) > 2 and set(groups) == {1}
+    # Postings pass the JVM as bytes.
+    assert dict(index.shards.dtypes) == {"docs": "array<bigint>", "known": "array<boolean>", "postings": "binary"}
+    assert sum(map(len, (s["docs"] for s in index.shards.collect()))) == sum(bool(t) for _, t in docs)
+    items = [(k, " ".join(r.choices([f"w{j}" for j in range(90)], k=5))) for k in range(6)]
+    got = sorted(map(tuple, lexical_search.search(index, spark.createDataFrame(items, "item_id long, text string"), 20).collect()), key=str)
+    assert got == best(docs, items, 20)
+
+
+def test_forward_rows_span_batches_and_skip_empty_texts():
+    texts = [None, "a b a", "", "?!", "b É", "a", None, "b b b", "c"]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array(range(k, k + n), pa.int64()), "text": pa.array(texts[k:k + n], pa.string())}) for k, n in ((0, 2), (2, 0), (2, 2), (4, 5))]
+    one, = lexical_search._forward(iter(batches))
+    assert one.column("docs")[0].as_py() == [1, 4, 5, 7, 8] and one.column("n_docs")[0].as_py() == 5 and one.column("n_terms")[0].as_py() == 10
+    lists, found = lexical_search._unpack(one.column("terms")[0]), lexical_search._unpack(one.column("postings")[0])
+    h, _ = lexical_search.terms_of(np.frombuffer("a b c É".encode(), np.uint8), np.array([0, 8]))
+    got = {t: [(p, f) for p, f in zip(found["places"][x:y].tolist(), found["tfs"][x:y].tolist(), strict=True)]
+           for t, x, y in zip(lists["terms"].tolist(), lists["starts"][:-1].tolist(), lists["starts"][1:].tolist(), strict=True)}
+    assert got == dict(zip(h.view(np.int64).tolist(), ([(0, 2), (2, 1)], [(0, 1), (1, 1), (3, 3)], [(4, 1)], [(1, 1)]), strict=True))
+    assert found["n"].tolist() == [3, 2, 1, 3, 1]
+    counts, = lexical_search._document_counts(iter([one.select(["terms"])] * 2))
+    assert dict(zip(*counts.to_pydict().values(), strict=True)) == {t: 2 * len(x) for t, x in got.items()}
+
+
 def test_pair_bounds_skip_what_single_maxima_do_not():
     # Two common terms that never meet, each with a high maximum: only the pair's bound
     # shows that no document can hold both.
